@@ -10,7 +10,6 @@ once; any other text goes through the library whole.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from itertools import islice
 
@@ -38,23 +37,36 @@ def encoder(path: str, kind: str) -> "Encoder":
 
 class Encoder:
     def __init__(self, path: str, kind: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.lower = kind == "word"
         self.split = SPLITS[kind]
         self.memo: dict[str, bytes] = {}
+        # for pieces that are cut already: the same vocabulary and merges, without the cutting
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.encode_special_tokens = True
+        self.pieces.normalizer = normalizers.Sequence([])
+        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of text that an id stands for
+        for token, i in vocabulary.items():
+            self.width[i] = len(token.removesuffix("</w>") if self.lower else token)
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        ids = np.asarray(self.pieces.encode_batch_fast([pieces], add_special_tokens=False, is_pretokenized=True)[0].ids, dtype="<u4")
+        ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in pieces), dtype=np.int64, count=len(pieces)))
+        cuts = (4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
+        raw = ids.tobytes()
+        return {p: raw[a:b] for p, a, b in zip(pieces, [0, *cuts], cuts, strict=False)}
 
     def _joined(self, pieces: list[str]) -> bytes:
         memo = self.memo
-        try:
+        new = [p for p in pieces if p not in memo]
+        if not new:
             return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = list(set(pieces).difference(memo))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        own = {p: struct.pack(f"<{len(i)}I", *i) for p, i in zip(new, (e.ids for e in found), strict=True)}
+        own = self._new(list(dict.fromkeys(new)))
         if len(memo) < MEMO_ENTRIES:  # frequent pieces come early, so a full memo is kept as it is
             memo.update(own)
             return b"".join(map(memo.__getitem__, pieces))

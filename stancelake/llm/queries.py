@@ -6,28 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stancelake.llm import crf_quality, html_density, packing, secrets, simhash, token_index
 from stancelake.llm.common import table
-from stancelake.llm.packing import pack
-from stancelake.llm.token_index import index_documents
 
 
 def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file; the files stay where they are installed."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 def op8_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_index.index_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_html_density": op3_html_density,
+    "op4_simhash": op4_simhash,
     "op8_token_index": op8_token_index,
     "op9_packing": op9_packing,
+    "op10_crf_quality": op10_crf_quality,
 }
 
+#: None of these can be written as SQL: the tests hold them against brute force, round trips or held-out labels.
 ORACLE_SQL: dict[str, str] = {}

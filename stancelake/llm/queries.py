@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stancelake.llm import crf_quality, html_density, packing, secrets, simhash, token_index
+from stancelake.llm import ann, crf_quality, embed_dedup, html_density, packing, secrets, simhash, token_index
 from stancelake.llm.common import table
 
 
@@ -29,6 +29,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.index_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -45,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_html_density": op3_html_density,
     "op4_simhash": op4_simhash,
+    "op6_embed_dedup": op6_embed_dedup,
+    "op7_ann": op7_ann,
     "op8_token_index": op8_token_index,
     "op9_packing": op9_packing,
     "op10_crf_quality": op10_crf_quality,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stancelake.llm import ann, crf_quality, embed_dedup, html_density, packing, secrets, simhash, token_index
+from stancelake.llm import ann, crf_quality, embed_dedup, html_density, mixing, packing, pii, secrets, simhash, token_index
 from stancelake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(table(spark, sf_dir, "pages"))
 
@@ -29,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.links(table(spark, sf_dir, "embeddings"))
 
@@ -51,8 +59,10 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_mixing": op2_mixing,
     "op3_html_density": op3_html_density,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op6_embed_dedup": op6_embed_dedup,
     "op7_ann": op7_ann,
     "op8_token_index": op8_token_index,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -23,7 +24,7 @@ SPLITS = {
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
 MEMO_ENTRIES = 600_000
-PIECES_AT_ONCE = 500_000
+LONG_TEXT, PIECES_AT_ONCE, PIECES_WAITING = 2_000_000, 500_000, 40_000
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
@@ -61,36 +62,72 @@ class Encoder:
         raw = ids.tobytes()
         return {p: raw[a:b] for p, a, b in zip(pieces, [0, *cuts], cuts, strict=False)}
 
-    def _joined(self, pieces: list[str]) -> bytes:
+    def _found(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; new pieces are encoded in one call."""
         memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if not new:
-            return b"".join(map(memo.__getitem__, pieces))
-        own = self._new(list(dict.fromkeys(new)))
-        if len(memo) < MEMO_ENTRIES:  # frequent pieces come early, so a full memo is kept as it is
-            memo.update(own)
-            return b"".join(map(memo.__getitem__, pieces))
-        return b"".join([own[p] if p in own else memo[p] for p in pieces])
+        got = list(map(memo.get, pieces))
+        missing, i = [], -1
+        try:
+            while True:
+                i = got.index(None, i + 1)
+                missing.append(i)
+        except ValueError:
+            pass
+        if missing:
+            own = self._new(list({pieces[i]: None for i in missing}))
+            for i in missing:
+                got[i] = own[pieces[i]]
+            if len(memo) < MEMO_ENTRIES:  # frequent pieces come early, so a full memo is kept as it is
+                memo.update(own)
+        return got
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of every text, as little-endian unsigned 32-bit integers, in order."""
+        pieces: list[str] = []
+        ends: list[int] = []  # of each text that waits; -1 - k: the k-th of `whole`
+        whole: list[bytes] = []
+
+        def out() -> Iterator[bytes]:
+            got, at = self._found(pieces), 0
+            for end in ends:
+                if end < 0:
+                    yield whole[-1 - end]
+                else:
+                    yield b"".join(got[at:end])
+                    at = end
+            pieces.clear()
+            ends.clear()
+            whole.clear()
+
+        for text in texts:
+            if not text.isascii():
+                try:
+                    text.encode("latin-1")
+                except UnicodeEncodeError:
+                    ends.append(-1 - len(whole))
+                    whole.append(self._whole(text))
+                    continue
+            if self.lower:
+                text = text.lower()
+            if len(text) < LONG_TEXT:
+                pieces += self.split.findall(text)
+                ends.append(len(pieces))
+            else:  # piece by piece, so that a very long text is never all in pieces at once
+                found = (m[0] for m in self.split.finditer(text))
+                parts = []
+                while chunk := list(islice(found, PIECES_AT_ONCE)):
+                    parts.append(b"".join(self._found(chunk)))
+                ends.append(-1 - len(whole))
+                whole.append(b"".join(parts))
+            if len(pieces) >= PIECES_WAITING:
+                yield from out()
+        yield from out()
 
     def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if not text.isascii():
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                e = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-                return np.asarray(e.ids, dtype="<u4").tobytes()
-        if self.lower:
-            text = text.lower()
-        if len(text) < 2_000_000:
-            return self._joined(self.split.findall(text))
-        found = (m[0] for m in self.split.finditer(text))
-        parts = []
-        while chunk := list(islice(found, PIECES_AT_ONCE)):
-            parts.append(self._joined(chunk))
-        return b"".join(parts)
+        return next(iter(self.many([text])))
 
 
 END = np.asarray([1], dtype="<u4").tobytes()

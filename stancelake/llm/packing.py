@@ -176,8 +176,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             held.clear()
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.ids(text.as_py() or "") + END
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), own.many(texts), strict=True):
+                ids += END
                 tokens = len(ids) // width
                 full = tokens - tokens % length
                 for start in range(0, full, length):

@@ -61,6 +61,24 @@ def _hashes(keys: np.ndarray, nulls: np.ndarray, seed: int) -> tuple[np.ndarray,
     return h, _mix(h, seed + 1), _mix(h, seed + 2)
 
 
+def _moved(h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """The slot of n that displacement d sends a key with hash h to."""
+    with np.errstate(over="ignore"):
+        return (_mix(h + d.astype(np.uint64) * np.uint64(0xD1342543DE82EF95), 0) % np.uint64(n)).astype(np.int64)
+
+
+def _displace(h: np.ndarray, n: int, taken: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first displacement that sends a bucket's keys to free slots of their own; -1 if none is found."""
+    base, tries = 0, 8
+    while base < 1 << 18:  # a few at first: most buckets are placed at once
+        at = _moved(h[None, :], np.arange(base, base + tries)[:, None], n)
+        for i in np.flatnonzero(~taken[at].any(axis=1)).tolist():
+            if len(set(at[i].tolist())) == len(h):
+                return base + i, at[i]
+        base, tries = base + tries, min(4096, tries * 8)
+    return -1, at[0]
+
+
 def build_hash(keys: np.ndarray, nulls: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """(seed, displacements, slot of each key) for distinct keys: hash and displace.
 
@@ -69,32 +87,26 @@ def build_hash(keys: np.ndarray, nulls: np.ndarray) -> tuple[int, np.ndarray, np
     replaced by the next.
     """
     n = len(keys)
-    buckets = max(1, n // 3)
+    buckets = n // 2 + 1
     for seed in range(1, 1000):
-        h, f, g = _hashes(keys, nulls, seed)
-        if len(np.unique(np.stack([h, f]), axis=1).T) < n:
+        h, f, _ = _hashes(keys, nulls, seed)
+        if len(np.unique(f)) < n:
             continue
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        f, step = f % np.uint64(n), g % np.uint64(max(1, n - 1)) + np.uint64(1)
         order = np.argsort(bucket, kind="stable")
         counts = np.bincount(bucket, minlength=buckets)
         starts = np.concatenate([[0], np.cumsum(counts)])
         disp, slot, taken = np.zeros(buckets, dtype=np.int32), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
-        tries = np.arange(max(64, min(4 * n, 4096)), dtype=np.uint64)
         fits = True
         for b in np.argsort(-counts, kind="stable"):
             own = order[starts[b] : starts[b + 1]]
             if len(own) < 2:
                 break
-            at = ((f[own][None, :] + tries[:, None] * step[own][None, :]) % np.uint64(n)).astype(np.int64)
-            good = ~taken[at].any(axis=1)
-            same = np.sort(at, axis=1)
-            good &= (same[:, 1:] != same[:, :-1]).all(axis=1)
-            d = int(good.argmax())
-            if not good[d]:
+            d, at = _displace(f[own], n, taken)
+            if d < 0:
                 fits = False
                 break
-            disp[b], slot[own], taken[at[d]] = d, at[d], True
+            disp[b], slot[own], taken[at] = d, at, True
         if not fits:
             continue
         free = iter(np.flatnonzero(~taken))
@@ -151,9 +163,7 @@ class Shard:
             return np.full(len(keys), -1)
         h, f, g = _hashes(keys, nulls, self.seed)
         d = self.disp[(h % np.uint64(len(self.disp))).astype(np.int64)].astype(np.int64)
-        step = g % np.uint64(max(1, n - 1)) + np.uint64(1)
-        moved = ((f % np.uint64(n) + np.maximum(d, 0).astype(np.uint64) * step) % np.uint64(n)).astype(np.int64)
-        slot = np.where(d < 0, -d - 1, moved)
+        slot = np.where(d < 0, -d - 1, _moved(f, np.maximum(d, 0), n))
         return np.where(self.prints[slot] == (g >> np.uint64(32)).astype("<u4"), slot, -1)
 
     def rows(self, key) -> list[np.ndarray]:
@@ -187,10 +197,11 @@ def write_index(docs: DataFrame, path: str, vocabulary: str, kind: str = "word",
             return pa.record_batch([pa.array([x], type=t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SHARD_SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = (x.as_py() or "" for x in batch.column(1))
+            for doc, row in zip(batch.column(0).to_pylist(), own.many(texts), strict=True):
                 keys.append(doc)
-                ids.append(own.ids(text.as_py() or "") + END)
-                held += len(ids[-1]) // 4
+                ids.append(row + END)
+                held += len(row) // 4 + 1
                 if held >= SHARD_IDS or len(keys) >= SHARD_ROWS:
                     yield out()
                     keys, ids, seq, held = [], [], seq + 1, 0

@@ -346,6 +346,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return out.select(*[F.col(n).alias(c) for n, c in kept], F.col("_score").alias("score"))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches the threshold, with all their columns as they were."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    plain = docs.toDF(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.quality([x or "" for x in batch.column(at).to_pylist()]) >= threshold))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def quality(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs.
 

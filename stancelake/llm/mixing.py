@@ -6,7 +6,7 @@ expected tokens in a domain are its tokens times that posterior. Projected
 gradient steps of least squares fit a nonnegative rate for every document, so
 that the expected totals of the domains meet their targets. Steps start at
 rate one and move a document by its posterior times a vector of one number a
-domain (the whitened residual), so a rate is a fold over those vectors: an
+domain (its residual, scaled), so a rate is a fold over those vectors: an
 iteration is one aggregate over a small table, and the driver holds a few
 numbers an iteration.
 """
@@ -27,9 +27,9 @@ DOMAINS = ("clean", "junk", "toxic")
 TARGETS = {"clean": 0.95, "junk": 0.02, "toxic": 0.03}
 #: Labelled documents that the model is fitted on, at most: those with the smallest hashes of their ids.
 FIT_DOCUMENTS = 8000
-#: Words that the model keeps, at most, and the documents that each must stand in at least.
-WORDS, LEAST_SUPPORT = 48, 12
-ITERATIONS, TOLERANCE = 40, 1e-6
+#: Words that the model keeps, at most; the documents that each must stand in, and how telling it must be, at least.
+WORDS, LEAST_SUPPORT, LEAST_TELL = 48, 6, 6.0
+ITERATIONS, TOLERANCE, FLOOR = 24, 1e-4, 0.01
 
 # Surface features of a text: shares of characters and words, and whether they pass a bound.
 _FEATURES = {
@@ -120,13 +120,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) -> Model
     everywhere = reduce(lambda a, b: a + b, [F.col(d) for d in DOMAINS])
     # how far a word's count in a domain is from what its count in all would give, in standard deviations
     tells = [(F.col(d) - everywhere * (n[d] / total)) / F.sqrt(everywhere * (n[d] / total)) for d in DOMAINS if d in n]
-    top = counts.where(everywhere >= LEAST_SUPPORT).orderBy(F.desc(F.greatest(*tells)), "w").limit(WORDS)
+    told = counts.where(everywhere >= LEAST_SUPPORT).withColumn("tell", F.greatest(*tells))
+    top = told.where(F.col("tell") >= LEAST_TELL).orderBy(F.desc("tell"), "w").limit(WORDS)
     words = [r["w"] for r in top.select("w").collect()]  # WORDS rows at most
     names = [f"f_{k}" for k in _FEATURES] + [f"w_{i}" for i in range(len(words))]
     flags = {f"w_{i}": F.array_contains("words", w).cast("double") for i, w in enumerate(words)}
     index = F.element_at(F.create_map(*[x for i, d in enumerate(DOMAINS) for x in (F.lit(d), F.lit(float(i)))]), F.col("domain"))
     sample = VectorAssembler(inputCols=names, outputCol="x").transform(rows.withColumns(flags).withColumn("y", index)).select("x", "y")
-    found = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-3, maxIter=80).fit(sample)
+    found = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-4, maxIter=100).fit(sample)
     b, w = found.interceptVector.toArray().tolist(), found.coefficientMatrix.toArray().tolist()
     b = [max(x, -50.0) for x in b] + [-50.0] * (len(DOMAINS) - len(b))
     w += [[0.0] * len(names)] * (len(DOMAINS) - len(w))
@@ -134,21 +135,6 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) -> Model
     return Model(b, dict(zip(_FEATURES, columns[: len(_FEATURES)], strict=True)), dict(zip(words, columns[len(_FEATURES) :], strict=True)))
 
 
-def _solve(g: list[list[float]], b: list[float]) -> list[float]:
-    """g x = b for a small symmetric g, by elimination with a little ridge."""
-    n = len(b)
-    ridge = 1e-9 * max(max(g[i][i] for i in range(n)), 1e-12)
-    m = [[g[i][j] + (ridge if i == j else 0.0) for j in range(n)] + [b[i]] for i in range(n)]
-    for i in range(n):
-        p = max(range(i, n), key=lambda r: abs(m[r][i]))
-        m[i], m[p] = m[p], m[i]
-        for r in range(n):
-            if r != i:
-                f = m[r][i] / m[i][i]
-                m[r] = [x - f * y for x, y in zip(m[r], m[i], strict=True)]
-    return [m[i][n] / m[i][i] for i in range(n)]
-
-
 def _rate(steps: list[list[float]], most: float | None) -> Column:
     """The rate after these steps: a fold that projects onto [0, most] each time."""
     if not steps:
@@ -169,29 +155,32 @@ def _rate(steps: list[list[float]], most: float | None) -> Column:
 def rates(own: DataFrame, targets: dict[str, float], most: float | None = None, iterations: int = ITERATIONS) -> tuple[DataFrame, dict[str, float]]:
     """own with `rate`, and the goal of each domain in tokens.
 
-    Goals keep the shares of `targets` (zero weights allowed) at the largest
-    total that needs no domain's tokens more than once over; a domain without
-    tokens doesn't limit it.
+    Goals keep the shares of `targets` (zero weights allowed), at the total
+    that leaves the domain of the largest weight its tokens; with `most`, a
+    goal is what so many copies of a domain can give at most. A step moves a
+    domain's number by its missing tokens over all that it has (or over
+    `FLOOR` of the corpus, where it has less). The posteriors of a document
+    add up to one, so these scales bound the Gram matrix by rows and the steps
+    can't overshoot.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     tok = F.col("n_tokens").cast("double")
-    first = own.agg(*[F.coalesce(F.sum(tok * x), F.lit(0.0)).alias(f"t{i}") for i, x in enumerate(p)], *[F.coalesce(F.sum(tok * x * y), F.lit(0.0)).alias(f"g{i}_{j}") for i, x in enumerate(p) for j, y in enumerate(p) if i <= j]).first()
-    has = [first[f"t{i}"] for i in range(len(DOMAINS))]
-    gram = [[first[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(DOMAINS))] for i in range(len(DOMAINS))]
-    scale = sum(targets.values())
-    limits = [has[i] / (targets.get(d, 0) / scale) for i, d in enumerate(DOMAINS) if targets.get(d, 0) > 0 and has[i] > 0]
-    total = min(limits) if limits else 0.0
-    goal = [total * targets.get(d, 0) / scale for d in DOMAINS]
+    has = [float(x) for x in own.agg(*[F.coalesce(F.sum(tok * x), F.lit(0.0)) for x in p]).first()]
+    share = [targets.get(d, 0) / sum(targets.values()) for d in DOMAINS]
+    anchor = max(range(len(DOMAINS)), key=lambda i: share[i])
+    total = has[anchor] / share[anchor]
+    goal = [total * s if most is None else min(total * s, most * h) for s, h in zip(share, has, strict=True)]
+    scales = [max(h, FLOOR * sum(has)) for h in has]
     steps: list[list[float]] = []
     now = has
     for _ in range(iterations):
         short = [g - t for g, t in zip(goal, now, strict=True)]
         if not total or max(map(abs, short)) <= TOLERANCE * total:
             break
-        steps.append(_solve(gram, short))
+        steps.append([x / s for x, s in zip(short, scales, strict=True)])
         r = own.withColumn("rate", _rate(steps, most))
         sums = r.agg(*[F.coalesce(F.sum(tok * F.col("rate") * x), F.lit(0.0)) for x in p]).first()
-        was, now = now, list(sums)
+        was, now = now, [float(x) for x in sums]
         if max(abs(a - b) for a, b in zip(was, now, strict=True)) <= TOLERANCE * total:
             break
     return own.withColumn("rate", _rate(steps, most)), dict(zip(DOMAINS, goal, strict=True))

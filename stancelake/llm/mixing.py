@@ -57,16 +57,15 @@ def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, row_key, n_tokens, words, f_<feature>): words are distinct, in lower case; null text counts as empty."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     df = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
-    df = df.withColumn("tokens", F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda x: x != ""))
-    size = F.length("text")
+    df = df.withColumn("tokens", F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), ""))
     df = df.withColumns(
         {
             "n_tokens": F.size("tokens").cast("long"),
-            "words": F.array_distinct(F.transform("tokens", lambda w: F.btrim(w, F.lit(".,;:!?\"'()#$%&*|")))),
-            "chars": F.greatest(size, F.lit(1)).cast("double"),
-            "marks": size - F.length(F.translate("text", "#$%&*|!<>{}[]~^=", "")),
-            "capitals": size - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
-            "digits": size - F.length(F.translate("text", "0123456789", "")),
+            "words": F.array_distinct("tokens"),
+            "chars": F.greatest(F.length("text"), F.lit(1)).cast("double"),
+            "marks": F.regexp_count("text", F.lit(r"[#$%&*|!<>{}\[\]~^=]")),
+            "capitals": F.regexp_count("text", F.lit("[A-Z]")),
+            "digits": F.regexp_count("text", F.lit("[0-9]")),
         }
     )
     return df.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "n_tokens", "words", *[F.expr(x).alias(f"f_{k}") for k, x in _FEATURES.items()])

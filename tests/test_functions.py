@@ -30,7 +30,7 @@ def test_labels(spark):
     got = {r.raw: (r.raw_label, r.raw_status) for r in labels.normalise(df, "raw").collect()}
     assert got == {"Declarative": ("declarative", "exact"), "noun_phrase": ("fragment", "exact"), "imperitive": ("imperative", "fuzzy"), "question": ("interrogative", "aliased"), "qq": ("declarative", "unknown"), None: ("declarative", "aliased")}
     df = spark.createDataFrame([("topical + textual",), ("theme_marked",), ("textual > topical",), ("topical_unmarked",)], "raw string")
-    assert [r.raw_label for r in labels.normalise(df, "raw", "theme_type").orderBy("raw").collect()] == ["multiple", "marked", "topical", "topical"] or True
+    assert [r.raw_label for r in labels.normalise(df, "raw", "theme_type").orderBy("raw").collect()] == ["multiple", "marked", "topical", "topical"]
     assert labels.jaro_winkler("imperitive", "imperative") >= 0.92 > labels.jaro_winkler("performative", "imperative")
     assert labels.jaro_winkler("", "a") == 0
 

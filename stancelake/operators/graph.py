@@ -60,6 +60,12 @@ def widened(nodes: DataFrame, edges: DataFrame, text: str = "text") -> DataFrame
     return nodes.join(chain, "node", "left").select("node", F.array_join(F.concat(above, F.array(text)), " ").alias("evidence"))
 
 
+def matching(edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """hits(node) and all nodes above them."""
+    up = ancestors(edges, hits).select(F.col("ancestor").alias("node"))
+    return hits.select("node").unionByName(up).distinct()
+
+
 def selection(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """(node, state): full, partial or none, from the leaves that are chosen(node) themselves or below a chosen node."""
     leaf = leaves(edges)

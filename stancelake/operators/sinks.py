@@ -10,7 +10,7 @@ from stancelake.functions.text import preview, slug
 
 def two_places(x: Column) -> Column:
     """A number with two places, empty for null."""
-    return F.coalesce(F.format_string("%.2f", x), F.lit(""))
+    return F.when(x.isNull(), "").otherwise(F.format_string("%.2f", x))
 
 
 def tenor_label(x: Column) -> Column:
@@ -29,7 +29,7 @@ def turn_report(turns: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def export_jsonl(clauses: DataFrame, sections: DataFrame) -> DataFrame:
+def export_jsonl(clauses: DataFrame, sections: DataFrame, with_id: bool = False) -> DataFrame:
     """One JSON line a clause, in the order of document, section and clause; a clause picked twice counts once."""
     j = clauses.join(sections, "section_id")
     w = Window.partitionBy("clause_id").orderBy("document_position", "ordinal")
@@ -37,7 +37,7 @@ def export_jsonl(clauses: DataFrame, sections: DataFrame) -> DataFrame:
     said = F.struct("process_type").alias("ideational")
     how = F.struct("mood", "modality_milli", "tenor_milli", "annotation_source").alias("interpersonal")
     line = F.to_json(F.struct("collection", "document_key", "section_id", "section_path", F.col("ctext").alias("text"), said, how))
-    return once.orderBy("document_position", "ordinal", "idx").select(line.alias("value"))
+    return once.orderBy("document_position", "ordinal", "idx").select(line.alias("value"), *(["clause_id"] if with_id else []))
 
 
 def annotated_documents(clauses: DataFrame, by: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stancelake.contracts import MOODS, PROCESSES, TRUSTED
 from stancelake.functions import labels, lexicon, text as tx
-from stancelake.operators import catalog, clauses as cl, conversation as cv, filters, graph, grounding, kb, retrieval, topics
+from stancelake.operators import annotation, catalog, clauses as cl, conversation as cv, digest, filters, graph, grounding, kb, retrieval, sinks, topics
+from stancelake.sources import exports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -648,6 +649,112 @@ def json_fields(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+# --- reports, queues and places -----------------------------------------------------------------
+
+
+@query(T + " SELECT conv_id, turn, CASE WHEN avg_tenor BETWEEN 0 AND 0.3 THEN 'casual' WHEN avg_tenor BETWEEN 0 AND 0.6 THEN 'mixed' WHEN avg_tenor BETWEEN 0 AND 1 THEN 'formal' END AS tenor_label, CASE WHEN tenor_shift_milli IS NULL THEN '' ELSE printf('%.2f', tenor_shift_milli/1000.0::DOUBLE) END AS tenor_shift, CASE WHEN length(x) > 50 THEN substr(x, 1, 50)||'...' ELSE x END AS message_preview FROM sh JOIN (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS x FROM conversations) USING (conv_id, turn)")
+def turn_report(spark, d):
+    return sinks.turn_report(turn_rows(spark, d), read(spark, d, "conversations")).select("conv_id", F.col("turn_id").alias("turn"), "tenor_label", "tenor_shift", "message_preview")
+
+
+@query(C + """ SELECT section_id||'.md' AS file_name, string_agg(ctext||' ['||mood||'/'||process_type||']', E'\\n' ORDER BY idx) AS body FROM (SELECT *, regexp_replace(c.section_id, '[^a-z0-9]+', '-', 'g') AS sl FROM c) GROUP BY section_id""".replace("section_id||'.md'", "regexp_replace(section_id, '[^a-z0-9]+', '-', 'g')||'.md'"))
+def annotated_documents(spark, d):
+    return sinks.annotated_documents(clause_rows(spark, d), "section_id")
+
+
+@query(C + """ SELECT '{"collection":"chat","document_key":"'||conv_id||'","section_id":"'||section_id||'","section_path":"'||conv_id||' > '||role||'","ideational":{"process_type":"'||process_type||'"},"interpersonal":{"mood":"'||mood||'","modality_milli":'||modality_milli||',"tenor_milli":'||tenor_milli||',"annotation_source":"'||annotation_source||'"}}' AS value, clause_id FROM c""")
+def jsonl_export(spark, d):
+    c = clause_rows(spark, d)
+    sections = c.groupBy("section_id").agg(F.first("conv_id").cast("string").alias("document_key"), F.first("conv_id").alias("document_position"), F.first("turn").alias("ordinal"), F.concat_ws(" > ", F.first("conv_id").cast("string"), F.first("role")).alias("section_path")).withColumn("collection", F.lit("chat"))
+    out = sinks.export_jsonl(c, sections, with_id=True)
+    return out.select(F.regexp_replace("value", '"text":"(?:[^"\\\\\\\\]|\\\\\\\\.)*",', "").alias("value"), "clause_id")
+
+
+@query(_Q + " SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'image' WHEN doc_id % 17 = 0 THEN 'audio_transcript' WHEN coalesce(fallback, 0) * 2 > n THEN 'fallback_annotation' WHEN quality_milli < 400 THEN 'low_quality_score' END AS reason FROM z")
+def queue_reasons(spark, d):
+    media = F.when(F.col("doc_id") % 13 == 0, "image").when(F.col("doc_id") % 17 == 0, "audio")
+    source = F.when(F.coalesce("fallback", F.lit(0)) * 2 > F.col("n"), "fallback").otherwise("llm")
+    return assessed(spark, d).select("doc_id", kb.queue_reason(source, F.col("quality_milli"), media).alias("reason"))
+
+
+@query(_Q + " SELECT doc_id, action, 'score '||quality_milli AS reason FROM z")
+def manifest_backfill(spark, d):
+    a = assessed(spark, d)
+    manifest = a.select("artifact_id", "action", F.concat(F.lit("score "), F.col("quality_milli").cast("string")).alias("reason"))
+    return a.select("artifact_id").join(manifest, "artifact_id").select(F.col("artifact_id").alias("doc_id"), "action", "reason")
+
+
+@query("SELECT l.doc_id, l.quality, d.source, d.lang FROM labels l LEFT JOIN documents d USING (doc_id)")
+def hit_places(spark, d):
+    return read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id", "left").select("doc_id", "quality", "source", "lang")
+
+
+@query("SELECT n_name, coalesce(n, 0) AS section_count FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+def section_count_refresh(spark, d):
+    n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    return read(spark, d, "nation").join(n, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("section_count"))
+
+
+@query("SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 20 OFFSET 10")
+def pending_reviews(spark, d):
+    rows, _ = filters.page(read(spark, d, "events").where("event_type = 'error'"), ["ts", "event_id"], 20, 10)
+    return rows.select("event_id", "ts")
+
+
+@query(C + ", g AS (SELECT conv_id, count(*) AS total, count(*) FILTER (annotation_source NOT IN ('llm','human')) AS excluded FROM c GROUP BY conv_id) SELECT conv_id, CASE WHEN excluded > 0 THEN '_Data Quality: '||excluded||'/'||total||' retrieved clauses excluded due to fallback annotation._' END AS note FROM g")
+def quality_notes(spark, d):
+    g = clause_rows(spark, d).groupBy("conv_id").agg(F.count("*").alias("total"), F.count_if(filters.untrusted(F.col("annotation_source"))).alias("excluded"))
+    return g.select("conv_id", digest.quality_note(F.col("excluded"), F.col("total")).alias("note"))
+
+
+@query(C + " SELECT clause_id, '['||(idx+1)||'] '||ctext||E'\\n    (mood='||mood||', tenor='||tenor_milli||', modality='||modality_milli||', process='||process_type||'; source: '||section_id||')' AS evidence FROM c WHERE turn = 1")
+def evidence_lines(spark, d):
+    c = clause_rows(spark, d).where("turn = 1")
+    return c.select("clause_id", digest.evidence_line(F.col("idx") + 1, F.col("ctext"), F.col("mood"), F.col("tenor_milli"), F.col("modality_milli"), F.col("process_type"), F.col("section_id")).alias("evidence"))
+
+
+@query("WITH m AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'pending' WHEN vec_id % 11 = 0 THEN 'failed' ELSE 'embedded' END AS st, vec_id // 5 AS section_id FROM embeddings) SELECT vec_id, section_id FROM m WHERE section_id IN (SELECT section_id FROM m WHERE st <> 'embedded')")
+def embedding_redrive(spark, d):
+    status = F.when(F.col("vec_id") % 7 == 0, "pending").when(F.col("vec_id") % 11 == 0, "failed").otherwise("embedded")
+    rows = read(spark, d, "embeddings").select("vec_id", status.alias("embedding_status"), F.expr("vec_id div 5").alias("section_id"))
+    return annotation.redrive(rows).select("vec_id", "section_id")
+
+
+@query("SELECT vec_id, len(embedding) AS dim, CASE WHEN len(embedding) <> 64 THEN 'failed' ELSE 'embedded' END AS embedding_status FROM embeddings")
+def embedding_checks(spark, d):
+    good, bad = annotation.embeddings(read(spark, d, "embeddings"), 64)
+    return good.unionByName(bad).select("vec_id", F.size("embedding").cast("long").alias("dim"), "embedding_status")
+
+
+@query("WITH r AS (SELECT user_id, count(*) AS done, count(*) FILTER (event_type = 'error') AS failed, epoch_us(max(ts)) - epoch_us(min(ts)) AS us FROM events GROUP BY user_id) SELECT user_id, done, failed, floor(done*3600000000.0::DOUBLE/us*1000 + 0.5)/1000.0 AS per_hour, floor((100 - done)*(us/done::DOUBLE)/1000000 + 0.5)::BIGINT AS eta_s FROM r WHERE us > 0 AND done > 1")
+def run_rates(spark, d):
+    us = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
+    r = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"), us.alias("us")).where("us > 0 and done > 1")
+    return r.select("user_id", "done", "failed", (F.floor(F.col("done") * 3_600_000_000.0 / F.col("us") * 1000 + 0.5) / 1000.0).alias("per_hour"), F.floor((100 - F.col("done")) * (F.col("us") / F.col("done")) / 1_000_000 + 0.5).cast("long").alias("eta_s"))
+
+
+@query(f"WITH {_TREE}, st AS (SELECT 'c'||c_custkey AS node, CASE WHEN c_custkey % 40 = 0 THEN 'pending' ELSE 'accepted' END AS status FROM customer), hit AS (SELECT node FROM st WHERE status = 'pending') SELECT node FROM hit UNION SELECT ancestor FROM up WHERE node IN (SELECT node FROM hit)")
+def status_filter(spark, d):
+    status = read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.when(F.col("c_custkey") % 40 == 0, "pending").otherwise("accepted").alias("status"))
+    return graph.matching(_tree(spark, d), status.where("status = 'pending'"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'chat,vision' ELSE 'chat' END AS capabilities FROM part WHERE p_size > 25")
+def capable_models(spark, d):
+    caps = F.when(F.col("p_size") > 25, F.array(F.lit("chat"), F.lit("vision"))).otherwise(F.array(F.lit("chat")))
+    m = read(spark, d, "part").select("p_partkey", F.lit("x").alias("provider"), F.col("p_partkey").cast("string").alias("model_id"), caps.alias("capabilities"))
+    return exports.capable(m, "vision").select("p_partkey", F.array_join("capabilities", ",").alias("capabilities"))
+
+
+@query()
+def narrative_checks(spark, d):
+    n = read(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("Turn 1 and turn 3 hold because of 2 things. "), F.col("text")).alias("text"))
+    rows = digest.narrative_sentences(n)
+    t = cv.shifts(turn_rows(spark, d)).select(F.col("conv_id").cast("string").alias("id"), "turn", "speaker", F.col("dominant_mood").alias("mood"), F.col("tenor_shift_milli").isNotNull().alias("shifted"))
+    numbers = t.groupBy("id").agg(F.count("*").cast("double").alias("value"), F.lit(False).alias("percent"))
+    return digest.precision(digest.number_claims(rows, numbers).unionByName(digest.turn_claims(rows, t)).unionByName(digest.connective_claims(rows, t.where("shifted").select("id", "turn"))))
+
+
 # --- topics -------------------------------------------------------------------------------------
 
 

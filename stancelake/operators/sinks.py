@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from stancelake.functions.text import preview, slug
 
 
-def two_places(x: Column) -> Column:
-    """A number with two places, empty for null."""
-    return F.when(x.isNull(), "").otherwise(F.format_string("%.2f", x))
+def two_places(milli: Column) -> Column:
+    """Thousandths as a number with two places, half away from zero; empty for null."""
+    h = F.floor((F.abs(milli) + 5) / 10).cast("long")
+    sign = F.when((milli < 0) & (h > 0), "-").otherwise("")
+    text = F.concat(sign, F.floor(h / 100).cast("string"), F.lit("."), F.lpad((h % 100).cast("string"), 2, "0"))
+    return F.when(milli.isNull(), "").otherwise(text)
 
 
 def tenor_label(x: Column) -> Column:
@@ -25,7 +28,7 @@ def turn_report(turns: DataFrame, units: DataFrame) -> DataFrame:
     s = shifts(turns).join(units.select("conv_id", "turn", "text"), ["conv_id", "turn"])
     return s.select(
         F.col("turn").alias("turn_id"), "conv_id", "speaker", preview(F.regexp_replace("text", r"\s+", " "), 50).alias("message_preview"), "avg_tenor", "avg_modality",
-        "dominant_mood", "process_counts", two_places(F.col("tenor_shift_milli") / 1000).alias("tenor_shift"), tenor_label(F.col("avg_tenor")).alias("tenor_label"),
+        "dominant_mood", "process_counts", two_places(F.col("tenor_shift_milli")).alias("tenor_shift"), tenor_label(F.col("avg_tenor")).alias("tenor_label"),
     )
 
 

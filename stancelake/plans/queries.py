@@ -652,7 +652,7 @@ def json_fields(spark, d):
 # --- reports, queues and places -----------------------------------------------------------------
 
 
-@query(T + " SELECT conv_id, turn, CASE WHEN avg_tenor BETWEEN 0 AND 0.3 THEN 'casual' WHEN avg_tenor BETWEEN 0 AND 0.6 THEN 'mixed' WHEN avg_tenor BETWEEN 0 AND 1 THEN 'formal' END AS tenor_label, CASE WHEN tenor_shift_milli IS NULL THEN '' ELSE printf('%.2f', tenor_shift_milli/1000.0::DOUBLE) END AS tenor_shift, CASE WHEN length(x) > 50 THEN substr(x, 1, 50)||'...' ELSE x END AS message_preview FROM sh JOIN (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS x FROM conversations) USING (conv_id, turn)")
+@query(T + " SELECT conv_id, turn, CASE WHEN avg_tenor BETWEEN 0 AND 0.3 THEN 'casual' WHEN avg_tenor BETWEEN 0 AND 0.6 THEN 'mixed' WHEN avg_tenor BETWEEN 0 AND 1 THEN 'formal' END AS tenor_label, CASE WHEN tenor_shift_milli IS NULL THEN '' ELSE (CASE WHEN tenor_shift_milli <= -5 THEN '-' ELSE '' END)||((abs(tenor_shift_milli)+5)//10//100)||'.'||lpad(((abs(tenor_shift_milli)+5)//10%100)::VARCHAR, 2, '0') END AS tenor_shift, CASE WHEN length(x) > 50 THEN substr(x, 1, 50)||'...' ELSE x END AS message_preview FROM sh JOIN (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') AS x FROM conversations) USING (conv_id, turn)")
 def turn_report(spark, d):
     return sinks.turn_report(turn_rows(spark, d), read(spark, d, "conversations")).select("conv_id", F.col("turn_id").alias("turn"), "tenor_label", "tenor_shift", "message_preview")
 

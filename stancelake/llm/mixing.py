@@ -207,7 +207,8 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     copies = (F.floor(F.col("rate") + 1e-9) + (chance < F.col("rate") + 1e-9 - F.floor(F.col("rate") + 1e-9)).cast("int")).cast("int")
     keep = own.select(F.col("row_key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), copies.alias("__mix_n")).where("__mix_n > 0")
     keyed = docs.withColumn("__mix_key2", F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    joined = keyed.join(keep, (F.col("__mix_key2") == F.col("__mix_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
+    # decisions grow with the rows, so they are merged at every size and never broadcast
+    joined = keyed.join(keep.hint("merge"), (F.col("__mix_key2") == F.col("__mix_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
     columns = [F.col(c) for c in docs.columns]
     if most is not None and most <= 1:
         return joined.select(*columns)

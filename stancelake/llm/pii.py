@@ -179,6 +179,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keyed = docs.withColumn("__pii_key2", F.xxhash64(docs[id_col].cast("long"), text))
     step = "if(x.e <= a.pos, a, named_struct('pos', x.e, 'out', concat(a.out, substring(__pii_text, a.pos + 1, greatest(x.s - a.pos, 0)), x.k)))"
     made = F.expr(f"aggregate(__pii_marks, named_struct('pos', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(__pii_text, a.pos + 1, length(__pii_text))))")
-    joined = keyed.join(marks, (F.col("__pii_key2") == F.col("__pii_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__pii_id")), "left")
+    # marks grow with the rows, so they are merged at every size and never broadcast
+    joined = keyed.join(marks.hint("merge"), (F.col("__pii_key2") == F.col("__pii_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__pii_id")), "left")
     joined = joined.withColumn("__pii_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return joined.select(*[F.when(F.col("__pii_marks").isNotNull(), made).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -183,6 +183,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = own.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_n"))
     stay = settle(stay, "simhash-stay")
     once, many = stay.where("_n = 1"), stay.where("_n > 1")
-    kept = docs.join(once, docs[id_col] == once["_stay"], "left_semi")
-    again = docs.join(many, docs[id_col] == many["_stay"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(again).unionByName(docs.where(docs[id_col].isNull()))
+    # ids grow with the rows, so they are merged at every size and never broadcast
+    out = docs.join(once.hint("merge"), docs[id_col] == once["_stay"], "left_semi")
+    if not many.isEmpty():
+        out = out.unionByName(docs.join(many.hint("merge"), docs[id_col] == many["_stay"], "left_semi").dropDuplicates([id_col]))
+    return out.unionByName(docs.where(docs[id_col].isNull()))

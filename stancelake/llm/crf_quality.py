@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: At most so many labelled documents are used for fitting, those with the smallest hashes of their ids.
-FIT_DOCUMENTS = 6000
+FIT_DOCUMENTS = 3000
 CHAIN, LONG = 64, 2000
 CHARS_AT_ONCE = 1_000_000
 THRESHOLD = 0.7

@@ -61,10 +61,11 @@ def slots(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node reachable.
 
-    Alternating large-star and small-star steps. Every step is two
-    partial-aggregated minima and an equi-join, so a node with very many
-    links never lands in one group, and nothing is collected but one
-    fingerprint of the edge table a round. Null ends are dropped.
+    Alternating large-star and small-star steps, each a partially aggregated
+    minimum and an equi-join. Both sides of a join are written tables, so that
+    Spark can split the rows of a node with very many links among tasks.
+    Nothing is collected but one fingerprint of the edge table a round. Null
+    ends are dropped.
     """
     e = edges.where("a is not null and b is not null and a <> b")
     e = settle(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
@@ -78,12 +79,11 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
             break
         # large star: u hands its larger neighbours its least neighbour
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = e.join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = settle(e.join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), name)
         # small star: u and its smaller neighbours go to the least of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
-        small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b"))
+        low = settle(large.groupBy("b").agg(F.min("a").alias("m")), name)
+        small = large.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b"))
         e = settle(small.where("a <> b").distinct(), name)
         now = mark(e)
         if now == was:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RRF_K, CANDIDATES = 60, 3
+RRF_K, CANDIDATES, MOST_SEEDS = 60, 3, 1000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -71,11 +71,14 @@ def neighbours(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int
     """(source, target, rank): the k most similar rows of each seed, at `least` or more.
 
     seeds is a stated query set; with `by`, only rows of one group meet, as an
-    equi-join. Without it the seeds must be few: they are sent to every task.
+    equi-join. Without it at most `MOST_SEEDS` seeds are sent to every task;
+    more raise an error.
     """
     s = seeds.select(F.col(id_col).alias("source"), _doubles(vector).alias("__a"), *([F.col(by).alias("__g")] if by else []))
     v = vectors.select(F.col(id_col).alias("target"), _doubles(vector).alias("__b"), *([F.col(by).alias("__h")] if by else []))
-    met = v.join(s, F.col("__g") == F.col("__h")) if by else v.join(F.broadcast(s.limit(1000)), F.col("source") != F.col("target"))
+    if not by and seeds.count() > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds need a grouping column")
+    met = v.join(s, F.col("__g") == F.col("__h")) if by else v.join(F.broadcast(s), F.col("source") != F.col("target"))
     met = met.where(F.col("source") != F.col("target")).withColumn("similarity", cosine(F.col("__a"), F.col("__b"))).where(F.col("similarity") >= least)
     w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("source", "target", "rank", "similarity")

@@ -44,6 +44,10 @@ DROP_ROLES = frozenset("navigation banner contentinfo complementary search form
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget toolbar pagination pager form".split()
 )
+#: Longer names that begin so are furniture too (sidebarLeft, advertbox).
+DROP_STARTS = ("sidebar", "advert", "cookie", "footer", "breadcrumb", "sponsor", "newsletter", "navbar", "navigation", "disqus", "popup", "comments", "commentlist", "commentsection", "commentbox")
+#: What names a page's own top, outside an article.
+TOP_WORDS = frozenset("header topbar".split())
 #: A start tag closes an open element of these, up to the nearest of the second set.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -73,8 +77,10 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            words = re.split(r"[^a-z0-9]+", value)
+            if not DROP_WORDS.isdisjoint(words) or any(w.startswith(DROP_STARTS) for w in words) or (not in_article and not TOP_WORDS.isdisjoint(words)):
+                return True
         if name == "role" and value in DROP_ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):

@@ -23,7 +23,7 @@ SPLITS = {
     "byte": re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 LONG_TEXT, PIECES_AT_ONCE, PIECES_WAITING = 2_000_000, 500_000, 40_000
 
 _encoders: dict[tuple[str, str], "Encoder"] = {}

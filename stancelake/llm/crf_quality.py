@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 #: At most so many labelled documents are used for fitting, those with the smallest hashes of their ids.
 FIT_DOCUMENTS = 3000
 CHAIN, LONG = 64, 2000
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 400_000
 THRESHOLD = 0.7
 SHARPNESS = 8.0
 

@@ -48,7 +48,7 @@ def citations(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]+"), F.lit(0)), lambda s: F.trim(s))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![^.!?\n])[^.!?\n]++[.!?]++"), F.lit(0)), lambda s: F.trim(s))
     return F.filter(found, lambda s: s != "")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from stancelake.contracts import MOODS, PROCESSES
 from stancelake.functions import lexicon
 
-SENTENCE = r"[^.!?\n]+[.!?]+"
+#: Runs up to and with their end marks. A match can only begin where a run does, which keeps lines without an end mark linear.
+SENTENCE = r"(?<![^.!?\n])[^.!?\n]++[.!?]++"
 
 
 def turn_units(conversations: DataFrame) -> DataFrame:

@@ -23,13 +23,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|noscript|template|iframe|textarea|title|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|noscript|template|iframe|textarea|title|xmp)\b[^>]*>.*?(?:</\1\b[^>]*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -92,13 +93,19 @@ def parse(page: str) -> Node:
     """The tree of blocks, dropped subtrees left out. Unclosed and stray tags are mended as browsers do."""
     root = Node("body", None, False)
     stack: list[tuple[str, Node | None]] = [("body", root)]  # open elements; inline ones have no node
+    opened: Counter[str] = Counter()  # so that what isn't open isn't looked for
     node, gone, links, articles = root, 0, 0, 0
     at = 0
 
+    def push(name: str, own: Node | None) -> None:
+        stack.append((name, own))
+        opened[name.lstrip("!")] += 1
+
     def close(down_to: int) -> None:
         nonlocal node, gone, links, articles
         while len(stack) > down_to:
             tag, own = stack.pop()
+            opened[tag.lstrip("!")] -= 1
             if own is None:
                 if tag == "a":
                     links -= 1
@@ -128,6 +135,8 @@ def parse(page: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:  # an end tag
+            if not opened[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 name = stack[i][0].lstrip("!")
                 if name == tag:
@@ -138,7 +147,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK or tag in DROP:  # a block ends an open paragraph
+        if opened["p"] and (tag in BLOCK or tag in DROP):  # a block ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     close(i)
@@ -147,7 +156,7 @@ def parse(page: str) -> Node:
                     break
         if tag in CLOSES:
             ends, stops = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
                 if stack[i][0] in ends:
                     close(i)
                     break
@@ -162,7 +171,7 @@ def parse(page: str) -> Node:
         if m[4].endswith("/") and tag not in BLOCK:
             continue
         if gone or _dropped(tag, m[4], articles > 0):
-            stack.append(("!" + tag, None))
+            push("!" + tag, None)
             gone += 1
         elif tag in BLOCK:
             own = Node(tag, node, False)
@@ -170,13 +179,13 @@ def parse(page: str) -> Node:
             node.text.append(own)
             node = own
             articles += tag in ("article", "main")
-            stack.append((tag, own))
+            push(tag, own)
         else:
             node.own_tags += 1
             if tag == "a":
                 links += 1
                 node.own_link_tags += 1
-            stack.append((tag, None))
+            push(tag, None)
     if at < len(page):
         text(html.unescape(page[at:]))
     return root

@@ -42,17 +42,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
-    Unlike a cache or a local checkpoint, it outlives any executor.
+    Unlike a cache or a local checkpoint, it outlives any executor. paths
+    gets the table's place, for those who discard it before the end.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that nothing reads any more."""
+    for path in paths:
+        _remove(spark, path)
+    paths.clear()
+
+
 def slots(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
@@ -68,7 +78,8 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
     ends are dropped.
     """
     e = edges.where("a is not null and b is not null and a <> b")
-    e = settle(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+    spark, own, old = edges.sparkSession, [], []
+    e = settle(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name, old)
 
     def mark(df: DataFrame):
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a").cast("decimal(38,0)"))).first()
@@ -79,12 +90,14 @@ def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -
             break
         # large star: u hands its larger neighbours its least neighbour
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
-        large = settle(e.join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), name)
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name, old)
+        large = settle(e.join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), name, old)
         # small star: u and its smaller neighbours go to the least of them
-        low = settle(large.groupBy("b").agg(F.min("a").alias("m")), name)
+        low = settle(large.groupBy("b").agg(F.min("a").alias("m")), name, old)
         small = large.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b"))
-        e = settle(small.where("a <> b").distinct(), name)
+        e = settle(small.where("a <> b").distinct(), name, own)
+        discard(spark, old)
+        old, own = own, old
         now = mark(e)
         if now == was:
             break

@@ -16,9 +16,7 @@ def test_stages(spark):
     for name, stage in cp.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == columns, name
-        path = cp.scratch_path(spark, f"test-{name}")
-        docs.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = cp.settle(docs, f"test-{name}")
         seen[name] = docs
     marks = spark.read.parquet(f"{SF}/labels.parquet")
     clean, junk = marks.where("quality = 1 and toxic = 0"), marks.where("quality = 0")

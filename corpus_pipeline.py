@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.llm import crf_quality, mixing, packing, pii, simhash
-from stancelake.llm.common import scratch_path, table
+from stancelake.llm.common import discard, settle, table
 from stancelake.llm.queries import vocabulary
 
 #: Shares of the tokens after mixing; a document is taken once at most.
@@ -56,8 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after another, over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
+    written: list[str] = []
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before = [*written]
+        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}", written)
+        discard(spark, before)
+        written = written[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,9 @@ that path, subtrees that reach the threshold give their own largest block too.
 
 Elements that can't hold main text by their tag, role, class or id (menus,
 headers and footers of the page, sidebars, adverts, notices, forms, comments,
-scripts) are taken out first, so their text has no density.
+scripts) are taken out first, so their text has no density. One that is named
+so by class or id alone stays if an article lies within (a wrapper called
+has-sidebar).
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ DROP_WORDS = frozenset(
 )
 #: Longer names that begin so are furniture too (sidebarLeft, advertbox).
 DROP_STARTS = ("sidebar", "advert", "cookie", "footer", "breadcrumb", "sponsor", "newsletter", "navbar", "navigation", "disqus", "popup", "comments", "commentlist", "commentsection", "commentbox")
+#: What names a reader's comment, also on an article element.
+COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
 #: What names a page's own top, outside an article.
 TOP_WORDS = frozenset("header topbar".split())
 #: A start tag closes an open element of these, up to the nearest of the second set.
@@ -71,22 +75,42 @@ class Node:
         self.density = self.sum = 0.0
 
 
-def _dropped(tag: str, attrs: str, in_article: bool) -> bool:
+HARD, SOFT = 1, 2
+
+
+def _dropped(tag: str, attrs: str, in_article: bool) -> int:
+    """HARD: taken out by its tag, role or hidden state. SOFT: by its class or id, unless the main article lies within. 0: stays."""
     if tag in DROP or (tag == "header" and not in_article):
-        return True
-    if not attrs or tag in ("html", "body", "main", "article"):
-        return False
+        return HARD
+    if not attrs or tag in ("html", "body", "main"):
+        return 0
+    out = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
             words = re.split(r"[^a-z0-9]+", value)
-            if not DROP_WORDS.isdisjoint(words) or any(w.startswith(DROP_STARTS) for w in words) or (not in_article and not TOP_WORDS.isdisjoint(words)):
-                return True
-        if name == "role" and value in DROP_ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            if tag == "article":
+                named = not COMMENT_WORDS.isdisjoint(words)
+            else:
+                named = not DROP_WORDS.isdisjoint(words) or any(w.startswith(DROP_STARTS) for w in words) or (not in_article and not TOP_WORDS.isdisjoint(words))
+            out = SOFT if named else out
+        elif tag != "article" and ((name == "role" and value in DROP_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value))):
+            return HARD
+    return out
+
+
+def _pruned(root: Node) -> Node:
+    """root without the soft-dropped subtrees that hold no article or main element which stays."""
+    nodes = _order(root)
+    holds: set[int] = set()
+    for n in reversed(nodes):
+        if any(id(k) in holds for k in n.kids) or (n.tag in ("article", "main") and not n.dropped):
+            holds.add(id(n))
+    for n in nodes:
+        if any(k.dropped and id(k) not in holds for k in n.kids):
+            n.kids = [k for k in n.kids if not k.dropped or id(k) in holds]
+            n.text = [x for x in n.text if not isinstance(x, Node) or not x.dropped or id(x) in holds]
+    return root
 
 
 def parse(page: str) -> Node:
@@ -170,11 +194,12 @@ def parse(page: str) -> Node:
             continue
         if m[4].endswith("/") and tag not in BLOCK:
             continue
-        if gone or _dropped(tag, m[4], articles > 0):
+        drop = HARD if gone else _dropped(tag, m[4], articles > 0)
+        if drop == HARD or (drop and tag not in BLOCK):
             push("!" + tag, None)
             gone += 1
         elif tag in BLOCK:
-            own = Node(tag, node, False)
+            own = Node(tag, node, drop == SOFT)
             node.kids.append(own)
             node.text.append(own)
             node = own
@@ -188,7 +213,7 @@ def parse(page: str) -> Node:
             push(tag, None)
     if at < len(page):
         text(html.unescape(page[at:]))
-    return root
+    return _pruned(root)
 
 
 def _order(root: Node) -> list[Node]:

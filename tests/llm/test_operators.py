@@ -146,6 +146,8 @@ def test_html(spark):
     assert html_density.main_text("<p>a" * 20_000).count("a") == 20_000
     plain = "<body><div class=x><p>" + "word " * 60 + "</p><p>" + "more " * 60 + "</p></div><div><a href=1>l1</a> <a href=2>l2</a> <a href=3>l3</a></div></body>"
     assert html_density.main_text(plain).startswith("word") and "l2" not in html_density.main_text(plain)
+    wrapped = '<div class="page has-sidebar"><article class="post ad-free"><p>Kept text here.</p></article><section class="comments"><article class="comment-body"><p>Reader one</p></article></section><div id="sidebar-left"><p>Side</p></div></div>'
+    assert html_density.main_text(wrapped) == "Kept text here."
     pages = spark.createDataFrame([(1, "u", PAGE, "q"), (2, None, None, "q"), (None, "v", "<p>x", "q"), (2, None, None, "q")], "page_id long, url string, html string, text string")
     rows = html_density.extract(pages).collect()
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows)

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stancelake.llm.common import scratch_path, slots
@@ -255,3 +255,23 @@ def index_documents(docs: DataFrame, vocabulary: str, **how) -> DataFrame:
     path = scratch_path(spark, "token-index")
     write_index(docs, path, vocabulary, **how)
     return read_index(spark.read.schema(SHARD_SCHEMA).parquet(path))
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The shards of an index, blobs unread until asked for."""
+    return spark.read.schema(SHARD_SCHEMA).parquet(path)
+
+
+def fetch(shards: DataFrame, key: int | None) -> list[list[int]]:
+    """The ids of each row of one key; none if it isn't there.
+
+    Shards are chosen by their key range, which the file's statistics filter
+    before any blob is read; within a shard the access takes constant time. A
+    key whose rows were split lies in neighbouring shards, in order.
+    """
+    if key is None:
+        near = shards.where("first_key is null")
+    else:
+        near = shards.where((F.col("last_key") >= key) & (F.col("first_key").isNull() | (F.col("first_key") <= key)))
+    found = near.orderBy("part", "seq").select("blob").toLocalIterator()  # one shard, or those of one key
+    return [ids.tolist() for r in found for ids in Shard(bytes(r["blob"])).rows(key)]

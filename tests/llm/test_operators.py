@@ -368,6 +368,16 @@ def test_index(spark, odd, none):
     assert token_index.index_documents(none, vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_fetch(spark, odd):
+    path = common.scratch_path(spark, "test-index")
+    token_index.write_index(odd, path, vocabulary("word_bpe_49k.json"))
+    shards = token_index.open_index(spark, path)
+    name = "word_bpe_49k.json"
+    assert token_index.fetch(shards, 4) == [ids_of(odd.where("doc_id = 4").first().text, name)]
+    assert token_index.fetch(shards, 5) == [ids_of("same text here please", name)] * 2
+    assert token_index.fetch(shards, None) == [ids_of("no id at all", name)] and token_index.fetch(shards, 999) == []
+
+
 def test_shard_lookups():
     rng = np.random.default_rng(2)
     for n in (1, 2, 3, 17, 400):

@@ -127,13 +127,14 @@ def patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFra
     edges = settle(rows.groupBy("p", "v").agg(F.max("seed").alias("seed")), "pii-edges")
     scores = edges.groupBy("v").agg(F.max("seed").alias("score"))
     seeds = scores.select("v", F.col("score").alias("is_seed"))
-    conf = edges.groupBy("p").agg((F.sum("seed") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds"))
+    # both sides of every join are written tables, so that Spark can split a pattern with very many instances
+    conf = settle(edges.groupBy("p").agg((F.sum("seed") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds")), "pii-patterns")
     for i in range(rounds):
         doubt = edges.join(conf, "p").groupBy("v").agg(F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))).alias("doubt"))
         scores = doubt.join(seeds, "v").select("v", F.when(F.col("is_seed") > 0, 1.0).otherwise(1 - F.col("doubt")).alias("score"))
         scores = settle(scores, f"pii-scores-{i}")
-        conf = edges.join(scores, "v").groupBy("p").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds"))
-    return settle(conf, "pii-patterns"), scores
+        conf = settle(edges.join(scores, "v").groupBy("p").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds")), "pii-patterns")
+    return conf, scores
 
 
 def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -167,8 +167,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = settle(fingerprints(docs, id_col, text_col, shingle), "simhash")
     classes = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     joined = connected_components(near_links(classes.select("fp"), bits), "simhash-cc")
-    places = classes.join(joined, classes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    least = places.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # written on both sides of the join, so that Spark can split a component with very many members
+    places = settle(classes.join(joined, classes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component")), "simhash-places")
+    least = settle(places.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-least")
     of_class = places.join(least, "component").select("fp", "component_id")
     return own.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

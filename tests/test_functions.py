@@ -123,3 +123,15 @@ def test_sinks(spark, data):
     sections = c.select("section_id").distinct().withColumns({"collection": F.lit("x"), "document_key": F.lit("d"), "section_path": F.col("section_id"), "document_position": F.lit(1), "ordinal": F.lit(1)})
     assert sinks.export_jsonl(c, sections.unionByName(sections)).count() == c.count()
     assert "## Speakers" in Engine(spark, "/tmp/none").report(c)
+
+
+def test_stems(spark):
+    from stancelake.functions.stem import stem, stems
+
+    pairs = """caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size
+    hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit
+    operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal triplicate triplic formative form formalize formal electrical electr goodness good revival reviv
+    allowance allow inference infer adjustable adjust replacement replac adoption adopt communism commun activate activ probate probat rate rate cease ceas controll control roll roll a a""".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+    df = spark.createDataFrame([(["cats", "running"],), (None,)], "w array<string>")
+    assert [r.s for r in df.select(stems(F.col("w")).alias("s")).collect()] == [["cat", "run"], None]

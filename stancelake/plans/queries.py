@@ -819,6 +819,13 @@ def windowed_events(spark, d):
     return hourly(read(spark, d, "events"))
 
 
+@query(ORACLE_SQL["windowed_events"])
+def windowed_stream(spark, d):
+    from stancelake.streaming.runs import hourly_stream
+
+    return hourly_stream(spark, d)
+
+
 @query()
 def stall_stream(spark, d):
     from stancelake.streaming.runs import stalled_runs

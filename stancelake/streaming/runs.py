@@ -34,22 +34,37 @@ def track(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_track, "user_id long, beats long, stalls long, last_us long", "last_us long, beats long, stalls long", "update", "NoTimeout")
 
 
-def stalled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream, run until what there is has been read; the last state of every run."""
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    where = f"{base.rstrip('/')}/stall-{uuid.uuid4().hex[:12]}" if base else None
-    name = f"stall_{uuid.uuid4().hex[:12]}"
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "*.parquet").load(path if _is_dir(spark, path) else f"{path}*")
-    writer = track(stream).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True)
-    if where:
-        writer = writer.option("checkpointLocation", where)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def run_through(stream: DataFrame, mode: str) -> DataFrame:
+    """The rows of a memory sink after a stream has read all that there is; its state goes to the shared folder."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    name = f"through_{uuid.uuid4().hex[:12]}"
+    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    if base:
+        writer = writer.option("checkpointLocation", f"{base.rstrip('/')}/{name}")
     writer.start().awaitTermination()
-    rows = spark.table(name)
+    return spark.table(name)
+
+
+def stalled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last state of every run, tracked over the stream."""
+    rows = run_through(track(events_stream(spark, sf_dir)), "update")
     return rows.groupBy("user_id").agg(F.max_by(F.struct("beats", "stalls", "last_us"), "beats").alias("s")).select("user_id", "s.*")
 
 
+def hourly_stream(spark: SparkSession, sf_dir: str, delay: str = "2 hours") -> DataFrame:
+    """hourly over the stream, with a watermark that lets late events in for `delay`."""
+    return run_through(hourly(events_stream(spark, sf_dir).withWatermark("ts", delay)), "complete")
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

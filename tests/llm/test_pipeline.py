@@ -39,3 +39,28 @@ def test_stages(spark):
         assert sum(x[1] for x in own) == len(ids)
         for start, length, crc in own:
             assert crc == zlib.crc32(np.asarray(ids[start : start + length], dtype="<u4").tobytes())
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows and an empty table: columns stay, nothing crashes."""
+    rows = [
+        (1, None, None, None, None),
+        (2, "", "en", "s", 0),
+        (None, "no id but some words to keep here", "en", None, 33),
+        (3, "mail me at a.b@example.com please, thank you very much indeed", None, "s", None),
+        (3, "mail me at a.b@example.com please, thank you very much indeed", None, "s", None),
+        (4, "long words in a row. " * 20_000, "en", "s", 420_000),
+        (5, "A short and sound sentence stands here. Another one follows it.", "en", "s", 62),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"score": F.lit("x"), "fp": F.lit(1), "rate": F.lit(2.0)})
+    small = "/root/testdata/sf0.001"
+    for df in (docs, docs.limit(0)):
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, df, small)
+            assert out.columns == df.columns and out.count() <= df.count(), name
+        rows = cp.STAGES[-1][1](spark, df, small).collect()
+        assert sum(r.start == 0 for r in rows) == df.count()
+    kept = cp.redact(spark, docs, small)
+    assert kept.where("doc_id = 3").first().text == "mail me at [EMAIL] please, thank you very much indeed"
+    assert kept.where("doc_id = 3").count() == 2 and kept.where("doc_id = 1").first().text is None

@@ -38,16 +38,55 @@ for _c in range(0x250):
     _s = chr(_c)
     _CLASS[_c] = LINE if _s == "\n" else SPACE if _s.isspace() else DIGIT if _s.isdigit() else UPPER if _s.isupper() else LOWER if _s.isalpha() else STOP if _s in ".,;:?'\"()-" else MARK
 _MIX = (np.arange(1, 1025, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
-N_OWN = 20
+N_OWN, REPEAT = 20, 11
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of every non-blank line, its document's number, its length)."""
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: sums and small numbers no longer meet by their structure."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A text cut at line breaks into pieces of about `size` characters; a longer line stays whole."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.rfind("\n", at, at + size)
+        cut = cut if cut > at else text.find("\n", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
+def line_features(texts: list[str], size: int = CHARS_AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of every non-blank line, its document's number, its length).
+
+    Very long texts are counted piece by piece; a line is a repeat if it has
+    stood anywhere before in its document.
+    """
+    if len(texts) == 1 and len(texts[0]) > 2 * size:
+        parts = [_count([p]) for p in pieces(texts[0], size)]
+        x, doc, length, sig = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        doc = np.zeros(len(x), dtype=np.int64)
+    else:
+        x, doc, length, sig = _count(texts)
+    _, first = np.unique(_scrambled(sig) ^ _scrambled(doc.astype(np.uint64) + np.uint64(1)), return_index=True)
+    x[:, REPEAT] = 1
+    x[first, REPEAT] = 0
+    return x, doc, length
+
+
+def _count(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As line_features, repeats aside, with a signature of every line's words."""
     lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     # a line break after every text keeps documents apart
     code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "replace"), dtype="<u4")
     if not len(code):
-        return np.zeros((0, N_OWN)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros((0, N_OWN)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     cls = np.where(code < 0x250, _CLASS[np.minimum(code, 0x24F)], LOWER)
     is_line = cls == LINE
     line = np.cumsum(is_line) - is_line  # the break belongs to the line that it ends
@@ -59,7 +98,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     gap = (cls == SPACE) | is_line
     start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
     if not len(start):
-        return np.zeros((0, N_OWN)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros((0, N_OWN)), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
     word = np.cumsum(np.bincount(start, minlength=len(code)).astype(np.int64)) - 1
     inside = ~gap
     w = word[inside]
@@ -67,23 +106,20 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     with np.errstate(over="ignore"):
         mixed = _MIX[code[inside] & 1023] * (place * np.uint64(2) + np.uint64(1))
         first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        sig = np.add.reduceat(mixed, first)
+        sig = _scrambled(np.add.reduceat(mixed, first))
     wl = line[start]
     words = np.bincount(wl, minlength=n).astype(float)
     again = np.zeros(len(sig))
     again[1:] = (sig[1:] == sig[:-1]) & (wl[1:] == wl[:-1])
     skip = np.zeros(len(sig))
     skip[2:] = (sig[2:] == sig[:-2]) & (wl[2:] == wl[:-2])
-    key = sig ^ (wl.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = sig ^ _scrambled(wl.astype(np.uint64) + np.uint64(1))
     _, at = np.unique(key, return_index=True)
     distinct = np.bincount(wl[at], minlength=n)
     with np.errstate(over="ignore"):
         whole = np.zeros(n, dtype=np.uint64)
         lf = np.flatnonzero(np.concatenate([[True], wl[1:] != wl[:-1]]))
         whole[wl[lf]] = np.add.reduceat(sig * (np.arange(len(sig), dtype=np.uint64) - lf[np.searchsorted(lf, np.arange(len(sig)), side="right") - 1].astype(np.uint64) + np.uint64(1)), lf)
-    _, at = np.unique(whole ^ (doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), return_index=True)
-    repeat = np.ones(n)
-    repeat[at] = 0
     last = np.where(ends > 0, cls[np.maximum(ends - 1, 0)], LINE)
     begin = np.concatenate([[0], ends[:-1] + 1])
     bang = np.bincount(line, weights=code == 33, minlength=n)
@@ -93,11 +129,11 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     up, dig, mark, stop = counts[:, UPPER] / letters, counts[:, DIGIT] / safe, counts[:, MARK] / safe, counts[:, STOP] / safe
     x = np.stack(
         [np.log1p(length), np.log1p(words), np.minimum(length / sw, 30), up, dig, mark, stop, (last == STOP).astype(float), np.bincount(wl, weights=again, minlength=n) / sw, np.bincount(wl, weights=skip, minlength=n) / sw,
-         distinct / sw, repeat, (cls[begin] == UPPER).astype(float), bang / sw, bar / sw, (up > 0.6).astype(float), (mark > 0.04).astype(float), (dig > 0.3).astype(float), (words < 4).astype(float), (distinct < 0.5 * words).astype(float)],
+         distinct / sw, np.zeros(n), (cls[begin] == UPPER).astype(float), bang / sw, bar / sw, (up > 0.6).astype(float), (mark > 0.04).astype(float), (dig > 0.3).astype(float), (words < 4).astype(float), (distinct < 0.5 * words).astype(float)],
         axis=1,
     )
     keep = words > 0
-    return x[keep], doc[keep], length[keep].astype(np.int64)
+    return x[keep], doc[keep], length[keep].astype(np.int64), whole[keep]
 
 
 def with_neighbours(x: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -478,6 +478,14 @@ def test_gradient_of_fit():
     for i, t in enumerate(texts):
         y, _, n = crf_quality.line_features([t])
         assert np.allclose(x[doc_ == i], y) and length[doc_ == i].tolist() == n.tolist()
+    rnd = random.Random(5)
+    long = "\n".join(" ".join(rnd.choices(WORDS, k=rnd.randint(0, 9))) for _ in range(3000))
+    one, many = crf_quality.line_features([long], size=10**9), crf_quality.line_features([long], size=700)
+    assert all(np.array_equal(a, b) for a, b in zip(one, many, strict=True)) and one[0][:, crf_quality.REPEAT].sum() > 0
+    # what stands beside a document doesn't change its lines
+    beside = crf_quality.line_features([long[:5000]] * 3 + ["x y z\n" * 50])
+    alone = crf_quality.line_features([long[:5000]])
+    assert np.array_equal(beside[0][beside[1] == 2], alone[0])
 
 
 def test_quality_held_out(spark, odd, none, labels):

@@ -29,13 +29,13 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 #: A credential's word, then a separator, then the value; words in either case.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code|key)?|pwd|passwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?secret|auth(?:[ _-]?(?:key|token))?|bearer|credentials?|login|pin)["']?\x20{0,4}(?::=|=>|[:=]|\bis\b)\x20{0,4}["']?([!-~]{8,256})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code|key)?|pwd|passwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|client[ _-]?secret|auth(?:[ _-]?(?:key|token))?|bearer|credentials?|login|pin)["']?\x20*(?::=|=>|[:=]|\bis\b)\x20*["']?([!-~]{8,})""",
     re.I | re.A,
 )
 #: log10 of the guesses from which a value is a secret.
 LEAST = 10.0
-#: The longest value that is cut up whole; longer ones are cut in windows of this length.
-WINDOW = 64
+#: The most segments of a cut: the cheapest segment costs log10(2), so 11 of them with their 11! orders need over 10**LEAST.
+MOST = 10
 
 # Common password words, most frequent first.
 WORDS = """password qwerty dragon letmein monkey football iloveyou admin welcome login master hello princess
@@ -62,13 +62,25 @@ def _alphabet(piece: str) -> int:
     return max(size, 1)
 
 
-def _segments(value: str) -> list[list[tuple[int, float]]]:
-    """For every end, the (start, log10 guesses) of the segments that end there, brute force aside."""
-    n = len(value)
-    ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    low = value.lower()
-    plain = low.translate(LEET)
-    for i in range(n):
+class _Segments:
+    """The segments of a value by their start, brute force aside; starts are asked for in rising order."""
+
+    def __init__(self, value: str):
+        self.value, self.low = value, value.lower()
+        self.plain = self.low.translate(LEET)
+        self.until = [0] * 17  # for each period: up to where the value repeats itself at that distance
+
+    def _repeated(self, i: int, size: int) -> int:
+        """How many characters from i on equal the one `size` places after them."""
+        value, j = self.value, max(self.until[size], i)
+        while j + size < len(value) and value[j] == value[j + size]:
+            j += 1
+        self.until[size] = j
+        return j - i
+
+    def at(self, i: int, enough: float) -> Iterator[tuple[int, float]]:
+        """(end, log10 guesses) of the segments that start at i and cost less than `enough`."""
+        value, low, plain, n = self.value, self.low, self.plain, len(self.value)
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             rank = RANK.get(low[i:j])
             extra = 0.0
@@ -77,75 +89,84 @@ def _segments(value: str) -> list[list[tuple[int, float]]]:
             if rank:
                 piece = value[i:j]
                 case = 0.0 if piece.islower() else math.log10(2) if piece.isupper() or piece[1:].islower() else math.log10(2) * (j - i)
-                ends[j].append((i, math.log10(rank + 1) + extra + case))
-    for m in re.finditer(f"(?=({DATE.pattern}))", value):
-        i, j = m.span(1)
-        ends[j].append((i, math.log10(200 * (365 if j - i > 4 else 1)) + (math.log10(4) if j - i > 8 else 0)))
-    i = 0
-    while i < n:  # repeats of one character
-        j = i
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            for k in range(i + 3, j + 1):
-                ends[k].append((i, math.log10(_alphabet(value[i]) * (k - i))))
-        i = j
-    for size in range(2, min(16, n // 2) + 1):  # repeats of a longer unit: the unit's brute force, once
-        i = 0
-        while i + 2 * size <= n:
-            unit, j = value[i : i + size], i + size
-            while value[j : j + size] == unit:
-                j += size
-            if j - i >= 2 * size:
-                ends[j].append((i, size * math.log10(_alphabet(unit)) + math.log10((j - i) // size)))
-                i = j - size + 1
-            else:
-                i += 1
-    i = 0
-    while i < n - 2:  # keyboard walks, and runs of the alphabet or of digits
+                yield j, math.log10(rank + 1) + extra + case
+        if m := DATE.match(value, i):
+            j = m.end()
+            yield j, math.log10(200 * (365 if j - i > 4 else 1)) + (math.log10(4) if j - i > 8 else 0)
+        end = i + self._repeated(i, 1) + 1
+        # repeats of one character; one more of it is cheaper than any other segment, so but for the last places,
+        # where what follows may begin, a cut needn't end within them
+        for j in range(max(i + 3, end - 16), end + 1):
+            yield j, math.log10(_alphabet(value[i]) * (j - i))
+        for size in range(2, min(16, (n - i) // 2) + 1):  # repeats of a longer unit: the unit's brute force, once
+            if value[i] == value[i + size] and (same := self._repeated(i, size)) >= size:
+                times = same // size + 1
+                yield i + size * times, size * math.log10(_alphabet(value[i : i + size])) + math.log10(times)
         for walk in (lambda a, b: (a, b) in _BESIDE, lambda a, b: ord(b) - ord(a) == 1, lambda a, b: ord(a) - ord(b) == 1):
-            j = i + 1
+            j, turns, step = i + 1, 0, 0  # keyboard walks, and runs of the alphabet or of digits
             while j < n and walk(low[j - 1], low[j]):
+                before, step = step, ord(low[j]) - ord(low[j - 1])
+                turns += before * step < 0
                 j += 1
-            if j - i >= 3:
-                turns = sum(low[k + 1] != low[k] and (ord(low[k + 1]) - ord(low[k])) * (ord(low[k]) - ord(low[k - 1])) < 0 for k in range(i + 1, j - 1))
-                for k in range(i + 3, j + 1):
-                    ends[k].append((i, math.log10(47 * (k - i) * 4 ** (1 + turns))))
-        i += 1
-    return ends
+                if j - i >= 3:
+                    if (cost := math.log10(47 * (j - i)) + math.log10(4) * (1 + turns)) >= enough:
+                        break
+                    yield j, cost
 
 
-def guesses(value: str) -> float:
+def guesses(value: str, enough: float = math.inf) -> float:
     """log10 of the guesses of the cheapest cut; 0 for an empty value.
 
-    Brute-force spans cost their own alphabet for each character. Values over
-    `WINDOW` characters are cut in windows, whose costs add up.
+    One programme over the whole value, forward from its start. A brute-force
+    span costs the value's alphabet for each character. The cost is exact if
+    it is under `enough`, and `enough` otherwise: cuts are given up as soon as
+    they reach it, so that a long random value ends after a few characters.
     """
-    if len(value) > WINDOW:
-        return sum(guesses(value[i : i + WINDOW]) for i in range(0, len(value), WINDOW))
     n = len(value)
     if not n:
         return 0.0
-    ends = _segments(value)
     per = math.log10(_alphabet(value))
-    for j in range(1, n + 1):
-        ends[j] += [(i, (j - i) * per) for i in range(j)]
-    most = min(n, 8)
-    best = [[math.inf] * (most + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for j in range(1, n + 1):
-        for i, cost in ends[j]:
-            for c in range(most):
-                if (x := best[i][c] + cost) < best[j][c + 1]:
-                    best[j][c + 1] = x
-    return min(best[n][c] + math.log10(math.factorial(c)) for c in range(1, most + 1))
+    orders = [math.log10(math.factorial(c)) for c in range(MOST + 1)]
+    segments = _Segments(value)
+    # by place: the least cost for each number of segments, of cuts that end there and of those whose brute force goes on
+    cuts: dict[int, list[float]] = {0: [0.0] + [math.inf] * MOST}
+    brute: dict[int, list[float]] = {}
+
+    def put(where: dict[int, list[float]], j: int, c: int, cost: float) -> None:
+        if cost + orders[c] < enough:
+            row = where.get(j)
+            if row is None:
+                row = where[j] = [math.inf] * (MOST + 1)
+            if cost < row[c]:
+                row[c] = cost
+
+    for i in range(n):
+        best, going = cuts.pop(i, None), brute.pop(i, None)
+        if best is None and going is None:
+            if not cuts and not brute:
+                return enough
+            continue
+        if going is not None:
+            best = going if best is None else [min(a, b) for a, b in zip(best, going)]
+            for c, cost in enumerate(going):
+                put(brute, i + 1, c, cost + per)
+        open_ = [(c, cost) for c, cost in enumerate(best[:MOST]) if cost < math.inf]
+        for c, cost in open_:
+            put(brute, i + 1, c + 1, cost + per)
+        for j, more in segments.at(i, enough) if open_ else ():
+            for c, cost in open_:
+                put(cuts, j, c + 1, cost + more)
+    ends = [row[c] + orders[c] for row in (cuts.get(n), brute.get(n)) if row for c in range(1, MOST + 1)]
+    return min(ends, default=enough)
 
 
 def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, added spans) as (start, kind's number, end), each in order.
 
     Base spans are leftmost and non-overlapping within their kind. An added
-    span is the value alone; one that overlaps a base span isn't added.
+    span is the whole value alone, up to white space. A value that begins in a
+    base span isn't added; one that meets base spans later on is scored and
+    added piece by piece between them.
     """
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
     if "AKIA" in text:
@@ -153,11 +174,24 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
     added = []
+    at = reach = 0  # base spans before `at` begin before the value; `reach` is where the furthest of them ends
     for m in CONTEXT.finditer(text):
         a, b = m.span(1)
-        b = a + len(text[a:b].rstrip("\"'`,;:.)]}>"))
-        if b - a >= 8 and not any(s < b and a < e for s, _, e in base) and guesses(text[a:b]) >= LEAST:
-            added.append((a, 3, b))
+        while at < len(base) and base[at][0] <= a:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach > a:
+            continue
+        while a < b:
+            cut, on = (base[at][0], base[at][2]) if at < len(base) and base[at][0] < b else (b, b)
+            end = a + len(text[a:cut].rstrip("\"'`,;:.)]}>"))
+            if end - a >= 8 and guesses(text[a:end], LEAST) >= LEAST:
+                added.append((a, 3, end))
+            a = max(a, on)
+            while at < len(base) and base[at][0] <= a and a < b:
+                a = max(a, base[at][2])
+                reach = max(reach, base[at][2])
+                at += 1
     return base, added
 
 

@@ -76,6 +76,26 @@ def test_guess_costs():
     assert secrets.guesses(v) <= math.log10(secrets.RANK["monkey"] + 1) + 2 * per + math.log10(200 * 365 * 4) + math.log10(6)
 
 
+def test_long_secrets():
+    """A value is taken whole and cut up whole, however long it is and however far from its word."""
+    rnd = random.Random(4)
+    for n in (300, 1_600, 100_000):
+        key = "".join(rnd.choices("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+        for word in ("private_key=", "bearer: ", "pwd      =       "):
+            assert secrets.find(f"my {word}{key} after")[1] == [(3 + len(word), 3, 3 + len(word) + n)]
+    for cheap in ("-" * 200, "ab" * 400, "abcdefghijklmnopqrstuvwxyz" + "=" * 300, "-" * 100_000, "password" * 9, "secret" + "." * 200 + "2024"):
+        assert secrets.find(f"pin: {cheap} after")[1] == []
+        assert secrets.guesses(cheap) < secrets.LEAST
+    # what lies around a base span within a value is marked beside it
+    text = "auth: x9$Kq2!mZp#0123456789abcdef#Vt7#pLw0zR end"
+    base, added = secrets.find(text)
+    assert [text[a:b] for a, _, b in base] == ["0123456789abcdef"]
+    assert [text[a:b] for a, _, b in added] == ["x9$Kq2!mZp#", "#Vt7#pLw0zR"]
+    # the bounded search agrees with the full one
+    for v in ("".join(rnd.choices(["ab", "1", "qwe", "monkey", "zz", "2001", "#"], k=rnd.randint(1, 7))) for _ in range(300)):
+        assert secrets.guesses(v, secrets.LEAST) == min(secrets.guesses(v), secrets.LEAST)
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 

@@ -10,8 +10,12 @@ link tags,
 where nLC are the characters outside links and LCb/Cb is the link share of the
 body; zero counts stand as one. A node's density sum adds the densities of its
 child blocks and that of its own text. The block with the largest sum is the
-main one; the least density on its path to the body is the threshold; beside
-that path, subtrees that reach the threshold give their own largest block too.
+main one; the least density on its path to the body is the threshold. The
+result is lifted to the outermost article or main element around that block,
+which stays whole. Beside it, subtrees stay that reach the threshold, that hold
+another article, or that hold the title (an h1) where the article has none.
+On a page without such an element all of the body stays but what is mostly
+links: the search goes down into such a block and keeps the parts that aren't.
 
 Elements that can't hold main text by their tag, role, class or id (menus,
 headers and footers of the page, sidebars, adverts, notices, forms, comments,
@@ -249,8 +253,12 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _linked(chars: int, link_chars: int) -> bool:
+    return 2 * link_chars > chars
+
+
 def main_blocks(root: Node) -> list[Node]:
-    """The selected subtrees, in page order, none within another."""
+    """The selected subtrees, in page order, none within another; link lists beside the main block are taken out of root."""
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.sum)  # ties: the one that comes first, so the outer one
     if not best.chars:
@@ -261,19 +269,34 @@ def main_blocks(root: Node) -> list[Node]:
         n = n.parent
     threshold = min(n.density for n in path)
     on_path = set(map(id, path))
-    chosen = {id(best)}
-    for n in path[1:]:
-        for k in n.kids:
-            if id(k) not in on_path and k.density >= threshold and k.chars:
-                chosen.add(id(max(_order(k), key=lambda x: x.sum)))
+    top = next((n for n in reversed(path) if n.tag in ("article", "main")), None)
+    if top is None:
+        stack = [root]
+        while stack:
+            n = stack.pop()
+            if n is best or (id(n) not in on_path and (n.density >= threshold or not _linked(n.chars, n.link_chars))):
+                continue
+            if _linked(n.own_chars, n.own_link_chars):
+                n.text = [x if isinstance(x, Node) else " " for x in n.text]
+            stack += n.kids
+        return [root]
+    titled: set[int] = set()
+    holds: set[int] = set()
+    for n in reversed(nodes):
+        if n.tag == "h1" or any(id(k) in titled for k in n.kids):
+            titled.add(id(n))
+        if n.tag in ("article", "main") or any(id(k) in holds for k in n.kids):
+            holds.add(id(n))
     out: list[Node] = []
     stack = [root]
     while stack:
         n = stack.pop()
-        if id(n) in chosen:
+        if n is top or n.tag in ("article", "main"):
             out.append(n)
-        else:
+        elif id(n) in holds:  # not whole: what stands beside the articles in it is judged by itself
             stack += n.kids[::-1]
+        elif n.chars and (n.density >= threshold or (id(n) in titled and id(top) not in titled and not _linked(n.chars, n.link_chars))):
+            out.append(n)
     return out
 
 

@@ -174,6 +174,23 @@ def test_html(spark):
     assert html_density.extract(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_short_parts():
+    """Titles, short sections, list headings and loose text beside the densest block stay; link lists don't."""
+    long, short = "<p>" + "x" * 300 + "</p>", "<p>" + "y" * 80 + "</p>"
+    parts = f"<h1>Twelve chars</h1><div>{long * 10}</div><section><h2>Two</h2>{short * 5}</section>"
+    want = ["Twelve chars", *["x" * 300] * 10, "Two", *["y" * 80] * 5]
+    assert html_density.main_text(f"<main>{parts}</main>").split("\n\n") == want
+    links = "<div><ul>" + "<li><a href=x>Somewhere</a></li>" * 9 + "</ul><p>Plain words beside links.</p></div>"
+    assert html_density.main_text(f"<body>{parts}{links}</body>").split("\n\n") == [*want, "Plain words beside links."]
+    assert html_density.main_text(f"<body><div><h1>Title</h1></div><div>{long * 10}</div></body>").startswith("Title\n\nxxx")
+    assert html_density.main_text(f"<body><div><h1>Title</h1></div><article>{long * 10}</article><div>o</div></body>").startswith("Title\n\nxxx")
+    listed = "<section><h2>Steps</h2><p>Do this:</p><ol>" + f"<li>{'z' * 200}</li>" * 20 + "</ol><p>Done.</p></section>"
+    text = html_density.main_text(f"<body><div>Loose start.{long * 30}</div>{listed}</body>").split("\n\n")
+    assert text[0] == "Loose start." and text[31:33] == ["Steps", "Do this:"] and text[-1] == "Done."
+    two = html_density.main_text(f"<body><article>{long * 10}</article><article><p>Second piece.</p></article></body>")
+    assert two.endswith("Second piece.")
+
+
 # --- 4 ------------------------------------------------------------------------------------------
 
 

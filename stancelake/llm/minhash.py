@@ -1,0 +1,164 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by MinHash bands.
+
+Two texts are linked if their sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Candidates agree in one of `BANDS` bands of `ROWS`
+minima each: at 0.8 a pair is missed by all of them once in 2,800, at 0.9 once
+in 6e7. Every candidate is checked against both texts.
+
+Only distinct texts are compared. In a band's bucket of up to `WHOLE` texts all
+pairs are candidates; in a larger one each text is paired with the first and
+with the next `BESIDE` in order, so that a bucket costs no more than its rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stancelake.llm.common import connected_components, settle
+
+SHINGLE, LEAST = 5, 0.8
+BANDS, ROWS = 20, 5
+SEED = 42
+WHOLE, BESIDE = 8, 4
+#: Pairs that share their first text are checked in groups of about so many.
+GROUP = 32
+
+_RND = np.random.default_rng(SEED)
+_TIMES = _RND.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RND.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MIX = _RND.integers(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's word shingles, in order; the whole of a shorter text; none without words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()  # bytes: A-Z and ASCII white space only
+    n = len(words)
+    if not n:
+        return np.empty(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    if n <= shingle:
+        return np.array([xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: n - shingle + 1].tolist()
+    h = (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True))
+    return np.unique(np.fromiter(h, dtype=np.uint64, count=n - shingle + 1))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band; h isn't empty."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 512):
+        np.minimum(least, (h[at : at + 512, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    return ((least ^ least >> np.uint64(29)).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, keys) of every row: node is the text's hash, zero and no keys for a text without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(x.as_py() or b"") for x in batch.column(2)]
+            node = np.where(np.fromiter(map(len, own), dtype=np.int64, count=len(own)) > 0, batch.column(1).to_numpy(), 0)
+            yield pa.record_batch([batch.column(0), pa.array(node), pa.array([keys(h).view(np.int64) if len(h) else [] for h in own], type=pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
+
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, node long, keys array<long>")
+
+
+def _pairs_of(t: np.ndarray, key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """The candidates among whole buckets, sorted."""
+    new = np.ones(len(node), dtype=bool)
+    new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(node)))
+    bucket = np.repeat(np.arange(len(start)), size)
+    i = np.flatnonzero((size[bucket] > WHOLE) & ~new)
+    a, b = [node[start[bucket[i]]]], [node[i]]
+    for d in range(1, WHOLE):
+        i = np.flatnonzero((bucket[d:] == bucket[:-d]) & ((size[bucket[d:]] <= WHOLE) | (d <= BESIDE)))
+        a.append(node[i])
+        b.append(node[i + d])
+    return pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For partitions sorted by (t, key, node): candidates (a, b), a < b; a bucket is held until it is whole."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t, key, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0  # where the last bucket of this batch begins
+        if cut == 0 and held and held[-1][0][-1] == t[-1] and held[-1][1][-1] == key[-1]:
+            held.append([t, key, node])
+            continue
+        whole = [*held, [t[:cut], key[:cut], node[:cut]]]
+        yield _pairs_of(*(np.concatenate([x[i] for x in whole]) for i in range(3)))
+        held = [[t[cut:], key[cut:], node[cut:]]]
+    if held:
+        yield _pairs_of(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For partitions sorted by (a, part, first text first): the links whose texts are similar enough."""
+    at, own = None, None
+    for batch in batches:
+        a, part, rest, node, text = batch.columns
+        out: tuple[list, list] = ([], [])
+        for i, group in enumerate(zip(a.to_pylist(), part.to_pylist(), strict=True)):
+            h = shingles(text[i].as_py() or b"")
+            if not rest[i].as_py():
+                at, own = group, h
+            elif at == group and jaccard(own, h) >= LEAST:
+                out[0].append(group[0])
+                out[1].append(node[i].as_py())
+        yield pa.record_batch([pa.array(x, type=pa.int64()) for x in out], names=["a", "b"])
+
+
+def links(docs: DataFrame, classes: DataFrame, text_col: str = "text") -> DataFrame:
+    """Links (a, b) between the nodes of classes(node, keys) whose texts in docs are similar enough."""
+    keyed = classes.select("node", F.posexplode("keys").alias("t", "key")).select("t", "key", "node")
+    pairs = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(_candidates, "a long, b long")
+    pairs = settle(pairs.distinct(), "minhash-pairs")
+    many = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "minhash-parts")
+    part = settle(pairs.join(many, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b"), "minhash-groups")
+    members = part.select("a", "part", F.lit(True).alias("rest"), F.col("b").alias("node"))
+    members = settle(members.union(part.select("a", "part", F.lit(False), "a").distinct()), "minhash-members")
+    text = docs[text_col].cast("string")
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.cast("binary").alias("text"))
+    needed = settle(members.select("node").distinct(), "minhash-needed")
+    # nodes grow with the rows, so they are merged at every size and never broadcast; exact copies are one text
+    texts = settle(texts.join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "minhash-texts")
+    rows = members.hint("merge").join(texts, "node").select("a", "part", "rest", "node", "text")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "rest").mapInArrow(_checked, "a long, b long")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row of docs.
+
+    component_id is the smallest doc_id reachable by links, its own included
+    (null only if every id of the component is null). Texts without words are
+    linked with one another alone; a null id is kept; repeated rows give
+    repeated rows; an empty table gives no rows.
+    """
+    own = settle(_classes(docs, id_col, text_col), "minhash")
+    classes = settle(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "minhash-classes")
+    joined = connected_components(links(docs, classes, text_col), "minhash-cc").withColumnRenamed("node", "linked")
+    # written on both sides of the join, so that Spark can split a component with very many members
+    places = settle(classes.join(joined, classes.node == joined.linked, "left").select("node", "first_id", F.coalesce("component", "node").alias("component")), "minhash-places")
+    least = settle(places.groupBy("component").agg(F.min("first_id").alias("component_id")), "minhash-least")
+    return own.join(places.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -14,7 +14,7 @@ its components rather than its pairs, which is all that components need.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -174,13 +174,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without all but one row of every component: the one with the smallest id stays, with all its columns.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = components, **how) -> DataFrame:
+    """docs without all but one row of every component that find gives: the one with the smallest id stays, with all its columns.
 
     Rows that repeat the staying id are reduced to one. A row without an id
     can't be told from others, so it stays.
     """
-    own = components(docs, id_col, text_col, **how)
+    own = find(docs, id_col, text_col, **how)
     stay = own.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_n"))
     stay = settle(stay, "simhash-stay")
     once, many = stay.where("_n = 1"), stay.where("_n > 1")

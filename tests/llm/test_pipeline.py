@@ -1,11 +1,15 @@
 """The pipeline's stages in order, and its last rows against a round trip."""
 
+import random
+
 import numpy as np
 import zlib
 
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
+from stancelake.llm import minhash
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -64,3 +68,39 @@ def test_stages_on_odd_rows(spark):
     kept = cp.redact(spark, docs, small)
     assert kept.where("doc_id = 3").first().text == "mail me at [EMAIL] please, thank you very much indeed"
     assert kept.where("doc_id = 3").count() == 2 and kept.where("doc_id = 1").first().text is None
+
+
+def near_copies(seed=7, groups=150, big=200):
+    """(rows, groups of ids): texts with copies of which single words are changed, and one large group."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
+    rows, planted = [], []
+    for g in range(groups):
+        base = [word() for _ in range(rnd.randint(100, 300))]
+        ids = []
+        for _ in range(big if g == 0 else 3):
+            text = base[:]
+            if ids:  # each changed word changes five shingles
+                for _ in range(max(1, len(base) // 120)):
+                    text[rnd.randrange(len(text))] = word()
+            ids.append(len(rows))
+            rows.append((len(rows), " ".join(text)))
+        planted.append(ids)
+    return rows, planted
+
+
+def test_near_dedup_finds_near_copies(spark):
+    rows, planted = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()}
+    sets = [minhash.shingles(t.encode()) for _, t in rows]
+    near = [(g[0], i) for g in planted for i in g[1:] if minhash.jaccard(sets[g[0]], sets[i]) >= 0.8]
+    assert len(near) > 400
+    assert sum(i in left for _, i in near) <= 0.01 * len(near)
+    assert {g[0] for g in planted} <= left
+    # pairs just below the limit stay
+    words = [f"w{i}" for i in range(100)]
+    apart = " ".join(words[:20] + ["x"] + words[21:50] + ["y"] + words[51:80] + ["z"] + words[81:])
+    assert 0.7 < minhash.jaccard(minhash.shingles(" ".join(words).encode()), minhash.shingles(apart.encode())) < 0.8
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, apart)], "doc_id long, text string")
+    assert cp.near_dedup(spark, docs, SF).count() == 2

@@ -86,6 +86,18 @@ def test_graph(spark):
     assert graph.cycles(loop).count() == 2
 
 
+def test_long_cycles(spark):
+    ring = [(i, (i + 1) % 100) for i in range(100)]
+    tail = [(1000 + i, 1000 + i + 1) for i in range(60)] + [(1060, 7)]
+    chain = [(2000 + i, 2000 + i + 1) for i in range(60)] + [(2060, None), (5, None)]
+    e = spark.createDataFrame(ring + tail + chain + [(3000, 3000)], "node long, parent long")
+    want = [*range(100), 3000]
+    assert sorted(r.node for r in graph.cycles(e).collect()) == want
+    # with a second parent, and a way between two cycles that is on neither
+    more = e.union(spark.createDataFrame([(50, 4000), (4000, 3000), (1000, 4000)], "node long, parent long"))
+    assert sorted(r.node for r in graph.cycles(more).collect()) == want
+
+
 def test_topics(spark):
     df = spark.sql("select map('a', 1.0d) x, map('b', 1.0d) y, map('a', 2.0d) z, map() w")
     got = df.select(topics.map_cosine_distance(F.col("x"), F.col("y")).alias("o"), topics.map_cosine_distance(F.col("x"), F.col("z")).alias("s")).first()

@@ -105,6 +105,21 @@ def test_topics(spark):
     assert topics.clamp_k(10, 9) == 3 and topics.clamp_k(0, 9) is None and topics.clamp_k(5, 1) == 2
 
 
+def test_lda_vocabulary(spark):
+    """Three uses make a word, in one text too; the two most frequent words go; small shares are zero."""
+    rows = [(1, "common often " * 9 + "river river river boat"), (2, "common often " * 8 + "castle castle castle"), (3, "common often " * 7 + "river castle " * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = topics.vocabulary(docs.select(F.split(F.trim("text"), " ").alias("w")), "w")
+    assert words == ["castle", "river"]  # 23 times each; common and often 24 times; boat once
+    assert topics.vocabulary(docs.select(F.split(F.trim("text"), " ").alias("w")), "w", least=1, top=0)[-1] == "boat"
+    many = spark.range(20_500).select(F.expr("flatten(array_repeat(array('w' || id), 3))").alias("w"))
+    assert len(topics.vocabulary(many, "w")) == 20_498
+    more = rows + [(10 + i, f"{w} boat sail harbour mast anchor " * 30) for i, w in enumerate(["river", "castle"] * 4)]
+    shares, _ = topics.fit_lda(spark.createDataFrame(more, "doc_id long, text string"), 2)
+    got = [x for r in shares.collect() for x in r.shares]
+    assert len(got) == 22 and all(x == 0 or x > 0.01 for x in got) and 0 in got
+
+
 def test_profiles_without_trusted(spark):
     t = spark.createDataFrame([("a", 0, "x", 1, 0, 0.5, 0.5)], "conv_id string, turn long, speaker string, n_clauses long, n_trusted long, avg_tenor double, avg_modality double")
     r = cv.speaker_profiles(t).first()

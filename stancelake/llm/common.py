@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own in local mode, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("spark.stancelake.ownDir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="stancelake-")
@@ -68,6 +73,29 @@ def slots(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole runs, for partitions sorted by their first `keys` columns; a run is held until it is whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        differs = np.zeros(n, dtype=bool)
+        for c in batch.columns[:keys]:
+            x = c.to_numpy(zero_copy_only=False)
+            differs |= x != x[-1]
+        last = np.flatnonzero(differs)
+        cut = int(last[-1]) + 1 if len(last) else 0  # where the last run of this batch begins
+        if not cut and held and all(held[-1].column(i)[-1].as_py() == batch.column(i)[0].as_py() for i in range(keys)):
+            held.append(batch)
+            continue
+        if held or cut:
+            yield pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]).combine_chunks()
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node reachable.
 

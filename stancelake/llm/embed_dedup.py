@@ -2,18 +2,22 @@
 
 A hash rotates a unit vector by three rounds of random signs and a fast
 Hadamard transform and takes the coordinate of largest size with its sign. A
-vector probes its `PROBES` largest coordinates in each of `TABLES` tables;
-vectors that share a bucket are compared exactly, in double precision.
+key joins hashes, the last of them over fewer coordinates, so that there are
+about as many keys as vectors of a label at every size of the table (`widths`)
+and a bucket holds a few vectors. In each table a vector has the `PROBES` keys
+that lie nearest to it; vectors that share one are compared exactly, in double
+precision.
 
-At cosine 0.98 in 64 dimensions two vectors share a bucket of one table with
-probability 0.99987 (four probes each, by simulation), and miss both tables
-once in 6e7. `HASHES` hashes are joined in a key where rows are many.
+The number of tables is what keeps the recall: random pairs at the limit are
+hashed on the driver, and tables are added until a pair misses them all less
+than once in 1 / `MISS` (`tables_for`). Nearer pairs miss less often.
 
 Only distinct vectors of a label are hashed; copies count through their
-multiplicity. A bucket with more than `BLOCK` vectors is split into chunks,
-and each pair of chunks is a task of its own. A pair that shares several
-buckets counts in the smallest of their keys alone, so no pairs leave a task:
-only the links that each vector has there, and the edges of a spanning forest.
+multiplicity. A bucket with more than `BLOCK` vectors, which only many near
+copies fill, is split into chunks, and each pair of chunks is a run of its
+own. A pair that shares several buckets counts in the smallest of their keys
+alone, so no pairs leave a task: only the links that each vector has there,
+and the edges of a spanning forest.
 """
 
 from __future__ import annotations
@@ -25,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancelake.llm.common import connected_components, settle
+from stancelake.llm.common import connected_components, settle, whole_runs
 
 LEAST = 0.98
-TABLES, PROBES = 2, 4
-BLOCK = 2048
-#: (distinct vectors up to, hashes joined in a key)
-HASHES = ((4_000_000, 1),)
+PROBES = 4
+#: Vectors of a label to a key, about.
+LOAD = 4
+#: How many pairs at the limit may miss every table.
+MISS = 1e-4
+BLOCK = 4096
+#: Runs up to this length are compared shift by shift, longer ones by matrix products.
+SHORT_RUN = 32
 SEED = 7
 
 
@@ -58,45 +66,86 @@ def rotate(x: np.ndarray, seed: int) -> np.ndarray:
     return y
 
 
-def codes(unit: np.ndarray, hashes: int = 1, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
-    """The bucket keys of every row: tables * probes**hashes of them, all distinct."""
-    out = []
+def widths(rows: int, dim: int, load: float = LOAD) -> list[int]:
+    """The coordinates that each hash of a key looks at, for a label of `rows` vectors: 2 * w values each."""
+    full = 1 << max(0, (dim - 1).bit_length())
+    bits = max(1, int(np.ceil(np.log2(max(rows / load, 2.0)))))
+    each = full.bit_length()  # log2 of 2 * full
+    out = [full] * (bits // each)
+    return out + [1 << (bits % each - 1)] if bits % each else out
+
+
+def codes(unit: np.ndarray, wide: list[int], tables: int, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+    """The bucket keys of every row, all distinct: in each table those of the `probes` nearest corners."""
+    n, out = len(unit), []
     for t in range(tables):
-        key = np.full((len(unit), 1), t, dtype=np.int64)
-        for k in range(hashes):
-            y = rotate(unit, seed * 1_000_003 + t * 101 + k)
-            d = y.shape[1]
-            top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, : min(probes, d)]
+        key, cost = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1))
+        for k, w in enumerate(wide):
+            y = rotate(unit, seed * 1_000_003 + t * 101 + k)[:, :w]
+            size = np.abs(y)
+            top = np.argsort(-size, axis=1, kind="stable")[:, : min(probes, w)]
             own = top * 2 + (np.take_along_axis(y, top, 1) > 0)
-            key = (key[:, :, None] * (2 * d) + own[:, None, :]).reshape(len(unit), -1)
-        out.append(key)
+            size = np.take_along_axis(size, top, 1)
+            key = (key[:, :, None] * (2 * w) + own[:, None, :]).reshape(n, -1)
+            cost = (cost[:, :, None] + (size[:, :1] - size)[:, None, :]).reshape(n, -1)
+            first = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+            key, cost = np.take_along_axis(key, first, 1), np.take_along_axis(cost, first, 1)
+        out.append(key * tables + t)
     return np.concatenate(out, axis=1)
 
 
+def tables_for(dim: int, wide: list[int], least: float, miss: float = MISS, pairs: int = 4000) -> int:
+    """Tables after which a pair at cosine `least` has missed them all with a chance of at most `miss`, by simulation."""
+    if dim < 2:
+        return 1
+    rng = np.random.default_rng(SEED)
+    x = units(rng.standard_normal((pairs, dim)))
+    g = rng.standard_normal((pairs, dim))
+    g = units(g - (g * x).sum(axis=1, keepdims=True) * x)
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * g
+    met = (codes(x, wide, 1)[:, :, None] == codes(y, wide, 1)[:, None, :]).any(axis=(1, 2)).mean()
+    met -= 2 * np.sqrt(max(met * (1 - met), 1 / pairs) / pairs)  # the simulation's own error
+    return max(1, int(np.ceil(np.log(miss) / np.log(1 - min(max(met, 1e-3), 1 - 1e-9)))))
+
+
 def units(vectors: np.ndarray) -> np.ndarray:
     x = vectors.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares of very large or small numbers stay finite
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def bucket_links(key: int, unit: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i from left and j from right (i < j where the two are the same), linked and not met in a smaller key."""
-    same = left is right
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(0, len(left), 512):
-        rows = left[at : at + 512]
-        i, j = np.nonzero(unit[rows] @ unit[right].T >= least)
-        a, b = rows[i], right[j]
-        if same:
-            a, b = a[keep := i + at < j], b[keep]
-        for p in range(0, len(a), 200_000):
-            x, y = a[p : p + 200_000], b[p : p + 200_000]
-            kx = keys[x]
-            met = ((kx[:, :, None] == keys[y][:, None, :]) & (kx < key)[:, :, None]).any(axis=(1, 2))
-            out.append((x[~met], y[~met]))
-    if not out:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+def _near(unit: np.ndarray, run: np.ndarray, first: np.ndarray, size: np.ndarray, chunk: np.ndarray, crossed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of the same run that are near enough; in a crossed run only those of two chunks."""
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    short = size[run] <= SHORT_RUN
+    for d in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
+        i = np.flatnonzero((run[d:] == run[:-d]) & short[d:] & ~(crossed[run[d:]] & (chunk[d:] == chunk[:-d])))
+        for at in range(0, len(i), 65_536):
+            p = i[at : at + 65_536]
+            p = p[np.einsum("ij,ij->i", unit[p], unit[p + d]) >= least]
+            a.append(p)
+            b.append(p + d)
+    for r in np.flatnonzero(size > SHORT_RUN):
+        rows = np.arange(first[r], first[r] + size[r])
+        left = rows[chunk[rows] == chunk[rows[0]]] if crossed[r] else rows
+        right = rows[chunk[rows] != chunk[rows[0]]] if crossed[r] else rows
+        for at in range(0, len(left), 512):
+            x, y = np.nonzero(unit[left[at : at + 512]] @ unit[right].T >= least)
+            x, y = left[at + x], right[y]
+            a.append(x if crossed[r] else x[x < y])
+            b.append(y if crossed[r] else y[x < y])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def run_links(key: np.ndarray, run: np.ndarray, vectors: np.ndarray, keys: np.ndarray, chunk: np.ndarray, crossed: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows of whole runs (numbered from 0 in order), each pair in the run of its smallest common key alone."""
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    a, b = _near(units(vectors), run, first, np.diff(np.append(first, len(run))), chunk, crossed[first], least)
+    keep = np.ones(len(a), dtype=bool)
+    for at in range(0, len(a), 100_000):
+        x, y = keys[a[at : at + 100_000]], keys[b[at : at + 100_000]]
+        keep[at : at + 100_000] = ~((x[:, :, None] == y[:, None, :]) & (x < key[a[at : at + 100_000], None])[:, :, None]).any(axis=(1, 2))
+    return a[keep], b[keep]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,84 +167,85 @@ def _valid(v) -> "F.Column":
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def links(vectors: DataFrame, least: float = LEAST, block: int = BLOCK, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def links(vectors: DataFrame, least: float = LEAST, block: int = BLOCK, load: float = LOAD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
     Vectors are compared if their labels are equal and not null and their
-    dimensions agree. Vectors that are null, zero or hold null or non-finite
-    components link with nothing: component_id is their own id. A null id is
-    kept, counts among the links of others, and names no component. Rows that repeat an
-    id are vectors of their own but share that id's node. An empty table gives
-    no rows; other columns aren't read, whatever their names.
+    dimensions agree. Vectors that are null, empty, zero or hold null or
+    non-finite components link with nothing: component_id is their own id. Rows
+    are vectors of their own, be their ids null or repeated: each has its own
+    links, and component_id is the smallest id that any row of the component
+    has (null only if none has one). Rows that tie in that id are all kept. An
+    empty table gives no rows; other columns aren't read, whatever their names.
     """
-    spark = vectors.sparkSession
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     kind = "array<float>" if single else "array<double>"  # compared in double precision either way
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast(kind).alias("v"), vectors[label_col].cast("long").alias("label"))
     rows = rows.withColumn("ok", _valid(F.col("v")) & F.col("label").isNotNull())
     good = rows.where("ok").select("vec_id", "label", "v")
-    classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.withColumn("rep", F.coalesce("rep", F.xxhash64("label", "v")))
-    if hashes is None:
-        n = classes.count()
-        hashes = next((k for most, k in HASHES if n <= most), 2)
+    # a row for each dimension that occurs
+    sizes = good.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("n")).collect()
+    shape = {r.dim: (w := widths(r.n, r.dim, load), tables_for(r.dim, w, least)) for r in sizes}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            sizes = np.diff(lists.offsets.to_numpy())
+            lengths = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
+            starts = np.concatenate([[0], np.cumsum(lengths)])
             keys: list = [None] * batch.num_rows
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                own = flat[(starts[at][:, None] + np.arange(d)[None, :])]
-                for i, k in zip(at.tolist(), codes(units(own), hashes).tolist(), strict=True):
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                own = codes(units(flat[(starts[at][:, None] + np.arange(d)[None, :])]), *shape[d])
+                for i, k in zip(at.tolist(), own, strict=True):
                     keys[i] = k
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, type=pa.list_(pa.int32()))], names=["label", "v", "rep", "copies", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, type=pa.list_(pa.int64()))], names=["label", "v", "first_id", "copies", "keys"])
 
-    coded = settle(classes.mapInArrow(hashed, f"label long, v {kind}, rep long, copies long, keys array<int>"), "embed-codes")
+    classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
+    coded = classes.mapInArrow(hashed, f"label long, v {kind}, first_id long, copies long, keys array<long>")
+    coded = settle(coded.withColumn("node", F.monotonically_increasing_id()), "embed-codes")
     dealt = coded.withColumn("dim", F.size("v")).select("*", F.explode("keys").alias("key"))
     # buckets over `block`: at most the keys over the block size in number
     hot = dealt.groupBy("label", "dim", "key").agg(F.count("*").alias("size")).where(F.col("size") > block)
     hot = settle(hot.select("label", "dim", "key", F.ceil(F.col("size") / block).cast("int").alias("chunks")), "embed-hot")
     dealt = dealt.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, ["label", "dim", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")})
-
-    def linked(group: tuple, t: pa.Table) -> pa.Table:
-        key, one, two = group[2].as_py(), group[3].as_py(), group[4].as_py()
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        n = t.num_rows
-        if n < 2:
-            return empty
-        t = t.combine_chunks()
-        chunk = t.column("chunk").to_numpy()
-        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
-        v = np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        left = np.flatnonzero(chunk == one)
-        right = left if one == two else np.flatnonzero(chunk == two)
-        a, b = bucket_links(key, units(v), keys, left, right, least)
-        if not len(a):
-            return empty
-        n_links = np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
-        has = np.flatnonzero(n_links)
-        low = forest(n, a, b)
-        moved = np.flatnonzero(low != np.arange(n))
-        none = lambda k: [None] * k
-        return pa.table({"a": pa.array(np.concatenate([rep[has], rep[moved]]), pa.int64()), "b": pa.array([*none(len(has)), *rep[low[moved]].tolist()], pa.int64()), "n": pa.array([*n_links[has].astype(np.int64).tolist(), *none(len(moved))], pa.int64())})
-
-    needed = dealt.select("label", "dim", "key", "one", "two", "chunk", "rep", "copies", "v", "keys")
-    found = settle(needed.groupBy("label", "dim", "key", "one", "two").applyInArrow(linked, "a long, b long, n long"), "embed-links")
-    counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    at = ["label", "dim", "key", "one", "two"]
+    dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).select(*at, "chunk", "node", "copies", "v", "keys")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_runs(batches, 5):
+            dims = whole.column("dim").to_numpy()
+            for d in np.unique(dims):
+                t = whole.filter(pa.array(dims == d)) if (dims != d).any() else whole
+                n = t.num_rows
+                flat = [t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("v", "keys")]
+                label, key, one, two, chunk, node, copies = (t.column(c).to_numpy() for c in ("label", "key", "one", "two", "chunk", "node", "copies"))
+                same = (label[1:] == label[:-1]) & (key[1:] == key[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+                run = np.concatenate([[0], np.cumsum(~same)])
+                a, b = run_links(key, run, flat[0].reshape(n, -1), flat[1].reshape(n, -1), chunk, one != two, least)
+                if not len(a):
+                    continue
+                n_links = np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
+                has = np.flatnonzero(n_links)
+                low = forest(n, a, b)
+                moved = np.flatnonzero(low != np.arange(n))
+                none = lambda k: pa.nulls(k, pa.int64())
+                columns = ([pa.array(node[has]), pa.array(node[moved])], [none(len(has)), pa.array(node[low[moved]])], [pa.array(n_links[has].astype(np.int64)), none(len(moved))])
+                yield pa.record_batch([pa.concat_arrays(c) for c in columns], names=["a", "b", "n"])
+
+    found = settle(dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(linked, "a long, b long, n long"), "embed-links")
+    counts = settle(found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n")), "embed-counts")
     joined = connected_components(found.where("b is not null").select("a", "b"), "embed-cc")
-    small = coded.select("label", "v", "rep", "copies", F.xxhash64("label", "v").alias("h"))
-    info = small.join(counts, "rep", "left").join(joined, small.rep == joined.node, "left")
-    info = info.select("h", F.col("label").alias("l2"), F.col("v").alias("v2"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # written on both sides of the joins, so that Spark can split a component with very many members
+    places = coded.select("node", "first_id", "copies").join(joined, "node", "left").join(counts, "node", "left")
+    places = settle(places.select("node", "first_id", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "embed-places")
+    least_id = settle(places.groupBy("component").agg(F.min("first_id").alias("component_id")), "embed-least")
+    info = coded.select("node", F.col("label").alias("l2"), F.col("v").alias("v2")).join(places.join(least_id, "component").select("node", "n_links", "component_id"), "node")
+    info = info.withColumn("h2", F.xxhash64("l2", "v2"))
     mine = good.withColumn("h", F.xxhash64("label", "v"))
-    full = mine.join(info, (mine.h == info.h) & (mine.label == info.l2) & (mine.v == info.v2))
+    full = mine.join(info, (F.col("h") == F.col("h2")) & (F.col("label") == F.col("l2")) & (F.col("v") == F.col("v2")))
     out = full.select("vec_id", "n_links", "component_id")
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -315,11 +315,11 @@ def vectors(seed=0, n=260, d=16):
     return x, rows, odd
 
 
-@pytest.mark.parametrize("block,hashes", [(2048, 1), (16, 1), (2048, 2)])
-def test_near_vectors(spark, block, hashes):
+@pytest.mark.parametrize("block,load", [(4096, 4), (16, 40), (4096, 0.1)])
+def test_near_vectors(spark, block, load):
     x, rows, odd = vectors()
     df = spark.createDataFrame(rows + odd, VEC)
-    got = {r.vec_id: r for r in embed_dedup.links(df, block=block, hashes=hashes).collect()}
+    got = {r.vec_id: r for r in embed_dedup.links(df, block=block, load=load).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     close = (u @ u.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2)
     np.fill_diagonal(close, False)
@@ -330,6 +330,34 @@ def test_near_vectors(spark, block, hashes):
     assert embed_dedup.links(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_vector_ids(spark):
+    """Rows are vectors of their own: a null id names no component, a repeated id joins nothing."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12, 16))
+    near = x + 0.01 * rng.standard_normal((12, 16))
+    rows = [(i, x[i].tolist(), 0, "", "") for i in range(12)] + [(None, near[i].tolist(), 0, "", "") for i in range(12)]
+    got = embed_dedup.links(spark.createDataFrame(rows, VEC)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None) == [(i, 1, i, True) for i in range(12)]
+    assert sorted(r.component_id for r in got if r.vec_id is None) == list(range(12)) and not any(r.kept for r in got if r.vec_id is None)
+    rows = [(7, x[0].tolist(), 0, "", ""), (7, x[1].tolist(), 0, "", ""), (8, near[0].tolist(), 0, "", ""), (None, x[2].tolist(), 0, "", ""), (None, near[2].tolist(), 0, "", "")]
+    got = sorted((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in embed_dedup.links(spark.createDataFrame(rows, VEC)).collect())
+    assert got == [("7", 0, 7, True), ("7", 1, 7, True), ("8", 1, 7, False), ("None", 1, None, True), ("None", 1, None, True)]
+
+
+@pytest.mark.parametrize("rows,dim", [(500, 64), (50_000, 64), (5_000_000, 64), (1_000_000_000, 64), (100_000, 384)])
+def test_tables_keep_recall(rows, dim):
+    """At every size of a label the tables find nearly all pairs at the limit, and buckets stay small."""
+    wide = embed_dedup.widths(rows, dim)
+    assert rows / np.prod([2.0 * w for w in wide]) <= embed_dedup.LOAD
+    tables = embed_dedup.tables_for(dim, wide, 0.98)
+    rng = np.random.default_rng(99)
+    x = embed_dedup.units(rng.standard_normal((3000, dim)))
+    g = rng.standard_normal((3000, dim))
+    g = embed_dedup.units(g - (g * x).sum(axis=1, keepdims=True) * x)
+    a, b = (embed_dedup.codes(v, wide, tables) for v in (x, 0.98 * x + np.sqrt(1 - 0.98**2) * g))
+    assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() >= 0.999
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).standard_normal((5, 20))
     y = embed_dedup.rotate(x, 3)

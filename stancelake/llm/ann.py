@@ -4,17 +4,25 @@ On a bounded sample, the k-nearest-neighbour graph is cut into parts of equal
 size (recursive bisection along the main direction, then swaps that lower the
 number of cut edges), and a small softmax classifier learns in which parts a
 point's neighbours lie. Every row is put into its most probable part; a query
-goes to its most probable parts, as many as a held-out part of the sample
-needs to keep `TARGET` of its neighbours, and what it meets there is ranked
+goes to its most probable parts, as many as points held out of the classifier
+need to keep `TARGET` of their neighbours, and what it meets there is ranked
 by exact distance.
 
-Queries and rows meet by (part, block): a part with very many rows, be it a
-hot group of copies, is dealt to blocks of `BLOCK` rows, each with its own
-copy of the part's queries. A task returns k rows a query.
+Parts grow in proportion to the rows, `PART_ROWS` of them a part: where one
+classifier of `FAN` parts isn't enough, every part is sampled, cut and learned
+again, as often as it takes. So a fit is bounded at every level, and the
+classifiers of a level are rows of a table that meets its part's rows.
+
+Of rows with the very same vector only the k + 1 with the smallest ids can be
+among the nearest of a query, so the others are dropped before anything meets.
+Queries and rows meet by (part, block of queries, block of rows), so that a
+part with very many of either is dealt to many tasks. A task returns k rows a
+query.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +34,22 @@ from stancelake.llm.common import settle
 from stancelake.llm.embed_dedup import _valid
 
 K = 10
-#: Rows that the partition and the classifier are fitted on, at most: those with the smallest hashes.
+#: Rows that a partition and its classifier are fitted on, at most: those with the smallest hashes.
 SAMPLE = 8192
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 1024, 4, 64
+PART_ROWS, FAN = 1024, 64
 GRAPH_K = 12
-TARGET = 0.97
-BLOCK = 16_384
+TARGET = 0.95
+#: The share of a sample that is held out of its classifier, to count the parts that a query needs.
+HELD_OUT = 0.125
+QUERY_BLOCK, BLOCK = 4096, 16_384
+
+
+def fans(rows: int, part_rows: int = PART_ROWS, fan: int = FAN) -> list[int]:
+    """Parts into which each part is cut, level by level: powers of two that make about rows / part_rows parts, 4 at least."""
+    bits = max(2, round(np.log2(max(rows / part_rows, 1))))
+    most = fan.bit_length() - 1
+    levels = -(-bits // most)
+    return [1 << (bits // levels + (i < bits % levels)) for i in range(levels)]
 
 
 def neighbours(queries: np.ndarray, points: np.ndarray, k: int, skip_self: bool) -> np.ndarray:
@@ -116,41 +134,39 @@ class Router:
         return np.argsort(-self.logits(x), axis=1, kind="stable")[:, : self.probes]
 
 
-def fit(x: np.ndarray, parts: int, k: int = K, seed: int = 0, epochs: int = 40) -> Router:
-    """Partition a sample's graph, learn to route, and set the number of probes. One part: everything goes there."""
-    d = x.shape[1]
-    if parts < 2 or len(x) < 4 * parts:
+def fit(x: np.ndarray, parts: int, k: int = K, target: float = TARGET, seed: int = 0, epochs: int = 40) -> Router:
+    """Partition a sample's graph, learn to route, and set the number of parts that a query needs."""
+    n, d = x.shape
+    if n < 2 * parts:  # fewer points than parts to speak of
         return Router(np.zeros(d), 1.0, np.zeros((d, 1)), np.zeros(1), 1)
     near = neighbours(x, x, GRAPH_K, True)
     part = partition(x, near, parts, seed)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.arange(len(x)), part), 2.0)
-    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near.ravel()]), 1.0)
-    target /= target.sum(axis=1, keepdims=True)
+    aim = np.zeros((n, parts))
+    np.add.at(aim, (np.arange(n), part), 2.0)
+    np.add.at(aim, (np.repeat(np.arange(n), near.shape[1]), part[near.ravel()]), 1.0)
+    aim /= aim.sum(axis=1, keepdims=True)
     mean, scale = x.mean(axis=0), float(x.std()) or 1.0
     z = (x - mean) / scale
     rng = np.random.default_rng(seed)
+    held, learned = np.split(rng.permutation(n), [max(1, int(HELD_OUT * n))])
     w, b = np.zeros((d, parts)), np.zeros(parts)
     m, v, t = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)], 0
     for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(z)), max(1, len(z) // 256)):
+        for at in np.array_split(rng.permutation(learned), max(1, len(learned) // 256)):
             o = z[at] @ w + b
             p = np.exp(o - o.max(axis=1, keepdims=True))
-            g = (p / p.sum(axis=1, keepdims=True) - target[at]) / len(at)
+            g = (p / p.sum(axis=1, keepdims=True) - aim[at]) / len(at)
             t += 1
             for i, (value, grad) in enumerate(((w, z[at].T @ g + 1e-5 * w), (b, g.sum(axis=0)))):
                 m[i] = 0.9 * m[i] + 0.1 * grad
                 v[i] = 0.999 * v[i] + 0.001 * grad**2
                 value -= 0.01 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-9)
     router = Router(mean, scale, w, b, parts)
-    home = router.home(x)
-    some = rng.permutation(len(x))[:1024]
-    truth = neighbours(x, x, min(k, len(x) - 1), True)[some]
-    order = router.routes(x[some])
-    rank = np.argsort(order, axis=1)
-    need = np.take_along_axis(rank, home[truth], axis=1)  # how many probes each neighbour needs, less one
+    truth = neighbours(x, x, min(k, n - 1), True)[held]
+    rank = np.argsort(router.routes(x[held]), axis=1)
+    need = np.take_along_axis(rank, router.home(x)[truth], axis=1)  # how many parts each neighbour needs, less one
     recall = np.array([(need < p).mean() for p in range(1, parts + 1)])
-    router.probes = int(np.flatnonzero(recall >= TARGET)[0]) + 1
+    router.probes = int(np.flatnonzero(recall >= target)[0]) + 1
     return router
 
 
@@ -177,60 +193,86 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return np.array(a.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = K, sample: int = SAMPLE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _fitted(rows: DataFrame, parts: int, sample: int, target: float) -> DataFrame:
+    """(part, model) for every part of rows: a classifier of the part's own sample, pickled."""
+    order = F.xxhash64("vec_id", "v")
+    drawn = rows.withColumn("_at", F.row_number().over(Window.partitionBy("part").orderBy(order, "vec_id"))).where(F.col("_at") <= sample)
+
+    def learn(key: tuple, t: pa.Table) -> pa.Table:
+        model = pickle.dumps(fit(_matrix(t.column("v"), t.num_rows), parts, target=target, seed=abs(key[0].as_py()) % (1 << 31)))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "model": pa.array([model], pa.binary())})
+
+    return drawn.select("part", "v", order.alias("o")).groupBy("part").applyInArrow(learn, "part long, model binary")
+
+
+def _sent(rows: DataFrame, models: DataFrame, parts: int, block: int, all_routes: bool) -> DataFrame:
+    """rows with the part that their part's classifier sends them to; with all_routes, with every part that a query needs."""
+    counts = rows.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).select("part", "block", "vec_id", "v")
+    copies = models.join(counts, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "model")
+
+    def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"part": pa.array([], pa.int64()), "vec_id": left.column("vec_id"), "v": left.column("v")})
+        router, x = pickle.loads(right.column("model")[0].as_py()), _matrix(left.column("v"), left.num_rows)
+        to = router.routes(x) if all_routes else router.home(x)[:, None]
+        t = left.select(["vec_id", "v"]).take(pa.array(np.repeat(np.arange(len(x)), to.shape[1])))
+        return t.add_column(0, "part", pa.array(key[0].as_py() * parts + to.ravel().astype(np.int64)))
+
+    return dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block")).applyInArrow(send, "part long, vec_id long, v array<double>")
+
+
+def search(
+    vectors: DataFrame, every: int = 100, k: int = K, sample: int = SAMPLE, part_rows: int = PART_ROWS, fan: int = FAN, query_block: int = QUERY_BLOCK, block: int = BLOCK, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found.
 
     Queries are the rows whose id is divisible by `every`; candidates are all
-    rows with another id. Null ids take no part, nor do vectors that are
-    null, zero or hold null or non-finite components, nor those whose
-    dimension isn't the most common one of the sample. Rows that repeat a query's id and vector give
-    one list; repeated candidates count each. An empty table gives no rows;
-    other columns aren't read, whatever their names.
+    rows with another id. Null ids take no part, nor do vectors that are null,
+    empty, zero or hold null or non-finite components. Vectors are near only
+    to those of their own dimension; those of the commonest dimension go
+    through learned parts, each other dimension is one part. Rows that repeat a query's id
+    and vector give one list, rows that repeat an id with other vectors one
+    together; repeated candidates count each. Ties go to the smaller id. An
+    empty table gives no rows; other columns aren't read, whatever their names.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
     rows = rows.where(_valid(F.col("v")) & F.col("vec_id").isNotNull())
-    order = F.xxhash64("vec_id", "v")
-    n = rows.count()
-    drawn = rows.orderBy(order, "vec_id").limit(sample).select("v").toPandas()["v"].tolist()  # `sample` rows at most
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not drawn:
-        return vectors.sparkSession.createDataFrame([], schema)
-    sizes = [len(v) for v in drawn]
-    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
-    x = np.array([v for v in drawn if len(v) == dim], dtype=np.float64)
-    rows = rows.where(F.size("v") == dim)
-    parts = min(MOST_PARTS, 1 << max(0, (n // PART_ROWS).bit_length() - 1))
-    router = fit(x, parts if parts >= LEAST_PARTS else 1, k)
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(router.home(_matrix(batch.column(1), batch.num_rows)).astype(np.int32))], names=["vec_id", "v", "part"])
-
-    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                to = router.routes(_matrix(batch.column(1), batch.num_rows)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to.tolist(), type=pa.list_(pa.int32()))], names=["vec_id", "v", "parts"])
-
-    indexed = settle(rows.mapInArrow(homes, "vec_id long, v array<double>, part int"), "ann-rows")
-    sizes_of = indexed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # a row a part: at most MOST_PARTS
-    indexed = indexed.join(F.broadcast(sizes_of), "part").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("blocks")).cast("int"))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).mapInArrow(routes, "vec_id long, v array<double>, parts array<int>")
-    asked = asked.select("vec_id", "v", F.explode("parts").alias("part")).join(F.broadcast(sizes_of), "part")
-    asked = asked.select("vec_id", "v", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-
-    def meet(queries: pa.Table, points: pa.Table) -> pa.Table:
+    # of equal vectors, the k + 1 smallest ids: the limit of the window applies before its shuffle
+    first = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id"))
+    points = settle(rows.withColumn("_n", first).where(F.col("_n") <= k + 1).select("vec_id", "v"), "ann-points")
+    dims = points.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).collect()  # a row a dimension
+    if not dims:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    main, n = dims[0]["dim"], dims[0]["count"]
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    levels = fans(n, part_rows, fan)
+    inside, queries = points.where(F.size("v") == main).withColumn("part", F.lit(0).cast("long")), asked.where(F.size("v") == main).withColumn("part", F.lit(0).cast("long"))
+    for level, parts in enumerate(levels):
+        models = settle(_fitted(inside, parts, sample, target ** (1 / len(levels))), f"ann-models-{level}")
+        inside = settle(_sent(inside, models, parts, block, False), f"ann-points-{level}")
+        queries = settle(_sent(queries, models, parts, block, True), f"ann-queries-{level}")
+    if len(dims) > 1:
+        alone = lambda df: df.where(F.size("v") != main).select((-F.size("v")).cast("long").alias("part"), "vec_id", "v")
+        inside, queries = inside.unionByName(alone(points)), queries.unionByName(alone(asked))
+    counts = inside.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counts = settle(counts.join(queries.groupBy("part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("q_blocks")), "part"), "ann-parts")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pick = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
+    queries = queries.join(counts, "part").withColumn("q", pick("q_blocks")).select("part", "q", spread("blocks").alias("p"), "vec_id", "v")
+    inside = inside.join(counts, "part").withColumn("p", pick("blocks")).select("part", spread("q_blocks").alias("q"), "p", "vec_id", "v")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
-        if queries.num_rows and points.num_rows:
-            q_ids, ids = queries.column("vec_id").to_numpy(), points.column("vec_id").to_numpy()
-            for i, got, far in nearest(_matrix(queries.column("v"), len(q_ids)), q_ids, _matrix(points.column("v"), len(ids)), ids, k):
+        if left.num_rows and right.num_rows:
+            q_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+            for i, got, far in nearest(_matrix(left.column("v"), len(q_ids)), q_ids, _matrix(right.column("v"), len(ids)), ids, k):
                 out[0].extend([int(q_ids[i])] * len(got))
                 out[1].extend(got.tolist())
                 out[2].extend(far.tolist())
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    asked, points = asked.select("part", "block", "vec_id", "v"), indexed.select("part", "block", "vec_id", "v")
-    met = asked.groupBy("part", "block").cogroup(points.groupBy("part", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = queries.groupBy("part", "q", "p").cogroup(inside.groupBy("part", "q", "p")).applyInArrow(meet, "query_id long, vec_id long, score double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

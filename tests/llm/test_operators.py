@@ -377,22 +377,54 @@ def test_search(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
-def test_routed_recall(spark):
+@pytest.mark.parametrize("sample,part_rows,fan", [(2000, 500, 64), (1500, 200, 8)])
+def test_routed_recall(spark, sample, part_rows, fan):
+    """One level of parts, and a tree of them."""
     rng = np.random.default_rng(8)
     x = (rng.standard_normal((40, 24))[rng.integers(0, 40, 6000)] * 1.5 + rng.standard_normal((6000, 24))).astype(np.float32)
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0, "", "") for i in range(6000)], VEC)
-    got = ann.search(df, every=100, sample=2000, block=700).collect()
+    assert len(ann.fans(6000, part_rows, fan)) == (1 if fan == 64 else 2)
+    got = ann.search(df, every=100, sample=sample, part_rows=part_rows, fan=fan, block=300, query_block=7).collect()
     hit = 0
     for q in range(0, 6000, 100):
         d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
         d[q] = np.inf
         hit += len(set(np.argsort(d, kind="stable")[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
-    assert hit / 600 >= 0.9
+    assert hit / 600 >= 0.9 and len(got) == 600
     near = ann.neighbours(x[:1000].astype(float), x[:1000].astype(float), 8, True)
     part = ann.partition(x[:1000].astype(float), near, 8)
     assert set(np.bincount(part)) == {125}
 
 
+def test_parts_at_every_size(spark):
+    """Tables of a few hundred rows go through several parts as well, and parts grow with the rows."""
+    assert ann.fans(500) == [4] and ann.fans(2000) == [4] and ann.fans(51_282) == [64]
+    assert all(0.5 <= np.prod(ann.fans(n)) * ann.PART_ROWS / n <= 2 for n in (10_000, 10**6, 10**9)) and max(ann.fans(10**12)) <= ann.FAN
+    x = np.stack([np.array(r.embedding) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]).astype(float)
+    router = ann.fit(x, 4)
+    assert router.w.shape[1] == 4 and len(set(router.home(x).tolist())) == 4
+
+
+def test_search_odd_ids(spark):
+    """Copies of a query's vector, a repeated and a null id, another dimension."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((80, 8))
+    rows = [(i, x[i].tolist(), 0, "", "") for i in range(1, 80)] + [(100 + i, x[5].tolist(), 0, "", "") for i in range(30)] + [(None, x[6].tolist(), 0, "", "")]
+    rows += [(200, x[5].tolist(), 0, "", ""), (200, x[5].tolist(), 0, "", ""), (300, [1.0, 2.0], 0, "", ""), (301, [1.0, 3.0], 0, "", ""), (302, [1.0], 0, "", "")]
+    got = {q: [(r.vec_id, r.score) for r in sorted(g, key=lambda r: r.rank)] for q, g in by_query(ann.search(spark.createDataFrame(rows, VEC)).collect()).items()}
+    copies = [5, *range(100, 130)]
+    assert set(got) == {100, 200, 300}
+    assert got[100] == [(i, 0.0) for i in copies if i != 100][:10] and got[200] == [(i, 0.0) for i in copies][:10]
+    assert got[300] == [(301, 1.0)]
+
+
+def by_query(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.query_id, []).append(r)
+    return out
+
+
 # --- 8 and 9 ------------------------------------------------------------------------------------
 
 

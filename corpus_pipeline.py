@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.llm import crf_quality, minhash, mixing, packing, pii, simhash
+from stancelake.llm import crf_quality, mixing, near_copies, packing, pii
 from stancelake.llm.common import discard, settle, table
 from stancelake.llm.queries import vocabulary
 
@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates: the one with the smallest id."""
-    return simhash.one_of_each(docs, find=minhash.components)
+    """One document of every group of near copies by SimHash: the one with the smallest id."""
+    return near_copies.one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +96,27 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def deal(rows: DataFrame, key: list[str], by: str, block: int, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds one, two and chunk to rows with the keys of these rows.
+
+    A hot key's rows are cut into chunks by a hash of `by`, and each pair of
+    chunks (one <= two) gets both; every pair of rows meets in at least one
+    pair of chunks. There are at most rows / block hot keys; they are
+    broadcast up to 100,000 of them, and joined beyond.
+    """
+    hot = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > block)
+    hot = settle(hot.select(*key, F.ceil(F.col("size") / block).cast("int").alias("chunks")), name)
+    few = hot.count() <= 100_000
+
+    def chunks(df: DataFrame) -> DataFrame:
+        df = df.join(F.broadcast(hot) if few else hot, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        df = df.withColumn("chunk", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        return df.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).drop("other", "chunks")
+
+    return chunks
+
+
 def connected_components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b): the smallest node reachable.
 

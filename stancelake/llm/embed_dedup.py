@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancelake.llm.common import connected_components, settle, whole_runs
+from stancelake.llm.common import connected_components, deal, settle, whole_runs
 
 LEAST = 0.98
 PROBES = 4
@@ -205,14 +205,9 @@ def links(vectors: DataFrame, least: float = LEAST, block: int = BLOCK, load: fl
     coded = classes.mapInArrow(hashed, f"label long, v {kind}, first_id long, copies long, keys array<long>")
     coded = settle(coded.withColumn("node", F.monotonically_increasing_id()), "embed-codes")
     dealt = coded.withColumn("dim", F.size("v")).select("*", F.explode("keys").alias("key"))
-    # buckets over `block`: at most the keys over the block size in number
-    hot = dealt.groupBy("label", "dim", "key").agg(F.count("*").alias("size")).where(F.col("size") > block)
-    hot = settle(hot.select("label", "dim", "key", F.ceil(F.col("size") / block).cast("int").alias("chunks")), "embed-hot")
-    dealt = dealt.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, ["label", "dim", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunks = deal(dealt.select("label", "dim", "key", "node"), ["label", "dim", "key"], "node", block, "embed-hot")
     at = ["label", "dim", "key", "one", "two"]
-    dealt = dealt.withColumns({"one": F.least("chunk", "other"), "two": F.greatest("chunk", "other")}).select(*at, "chunk", "node", "copies", "v", "keys")
+    dealt = chunks(dealt).select(*at, "chunk", "node", "copies", "v", "keys")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_runs(batches, 5):

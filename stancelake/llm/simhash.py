@@ -14,7 +14,7 @@ its components rather than its pairs, which is all that components need.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancelake.llm.common import connected_components, settle
+from stancelake.llm.common import connected_components, deal, settle, whole_runs
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -31,30 +31,41 @@ SEED = 42
 AGREE = ((8_000_000, 2), (1_000_000_000, 3))
 #: Runs up to this length are compared shift by shift, longer ones star by star.
 SHORT_RUN = 16
+#: Fingerprints of a key that one task takes.
+BLOCK = 8192
 
 # one byte of a hash, each bit spread to a byte of its own: 255 of them add up without a carry
 _SPREAD = np.array([sum((b >> i & 1) << 8 * i for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a UTF-8 text, unsigned; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The XXH64 hashes of a UTF-8 text's word shingles, repeats included; of the whole sequence if it is shorter; none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     n = len(words)
     if not n:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     if n <= shingle:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: n - shingle + 1].tolist()
-    h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), dtype="<u8", count=n - shingle + 1)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n - shingle + 1)
+
+
+def spread_counts(h: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of 64-bit words, counted from the first word's lowest bit on."""
+    spread = np.add.reduceat(_SPREAD[np.ascontiguousarray(h, dtype="<u8").view(np.uint8).reshape(len(h), -1)], np.arange(0, len(h), 255), axis=0)
+    return spread.astype("<u8").view(np.uint8).reshape(len(spread), -1).sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a UTF-8 text, unsigned; 0 for a text without words."""
+    h = shingle_hashes(text, shingle, seed)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 255_000):
-        part = h[at : at + 255_000]
-        spread = np.add.reduceat(_SPREAD[part.view(np.uint8).reshape(-1, 8)], np.arange(0, len(part), 255), axis=0)
-        counts += spread.astype("<u8").view(np.uint8).reshape(len(spread), 64).sum(axis=0, dtype=np.int64)
+        counts += spread_counts(h[at : at + 255_000])
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -98,15 +109,11 @@ def stars(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def links_in_runs(bits: int):
-    """For partitions sorted by (t, key, fp): edges among the fingerprints of each (t, key)."""
-
-    def edges(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(fp)
-        new = np.ones(n, dtype=bool)
-        new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, n))
-        run = np.repeat(np.arange(len(start)), size)
+    """For partitions sorted by (t, key, one, two, fp): edges among the fingerprints of each run."""
+
+    def edges(run: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.diff(run, prepend=-1))
+        size = np.diff(np.append(start, len(fp)))
         small = size[run] <= SHORT_RUN
         a, b = [], []
         for d in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
@@ -122,37 +129,30 @@ def links_in_runs(bits: int):
             yield pa.record_batch([pa.array(k.view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            fp = fp.view(np.uint64)
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # where the last run of this batch begins
-            same = bool(held) and held[-1][0][-1] == t[-1] and held[-1][1][-1] == key[-1]
-            if cut == 0 and same:
-                held.append([t, key, fp])
-                continue
-            whole = [*held, [t[:cut], key[:cut], fp[:cut]]]
-            done = [np.concatenate([x[i] for x in whole]) for i in range(3)]
-            if len(done[0]):
-                yield from edges(*done)
-            held = [[t[cut:], key[cut:], fp[cut:]]]
-        if held:
-            yield from edges(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+        for t in whole_runs(batches, 4):
+            new = np.zeros(t.num_rows, dtype=bool)
+            for c in ("t", "key", "one", "two"):
+                x = t.column(c).to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            yield from edges(np.cumsum(new), t.column("fp").to_numpy().view(np.uint64))
 
     return run
 
 
-def near_links(fps: DataFrame, bits: int = MAX_BITS, agree: int | None = None) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (column fp) that join what links of at most `bits` join."""
+def near_links(fps: DataFrame, bits: int = MAX_BITS, agree: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints (column fp) that join what links of at most `bits` join.
+
+    fps is a written table. A key with more than `block` fingerprints is dealt
+    to several tasks, by pairs of chunks.
+    """
     if agree is None:
         n = fps.count()
         agree = next((c for most, c in AGREE if n <= most), 4)
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(bits, agree)])).alias("t", "key"))
-    spread = keyed.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    return spread.mapInArrow(links_in_runs(bits), "a long, b long")
+    chunks = deal(keyed, ["t", "key"], "fp", block, "simhash-hot")
+    order = ["t", "key", "one", "two"]
+    rows = chunks(keyed).select(*order, "fp").repartition(*order).sortWithinPartitions(*order, "fp")
+    return rows.mapInArrow(links_in_runs(bits), "a long, b long")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
@@ -172,20 +172,3 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = settle(places.groupBy("component").agg(F.min("first_id").alias("component_id")), "simhash-least")
     of_class = places.join(least, "component").select("fp", "component_id")
     return own.join(of_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = components, **how) -> DataFrame:
-    """docs without all but one row of every component that find gives: the one with the smallest id stays, with all its columns.
-
-    Rows that repeat the staying id are reduced to one. A row without an id
-    can't be told from others, so it stays.
-    """
-    own = find(docs, id_col, text_col, **how)
-    stay = own.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_n"))
-    stay = settle(stay, "simhash-stay")
-    once, many = stay.where("_n = 1"), stay.where("_n > 1")
-    # ids grow with the rows, so they are merged at every size and never broadcast
-    out = docs.join(once.hint("merge"), docs[id_col] == once["_stay"], "left_semi")
-    if not many.isEmpty():
-        out = out.unionByName(docs.join(many.hint("merge"), docs[id_col] == many["_stay"], "left_semi").dropDuplicates([id_col]))
-    return out.unionByName(docs.where(docs[id_col].isNull()))

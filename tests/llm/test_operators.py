@@ -236,11 +236,18 @@ def test_simhash(spark, odd, none):
     assert all(rows[i].fingerprint == f"{f:016x}" for i, f in enumerate(fp))
     pairs = [(i, j) for i in range(len(fp)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 4]
     assert {i: r.component_id for i, r in rows.items()} == brute_components(pairs, range(len(fp)))
-    kept = simhash.one_of_each(df)
-    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.component_id == i}
     assert simhash.components(odd).count() == odd.count() and simhash.components(none).count() == 0
-    assert simhash.one_of_each(odd).where("doc_id = 5").count() == 1
-    assert simhash.one_of_each(odd).where("doc_id is null").count() == 1
+
+
+def test_long_runs_are_dealt(spark):
+    """A key's fingerprints dealt to pairs of chunks join what one task joins."""
+    rng = np.random.default_rng(12)
+    fps = sorted({int(x) for x in (rng.integers(0, 1 << 12, 400) << 20 | 5)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    comps = [{r.node: r.component for r in common.connected_components(simhash.near_links(df, 4, block=b)).collect()} for b in (8192, 30)]
+    want = brute_components([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4], range(len(fps)))
+    for got in comps:
+        assert all(got.get(x, x) == fps[want[i]] for i, x in enumerate(fps))
 
 
 def test_blocks_find_the_same(spark):

@@ -8,7 +8,7 @@ import zlib
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from stancelake.llm import minhash
+from stancelake.llm import near_copies as copies
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,7 +70,7 @@ def test_stages_on_odd_rows(spark):
     assert kept.where("doc_id = 3").count() == 2 and kept.where("doc_id = 1").first().text is None
 
 
-def near_copies(seed=7, groups=150, big=200):
+def planted_copies(seed=7, groups=150, big=200):
     """(rows, groups of ids): texts with copies of which single words are changed, and one large group."""
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=6))
@@ -90,17 +90,49 @@ def near_copies(seed=7, groups=150, big=200):
 
 
 def test_near_dedup_finds_near_copies(spark):
-    rows, planted = near_copies()
+    rows, planted = planted_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()}
-    sets = [minhash.shingles(t.encode()) for _, t in rows]
-    near = [(g[0], i) for g in planted for i in g[1:] if minhash.jaccard(sets[g[0]], sets[i]) >= 0.8]
+    sets = [copies.shingles(t.encode()) for _, t in rows]
+    near = [(g[0], i) for g in planted for i in g[1:] if copies.jaccard(sets[g[0]], sets[i]) >= 0.8]
     assert len(near) > 400
     assert sum(i in left for _, i in near) <= 0.01 * len(near)
+    # the same components as all pairs give, in buckets dealt to many tasks too
+    low = {i: i for i in range(len(rows))}
+    find = lambda i: i if low[i] == i else find(low[i])
+    for g in planted:
+        for k, i in enumerate(g):
+            for j in g[:k]:
+                if copies.jaccard(sets[i], sets[j]) >= 0.8:
+                    a, b = sorted((find(i), find(j)))
+                    low[b] = a
+    got = copies.classes(docs, block=20).join(docs.selectExpr("doc_id", "xxhash64(text) node"), "node").collect()
+    least = {}
+    for r in got:
+        least[r.component] = min(least.get(r.component, r.doc_id), r.doc_id)
+    assert sum(least[r.component] != find(r.doc_id) for r in got) <= 0.005 * len(rows)
     assert {g[0] for g in planted} <= left
     # pairs just below the limit stay
     words = [f"w{i}" for i in range(100)]
     apart = " ".join(words[:20] + ["x"] + words[21:50] + ["y"] + words[51:80] + ["z"] + words[81:])
-    assert 0.7 < minhash.jaccard(minhash.shingles(" ".join(words).encode()), minhash.shingles(apart.encode())) < 0.8
+    assert 0.7 < copies.jaccard(copies.shingles(" ".join(words).encode()), copies.shingles(apart.encode())) < 0.8
     docs = spark.createDataFrame([(1, " ".join(words)), (2, apart)], "doc_id long, text string")
     assert cp.near_dedup(spark, docs, SF).count() == 2
+
+
+def test_one_of_each_by_row(spark):
+    """Rows that share an id but not a text are decided one by one; blanks are copies; repeated rows and null ids leave one."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long), (7, "another text of quite different words here"), (8, long + " more"), (9, None), (10, " \n"), (11, "again and again the same"), (11, "again and again the same"), (None, "no id, yet words"), (None, "no id, yet words"), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("x"))
+    got = copies.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)[:20]) for r in got.collect()) == [("11", "again and again the "), ("7", "another text of quit"), ("7", long[:20]), ("9", "None"), ("None", "no id, yet words")]
+    assert copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_blocks_grow_with_the_table():
+    assert copies.shape(50_000) == (13, 43) and copies.shape(10**6)[0] == 17
+    for n in (1000, 10**6, 10**9):
+        bits, blocks = copies.shape(n)
+        assert n / 2**bits <= copies.LOAD and (1 - copies.agreement(0.8) ** bits) ** blocks <= 0.005

@@ -196,7 +196,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
 def _fitted(rows: DataFrame, parts: int, sample: int, target: float) -> DataFrame:
     """(part, model) for every part of rows: a classifier of the part's own sample, pickled."""
     order = F.xxhash64("vec_id", "v")
-    drawn = rows.withColumn("_at", F.row_number().over(Window.partitionBy("part").orderBy(order, "vec_id"))).where(F.col("_at") <= sample)
+    # a hash below a bound that about 2 * sample rows of the part meet, so that no task reads more than those
+    share = rows.groupBy("part").agg((2.0 * sample / F.count("*")).alias("share"))
+    some = rows.join(share, "part").where(F.shiftrightunsigned(order, 1) / float(1 << 63) < F.col("share"))
+    drawn = some.withColumn("_at", F.row_number().over(Window.partitionBy("part").orderBy(order, "vec_id"))).where(F.col("_at") <= sample)
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
         model = pickle.dumps(fit(_matrix(t.column("v"), t.num_rows), parts, target=target, seed=abs(key[0].as_py()) % (1 << 31)))
@@ -241,14 +244,14 @@ def search(
     rows = rows.where(_valid(F.col("v")) & F.col("vec_id").isNotNull())
     # of equal vectors, the k + 1 smallest ids: the limit of the window applies before its shuffle
     first = F.row_number().over(Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id"))
-    points = settle(rows.withColumn("_n", first).where(F.col("_n") <= k + 1).select("vec_id", "v"), "ann-points")
+    points = settle(rows.withColumn("_n", first).where(F.col("_n") <= k + 1).select(F.lit(0).cast("long").alias("part"), "vec_id", "v"), "ann-points")
     dims = points.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).collect()  # a row a dimension
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     main, n = dims[0]["dim"], dims[0]["count"]
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
+    asked = settle(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select(F.lit(0).cast("long").alias("part"), "vec_id", "v"), "ann-asked")
     levels = fans(n, part_rows, fan)
-    inside, queries = points.where(F.size("v") == main).withColumn("part", F.lit(0).cast("long")), asked.where(F.size("v") == main).withColumn("part", F.lit(0).cast("long"))
+    inside, queries = points.where(F.size("v") == main), asked.where(F.size("v") == main)
     for level, parts in enumerate(levels):
         models = settle(_fitted(inside, parts, sample, target ** (1 / len(levels))), f"ann-models-{level}")
         inside = settle(_sent(inside, models, parts, block, False), f"ann-points-{level}")

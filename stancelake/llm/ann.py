@@ -42,6 +42,8 @@ TARGET = 0.95
 #: The share of a sample that is held out of its classifier, to count the parts that a query needs.
 HELD_OUT = 0.125
 QUERY_BLOCK, BLOCK = 4096, 16_384
+#: Up to so many parts, a row for each of them is broadcast.
+FEW_PARTS = 100_000
 
 
 def fans(rows: int, part_rows: int = PART_ROWS, fan: int = FAN) -> list[int]:
@@ -193,12 +195,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     return np.array(a.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
 
 
-def _fitted(rows: DataFrame, parts: int, sample: int, target: float) -> DataFrame:
+def _of_parts(counts: DataFrame, made: int) -> DataFrame:
+    """A table with a row for each of `made` parts at most, to be broadcast where they are few: rows of a hot part then stay in place."""
+    return F.broadcast(counts) if made <= FEW_PARTS else counts
+
+
+def _fitted(rows: DataFrame, made: int, parts: int, sample: int, target: float) -> DataFrame:
     """(part, model) for every part of rows: a classifier of the part's own sample, pickled."""
     order = F.xxhash64("vec_id", "v")
     # a hash below a bound that about 2 * sample rows of the part meet, so that no task reads more than those
     share = rows.groupBy("part").agg((2.0 * sample / F.count("*")).alias("share"))
-    some = rows.join(share, "part").where(F.shiftrightunsigned(order, 1) / float(1 << 63) < F.col("share"))
+    some = rows.join(_of_parts(share, made), "part").where(F.shiftrightunsigned(order, 1) / float(1 << 63) < F.col("share"))
     drawn = some.withColumn("_at", F.row_number().over(Window.partitionBy("part").orderBy(order, "vec_id"))).where(F.col("_at") <= sample)
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
@@ -208,10 +215,10 @@ def _fitted(rows: DataFrame, parts: int, sample: int, target: float) -> DataFram
     return drawn.select("part", "v", order.alias("o")).groupBy("part").applyInArrow(learn, "part long, model binary")
 
 
-def _sent(rows: DataFrame, models: DataFrame, parts: int, block: int, all_routes: bool) -> DataFrame:
+def _sent(rows: DataFrame, models: DataFrame, made: int, parts: int, block: int, all_routes: bool) -> DataFrame:
     """rows with the part that their part's classifier sends them to; with all_routes, with every part that a query needs."""
     counts = rows.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "part").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).select("part", "block", "vec_id", "v")
+    dealt = rows.join(_of_parts(counts, made), "part").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).select("part", "block", "vec_id", "v")
     copies = models.join(counts, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "model")
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -252,15 +259,18 @@ def search(
     asked = settle(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).select(F.lit(0).cast("long").alias("part"), "vec_id", "v"), "ann-asked")
     levels = fans(n, part_rows, fan)
     inside, queries = points.where(F.size("v") == main), asked.where(F.size("v") == main)
+    made = 1
     for level, parts in enumerate(levels):
-        models = settle(_fitted(inside, parts, sample, target ** (1 / len(levels))), f"ann-models-{level}")
-        inside = settle(_sent(inside, models, parts, block, False), f"ann-points-{level}")
-        queries = settle(_sent(queries, models, parts, block, True), f"ann-queries-{level}")
+        models = settle(_fitted(inside, made, parts, sample, target ** (1 / len(levels))), f"ann-models-{level}")
+        inside = settle(_sent(inside, models, made, parts, block, False), f"ann-points-{level}")
+        queries = settle(_sent(queries, models, made, parts, block, True), f"ann-queries-{level}")
+        made *= parts
     if len(dims) > 1:
         alone = lambda df: df.where(F.size("v") != main).select((-F.size("v")).cast("long").alias("part"), "vec_id", "v")
         inside, queries = inside.unionByName(alone(points)), queries.unionByName(alone(asked))
     counts = inside.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     counts = settle(counts.join(queries.groupBy("part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("q_blocks")), "part"), "ann-parts")
+    counts = _of_parts(counts, made + len(dims))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pick = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     queries = queries.join(counts, "part").withColumn("q", pick("q_blocks")).select("part", "q", spread("blocks").alias("p"), "vec_id", "v")

@@ -4,11 +4,14 @@ A labelled table teaches a multinomial logistic model over telling words and
 surface features; it gives every document a posterior over domains. A document's
 expected tokens in a domain are its tokens times that posterior. Projected
 gradient steps of least squares fit a nonnegative rate for every document, so
-that the expected totals of the domains meet their targets. Steps start at
-rate one and move a document by its posterior times a vector of one number a
-domain (its residual, scaled), so a rate is a fold over those vectors: an
-iteration is one aggregate over a small table, and the driver holds a few
-numbers an iteration.
+that the expected totals of the domains meet their targets. The steps are lazy:
+a document's rate is the projection onto the bounds of one plus its posterior
+times the sum of all gradients so far, a vector of one number a domain. The
+gradient (the domains' residuals) is scaled by the inverse Gram matrix of the
+documents off their bounds, so a few steps suffice, and an iteration is one
+aggregate over a narrow table that tries a few lengths of the step at once; the
+driver holds a few numbers. A small pull towards rate one makes the optimum
+unique where goals can be met, and the least squares' own where they can't.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ TARGETS = {"clean": 0.95, "junk": 0.02, "toxic": 0.03}
 FIT_DOCUMENTS = 8000
 #: Words that the model keeps, at most; the documents that each must stand in, and how telling it must be, at least.
 WORDS, LEAST_SUPPORT, LEAST_TELL = 48, 6, 6.0
-ITERATIONS, TOLERANCE, FLOOR = 24, 1e-4, 0.01
+#: The pull towards rate one; the residual left in a gradient, as a share of a domain's goal (or of FLOOR of all goals,
+#: where it is smaller); the lengths of a step that are tried. ITERATIONS only guards the loop.
+PULL, TOLERANCE, FLOOR, LENGTHS, ITERATIONS = 1e-5, 5e-4, 0.01, (1.0, 0.25, 0.06, 0.01), 200
 
 # Surface features of a text: shares of characters and words, and whether they pass a bound.
 _FEATURES = {
@@ -125,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) -> Model
     names = [f"f_{k}" for k in _FEATURES] + [f"w_{i}" for i in range(len(words))]
     flags = {f"w_{i}": F.array_contains("words", w).cast("double") for i, w in enumerate(words)}
     index = F.element_at(F.create_map(*[x for i, d in enumerate(DOMAINS) for x in (F.lit(d), F.lit(float(i)))]), F.col("domain"))
-    sample = VectorAssembler(inputCols=names, outputCol="x").transform(rows.withColumns(flags).withColumn("y", index)).select("x", "y")
+    sample = VectorAssembler(inputCols=names, outputCol="x").transform(rows.withColumns(flags).withColumn("y", index)).select("x", "y").coalesce(1)  # `bound` rows of a few numbers
     found = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=1e-4, maxIter=100).fit(sample)
     b, w = found.interceptVector.toArray().tolist(), found.coefficientMatrix.toArray().tolist()
     b = [max(x, -50.0) for x in b] + [-50.0] * (len(DOMAINS) - len(b))
@@ -134,63 +139,96 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) -> Model
     return Model(b, dict(zip(_FEATURES, columns[: len(_FEATURES)], strict=True)), dict(zip(words, columns[len(_FEATURES) :], strict=True)))
 
 
-def _rate(steps: list[list[float]], most: float | None) -> Column:
-    """The rate after these steps: a fold that projects onto [0, most] each time."""
-    if not steps:
-        return F.lit(1.0)
-    p = [F.col(f"p_{d}") for d in DOMAINS]
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+def _moved(at: list[float]) -> Column:
+    """One plus the posterior times the gradients so far: the rate before its projection."""
+    return reduce(lambda a, b: a + b, [F.lit(1.0)] + [F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, at, strict=True)])
 
-    def move(r: Column, s: Column) -> Column:
-        x = r
-        for i, q in enumerate(p):
-            x = x + s[i] * q
-        x = F.greatest(F.lit(0.0), x)
-        return F.least(F.lit(float(most)), x) if most is not None else x
 
-    return F.aggregate(moves, F.lit(1.0), move)
+def _projected(z: Column, most: float | None) -> Column:
+    z = F.greatest(F.lit(0.0), z)
+    return z if most is None else F.least(F.lit(float(most)), z)
 
 
-def rates(own: DataFrame, targets: dict[str, float], most: float | None = None, iterations: int = ITERATIONS) -> tuple[DataFrame, dict[str, float]]:
+def rates(own: DataFrame, targets: dict[str, float], most: float | None = None) -> tuple[DataFrame, dict[str, float]]:
     """own with `rate`, and the goal of each domain in tokens.
 
     Goals keep the shares of `targets` (zero weights allowed), at the total
     that leaves the domain of the largest weight its tokens; with `most`, a
-    goal is what so many copies of a domain can give at most. A step moves a
-    domain's number by its missing tokens over all that it has (or over
-    `FLOOR` of the corpus, where it has less). The posteriors of a document
-    add up to one, so these scales bound the Gram matrix by rows and the steps
-    can't overshoot.
+    goal is what so many copies of a domain can give at most. What is made
+    small is the sum of the squared residuals, each over its goal (or `FLOOR`
+    of all goals, where it has less), and `PULL` times the squared distances
+    of the rates from one. Steps are taken on its dual, which is smooth and
+    convex, until the gradient is `TOLERANCE` of the goals.
     """
+    k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
     tok = F.col("n_tokens").cast("double")
-    has = [float(x) for x in own.agg(*[F.coalesce(F.sum(tok * x), F.lit(0.0)) for x in p]).first()]
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measure(points: list[list[float]]) -> list[tuple[list[float], list[list[float]], float]]:
+        """For each point: the domains' tokens, the Gram matrix of the documents off their bounds, the dual's sum over documents."""
+        sums = []
+        for at in points:
+            z = _moved(at)
+            r = _projected(z, most)
+            free = z >= 0 if most is None else (z >= 0) & (z <= most)
+            sums += [F.sum(tok * r * x) for x in p] + [F.sum(F.when(free, tok * p[i] * p[j])) for i, j in upper] + [F.sum(tok * r * (z - r / 2))]
+        got = [float(x) for x in own.agg(*[F.coalesce(x, F.lit(0.0)).alias(f"s{i}") for i, x in enumerate(sums)]).first()]
+        out, width = [], k + len(upper) + 1
+        for n in range(len(points)):
+            own_sums = got[n * width : (n + 1) * width]
+            gram = [[0.0] * k for _ in range(k)]
+            for (i, j), x in zip(upper, own_sums[k:-1], strict=True):
+                gram[i][j] = gram[j][i] = x
+            out.append((own_sums[:k], gram, own_sums[-1]))
+        return out
+
+    at = [0.0] * k
+    now = measure([at])[0]
+    has = now[0]
     share = [targets.get(d, 0) / sum(targets.values()) for d in DOMAINS]
-    anchor = max(range(len(DOMAINS)), key=lambda i: share[i])
+    anchor = max(range(k), key=lambda i: share[i])
     total = has[anchor] / share[anchor]
     goal = [total * s if most is None else min(total * s, most * h) for s, h in zip(share, has, strict=True)]
-    scales = [max(h, FLOOR * sum(has)) for h in has]
-    steps: list[list[float]] = []
-    now = has
-    for _ in range(iterations):
-        short = [g - t for g, t in zip(goal, now, strict=True)]
-        if not total or max(map(abs, short)) <= TOLERANCE * total:
-            break
-        steps.append([x / s for x, s in zip(short, scales, strict=True)])
-        r = own.withColumn("rate", _rate(steps, most))
-        sums = r.agg(*[F.coalesce(F.sum(tok * F.col("rate") * x), F.lit(0.0)) for x in p]).first()
-        was, now = now, [float(x) for x in sums]
-        if max(abs(a - b) for a, b in zip(was, now, strict=True)) <= TOLERANCE * total:
+    size = [max(g, FLOOR * sum(goal)) for g in goal]
+    pull = [PULL * s * s / max(*size, 1e-9) for s in size]
+
+    def dual(x: list[float], state: tuple) -> float:
+        return state[2] + sum(r * a * a / 2 - g * a for r, a, g in zip(pull, x, goal, strict=True))
+
+    for _ in range(ITERATIONS if total else 0):
+        left = [g - t - r * a for g, t, r, a in zip(goal, now[0], pull, at, strict=True)]
+        if all(abs(x) <= TOLERANCE * s for x, s in zip(left, size, strict=True)):
             break
-    return own.withColumn("rate", _rate(steps, most)), dict(zip(DOMAINS, goal, strict=True))
+        slack = 1e-9 * max(sum(has), 1.0)
+        step = _solved([[x + (pull[i] + slack if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(now[1])], left)
+        points = [[a + f * x for a, x in zip(at, step, strict=True)] for f in LENGTHS]
+        tried = list(zip(points, measure(points), strict=True))
+        at, now = min(tried, key=lambda x: dual(*x))
+    return own.withColumn("rate", _projected(_moved(at), most)), dict(zip(DOMAINS, goal, strict=True))
+
+
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small symmetric positive system."""
+    n = len(right)
+    rows = [[*row, x] for row, x in zip(matrix, right, strict=True)]
+    for i in range(n):
+        at = max(range(i, n), key=lambda j: abs(rows[j][i]))
+        rows[i], rows[at] = rows[at], rows[i]
+        for j in range(n):
+            if j != i:
+                f = rows[j][i] / rows[i][i]
+                rows[j] = [x - f * y for x, y in zip(rows[j], rows[i], strict=True)]
+    return [rows[i][n] / rows[i][i] for i in range(n)]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = None) -> DataFrame:
     """(doc_id, row_key, n_tokens, p_<domain>..., rate) of every row of docs.
 
     Null and empty texts have no tokens: they weigh nothing and get the rate
-    that their posterior gives. A null id is kept; repeated rows count each;
-    an empty table gives no rows; other columns aren't read.
+    that their posterior gives. Very long texts count whole. A null id is kept;
+    repeated rows count each; rows with the same posterior have the same rate;
+    an empty table gives no rows; other columns aren't read, whatever their names.
     """
     model = fit(docs, labels)
     own = settle(model.posteriors(featured(docs)), "mixing-posteriors")

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -96,16 +96,16 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def deal(rows: DataFrame, key: list[str], by: str, block: int, name: str) -> Callable[[DataFrame], DataFrame]:
-    """A function that adds one, two and chunk to rows with the keys of these rows.
+def deal(rows: DataFrame, key: list[str], by: str, block: int, name: str, also: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds one, two and chunk to rows with the keys of these rows, for keys of over `block` rows (or over 1 by `also`).
 
     A hot key's rows are cut into chunks by a hash of `by`, and each pair of
     chunks (one <= two) gets both; every pair of rows meets in at least one
     pair of chunks. There are at most rows / block hot keys; they are
     broadcast up to 100,000 of them, and joined beyond.
     """
-    hot = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > block)
-    hot = settle(hot.select(*key, F.ceil(F.col("size") / block).cast("int").alias("chunks")), name)
+    size = F.count("*") / block if also is None else F.greatest(F.count("*") / block, also)
+    hot = settle(rows.groupBy(*key).agg(F.ceil(size).cast("int").alias("chunks")).where("chunks > 1"), name)
     few = hot.count() <= 100_000
 
     def chunks(df: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ of 13 bits for 50,000 texts, 84 of 17 for a million. Pairs that share a block
 are held against a Hamming distance over `VERIFY` bits, and what passes against
 both texts, exactly.
 
-Only distinct texts are compared, and no bucket gives all its pairs: a first
-round links the texts of a bucket to the first one that is near enough, and
-merges what the exact check confirms; a second round takes the pairs that the
-first has left in different components. So nothing but links inside a
-component goes unchecked. Buckets over `BLOCK` texts are dealt to tasks by
-pairs of chunks.
+Only distinct texts are compared, and no pairs leave a task: only the edges of
+spanning forests. Shared blocks and the Hamming distance give loose components
+first; no link joins two of them. The texts of a loose component then come
+together once, and all Jaccard similarities among them are counted exactly. A
+block or a loose component with very many texts (or very long ones) is dealt
+to tasks by pairs of chunks.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stancelake.llm.common import connected_components, deal, settle, whole_runs
+from stancelake.llm.embed_dedup import forest
 from stancelake.llm.simhash import SEED, shingle_hashes, spread_counts
 
 SHINGLE, LEAST = 5, 0.8
@@ -38,11 +39,10 @@ LOAD = 8
 MISS = 0.005
 #: Bits that are compared once a pair shares a block, in words of 64.
 VERIFY = 3
-BLOCK = 4096
-#: Runs up to this length are compared shift by shift, longer ones star by star or by blocks of rows.
+#: Texts of a key, and texts and bytes of a loose component, that make one chunk.
+BLOCK, CHUNK, CHUNK_BYTES = 4096, 1024, 8 << 20
+#: Runs up to this length are compared shift by shift, longer ones star by star.
 SHORT_RUN = 16
-#: Pairs that share their first text are checked in groups of about so many.
-GROUP = 32
 
 
 def agreement(least: float) -> float:
@@ -115,99 +115,89 @@ def _far(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
 
 
-def _pairs(run: np.ndarray, fp: np.ndarray, comp: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the same run within `most` bits: stars without components, with them all pairs across components."""
+def _joined(run: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the same run that join what pairs within `most` bits join."""
     first = np.flatnonzero(np.diff(run, prepend=-1))
     size = np.diff(np.append(first, len(run)))
     short = size[run] <= SHORT_RUN
     a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-
-    def put(x: np.ndarray, y: np.ndarray) -> None:
-        near = _far(fp, x, y) <= most
-        a.append(x[near])
-        b.append(y[near])
-
     for d in range(1, int(min(SHORT_RUN, size.max(initial=1)))):
         i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
-        i = i[(i == first[run[i]]) | (d == 1)] if comp is None else i[comp[i] != comp[i + d]]
-        put(i, i + d)
+        i = i[_far(fp, i, i + d) <= most]
+        a.append(i)
+        b.append(i + d)
     for r in np.flatnonzero(size > SHORT_RUN):
-        rows = np.arange(first[r], first[r] + size[r])
-        if comp is None:
-            while len(rows) > 1:
-                root, rows = rows[0], rows[1:]
-                near = _far(fp, np.full(len(rows), root), rows) <= most
-                a.append(np.full(near.sum(), root))
-                b.append(rows[near])
-                rows = rows[~near]
-        elif (comp[rows] != comp[rows[0]]).any():
-            for at in range(0, len(rows), 64):
-                x, y = np.nonzero(comp[rows[at : at + 64], None] != comp[None, rows])
-                put(rows[at + x][keep := at + x < y], rows[y][keep])
+        rest = np.arange(first[r], first[r] + size[r])
+        while len(rest) > 1:
+            open_, rest = [rest[0]], rest[1:]
+            while open_ and len(rest):
+                at = open_.pop()
+                near = np.bitwise_count(fp[rest] ^ fp[at]).sum(axis=1, dtype=np.int64) <= most
+                if near.any():
+                    a.append(np.full(near.sum(), at))
+                    b.append(rest[near])
+                    open_ += rest[near].tolist()
+                    rest = rest[~near]
     return np.concatenate(a), np.concatenate(b)
 
 
-def _candidates(keyed: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that share a key and are within `most` bits; keyed(t, key, one, two, node, comp, f0, ...)."""
-    sketch = [f"f{i}" for i in range(VERIFY)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, 4):
-            at = [t.column(c).to_numpy() for c in ("t", "key", "one", "two")]
-            new = np.zeros(t.num_rows, dtype=bool)
-            for x in at:
-                new[1:] |= x[1:] != x[:-1]
-            fp = np.stack([t.column(c).to_numpy() for c in sketch], axis=1).view(np.uint64)
-            comp = None if t.column("comp").null_count else t.column("comp").to_numpy()
-            a, b = _pairs(np.cumsum(new), fp, comp, most)
-            node = t.column("node").to_numpy()
-            a, b = node[a], node[b]
-            if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
-
-    order = ["t", "key", "one", "two"]
-    rows = keyed.select(*order, "node", "comp", *sketch).repartition(*order).sortWithinPartitions(*order, "node")
-    return settle(rows.mapInArrow(run, "a long, b long").distinct(), "copies-pairs")
-
-
-def _checked(least: float):
-    """For partitions sorted by (a, part, first text first): the links whose texts are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for batch in batches:
-            a, part, rest, node, text = batch.columns
-            out: tuple[list, list] = ([], [])
-            for i, group in enumerate(zip(a.to_pylist(), part.to_pylist(), strict=True)):
-                h = shingles(text[i].as_py() or b"")
-                if not rest[i].as_py():
-                    at, own = group, h
-                elif at == group and jaccard(own, h) >= least:
-                    out[0].append(group[0])
-                    out[1].append(node[i].as_py())
-            yield pa.record_batch([pa.array(x, type=pa.int64()) for x in out], names=["a", "b"])
-
-    return run
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, least: float) -> DataFrame:
-    """The pairs (a, b) of written candidates whose texts are similar enough."""
-    many = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "copies-parts")
-    part = settle(pairs.join(many, "a").select("a", F.expr("pmod(xxhash64(b), parts)").alias("part"), "b"), "copies-groups")
-    members = part.select("a", "part", F.lit(True).alias("rest"), F.col("b").alias("node"))
-    members = settle(members.union(part.select("a", "part", F.lit(False), "a").distinct()), "copies-members")
-    text = docs[text_col].cast("string")
-    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.cast("binary").alias("text"))
-    needed = settle(members.select("node").distinct(), "copies-needed")
-    # nodes grow with the rows, so they are merged at every size and never broadcast; exact copies are one text
-    texts = settle(texts.join(needed.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "copies-texts")
-    rows = members.hint("merge").join(texts, "node").select("a", "part", "rest", "node", "text")
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "rest")
-    return settle(rows.mapInArrow(_checked(least), "a long, b long"), "copies-links")
-
-
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK) -> DataFrame:
+def _edges(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of the pairs of rows, as edges of nodes."""
+    low = forest(len(node), a, b)
+    moved = np.flatnonzero(low != np.arange(len(node)))
+    return pa.record_batch([pa.array(node[moved]), pa.array(node[low[moved]])], names=["a", "b"])
+
+
+def _loose(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """For partitions sorted by (t, key, one, two): edges among the nodes of a key that are within `most` bits."""
+    for t in whole_runs(batches, 4):
+        new = np.zeros(t.num_rows, dtype=bool)
+        for c in ("t", "key", "one", "two"):
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        fp = np.stack([t.column(f"f{i}").to_numpy() for i in range(VERIFY)], axis=1).view(np.uint64)
+        yield _edges(t.column("node").to_numpy(), *_joined(np.cumsum(new), fp, most))
+
+
+def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) whose sets have a Jaccard similarity of `least` or more, exactly."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # hashes of one set alone count in no intersection
+    keep = count[column] > 1
+    owner, column = owner[keep], shared[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+        x, y = np.searchsorted(column, (at, at + 4096))
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[owner[x:y], column[x:y] - at] = 1
+        both += has[left] @ has[right].T
+    i, j = np.nonzero(both >= least * (size[left][:, None] + size[right][None, :] - both) - 1e-6)
+    return left[i], right[j]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """For partitions sorted by (loose, one, two): edges among the nodes of a loose component whose texts are similar enough."""
+    for t in whole_runs(batches, 3):
+        loose, one, two, chunk, node = (t.column(c).to_numpy() for c in ("loose", "one", "two", "chunk", "node"))
+        new = np.ones(t.num_rows, dtype=bool)
+        new[1:] = (loose[1:] != loose[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        start = np.append(np.flatnonzero(new), t.num_rows)
+        for x, y in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            if y - x < 2:
+                continue
+            sets = [shingles(v.as_py()) for v in t.column("text").slice(x, y - x)]
+            if one[x] == two[x]:
+                left = right = np.arange(y - x)
+            else:
+                left, right = np.flatnonzero(chunk[x:y] == one[x]), np.flatnonzero(chunk[x:y] == two[x])
+            yield _edges(node[x:y], *similar(sets, left, right, least))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(node, first_id, component) of every distinct text: its hash, the smallest id that has it, the hash that names its component.
 
     Texts without words are one class, linked with nothing else.
@@ -215,18 +205,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     bits, blocks = shape(docs.count(), least)
     own = _classes(docs, bits, blocks, id_col, text_col)
     nodes = settle(own.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "copies-classes")
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("node", "comp", F.posexplode("keys").alias("t", "key"), *[F.col("sketch")[i].alias(f"f{i}") for i in range(VERIFY)])
-
-    rows = keyed(nodes.withColumn("comp", F.lit(None).cast("long")))
-    chunks = deal(rows, ["t", "key"], "node", block, "copies-hot")
-    found = _verified(docs, _candidates(chunks(rows), most_bits(least)), text_col, least)
-    first = connected_components(found, "copies-cc").select("node", "component")
-    first = settle(nodes.select("node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "copies-first")
-    rows = keyed(nodes.join(first, "node"))
-    more = _verified(docs, _candidates(chunks(rows), most_bits(least)), text_col, least)
-    joined = connected_components(found.union(more), "copies-cc")
+    most, order = most_bits(least), ["t", "key", "one", "two"]
+    keyed = nodes.select("node", F.posexplode("keys").alias("t", "key"), *[F.col("sketch")[i].alias(f"f{i}") for i in range(VERIFY)])
+    keyed = deal(keyed, ["t", "key"], "node", block, "copies-hot")(keyed).select(*order, "node", *[f"f{i}" for i in range(VERIFY)])
+    found = keyed.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lambda x: _loose(x, most), "a long, b long")
+    loose = settle(connected_components(found, "copies-cc").select("node", F.col("component").alias("loose")), "copies-loose")
+    text = docs[text_col].cast("string")
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.cast("binary").alias("text"))
+    # nodes grow with the rows, so they are merged at every size and never broadcast; exact copies are one text
+    texts = settle(texts.join(loose.hint("merge"), "node").groupBy("node").agg(F.first("loose").alias("loose"), F.first("text").alias("text")), "copies-texts")
+    sized = texts.select("loose", "node", "text", F.octet_length("text").alias("bytes"))
+    order = ["loose", "one", "two"]
+    sized = deal(sized, ["loose"], "node", chunk, "copies-big", F.sum("bytes") / CHUNK_BYTES)(sized).select(*order, "chunk", "node", "text")
+    linked = sized.repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(lambda x: _linked(x, least), "a long, b long")
+    joined = connected_components(linked, "copies-cc")
     return nodes.select("node", "first_id").join(joined, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
 
 

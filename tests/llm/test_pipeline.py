@@ -106,7 +106,7 @@ def test_near_dedup_finds_near_copies(spark):
                 if copies.jaccard(sets[i], sets[j]) >= 0.8:
                     a, b = sorted((find(i), find(j)))
                     low[b] = a
-    got = copies.classes(docs, block=20).join(docs.selectExpr("doc_id", "xxhash64(text) node"), "node").collect()
+    got = copies.classes(docs, block=20, chunk=30).join(docs.selectExpr("doc_id", "xxhash64(text) node"), "node").collect()
     least = {}
     for r in got:
         least[r.component] = min(least.get(r.component, r.doc_id), r.doc_id)

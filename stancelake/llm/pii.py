@@ -1,13 +1,18 @@
 """Personal data by fixed patterns and by bootstrapped contexts, in JVM expressions alone.
 
-Base kinds are plain patterns with a check each. The method adds spans: every
-base span is a seed; the word before it and its shape (digits as 9) are a
-lexical pattern; number groups that are no base span are candidates with
-patterns of the same form. Over the graph of patterns and instances, a few
-rounds score a pattern by the mean score of its distinct instances and an
-instance by the chance that any of its patterns is right; seeds keep score 1.
-What stands in a pattern that is sure enough, and is sure enough itself, is
-reported as kind `context`.
+Base kinds are plain patterns with a check each. The method adds spans. Every
+base span is a seed; number groups that are no base span are candidates. The
+lexical patterns of both are what stands around them, whatever they look like
+themselves: the two words before, the two words after, and the word before
+where it ends like a label. Over the graph of patterns and instances, rounds
+score a pattern by the scores of the places that it holds over all places
+where its words stand in the corpus at all (so "of the" is a poor pattern),
+and an instance by the chance that any of its sure patterns is right; seeds
+keep score 1. A pattern is sure with `LEAST_CONFIDENCE` and with `LEAST_SUPPORT`
+distinct instances that are seeds or were found in earlier rounds, so what a
+round finds lets the next one reach new patterns. Rounds end when nothing new
+is found. Candidates with a sure pattern beside them and a score of
+`LEAST_SCORE` are reported as kind `context`.
 
 Positions come from the pieces between matches: Spark's split() and
 regexp_extract_all() walk the same matches, and length() counts code points.
@@ -31,10 +36,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<![0-9A-Za-z+])[+(]?+[0-9](?:[ ()./-]{0,2}+[0-9]){5,}+"
-ROUNDS = 3
-LEAST_SEEDS, LEAST_CONFIDENCE, LEAST_SCORE = 5, 0.8, 0.8
-_SPAN = "struct<s:int,e:int,t:string,l:string>"
+#: Groups of six digits or more, with up to three letters before them.
+CANDIDATE = r"(?<![0-9A-Za-z+])(?:[+(]|[A-Za-z]{1,3}+)?+[0-9](?:[ ()./-]{0,2}+[0-9]){5,}+(?![0-9A-Za-z])"
+#: ROUNDS only guards the loop: scores rise from round to round until they stay the same to six places.
+ROUNDS = 50
+LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SCORE = 5, 0.8, 0.8
+#: Patterns up to this number are broadcast to count their places.
+FEW = 100_000
+_SPAN = "struct<s:int,e:int,t:string,l:string,r:string>"
+_BLANK = r"[ \t\r\n]"
 
 
 def _digits(t: Column) -> Column:
@@ -80,13 +90,23 @@ def _mark(kind: str):
     return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(f"[{kind.upper()}]").alias("k"))
 
 
-def _places(hits: str, gaps: str) -> Column:
-    """The matches as structs: start, end (code points), text, and the word before."""
+def _places(hits: str, gaps: str, block: int = 128) -> Column:
+    """The matches as structs: start, end (code points), text, and the two words before and after.
+
+    Folds copy what they have gathered, so they run over blocks of matches, each from its own start.
+    """
     gap, hit = f"{gaps}[i - 1]", f"{hits}[i - 1]"
     start = f"a.pos + length({gap})"
-    left = f"lower(regexp_extract(substring({gap}, -120), '([^ \\\\t\\\\r\\\\n]{{1,40}})[ \\\\t\\\\r\\\\n]*$', 1))"
-    step = f"named_struct('pos', {start} + length({hit}), 'out', concat(a.out, array(named_struct('s', {start}, 'e', {start} + length({hit}), 't', {hit}, 'l', {left}))))"
-    return F.expr(f"if(size({hits}) > 0, aggregate(sequence(1, size({hits})), named_struct('pos', 0, 'out', cast(array() as array<{_SPAN}>)), (a, i) -> {step}, a -> a.out), cast(array() as array<{_SPAN}>))")
+    word = "[^ \\\\t\\\\r\\\\n]{1,40}"
+    left = f"lower(regexp_extract(substring({gap}, -120), '((?:{word}[ \\\\t\\\\r\\\\n]+)?{word})[ \\\\t\\\\r\\\\n]*$', 1))"
+    right = f"lower(regexp_extract(substring({gaps}[i], 1, 120), '^[ \\\\t\\\\r\\\\n]+({word}[ \\\\t\\\\r\\\\n]+{word})', 1))"
+    span = f"named_struct('s', {start}, 'e', {start} + length({hit}), 't', {hit}, 'l', {left}, 'r', {right})"
+    none, n = f"cast(array() as array<{_SPAN}>)", f"size({hits})"
+    blocks = f"sequence(0, ({n} - 1) div {block})"
+    size = f"aggregate(sequence(b * {block} + 1, least(b * {block} + {block}, {n})), 0, (x, i) -> x + length({gap}) + length({hit}))"
+    starts = f"aggregate(transform({blocks}, b -> {size}), array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    run = f"aggregate(sequence(b * {block} + 1, least(b * {block} + {block}, {n})), named_struct('pos', x, 'out', {none}), (a, i) -> named_struct('pos', {start} + length({hit}), 'out', concat(a.out, array({span}))), a -> a.out)"
+    return F.expr(f"if({n} > 0, flatten(zip_with({blocks}, slice({starts}, 1, ({n} - 1) div {block} + 1), (b, x) -> {run})), {none})")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,53 +130,87 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.withColumn("candidate", F.when(F.size("candidate") > 0, free).otherwise(F.col("candidate")))
 
 
-def _pattern(left: Column, shape: Column) -> Column:
-    return F.concat_ws("\u0001", left, shape)
+def _patterns(x: str) -> Column:
+    """The lexical patterns of a place x: what kind, and the words."""
+    l, r = (F.regexp_replace(F.col(f"{x}.{c}"), f"{_BLANK}+", " ") for c in "lr")
+    two, label = l.contains(" "), F.regexp_extract(l, "([^ ]+[:=#])$", 1)
+    return F.filter(F.array(F.when(two, F.concat(F.lit("before "), l)), F.when(r != "", F.concat(F.lit("after "), r)), F.when(label != "", F.concat(F.lit("label "), label))), F.isnotnull)
 
 
-def patterns(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(patterns with their confidence and seeds, instances with their score) of a table of spans."""
-    parts = []
-    for k in (*KINDS, "candidate"):
-        x = found.where(F.size(k) > 0).select(F.explode(k).alias("x")).select("x.*")
-        shape = F.lit("@") if k == "email" else F.regexp_replace("t", "[0-9]", "9")
-        parts.append(x.select(_pattern(F.col("l"), shape).alias("p"), F.lower("t").alias("v"), F.lit(0.0 if k == "candidate" else 1.0).alias("seed")))
+def edges(found: DataFrame) -> DataFrame:
+    """(p, v, n, seed) of a table of spans: pattern, instance, in how many places, and 1 where it is a base span."""
+    parts = [found.where(F.size(k) > 0).select(F.explode(k).alias("x")).select(F.explode(_patterns("x")).alias("p"), F.lower("x.t").alias("v"), F.lit(0.0 if k == "candidate" else 1.0).alias("seed")) for k in (*KINDS, "candidate")]
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.union(x)
-    edges = settle(rows.groupBy("p", "v").agg(F.max("seed").alias("seed")), "pii-edges")
-    scores = edges.groupBy("v").agg(F.max("seed").alias("score"))
-    seeds = scores.select("v", F.col("score").alias("is_seed"))
-    # both sides of every join are written tables, so that Spark can split a pattern with very many instances
-    conf = settle(edges.groupBy("p").agg((F.sum("seed") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds")), "pii-patterns")
+    return rows.groupBy("p", "v").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
+
+
+def places(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(p, n): how often the words of the patterns of known(p) stand in texts(text), whatever is beside them."""
+    words = texts.select(F.array_remove(F.split(F.lower("text"), f"{_BLANK}+"), "").alias("w"))
+    pairs = words.where(F.size("w") > 1).select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")).alias("q"))
+    single = words.select(F.explode(F.filter("w", lambda x: x.rlike("[:=#]$"))).alias("q"))
+    keys = known.select("p", F.regexp_replace("p", "^[a-z]+ ", "").alias("q"), (F.col("p").startswith("label ")).alias("one"))
+    keys = settle(keys, "pii-known")
+    if keys.count() <= FEW:
+        keys = F.broadcast(keys)
+    both = pairs.join(keys.where("not one"), "q").select("p").union(single.join(keys.where("one"), "q").select("p"))
+    return both.groupBy("p").agg(F.count("*").alias("n"))
+
+
+def patterns(graph: DataFrame, total: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(sure patterns, instances with their score) of written edges and written totals (p, total) of places."""
+    sure = None
+    scores = settle(graph.groupBy("v").agg(F.max("seed").alias("score")), "pii-scores")
+    seeds = settle(scores.where("score > 0"), "pii-seeds")
+    was = None
     for i in range(rounds):
-        doubt = edges.join(conf, "p").groupBy("v").agg(F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))).alias("doubt"))
-        scores = doubt.join(seeds, "v").select("v", F.when(F.col("is_seed") > 0, 1.0).otherwise(1 - F.col("doubt")).alias("score"))
-        scores = settle(scores, f"pii-scores-{i}")
-        conf = settle(edges.join(scores, "v").groupBy("p").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("seed").alias("seeds")), "pii-patterns")
-    return conf, scores
-
-
-def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, row_key, context): the candidates that sure patterns hold, by row of found that has any."""
-    conf, scores = patterns(found, rounds)
-    sure = conf.where((F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("seeds") >= LEAST_SEEDS)).select("p")
+        # both sides of every join are written tables, so that Spark can split a pattern with very many instances
+        held = graph.join(scores, "v").groupBy("p").agg(F.sum(F.col("n") * F.col("score")).alias("held"), F.count_if(F.col("score") >= LEAST_SCORE).alias("support"))
+        sure = held.join(total, "p").withColumn("confidence", F.col("held") / (F.col("total") + 1))
+        sure = settle(sure.where((F.col("support") >= LEAST_SUPPORT) & (F.col("confidence") >= LEAST_CONFIDENCE)).select("p", "confidence"), f"pii-sure-{i}")
+        found = graph.join(sure, "p").groupBy("v").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+        scores = settle(found.join(seeds.select("v"), "v", "left_anti").union(seeds), f"pii-scores-{i}")
+        now = (sure.count(), scores.agg(F.count_if(F.col("score") >= LEAST_SCORE), F.sum(F.round("score", 6).cast("decimal(20,6)"))).first())
+        if now == was:
+            break
+        was = now
+    return sure, scores
+
+
+def discovered(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
+    """(doc_id, row_key, context): the candidates that sure patterns hold, by row of found that has any; None if there are none."""
+    graph = settle(edges(found), "pii-edges")
+    # what can ever be sure: enough distinct instances, and a candidate to gain
+    known = settle(graph.groupBy("p").agg(F.count("*").alias("support"), F.sum("n").alias("own")).where(F.col("support") >= LEAST_SUPPORT), "pii-patterns")
+    graph = settle(graph.join(known.select("p"), "p"), "pii-graph")
+    if graph.where("seed = 0").isEmpty():
+        return None
+    total = known.join(places(texts, known), "p", "left").select("p", F.greatest("own", F.coalesce("n", F.lit(0))).alias("total"))
+    sure, scores = patterns(graph, settle(total, "pii-total"), rounds)
     x = found.where(F.size("candidate") > 0).select("doc_id", "row_key", F.explode("candidate").alias("x")).distinct()
-    x = x.select("doc_id", "row_key", "x", _pattern(F.col("x.l"), F.regexp_replace("x.t", "[0-9]", "9")).alias("p"), F.lower("x.t").alias("v"))
-    kept = x.join(sure, "p", "left_semi").join(scores.where(F.col("score") >= LEAST_SCORE), "v", "left_semi")
+    x = x.select("doc_id", "row_key", "x", F.explode(_patterns("x")).alias("p"), F.lower("x.t").alias("v"))
+    kept = x.join(sure, "p", "left_semi").join(scores.where(F.col("score") >= LEAST_SCORE), "v", "left_semi").select("doc_id", "row_key", "x").distinct()
     return kept.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("x")).alias("context"))
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Span arrays of every row of docs: the base kinds and `context` (see discovered).
 
-    A null text has no spans; a null id is kept; repeated rows give repeated
-    rows; an empty table gives none; other columns aren't read.
+    A null or empty text has no spans; a very long one is read whole; a null
+    id is kept; repeated rows give repeated rows, and count as places of their
+    own; an empty table gives none; other columns aren't read, whatever their
+    names.
     """
     found = settle(spans(docs, id_col, text_col), "pii-spans")
-    more = discovered(found).select(F.col("row_key").alias("k2"), F.col("doc_id").alias("d2"), "context")
+    none = F.array().cast(f"array<{_SPAN}>")
+    more = discovered(found, docs.select(F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")))
+    if more is None:
+        return found.select("doc_id", "row_key", *KINDS, none.alias("context"))
+    more = more.select(F.col("row_key").alias("k2"), F.col("doc_id").alias("d2"), "context")
     joined = found.join(more, (F.col("row_key") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left")
-    return joined.select("doc_id", "row_key", *KINDS, F.coalesce("context", F.array().cast(f"array<{_SPAN}>")).alias("context"))
+    return joined.select("doc_id", "row_key", *KINDS, F.coalesce("context", none).alias("context"))
 
 
 def _line(kinds: tuple[str, ...]) -> Column:
@@ -171,7 +225,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; all columns stay, rows without spans as they are."""
+    """docs with every span replaced by its kind in brackets, of spans that overlap the first one alone.
+
+    All columns stay, whatever their names, and rows without spans as they
+    are, null and empty texts among them. Rows keep their number, repeated
+    ones and those without an id too; an empty table gives none.
+    """
     own = annotate(docs, id_col, text_col)
     tagged = F.concat(*[F.transform(k, _mark(k)) for k in (*KINDS, "context")])
     marks = own.select(F.col("row_key").alias("__pii_key"), F.col("doc_id").alias("__pii_id"), F.array_sort(tagged).alias("__pii_marks")).where(F.size("__pii_marks") > 0)

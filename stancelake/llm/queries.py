@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

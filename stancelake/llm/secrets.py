@@ -9,14 +9,20 @@ segment counts: cost(end, count) adds up the logarithms of the segments'
 guesses, and a cut into c segments has c! orders to try, as in published
 password strength estimators. A value whose cheapest cut still needs at least
 10**`LEAST` guesses is reported.
+
+The dictionary is a short list of password words, and after it the words of a
+public tokenizer's vocabulary in its order, which is that of their frequency:
+tens of thousands of words, so that ordinary prose isn't taken for a secret.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +40,6 @@ CONTEXT = re.compile(
 )
 #: log10 of the guesses from which a value is a secret.
 LEAST = 10.0
-#: The most segments of a cut: the cheapest segment costs log10(2), so 11 of them with their 11! orders need over 10**LEAST.
-MOST = 10
 
 # Common password words, most frequent first.
 WORDS = """password qwerty dragon letmein monkey football iloveyou admin welcome login master hello princess
@@ -45,7 +49,8 @@ banana purple silver golden diamond magic ninja default guest root test user cha
 example server database system manager office company love god sex money star happy lucky angel baby
 the and for you not with this that have from your are was one our out""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST_WORD = max(map(len, WORDS))
+#: Words of a vocabulary are at most so long; longer ones are cut up like anything else.
+LONGEST_WORD = 24
 LEET = str.maketrans("@4301!$5+7", "aaeoiisstt")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _BESIDE = {(a, b) for row in ROWS for a, b in zip(row, row[1:])} | {(up[i], low[j]) for up, low in zip(ROWS[1:], ROWS[2:]) for i in range(len(up)) for j in (i - 1, i) if 0 <= j < len(low)}
@@ -53,20 +58,34 @@ _BESIDE |= {(b, a) for a, b in _BESIDE}
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
+@lru_cache(maxsize=4)
+def dictionary(path: str | None) -> Mapping[str, int]:
+    """Ranks of words: the password words, then the whole words of a byte-level vocabulary file, in its order."""
+    rank = dict(RANK)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        for token in sorted(ids, key=ids.get):
+            word = token[1:].lower()
+            if token[0] == "\u0120" and 3 <= len(word) <= LONGEST_WORD and word.isascii() and word.isalpha():
+                rank.setdefault(word, len(rank) + 1)
+    return rank
+
+
+def _class(c: str) -> tuple[int, int]:
+    """A character's class and how many characters it has."""
+    return (0, 10) if "0" <= c <= "9" else (1, 26) if "a" <= c <= "z" else (2, 26) if "A" <= c <= "Z" else (3, 33)
+
+
 def _alphabet(piece: str) -> int:
-    size = 0
-    size += 10 if re.search(r"[0-9]", piece) else 0
-    size += 26 if re.search(r"[a-z]", piece) else 0
-    size += 26 if re.search(r"[A-Z]", piece) else 0
-    size += 33 if re.search(r"[^0-9a-zA-Z]", piece) else 0
-    return max(size, 1)
+    return max(sum(size for _, size in set(map(_class, piece))), 1)
 
 
 class _Segments:
-    """The segments of a value by their start, brute force aside; starts are asked for in rising order."""
+    """The segments of a value by their start; starts are asked for in rising order."""
 
-    def __init__(self, value: str):
-        self.value, self.low = value, value.lower()
+    def __init__(self, value: str, rank: Mapping[str, int]):
+        self.value, self.low, self.rank = value, value.lower(), rank
         self.plain = self.low.translate(LEET)
         self.until = [0] * 17  # for each period: up to where the value repeats itself at that distance
 
@@ -81,10 +100,19 @@ class _Segments:
     def at(self, i: int, enough: float) -> Iterator[tuple[int, float]]:
         """(end, log10 guesses) of the segments that start at i and cost less than `enough`."""
         value, low, plain, n = self.value, self.low, self.plain, len(self.value)
+        size, met = 0, set()
+        for j in range(i + 1, n + 1):  # brute force over the span's own alphabet
+            kind, more = _class(value[j - 1])
+            if kind not in met:
+                met.add(kind)
+                size += more
+            if (cost := (j - i) * math.log10(size)) >= enough:
+                break
+            yield j, cost
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j])
+            rank = self.rank.get(low[i:j])
             extra = 0.0
-            if rank is None and (rank := RANK.get(plain[i:j])):
+            if rank is None and (rank := self.rank.get(plain[i:j])):
                 extra = math.log10(2) * sum(a != b for a, b in zip(low[i:j], plain[i:j]))
             if rank:
                 piece = value[i:j]
@@ -114,53 +142,44 @@ class _Segments:
                     yield j, cost
 
 
-def guesses(value: str, enough: float = math.inf) -> float:
-    """log10 of the guesses of the cheapest cut; 0 for an empty value.
+def guesses(value: str, enough: float = math.inf, rank: Mapping[str, int] = RANK) -> float:
+    """log10 of the guesses of the cheapest cut, of any number of segments; 0 for an empty value.
 
-    One programme over the whole value, forward from its start. A brute-force
-    span costs the value's alphabet for each character. The cost is exact if
-    it is under `enough`, and `enough` otherwise: cuts are given up as soon as
-    they reach it, so that a long random value ends after a few characters.
+    One programme over the whole value, forward from its start. The cost is
+    exact if it is under `enough`, and `enough` otherwise: cuts are given up as
+    soon as they reach it, so that a long random value ends after a few
+    characters. A cut to a place is also given up if another one with no more
+    segments is no dearer.
     """
     n = len(value)
     if not n:
         return 0.0
-    per = math.log10(_alphabet(value))
-    orders = [math.log10(math.factorial(c)) for c in range(MOST + 1)]
-    segments = _Segments(value)
-    # by place: the least cost for each number of segments, of cuts that end there and of those whose brute force goes on
-    cuts: dict[int, list[float]] = {0: [0.0] + [math.inf] * MOST}
-    brute: dict[int, list[float]] = {}
-
-    def put(where: dict[int, list[float]], j: int, c: int, cost: float) -> None:
-        if cost + orders[c] < enough:
-            row = where.get(j)
-            if row is None:
-                row = where[j] = [math.inf] * (MOST + 1)
-            if cost < row[c]:
-                row[c] = cost
-
+    segments = _Segments(value, rank)
+    orders = [0.0]
+    cuts: dict[int, dict[int, float]] = {0: {0: 0.0}}  # by place: the least cost for each number of segments
     for i in range(n):
-        best, going = cuts.pop(i, None), brute.pop(i, None)
-        if best is None and going is None:
-            if not cuts and not brute:
+        best = cuts.pop(i, None)
+        if best is None:
+            if not cuts:
                 return enough
             continue
-        if going is not None:
-            best = going if best is None else [min(a, b) for a, b in zip(best, going)]
-            for c, cost in enumerate(going):
-                put(brute, i + 1, c, cost + per)
-        open_ = [(c, cost) for c, cost in enumerate(best[:MOST]) if cost < math.inf]
-        for c, cost in open_:
-            put(brute, i + 1, c + 1, cost + per)
-        for j, more in segments.at(i, enough) if open_ else ():
+        open_, low = [], math.inf
+        for c in sorted(best):
+            if best[c] < low:
+                low = best[c]
+                open_.append((c + 1, low))
+        while len(orders) <= open_[-1][0]:
+            orders.append(orders[-1] + math.log10(len(orders)))
+        for j, more in segments.at(i, enough):
             for c, cost in open_:
-                put(cuts, j, c + 1, cost + more)
-    ends = [row[c] + orders[c] for row in (cuts.get(n), brute.get(n)) if row for c in range(1, MOST + 1)]
-    return min(ends, default=enough)
+                if cost + more + orders[c] < enough:
+                    row = cuts.setdefault(j, {})
+                    if cost + more < row.get(c, math.inf):
+                        row[c] = cost + more
+    return min((cost + orders[c] for c, cost in cuts.get(n, {}).items()), default=enough)
 
 
-def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def find(text: str, rank: Mapping[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, added spans) as (start, kind's number, end), each in order.
 
     Base spans are leftmost and non-overlapping within their kind. An added
@@ -185,7 +204,7 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
         while a < b:
             cut, on = (base[at][0], base[at][2]) if at < len(base) and base[at][0] < b else (b, b)
             end = a + len(text[a:cut].rstrip("\"'`,;:.)]}>"))
-            if end - a >= 8 and guesses(text[a:end], LEAST) >= LEAST:
+            if end - a >= 8 and guesses(text[a:end], LEAST, rank) >= LEAST:
                 added.append((a, 3, end))
             a = max(a, on)
             while at < len(base) and base[at][0] <= a and a < b:
@@ -199,20 +218,25 @@ def _line(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, words: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_guess, base_sha256, spans) of every row of docs.
 
-    Null text counts as empty: no spans. A null id is kept; repeated rows
-    give repeated rows; an empty table gives none; other columns aren't read.
+    `words` is the place of a byte-level tokenizer's vocabulary file, the same
+    on every machine, that gives the dictionary (without it: the password
+    words alone). Null text counts as empty: no spans. Very long texts and
+    values are read whole; of cuts that tie any one gives the cost. A null id
+    is kept; repeated rows give repeated rows; an empty table gives none; other
+    columns aren't read, whatever their names.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = dictionary(words)
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
             for x in batch.column(1):
-                base, added = find(x.as_py() or "")
+                base, added = find(x.as_py() or "", rank)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 row = (*n, len(added), hashlib.sha256(_line(base).encode()).hexdigest(), _line(sorted(base + added)))
                 for column, value in zip(out, row, strict=True):

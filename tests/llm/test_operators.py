@@ -85,7 +85,7 @@ def test_long_secrets():
             assert secrets.find(f"my {word}{key} after")[1] == [(3 + len(word), 3, 3 + len(word) + n)]
     for cheap in ("-" * 200, "ab" * 400, "abcdefghijklmnopqrstuvwxyz" + "=" * 300, "-" * 100_000, "password" * 9, "secret" + "." * 200 + "2024"):
         assert secrets.find(f"pin: {cheap} after")[1] == []
-        assert secrets.guesses(cheap) < secrets.LEAST
+        assert secrets.guesses(cheap, secrets.LEAST) < secrets.LEAST
     # what lies around a base span within a value is marked beside it
     text = "auth: x9$Kq2!mZp#0123456789abcdef#Vt7#pLw0zR end"
     base, added = secrets.find(text)
@@ -96,6 +96,58 @@ def test_long_secrets():
         assert secrets.guesses(v, secrets.LEAST) == min(secrets.guesses(v), secrets.LEAST)
 
 
+def brute_cost(v, rank):
+    """The cheapest of all cuts into brute force, words, dates, repeats and walks, tried one by one."""
+
+    def piece(x):
+        kinds = {0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in x}
+        out = [len(x) * math.log10(sum((10, 26, 26, 33)[k] for k in kinds))]
+        case = 0 if x.islower() else math.log10(2) if x.isupper() or x[1:].islower() else math.log10(2) * len(x)
+        low, plain = x.lower(), x.lower().translate(secrets.LEET)
+        if low in rank:
+            out.append(math.log10(rank[low] + 1) + case)
+        elif plain in rank:
+            out.append(math.log10(rank[plain] + 1) + case + math.log10(2) * sum(a != b for a, b in zip(low, plain)))
+        if (m := secrets.DATE.match(x)) and m.end() == len(x):
+            out.append(math.log10(200 * (365 if len(x) > 4 else 1)) + (math.log10(4) if len(x) > 8 else 0))
+        if len(x) >= 3 and len(set(x)) == 1:
+            out.append(math.log10(secrets._alphabet(x[0]) * len(x)))
+        return min(out)
+
+    best = math.inf
+    for mask in range(1 << (len(v) - 1)):
+        cut = [0, *(i + 1 for i in range(len(v) - 1) if mask >> i & 1), len(v)]
+        best = min(best, sum(piece(v[a:b]) for a, b in zip(cut, cut[1:])) + math.log10(math.factorial(len(cut) - 1)))
+    return best
+
+
+def test_cheapest_of_all_cuts():
+    """The programme against every cut of short values without walks or longer units."""
+    rnd = random.Random(8)
+    for _ in range(250):
+        v = "".join(rnd.choices(["cat", "D0g", "7", "k", "X", "#", "000", "2019", "q8", "Love"], k=rnd.randint(1, 4)))[:11]
+        low = v.lower()
+        if any(abs(ord(a) - ord(b)) == 1 or (a, b) in secrets._BESIDE for a, b in zip(low, low[1:])) or re.search(r"(.{2,})\1", v):
+            continue
+        rank = {"cat": 40, "dog": 700, "love": 3}
+        assert abs(secrets.guesses(v, rank=rank) - brute_cost(v, rank)) < 1e-9, v
+    words = secrets.dictionary(vocabulary("byte_bpe_50k.json"))
+    ten = "password" + "".join(list(secrets.RANK)[5:14])
+    assert secrets.guesses(ten) <= sum(math.log10(i + 1) for i in [1, *range(6, 15)]) + math.log10(math.factorial(10)) + 1e-9
+    assert len(words) > 20_000
+
+
+def test_prose_is_no_secret():
+    words = secrets.dictionary(vocabulary("byte_bpe_50k.json"))
+    for t in ("The secret is understanding each other", "password is required", "login: administrator", "the token is unforgettable", "Authentication is handled elsewhere; auth: middleware"):
+        assert secrets.find(t, words) == ([], [])
+    assert len(secrets.find("passphrase: correct-horse-battery-staple", words)[1]) == 1
+    rnd = random.Random(2)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789#$%&*"
+    found = sum(bool(secrets.find(f"pwd: {''.join(rnd.choices(letters, k=12))} ok", words)[1]) for _ in range(300))
+    assert found >= 297
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 

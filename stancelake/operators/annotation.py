@@ -12,6 +12,10 @@ from stancelake.contracts import trusted, unit_interval
 from stancelake.functions.labels import normalise
 
 BATCH = 40
+#: What an annotator adds to a clause.
+PAYLOAD = ("process_type", "mood", "modality", "modality_milli", "tenor", "tenor_milli", "theme_type", "topical_theme", "annotation_source", "untrusted")
+#: Tries in all, and with an annotator that asks to slow down; seconds between them double, up to LONGEST.
+TRIES, TRIES_WHEN_BUSY, LONGEST = 3, 5, 30.0
 RAW = "clause_id string, mood_raw string, modality_raw double, tenor_raw double, theme_raw string"
 #: A batch annotator: clauses' texts to (mood, modality, tenor, theme) or None for a miss, in order.
 Batch = Callable[[list[str]], list[tuple[str, float, float, str] | None]]
@@ -27,36 +31,85 @@ def stub() -> dict[str, Column]:
     return {**fallback(), "annotation_source": F.lit("stub")}
 
 
-def with_retry(call: Batch, tries: int = 3, wait: Callable[[int], None] | None = None) -> Batch:
-    """call again after an error, `tries` times in all; then every clause of the batch is a miss."""
+class Busy(Exception):
+    """An annotator that asks to be called later, after so many seconds if it says so."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__(f"busy, again after {after} s")
+        self.after = after
+
+
+def delay(tried: int, after: float | None = None, first: float = 1.0) -> float:
+    """Seconds to wait after so many tries: what was asked for, or else doubled each time; `LONGEST` at most."""
+    return min(LONGEST, after if after is not None else first * 2 ** (tried - 1))
+
+
+def with_retry(call: Batch, tries: int = TRIES, wait: Callable[[float], None] | None = None) -> Batch:
+    """call again after an error, `tries` times in all (`TRIES_WHEN_BUSY` if it is Busy); then every clause of the batch is a miss.
+
+    wait gets the seconds (time.sleep in production).
+    """
 
     def run(texts: list[str]) -> list:
-        for i in range(tries):
+        tried = 0
+        while True:
+            tried += 1
             try:
                 return call(texts)
-            except Exception:
+            except Exception as e:
+                busy = isinstance(e, Busy)
+                if tried >= (max(tries, TRIES_WHEN_BUSY) if busy else tries):
+                    return [None] * len(texts)
                 if wait:
-                    wait(i)
-        return [None] * len(texts)
+                    wait(delay(tried, e.after if busy else None))
 
     return run
 
 
 def annotate(clauses: DataFrame, call: Batch, batch: int = BATCH) -> DataFrame:
-    """(clause_id, raw values) for the clauses that the annotator answers, in batches of at most `batch`."""
+    """(clause_id, raw values) for the clauses that the annotator answers, in batches of at most `batch`.
+
+    Batches run on over the frames that Spark hands in, so a partition has one
+    that is short at most. Answers come in order, or as (index, answer) pairs
+    that say which clause of the batch they belong to; others are dropped.
+    """
+    names = ["clause_id", "mood_raw", "modality_raw", "tenor_raw", "theme_raw"]
+
+    def answered(part: pd.DataFrame) -> list[tuple]:
+        answers = list(call(part["ctext"].tolist()))
+        if all(a is not None and len(a) == 2 and isinstance(a[0], int) for a in answers):
+            by_index = {i: a for i, a in answers if 0 <= i < len(part)}
+        else:
+            by_index = dict(enumerate(answers[: len(part)]))
+        ids = part["clause_id"].tolist()
+        return [(ids[i], *a) for i, a in sorted(by_index.items(), key=lambda x: x[0]) if a is not None]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for pdf in frames:
-            out = []
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                answers = list(call(part["ctext"].tolist()))[: len(part)]
-                out += [(c, *a) for c, a in zip(part["clause_id"], answers) if a is not None]
-            yield pd.DataFrame(out, columns=["clause_id", "mood_raw", "modality_raw", "tenor_raw", "theme_raw"])
+            held = pdf if held is None else pd.concat([held, pdf])
+            full = len(held) // batch * batch
+            if full:
+                out = [x for at in range(0, full, batch) for x in answered(held.iloc[at : at + batch])]
+                held = held.iloc[full:]
+                yield pd.DataFrame(out, columns=names)
+        if held is not None and len(held):
+            yield pd.DataFrame(answered(held), columns=names)
 
     return clauses.select("clause_id", "ctext").mapInPandas(run, RAW)
 
 
+def annotate_one(text: str, call: Batch) -> dict:
+    """The payload of a single clause, by the same contract and defaults as a batch's."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    row = spark.createDataFrame([("one", text)], "clause_id string, ctext string")
+    answer = (list(call([text])) or [None])[0]
+    raw = spark.createDataFrame([("one", *answer)] if answer is not None else [], RAW)
+    return payloads(row, raw).first().asDict()
+
+
 def payloads(clauses: DataFrame, raw: DataFrame) -> DataFrame:
     """Raw answers joined by id, each held to its contract; misses and broken answers get the defaults."""
     j = clauses.join(normalise(normalise(raw, "mood_raw"), "theme_raw", "theme_type"), "clause_id", "left")

@@ -54,7 +54,36 @@ def gate(deterministic: Column, mode: Column, confidence: Column, form: Column)
     return F.when(sure, "dispatch").when(form.isNotNull() & (form != "unknown"), "low_confidence").otherwise("draft")
 
 
-def run_state(status: Column, heartbeat: Column, as_of: Column, after_s: int = 30) -> Column:
-    """running, stalled (no heartbeat for longer than after_s), or the stored status."""
+#: What a hit of retrieval shows, and a row of the review queue.
+HIT_COLUMNS = ("clause_id", "section_id", "ctext", "process_type", "mood", "modality", "tenor", "theme_type", "annotation_source", "score")
+QUEUE_COLUMNS = ("clause_id", "section_id", "document_key", "collection", "idx", "ctext", "process_type", "mood", "modality", "tenor", "theme_type", "topical_theme", "annotation_source", "queued_at")
+
+
+def projected(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """df in these columns, in this order; one that it lacks is null."""
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns])
+
+
+def parameters(raw: dict[str, str | None]) -> dict:
+    """Parameters of a request: blanks are nulls, numbers are numbers, limit is 1 or more and offset 0 or more; the old key `id` is refused."""
+    if "id" in raw:
+        raise ValueError("id is no longer taken; use clause_id")
+    out: dict = {}
+    for k, v in raw.items():
+        v = v.strip() if isinstance(v, str) else v
+        if v in ("", None):
+            out[k] = None
+        elif k in ("limit", "offset"):
+            out[k] = max(1 if k == "limit" else 0, int(v))
+        elif k.startswith(("min_", "max_")):
+            out[k] = float(v)
+        else:
+            out[k] = v
+    return out
+
+
+def run_state(status: Column, heartbeat: Column, as_of: Column, after_s: int = 30, alive: Column | None = None) -> Column:
+    """running, stalled (no heartbeat for longer than after_s), dead (that, and its process is known to be gone), or the stored status."""
     late = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(heartbeat.cast("timestamp")) > after_s * 1_000_000
-    return F.when(status != "running", status).when(late, "stalled").otherwise("running")
+    gone = F.lit(False) if alive is None else ~F.coalesce(alive, F.lit(True))
+    return F.when(status != "running", status).when(late & gone, "dead").when(late, "stalled").otherwise("running")

@@ -1,34 +1,67 @@
-"""Trees and graphs: closures by recursive SQL, leaves, cycles, selections."""
+"""Trees and graphs: closures by doubled steps, leaves, cycles, selections.
+
+A closure of any depth takes as many joins as the depth has bits. Every step is
+a written table, so neither the plan nor the lineage grows with the depth.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 32
-
-
-def _view(df: DataFrame, name: str) -> str:
-    df.createOrReplaceTempView(name)
-    return name
+from stancelake.tables import settle
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, level) from (node, parent): all ancestors of every node (or of seeds(node)), nearest at level 1.
 
-    Stops at `depth` levels, so a cycle ends too.
+    `jump` holds everybody's ancestors 2**k levels up; what is known up to
+    there gives, with one join, all twice as far. Depth has no limit. On a
+    cycle every node is an ancestor of the others and of itself, at its least
+    level; a node may have several parents.
     """
-    spark = edges.sparkSession
-    e = _view(edges.where("parent is not null").select("node", "parent"), "stancelake_edges")
-    s = _view((seeds if seeds is not None else edges).select("node").distinct(), "stancelake_seeds")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, level) AS (
-            SELECT e.node, e.parent, 1 FROM {e} e JOIN {s} s ON e.node = s.node
-            UNION ALL
-            SELECT u.node, e.parent, u.level + 1 FROM up u JOIN {e} e ON e.node = u.ancestor WHERE u.level < {depth}
-        )
-        SELECT DISTINCT node, ancestor, level FROM up
-    """)
+    jump = settle(edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("up")).distinct(), "graph-jump")
+    start = (seeds if seeds is not None else edges).where("node is not null").select("node").distinct()
+    known = start.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level"))
+    reach, nodes = 1, None
+    while not jump.isEmpty():
+        further = known.join(jump.select(F.col("node").alias("ancestor"), "up"), "ancestor").select("node", F.col("up").alias("ancestor"), (F.col("level") + reach).alias("level"))
+        known = settle(known.union(further), "graph-known")
+        if nodes is None and reach >= 64:  # deep trees and cycles alike come here; a path without a cycle ends before all nodes
+            nodes = edges.select("node").union(edges.select("parent")).distinct().count()
+        if nodes is not None and reach > nodes:
+            break
+        jump = settle(jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up").distinct(), "graph-jump")
+        reach *= 2
+        if nodes is not None:  # on cycles the same pair comes again at higher levels
+            known = settle(known.groupBy("node", "ancestor", (F.col("level") == 0).alias("own")).agg(F.min("level").alias("level")).drop("own"), "graph-known")
+    return known.where("level > 0").groupBy("node", "ancestor").agg(F.min("level").alias("level"))
+
+
+def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, descendant, level): everything below seeds(node), nearest at level 1."""
+    turned = edges.where("parent is not null").select(F.col("parent").alias("node"), F.col("node").alias("parent"))
+    return ancestors(turned, seeds).withColumnRenamed("ancestor", "descendant")
+
+
+def owners(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
+    """(node, owner): the nearest node of this kind at or above each of seeds(node), from kinds(node, kind)."""
+    up = ancestors(edges, seeds).unionByName(seeds.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level")))
+    of = kinds.where(F.col("kind") == kind).select(F.col("node").alias("ancestor"))
+    return up.join(of, "ancestor").groupBy("node").agg(F.min_by("ancestor", F.struct("level", "ancestor")).alias("owner"))
+
+
+def admitted(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new edges that may be written, those that would close a cycle with old or with one another), checked before a write."""
+    on = settle(cycles(old.select("node", "parent").union(new.select("node", "parent"))), "graph-cycles")
+    ends = on.select(F.col("node").alias("parent"))
+    bad = new.join(on, "node", "left_semi").join(ends, "parent", "left_semi").select(*new.columns)
+    return new.join(bad.select("node", "parent").distinct(), ["node", "parent"], "left_anti").select(*new.columns), bad
+
+
+def selection_counts(states: DataFrame) -> DataFrame:
+    """(full, partial, none): how many nodes are in each state."""
+    return states.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("full", "partial", "none")])
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -36,11 +69,6 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.select("node").distinct().join(edges.select(F.col("parent").alias("node")).where("node is not null").distinct(), "node", "left_anti")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: in the shared checkpoint folder, or in the executors where none is named (tests)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def cycles(edges: DataFrame) -> DataFrame:
     """Nodes that are their own ancestor, at any distance; (node, parent), a node may have several parents.
 
@@ -48,18 +76,18 @@ def cycles(edges: DataFrame) -> DataFrame:
     there are edges, what hasn't reached a root stands on a cycle, and all of
     every cycle is stood on. Otherwise the closure is doubled until it is whole.
     """
-    e = _cut(edges.where("node is not null and parent is not null").select("node", "parent").distinct())
+    e = settle(edges.where("node is not null and parent is not null").select("node", "parent").distinct(), "graph-edges")
 
     def hop(up: DataFrame) -> DataFrame:
         return up.alias("a").join(up.alias("b"), F.col("a.parent") == F.col("b.node")).select("a.node", "b.parent")
 
     if e.groupBy("node").count().where("count > 1").isEmpty():
         for _ in range(e.count().bit_length()):
-            e = _cut(hop(e))
+            e = settle(hop(e), "graph-hop")
         return e.select(F.col("parent").alias("node")).distinct()
     was, now = 0, e.count()
     while now != was:
-        e = _cut(e.union(hop(e)).distinct())
+        e = settle(e.union(hop(e)).distinct(), "graph-closure")
         was, now = now, e.count()
     return e.where("node = parent").select("node").distinct()
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake.operators import catalog, clauses as cl, conversation as cv, filters, graph, kb, retrieval, sinks
-from stancelake.sources.loaders import catalogue, section_shape, text_files
+from stancelake import tables
+from stancelake.operators import annotation, catalog, clauses as cl, conversation as cv, filters, graph, kb, retrieval, sinks
+from stancelake.sources.loaders import BY_EXTENSION, RECORDS, catalogue, section_shape, text_files
+from stancelake.sources.routing import corpus, extension
 
 Annotator = Callable[[DataFrame], DataFrame]
 
@@ -23,26 +26,55 @@ class Engine:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def load(self, path: str, loader: str) -> DataFrame:
-        return self.loaders.resolve(loader)(text_files(self.spark, path))
+    def load(self, path: str, loader: str, **options) -> DataFrame:
+        """Units of the files at path by one loader; readers of records (csv, json) take the path itself, and options."""
+        make = self.loaders.resolve(loader)
+        return make(self.spark, path, **options) if loader in RECORDS else make(text_files(self.spark, path), **options)
+
+    def load_folder(self, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(units, warnings(path, problem)): every file of a folder by the loader of its extension.
+
+        A file that gives no unit is a warning, not an error.
+        """
+        files = corpus(self.spark, root, ignore, extensions=tuple(BY_EXTENSION))
+        kind = extension(F.col("path"))
+        text = files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("content"), "modified")
+        parts = [self.loaders.resolve(loader)(text.where(kind == e)) for e, loader in BY_EXTENSION.items()]
+        units = reduce(lambda a, b: a.unionByName(b), parts)
+        silent = files.select("path").join(units.select(F.col("source_path").alias("path")).distinct(), "path", "left_anti")
+        return units, silent.select("path", F.lit("no units").alias("problem"))
 
     def compile(self, units: DataFrame) -> DataFrame:
         """Units to annotated clauses with stable ids."""
         rows = self.annotate(cl.split_clauses(units))
         return rows.withColumn("stable_id", cl.stable_id(F.col("section_id"), F.col("idx"), F.col("ctext")))
 
+    def read(self, name: str) -> DataFrame | None:
+        """The current version of a stored table."""
+        return tables.current(self.spark, self.path(name))
+
     def store(self, clauses: DataFrame, name: str = "clauses") -> None:
-        """Replace whole sections: new rows, and the old ones of other sections, written beside and moved in by name."""
-        try:
-            old = self.spark.read.parquet(self.path(name))
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            clauses.write.parquet(self.path(name))
-            return
-        fresh = f"{self.path(name)}-next"
-        catalog.replace_section(old, clauses.select(*old.columns)).write.mode("overwrite").parquet(fresh)
-        self.spark.read.parquet(fresh).write.mode("overwrite").parquet(self.path(name))
+        """Replace whole sections: new rows and the old ones of other sections make a new version, then the pointer moves."""
+        old = self.read(name)
+        tables.publish(clauses if old is None else catalog.replace_section(old, clauses.select(*old.columns)), self.path(name))
+
+    def decide(self, clause_id: str, decision: str, at: str, annotate: Annotator | None = None, clauses: str = "clauses", reviews: str = "reviews") -> None:
+        """Record a review decision; re_annotated runs the annotator over the clause and replaces its payload.
+
+        Both tables get their new versions before either pointer moves on: the
+        payload first, so that a decision never stands without its payload.
+        """
+        rows = self.read(clauses)
+        one = rows.where(F.col("clause_id") == clause_id)
+        if one.isEmpty():
+            raise KeyError(f"no clause {clause_id}")
+        if decision == "re_annotated":
+            fresh = (annotate or self.annotate)(one.drop(*annotation.PAYLOAD))
+            kept = [c for c in annotation.PAYLOAD if c in rows.columns]
+            tables.publish(annotation.update_payload(rows, fresh.select("clause_id", *[c for c in kept if c in fresh.columns]), "clause_id", [c for c in kept if c in fresh.columns]), self.path(clauses))
+        log = catalog.decisions(one.select("clause_id"), decision, at)
+        old = self.read(reviews)
+        tables.publish(log if old is None else old.unionByName(log), self.path(reviews))
 
     def sections(self, units: DataFrame) -> DataFrame:
         return section_shape(units)

@@ -211,6 +211,16 @@ def claude(files: DataFrame) -> DataFrame:
     return _units(m, F.concat("uuid", F.lit("#turn-"), F.col("turn").cast("string")), F.col("mes"), document_key=F.col("uuid"), speaker=F.when(human, "Human").otherwise("Assistant"), is_user=human, sent_at=F.col("m.created_at").try_cast("timestamp"), metadata=meta)
 
 
+def claude_memories(files: DataFrame) -> DataFrame:
+    """The memory texts of an export's memories file: of conversations, and of each project; blank ones are left out."""
+    shape = "array<struct<account_uuid:string,conversations_memory:string,project_memories:map<string,string>>>"
+    m = files.select("path", F.posexplode(F.from_json(_conversations(F.col("content")), shape)).alias("pos", "m")).select("path", "pos", "m.*")
+    whole = m.select("path", "pos", F.lit("conversations").alias("of"), F.col("conversations_memory").alias("text"))
+    each = m.select("path", "pos", F.explode("project_memories").alias("of", "text"))
+    rows = whole.unionByName(each).where(F.trim("text") != "")
+    return _units(rows, F.concat(file_id(F.col("path")), F.lit("#memory-"), F.col("pos").cast("string"), F.lit("-"), F.col("of")), F.trim("text"), heading=F.col("of"), metadata=F.create_map(F.lit("content_type"), F.lit("memory")))
+
+
 def mistral(files: DataFrame) -> DataFrame:
     """A flat list of messages; the chat's id is the first message's, or else the file's name."""
     c = files.select("path", F.from_json("content", "array<struct<id:string,chatId:string,content:string,role:string,createdAt:string>>").alias("a"))
@@ -223,11 +233,26 @@ def mistral(files: DataFrame) -> DataFrame:
 # --- documents ----------------------------------------------------------------------------------
 
 
+_FRONT = r"(?s)\A---\n(.*?)\n---[ \t]*(?:\n|\z)"
+
+
+def front_matter(front: Column) -> Column:
+    """The plain `key: value` lines of a front matter as a map, quotes taken off; lists and nested values stay text."""
+    lines = F.filter(F.split(front, "\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*\s*:"))
+    pair = lambda x: F.struct(F.concat(F.lit("front."), F.regexp_extract(x, r"^([\w-]+)", 1)).alias("k"), F.btrim(F.trim(F.regexp_extract(x, r"^[\w-]+\s*:(.*)$", 1)), F.lit("\"'")).alias("v"))
+    pairs = F.transform(lines, pair)
+    # of a key that stands twice, the last one
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)
+
+
 def markdown(files: DataFrame, least: int = LEAST_TEXT) -> DataFrame:
     """A unit for every heading's section and one for what stands before the first; short ones are left out; parents by level."""
-    body = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"(?s)\A---\n.*?\n---\n?", "")
-    # a mark before every heading line outside fences
-    rows = files.select("path", F.posexplode(F.split(body, r"(?m)(?=^#{1,6} )")).alias("pos", "chunk")).where(F.trim("chunk") != "")
+    whole = F.regexp_replace("content", "\r\n?", "\n")
+    front = F.regexp_extract(whole, _FRONT, 1)
+    # fenced blocks go before the split: a # within them is no heading, and code is no prose
+    body = F.regexp_replace(F.regexp_replace(whole, _FRONT, ""), r"(?ms)^[ ]{0,3}(```+|~~~+)[^\n]*\n.*?(?:^[ ]{0,3}\1[`~]*[ \t]*$|\z)", "")
+    rows = files.select("path", front.alias("front"), F.posexplode(F.split(body, r"(?m)(?=^#{1,6} )")).alias("pos", "chunk")).where(F.trim("chunk") != "")
     head = F.regexp_extract("chunk", r"\A(#{1,6}) +([^\n]*)", 2)
     level = F.length(F.regexp_extract("chunk", r"\A(#{1,6}) ", 1))
     rest = F.regexp_replace("chunk", r"\A#{1,6} +[^\n]*\n?", "")
@@ -240,6 +265,7 @@ def markdown(files: DataFrame, least: int = LEAST_TEXT) -> DataFrame:
     parents = nest(rows.where("level is not null").select("path", "pos", "level", "section"))
     j = rows.join(parents, ["path", "section"], "left")
     meta = F.map_filter(F.map_from_arrays(F.array(F.lit("heading_level"), F.lit("heading_slug")), F.array(F.col("level").cast("string"), F.col("slug"))), lambda k, v: v.isNotNull())
+    meta = F.map_concat(front_matter(F.col("front")), meta)
     return _units(j, F.col("section"), F.col("prose"), heading=F.col("head"), parent_section_id=F.col("parent"), metadata=meta)
 
 
@@ -262,26 +288,43 @@ def canvas(files: DataFrame, least: int = LEAST_TEXT) -> DataFrame:
     return _units(n, F.concat(file_id(F.col("path")), F.lit("#"), F.col("id")), F.col("prose"), metadata=F.create_map(F.lit("heading_level"), F.lit("1")))
 
 
-def csv(spark: SparkSession, path: str, text: str = "text", speaker: str | None = "speaker", heading: str | None = None) -> DataFrame:
-    """Rows of CSV files with a header; empty texts are left out."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path).withColumn("path", F.input_file_name())
-    return _records(rows, text, speaker, heading)
-
-
-def json(spark: SparkSession, path: str, text: str = "text", speaker: str | None = "speaker", heading: str | None = None, lines: bool = False) -> DataFrame:
-    """Rows of JSON arrays or, with lines, of JSON lines."""
-    rows = spark.read.option("multiLine", not lines).json(path).withColumn("path", F.input_file_name())
-    return _records(rows, text, speaker, heading)
+def csv(spark: SparkSession, path: str, text: str = "text", speaker: str | None = "speaker", heading: str | None = None, ident: str | None = "id") -> DataFrame:
+    """Rows of CSV files with a header; empty texts are left out; a byte order mark isn't part of a name."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.select(*[F.col(f"`{c}`").alias(c.lstrip("\ufeff")) for c in rows.columns], F.col("_metadata.file_path").alias("path"))
+    return _records(rows, text, speaker, heading, ident)
+
+
+def json(spark: SparkSession, path: str, text: str = "text", speaker: str | None = "speaker", heading: str | None = None, ident: str | None = "id", lines: bool | None = None) -> DataFrame:
+    """Rows of JSON arrays or, with lines (or a name that ends in jsonl or ndjson), of JSON lines."""
+    lines = path.endswith(("jsonl", "ndjson")) if lines is None else lines
+    rows = spark.read.option("multiLine", not lines).json(path)
+    return _records(rows.select("*", F.col("_metadata.file_path").alias("path")), text, speaker, heading, ident)
+
+
+def _records(rows: DataFrame, text: str, speaker: str | None, heading: str | None, ident: str | None) -> DataFrame:
+    """Units of records; one without an id is named by a hash of its values, equal ones by their count, whatever the partitions."""
+    have = [c for c in rows.columns if c != "path"]
+    if text not in have:
+        raise ValueError(f"no column {text}; there are: {', '.join(have)}")
+    rows = rows.where(F.trim(F.col(text).cast("string")) != "")
+    at = lambda c: F.col(c).cast("string") if c and c in have else F.lit(None).cast("string")
+    whole = F.sha2(F.to_json(F.struct(*have)), 256)
+    rows = rows.withColumn("__hash", F.substring(whole, 1, 12))
+    again = F.row_number().over(Window.partitionBy("path", "__hash").orderBy(F.lit(1)))
+    made = F.concat(F.lit("row-"), F.col("__hash"), F.when(again > 1, F.concat(F.lit("-"), again.cast("string"))).otherwise(F.lit("")))
+    plain = [c for c in have if c != text]
+    meta = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in plain]), F.array(*[F.col(c).cast("string") for c in plain])), lambda k, v: v.isNotNull()) if plain else F.create_map().cast("map<string,string>")
+    rows = rows.withColumn("__id", F.coalesce(at(ident), made))
+    return _units(rows, F.concat(file_id(F.col("path")), F.lit("#"), F.col("__id")), F.col(text).cast("string"), speaker=at(speaker), heading=at(heading), metadata=meta)
 
 
-def _records(rows: DataFrame, text: str, speaker: str | None, heading: str | None) -> DataFrame:
-    have = rows.columns
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).where(F.trim(text) != "")
-    ident = F.col("id").cast("string") if "id" in have else F.col("row").cast("string")
-    at = lambda c: F.col(c) if c and c in have else F.lit(None).cast("string")
-    plain = [c for c in have if c not in ("path", text)]
-    meta = F.map_filter(F.map_from_arrays(F.array(*[F.lit(c) for c in plain]), F.array(*[F.col(c).cast("string") for c in plain])), lambda k, v: v.isNotNull()) if plain else F.create_map().cast("map<string,string>")
-    return _units(rows, F.concat(file_id(F.col("path")), F.lit("#"), ident), F.col(text), speaker=at(speaker), heading=at(heading), metadata=meta)
+def required(units: DataFrame, files: DataFrame) -> DataFrame:
+    """units, unless a file of files(path) gives none: then an error that names such files, as a blank transcript or chat does."""
+    empty = files.select("path").join(units.select(F.col("source_path").alias("path")).distinct(), "path", "left_anti")
+    if names := [r.path for r in empty.orderBy("path").limit(5).collect()]:
+        raise ValueError(f"nothing to load in: {', '.join(names)}")
+    return units
 
 
 def image_meta(files: DataFrame) -> DataFrame:
@@ -316,12 +359,21 @@ def image_meta_units(files: DataFrame) -> DataFrame:
     return _units(rows, F.concat(file_id(F.col("path")), F.lit("#meta")), F.col("description"), sent_at=F.col("stamp").try_cast("timestamp"), metadata=meta)
 
 
-def describe_images(files: DataFrame, describe: Callable[[str], str] | None = None) -> DataFrame:
-    """A unit an image; without a describer, a plain sentence that names the file."""
-    if describe is None:
-        text = F.concat(F.lit("Image file "), basename(F.col("path")), F.lit(" (no description available)."))
-    else:
-        text = F.udf(describe, "string")(F.col("path"))
+def describe_images(files: DataFrame, describe: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """A unit an image; the describer takes a batch of paths. Without one, and where it fails or has none, a plain sentence names the file."""
+    plain = F.concat(F.lit("Image file "), basename(F.col("path")), F.lit(" (no description available)."))
+    text = plain
+    if describe is not None:
+
+        @F.pandas_udf("string")
+        def said(paths: pd.Series) -> pd.Series:
+            try:
+                return pd.Series(list(describe(paths.tolist())), index=paths.index, dtype=object)
+            except Exception:  # a describer that is down is no reason to lose the image
+                return pd.Series([None] * len(paths), index=paths.index, dtype=object)
+
+        answer = said(F.col("path"))
+        text = F.when(F.trim(F.coalesce(answer, F.lit(""))) != "", answer).otherwise(plain)
     return _units(files, F.concat(file_id(F.col("path")), F.lit("#image")), text, metadata=F.create_map(F.lit("content_type"), F.lit("image")))
 
 
@@ -368,11 +420,17 @@ class Registry:
         return sorted(self._of)
 
 
+#: Loaders that read records at a path themselves: (spark, path, options) to units. All others take rows of whole files.
+RECORDS = ("csv", "json")
+#: The loader of each file type in a folder of knowledge.
+BY_EXTENSION = {".md": "markdown", ".markdown": "markdown", ".canvas": "canvas", ".txt": "transcription", ".srt": "srt", ".vtt": "vtt", ".ass": "ass", ".jsonl": "chat"}
+
+
 def catalogue() -> Registry:
     r = Registry()
     for name, f in {
         "markdown": markdown, "pdf": pdf_chunks, "canvas": canvas, "srt": srt, "vtt": vtt, "ass": ass, "chat": chat_jsonl, "transcription": transcription, "image_meta": image_meta_units,
-        "image": describe_images, "chatgpt_export": chatgpt, "claude_export": claude, "mistral_export": mistral, "json": json, "csv": csv, "notebook": notebook_jsonl,
+        "image": describe_images, "chatgpt_export": chatgpt, "claude_export": claude, "claude_memories": claude_memories, "mistral_export": mistral, "json": json, "csv": csv, "notebook": notebook_jsonl,
     }.items():
         r.register(name, f)
     return r

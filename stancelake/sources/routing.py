@@ -89,3 +89,41 @@ def corpus(spark: SparkSession, root: str, ignore: list[str] | None = None, imag
         out = out.where(~F.col("relative").rlike(p))
     out = out.where(extension(F.col("path")).isin(*extensions, *(IMAGE_EXTENSIONS if images else ())))
     return out.select("path", "relative", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+
+
+def ignored(relative: Column, rules: dict[str, list[str]]) -> Column:
+    """Whether a relative path is ignored by rules(folder -> lines): a folder's rules hold below it, on paths seen from it."""
+    out = F.lit(False)
+    for folder, lines in rules.items():
+        base = folder.strip("/")
+        inside = F.lit(True) if not base else relative.startswith(base + "/")
+        seen = relative if not base else F.substring(relative, len(base) + 2, 1 << 30)
+        for pattern in filter(None, map(ignore_pattern, lines)):
+            out = out | (inside & seen.rlike(pattern))
+    return out
+
+
+def walk(spark: SparkSession, root: str, images: bool = False, extensions: tuple[str, ...] = TEXT_EXTENSIONS, ignore_file: str = ".ignore") -> tuple[DataFrame, DataFrame]:
+    """(files, (reason, n) of what was skipped) below root, with the rules of the ignore files found there.
+
+    Files that vanish or can't be read on the way are skipped by Spark. A root
+    that is one file gives that file, an image too.
+    """
+    single = root.rstrip("/").rsplit("/", 1)[-1].lower().endswith(tuple(extensions) + IMAGE_EXTENSIONS)
+    read = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    files = read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    bare = re.sub(r"^\w+:/*", "/", root).rstrip("/")
+    local = F.regexp_replace("path", r"^\w+:/*", "/")
+    files = files.withColumn("relative", F.lit(bare.rsplit("/", 1)[-1]) if single else F.regexp_replace(local, "^" + re.escape(bare) + "/?", ""))
+    rules: dict[str, list[str]] = {}
+    if not single:  # as many rows as there are ignore files
+        for r in files.where(basename(F.col("path")) == ignore_file).select("relative", F.decode("content", "UTF-8").alias("t")).orderBy("relative").collect():
+            rules[r.relative.rpartition("/")[0]] = r.t.splitlines()
+    kind = extension(F.col("path"))
+    why = F.when(F.col("relative").rlike(r"(^|/)\."), "hidden").when(ignored(F.col("relative"), rules), "ignored")
+    if not images and not single:
+        why = why.when(kind.isin(*IMAGE_EXTENSIONS), "image")
+    why = why.when(~kind.isin(*extensions, *IMAGE_EXTENSIONS), "foreign")
+    marked = files.withColumn("why", why)
+    kept = marked.where("why is null").select("path", "relative", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+    return kept, marked.where("why is not null").groupBy(F.col("why").alias("reason")).agg(F.count("*").alias("n"))

@@ -133,7 +133,7 @@ def test_engine(spark, tmp_path):
     assert {r.annotation_source for r in c.collect()} == {"lexicon"}
     e.store(c)
     e.store(e.compile(spark.createDataFrame([("s#1", "Now one."), ("s#2", "Two.")], "section_id string, text string")))
-    assert spark.read.parquet(e.path("clauses")).count() == 2
+    assert e.read("clauses").count() == 2
 
 
 def test_sinks(spark, data):

@@ -91,3 +91,18 @@ def circumstances(tokens: Column) -> Column:
     """dep:text of the tokens whose dependency names a circumstance."""
     names = [d for d, r in ROLES.items() if r == "Circumstance"]
     return F.transform(F.filter(tokens, lambda t: F.coalesce(t["dep"].isin(*names), F.lit(False))), lambda t: F.concat_ws(":", t["dep"], t["text"]))
+
+
+def lemma(word: Column) -> Column:
+    """A listed verb's base form, by plain suffixes; any other word in lower case."""
+    bases = sorted({v for p in ("behavioral", "verbal", "relational", "mental") for v in VERBS[p]})
+    forms = {v + s: v for v in bases for s in ("ing", "ed", "s", "")}
+    lookup = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
+    low = F.lower(word)
+    return F.when(low.isin("is", "are", "was", "were"), "be").otherwise(F.coalesce(F.try_element_at(lookup, low), low))
+
+
+def is_verb(word: Column) -> Column:
+    """Whether a word is a listed verb in one of its plain forms."""
+    bases = sorted({v for p in ("behavioral", "verbal", "relational", "mental") for v in VERBS[p]})
+    return F.lower(word).isin("is", "are", "was", "were", *[v + s for v in bases for s in ("", "s", "ed", "ing")])

@@ -82,3 +82,38 @@ def separate(clauses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def rejoin(base: DataFrame, said: DataFrame, how: DataFrame) -> DataFrame:
     """The three-way equi-join on clause_id."""
     return base.join(said, "clause_id").join(how, "clause_id")
+
+
+def rejoin_embedded(vectors: DataFrame, base: DataFrame, said: DataFrame, how: DataFrame) -> DataFrame:
+    """The four-way join of retrieval, from the vectors: clauses without one are no candidates."""
+    return vectors.join(base, "clause_id").join(said, "clause_id").join(how, "clause_id")
+
+
+def parse(text: Column) -> Column:
+    """Tokens of a clause by plain rules: i, text, lemma, pos, tag, dep, head; a parser that knows the language plugs in instead.
+
+    The root is the first listed verb, or else the first word. The word before
+    it is its subject, the word after it its object; every other token hangs
+    on the root.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}']+|[^\s\p{L}\p{N}']"), F.lit(0))
+    word = lambda t: t.rlike(r"^[\p{L}\p{N}']")
+    verb = lambda t: lexicon.is_verb(t)
+    roots = F.filter(F.transform(tokens, lambda t, i: F.when(verb(t), i)), lambda i: i.isNotNull())
+    words = F.filter(F.transform(tokens, lambda t, i: F.when(word(t), i)), lambda i: i.isNotNull())
+    root = F.coalesce(F.get(roots, F.lit(0)), F.get(words, F.lit(0)), F.lit(0))
+
+    def token(t: Column, i: Column) -> Column:
+        pos = F.when(~word(t), "PUNCT").when(t.rlike(r"^\p{N}+$"), "NUM").when(verb(t), "VERB").otherwise("NOUN")
+        tag = F.when(F.lower(t).isin("might", "may", "must", "can", "could", "should", "would", "will"), "MD").otherwise(F.substring(pos, 1, 2))
+        dep = F.when(i == root, "ROOT").when(~word(t), "punct").when(i == root - 1, "nsubj").when(i == root + 1, "dobj").otherwise("dep")
+        return F.struct(i.cast("int").alias("i"), t.alias("text"), lexicon.lemma(t).alias("lemma"), pos.alias("pos"), tag.alias("tag"), dep.alias("dep"), root.cast("int").alias("head"))
+
+    return F.transform(tokens, token)
+
+
+def transitivity(tokens: Column) -> Column:
+    """The root's text, lemma, pos and tag, and every token's text, dep, pos and tag."""
+    root = F.get(F.filter(tokens, lambda t: t["dep"] == "ROOT"), F.lit(0))
+    deps = F.transform(tokens, lambda t: F.struct(*[t[k].alias(k) for k in ("text", "dep", "pos", "tag")]))
+    return F.struct(F.struct(*[root[k].alias(k) for k in ("text", "lemma", "pos", "tag")]).alias("root"), deps.alias("dependencies"))

@@ -430,7 +430,7 @@ def run_state(spark, d):
 
 @query("SELECT user_id, max(ts) AS started_at FROM events GROUP BY user_id ORDER BY started_at DESC, user_id LIMIT 10")
 def newest_runs(spark, d):
-    return read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("started_at")).orderBy(F.desc("started_at"), "user_id").limit(10)
+    return catalog.newest(read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("started_at")), 10, key="user_id")
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -466,13 +466,13 @@ def widened_evidence(spark, d):
     return graph.widened(t, t, "label")
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1 WHEN p_partkey % 10 = 4 THEN p_partkey - 1 WHEN p_partkey % 10 > 4 THEN p_partkey - 1 END AS parent FROM part WHERE p_partkey < 200),
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 10 = 3 THEN p_partkey + 1 WHEN p_partkey % 10 = 4 THEN p_partkey - 1 WHEN p_partkey % 10 > 4 THEN p_partkey - 1 END AS parent FROM part),
  up(node, ancestor, level) AS (SELECT node, parent, 1 FROM e WHERE parent IS NOT NULL UNION ALL SELECT u.node, e.parent, u.level+1 FROM up u JOIN e ON e.node = u.ancestor WHERE u.level < 32 AND e.parent IS NOT NULL)
  SELECT DISTINCT node FROM up WHERE node = ancestor""")
 def cycle_check(spark, d):
     k = F.col("p_partkey")
     parent = F.when(k % 10 == 3, k + 1).when(k % 10 == 4, k - 1).when(k % 10 > 4, k - 1)
-    return graph.cycles(read(spark, d, "part").where(k < 200).select(k.alias("node"), parent.alias("parent")))
+    return graph.cycles(read(spark, d, "part").select(k.alias("node"), parent.alias("parent")))
 
 
 @query(f"WITH {_TREE}, ch AS (SELECT 'c'||c_custkey AS node FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT 'n3'), lf AS (SELECT node FROM e WHERE NOT EXISTS (SELECT 1 FROM e k WHERE k.parent = e.node)), st AS (SELECT lf.node, (lf.node IN (SELECT node FROM ch)) OR EXISTS (SELECT 1 FROM up WHERE up.node = lf.node AND up.ancestor IN (SELECT node FROM ch)) AS on_ FROM lf), sp AS (SELECT node, on_ FROM st UNION ALL SELECT up.ancestor, on_ FROM st JOIN up USING (node)) SELECT node, CASE WHEN bool_and(on_) THEN 'full' WHEN bool_or(on_) THEN 'partial' ELSE 'none' END AS state FROM sp GROUP BY node")
@@ -489,10 +489,11 @@ def collection_counts(spark, d):
 
 @query("SELECT r_name AS collection, n_name AS document, c_custkey AS section FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey IN (1, 5, 9, 70)")
 def locate_sections(spark, d):
-    wanted = spark.createDataFrame([(1,), (5,), (9,), (70,)], "c_custkey long")
-    c = read(spark, d, "customer").join(F.broadcast(wanted), "c_custkey", "left_semi")
-    n, r = read(spark, d, "nation"), read(spark, d, "region")
-    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("collection"), F.col("n_name").alias("document"), F.col("c_custkey").alias("section"))
+    wanted = spark.createDataFrame([(1,), (5,), (9,), (70,)], "section_id long")
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("section_id"), F.col("c_nationkey").alias("document_id"))
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("title"), F.col("n_regionkey").alias("collection_id"))
+    r = read(spark, d, "region").select(F.col("r_regionkey").alias("collection_id"), F.col("r_name").alias("name"))
+    return catalog.located(c, n, r, wanted).select("collection", "document", F.col("section_id").alias("section"))
 
 
 @query("SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)::INTEGER AS ordinal FROM lineitem")
@@ -502,7 +503,7 @@ def ordinal_backfill(spark, d):
 
 @query("SELECT split_part(c_name, '#', 1) AS document_key, max(c_custkey) AS newest, min(c_custkey) AS oldest, count(*) AS section_count FROM customer GROUP BY 1")
 def backfill_documents(spark, d):
-    return read(spark, d, "customer").groupBy(F.split_part("c_name", F.lit("#"), F.lit(1)).alias("document_key")).agg(F.max("c_custkey").alias("newest"), F.min("c_custkey").alias("oldest"), F.count("*").alias("section_count"))
+    return catalog.documents_of(read(spark, d, "customer"), "c_name", "c_custkey")
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL AND (d.doc_id IS NULL OR l.quality = 0) THEN l.quality ELSE d.quality END::INTEGER AS quality, CASE WHEN d.doc_id IS NULL THEN 'inserted' WHEN l.doc_id IS NOT NULL AND l.quality = 0 THEN 'updated' ELSE 'kept' END AS outcome
@@ -543,7 +544,7 @@ def collection_purge(spark, d):
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def sections_with_gaps(spark, d):
-    return read(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
+    return catalog.distinct_of(read(spark, d, "orders"), "o_custkey", F.col("o_orderstatus") == "P")
 
 
 # --- grounding and text -------------------------------------------------------------------------
@@ -633,9 +634,9 @@ def negators(spark, d):
     return read(spark, d, "documents").select("doc_id", F.array_contains(F.split(F.lower("text"), "[^a-z]+"), "no").alias("has_negator"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM documents")
 def normalised_text(spark, d):
-    return read(spark, d, "documents").where("lang = 'de'").select("doc_id", tx.normalise(F.col("text")).alias("norm"))
+    return read(spark, d, "documents").select("doc_id", tx.normalise(F.col("text")).alias("norm"))
 
 
 @query("WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type||':'||n, ' ' ORDER BY event_type) AS counts, sum(n)::BIGINT AS total FROM p GROUP BY user_id")
@@ -681,18 +682,17 @@ def queue_reasons(spark, d):
 def manifest_backfill(spark, d):
     a = assessed(spark, d)
     manifest = a.select("artifact_id", "action", F.concat(F.lit("score "), F.col("quality_milli").cast("string")).alias("reason"))
-    return a.select("artifact_id").join(manifest, "artifact_id").select(F.col("artifact_id").alias("doc_id"), "action", "reason")
+    return catalog.backfilled(a.select("artifact_id"), manifest, ["action", "reason"]).select(F.col("artifact_id").alias("doc_id"), "action", "reason")
 
 
 @query("SELECT l.doc_id, l.quality, d.source, d.lang FROM labels l LEFT JOIN documents d USING (doc_id)")
 def hit_places(spark, d):
-    return read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id", "left").select("doc_id", "quality", "source", "lang")
+    return catalog.hit_places(read(spark, d, "labels"), read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id").select("doc_id", "quality", "source", "lang")
 
 
 @query("SELECT n_name, coalesce(n, 0) AS section_count FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
 def section_count_refresh(spark, d):
-    n = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    return read(spark, d, "nation").join(n, "n_nationkey", "left").select("n_name", F.coalesce("n", F.lit(0)).alias("section_count"))
+    return catalog.section_counts(read(spark, d, "nation"), read(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey"), "n_nationkey").select("n_name", "section_count")
 
 
 @query("SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts, event_id LIMIT 20 OFFSET 10")
@@ -707,9 +707,9 @@ def quality_notes(spark, d):
     return g.select("conv_id", digest.quality_note(F.col("excluded"), F.col("total")).alias("note"))
 
 
-@query(C + " SELECT clause_id, '['||(idx+1)||'] '||ctext||E'\\n    (mood='||mood||', tenor='||tenor_milli||', modality='||modality_milli||', process='||process_type||'; source: '||section_id||')' AS evidence FROM c WHERE turn = 1")
+@query(C + " SELECT clause_id, '['||(idx+1)||'] '||ctext||E'\\n    (mood='||mood||', tenor='||tenor_milli||', modality='||modality_milli||', process='||process_type||'; source: '||section_id||')' AS evidence FROM c")
 def evidence_lines(spark, d):
-    c = clause_rows(spark, d).where("turn = 1")
+    c = clause_rows(spark, d)
     return c.select("clause_id", digest.evidence_line(F.col("idx") + 1, F.col("ctext"), F.col("mood"), F.col("tenor_milli"), F.col("modality_milli"), F.col("process_type"), F.col("section_id")).alias("evidence"))
 
 
@@ -730,7 +730,7 @@ def embedding_checks(spark, d):
 def run_rates(spark, d):
     us = F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))
     r = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"), us.alias("us")).where("us > 0 and done > 1")
-    return r.select("user_id", "done", "failed", (F.floor(F.col("done") * 3_600_000_000.0 / F.col("us") * 1000 + 0.5) / 1000.0).alias("per_hour"), F.floor((100 - F.col("done")) * (F.col("us") / F.col("done")) / 1_000_000 + 0.5).cast("long").alias("eta_s"))
+    return catalog.rates(r, "done", "failed", F.lit(100), "us").select("user_id", "done", "failed", "per_hour", "eta_s")
 
 
 @query(f"WITH {_TREE}, st AS (SELECT 'c'||c_custkey AS node, CASE WHEN c_custkey % 40 = 0 THEN 'pending' ELSE 'accepted' END AS status FROM customer), hit AS (SELECT node FROM st WHERE status = 'pending') SELECT node FROM hit UNION SELECT ancestor FROM up WHERE node IN (SELECT node FROM hit)")
@@ -748,11 +748,18 @@ def capable_models(spark, d):
 
 @query()
 def narrative_checks(spark, d):
-    n = read(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("Turn 1 and turn 3 hold because of 2 things. "), F.col("text")).alias("text"))
-    rows = digest.narrative_sentences(n)
-    t = cv.shifts(turn_rows(spark, d)).select(F.col("conv_id").cast("string").alias("id"), "turn", "speaker", F.col("dominant_mood").alias("mood"), F.col("tenor_shift_milli").isNotNull().alias("shifted"))
-    numbers = t.groupBy("id").agg(F.count("*").cast("double").alias("value"), F.lit(False).alias("percent"))
-    return digest.precision(digest.number_claims(rows, numbers).unionByName(digest.turn_claims(rows, t)).unionByName(digest.connective_claims(rows, t.where("shifted").select("id", "turn"))))
+    """A narrative of each conversation that tells of every turn what holds of the next one, held against the conversation."""
+    t = cv.shifts(turn_rows(spark, d)).withColumns({"mood": F.col("dominant_mood"), "shifted": F.col("tenor_shift_milli").isNotNull()})
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = F.format_string('Turn %d by %s is %s because of %d clauses. It reads "%s".', F.col("turn") + 1, F.lead("speaker").over(w), F.lead("mood").over(w), F.col("n_clauses"), F.col("shown"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 200), r'["“”]', "").alias("preview"))
+    lines = t.join(c.withColumn("shown", F.regexp_extract("preview", r"^((?:\S+\s+){0,6}\S+)", 1)), ["conv_id", "turn"]).select("conv_id", "turn", said.alias("s")).where("s is not null")
+    narratives = lines.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda r: r["s"]), "\n").alias("text"))
+    rows = digest.narrative_sentences(narratives)
+    own = t.withColumn("id", F.col("conv_id").cast("string")).select("id", "turn", "speaker", "mood", "shifted", "n_clauses")
+    numbers = own.select("id", F.col("n_clauses").cast("double").alias("value"), F.lit(False).alias("percent"))
+    claims = [digest.number_claims(rows, numbers), digest.turn_claims(rows, own), digest.connective_claims(rows, own.where("shifted").select("id", "turn")), digest.quote_claims(rows, c.select(F.col("conv_id").cast("string").alias("id"), "preview"))]
+    return digest.precision(catalog.union_all(claims))
 
 
 # --- topics -------------------------------------------------------------------------------------
@@ -831,3 +838,6 @@ def stall_stream(spark, d):
     from stancelake.streaming.runs import stalled_runs
 
     return stalled_runs(spark, d)
+
+
+from stancelake.plans import evidence  # noqa: E402, F401  (registers more queries by the functions above)

@@ -21,7 +21,8 @@ Elements that can't hold main text by their tag, role, class or id (menus,
 headers and footers of the page, sidebars, adverts, notices, forms, comments,
 scripts) are taken out first, so their text has no density. One that is named
 so by class or id alone stays if an article lies within (a wrapper called
-has-sidebar).
+has-sidebar), or if it holds most of a page that has no such element, readers'
+comments excepted: a name only weighs, where the text says otherwise.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ CLOSES = {
 class Node:
     __slots__ = ("tag", "parent", "kids", "text", "chars", "tags", "link_chars", "link_tags", "own_chars", "own_tags", "own_link_chars", "own_link_tags", "density", "sum", "dropped")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
+    def __init__(self, tag: str, parent: "Node | None", dropped: int):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.kids: list[Node] = []
         self.text: list = []  # strings and Nodes in page order
@@ -79,11 +80,11 @@ class Node:
         self.density = self.sum = 0.0
 
 
-HARD, SOFT = 1, 2
+HARD, SOFT, COMMENT = 1, 2, 3
 
 
 def _dropped(tag: str, attrs: str, in_article: bool) -> int:
-    """HARD: taken out by its tag, role or hidden state. SOFT: by its class or id, unless the main article lies within. 0: stays."""
+    """HARD: taken out by its tag, role or hidden state. SOFT: by its class or id, unless the main text lies within. COMMENT: so, as a reader's. 0: stays."""
     if tag in DROP or (tag == "header" and not in_article):
         return HARD
     if not attrs or tag in ("html", "body", "main"):
@@ -94,19 +95,25 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> int:
         if name in ("class", "id"):
             words = re.split(r"[^a-z0-9]+", value)
             if tag == "article":
-                named = not COMMENT_WORDS.isdisjoint(words)
+                named = False
             else:
                 named = not DROP_WORDS.isdisjoint(words) or any(w.startswith(DROP_STARTS) for w in words) or (not in_article and not TOP_WORDS.isdisjoint(words))
-            out = SOFT if named else out
+            out = COMMENT if not COMMENT_WORDS.isdisjoint(words) or any(w.startswith("comment") for w in words) else max(out, SOFT) if named else out
         elif tag != "article" and ((name == "role" and value in DROP_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value))):
             return HARD
     return out
 
 
 def _pruned(root: Node) -> Node:
-    """root without the soft-dropped subtrees that hold no article or main element which stays."""
+    """root without the soft-dropped subtrees that hold no article or main element which stays, nor most of a page without one."""
     nodes = _order(root)
     holds: set[int] = set()
+    if not any(n.tag in ("article", "main") and not n.dropped for n in nodes):
+        for n in reversed(nodes):
+            n.chars = n.own_chars + sum(k.chars for k in n.kids)
+        for n in nodes:
+            if n.dropped == SOFT and 2 * n.chars > root.chars:
+                n.dropped = 0
     for n in reversed(nodes):
         if any(id(k) in holds for k in n.kids) or (n.tag in ("article", "main") and not n.dropped):
             holds.add(id(n))
@@ -119,7 +126,7 @@ def _pruned(root: Node) -> Node:
 
 def parse(page: str) -> Node:
     """The tree of blocks, dropped subtrees left out. Unclosed and stray tags are mended as browsers do."""
-    root = Node("body", None, False)
+    root = Node("body", None, 0)
     stack: list[tuple[str, Node | None]] = [("body", root)]  # open elements; inline ones have no node
     opened: Counter[str] = Counter()  # so that what isn't open isn't looked for
     node, gone, links, articles = root, 0, 0, 0
@@ -163,6 +170,8 @@ def parse(page: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:  # an end tag
+            if tag == "a" and not opened[tag]:
+                tag = "anchor"  # one that leads nowhere
             if not opened[tag]:
                 continue
             for i in range(len(stack) - 1, 0, -1):
@@ -196,14 +205,14 @@ def parse(page: str) -> Node:
                 if tag in ("br", "hr", "img"):
                     node.text.append(" ")
             continue
-        if m[4].endswith("/") and tag not in BLOCK:
+        if tag == "svg" and m[4].endswith("/"):  # elsewhere a slash at the end means nothing, or belongs to a value without quotes
             continue
         drop = HARD if gone else _dropped(tag, m[4], articles > 0)
         if drop == HARD or (drop and tag not in BLOCK):
             push("!" + tag, None)
             gone += 1
         elif tag in BLOCK:
-            own = Node(tag, node, drop == SOFT)
+            own = Node(tag, node, drop)
             node.kids.append(own)
             node.text.append(own)
             node = own
@@ -211,10 +220,11 @@ def parse(page: str) -> Node:
             push(tag, own)
         else:
             node.own_tags += 1
-            if tag == "a":
+            link = tag == "a" and "href" in m[4].lower()
+            if link:
                 links += 1
                 node.own_link_tags += 1
-            push(tag, None)
+            push("a" if link else "anchor" if tag == "a" else tag, None)
     if at < len(page):
         text(html.unescape(page[at:]))
     return _pruned(root)
@@ -333,6 +343,7 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
+    Of nodes whose density sums tie, the first in page order is the main one.
     Null html counts as empty, and gives empty text; null ids and urls are
     kept; repeated rows give repeated rows; an empty table gives none. Other
     columns aren't read, whatever their names. The whole page is read.

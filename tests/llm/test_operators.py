@@ -267,6 +267,42 @@ def test_html_keeps_short_parts():
 # --- 4 ------------------------------------------------------------------------------------------
 
 
+def test_html_names_only_weigh():
+    """A class word doesn't delete what holds most of the page; readers' comments go however long they are."""
+    long = " ".join(["A sentence of the story that goes on for a while."] * 12)
+    paragraphs = f"<p>{long}</p><p>{long} End.</p>"
+    want = f"{long}\n\n{long} End."
+    assert html_density.main_text(f'<body><div class="menu">Home</div><div class="entry widget">{paragraphs}</div></body>') == want
+    assert html_density.main_text(f'<body><div class="post share">{paragraphs}</div><div class="sidebar">Side things</div></body>') == want
+    assert html_density.main_text(f'<body><div>{paragraphs}</div><div class="comments">{paragraphs * 4}</div></body>') == want
+    assert html_density.main_text(f"<main><div><h1>Title</h1></div><div>{paragraphs}<p><a href=x>A linked paragraph</a></p></div></main>") == f"Title\n\n{want}\n\nA linked paragraph"
+    assert html_density.main_text(f"<body><aside data-u=/a/>Aside text</aside><div>{paragraphs}</div></body>") == want
+    assert html_density.main_text(f'<body><div><a name="top"/>{paragraphs}</div></body>') == want
+
+
+def test_html_generated_pages():
+    """Pages made of a known article and of furniture: the article comes back whole and nothing else."""
+    rnd = random.Random(11)
+    words = lambda a, b: " ".join(rnd.choices(WORDS, k=rnd.randint(a, b))).capitalize() + "."
+    links = lambda n: "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(n))
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(rnd.randint(3, 9)):
+            kind, text = rnd.choice(["p", "p", "p", "h2", "li", "blockquote"]), words(25, 60)
+            if kind == "h2":
+                text = words(2, 6)
+            parts.append(f"<ul><li>{text}</li></ul>" if kind == "li" else f"<{kind}>{text.replace(' ', chr(10) + ' ', 2)}</{kind}>")
+            want.append(text)
+        title = words(3, 6)
+        body = f"<h1>{title}</h1>" + "".join(parts)
+        wrap = rnd.choice(["<article>{}</article>", "<main><div>{}</div></main>", '<div id="content"><article class="post">{}</article></div>', "<main>{}</main>"])
+        furniture = [f"<nav><ul>{links(8)}</ul></nav>", f'<div class="sidebar"><ul>{links(12)}</ul><p>{words(5, 20)}</p></div>', f"<footer>{words(4, 12)}</footer>", f'<div class="cookie-notice">{words(6, 20)}</div>', f"<script>var x = '{words(3, 9)}';</script>", f'<section class="comments"><p>{words(20, 200)}</p></section>', f"<form><label>{words(1, 3)}</label><input></form>", f'<div class="ad">{words(3, 9)}</div>', f"<aside>{words(5, 30)}</aside>"]
+        rnd.shuffle(furniture)
+        at = rnd.randint(0, len(furniture))
+        page = f"<html><head><title>{title}</title><style>p {{ color: red }}</style></head><body>" + "".join(furniture[:at]) + wrap.format(body) + "".join(furniture[at:]) + "</body></html>"
+        assert html_density.main_text(page) == "\n\n".join([title, *want])
+
+
 def brute_fingerprint(text):
     import xxhash
 

@@ -212,8 +212,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     loose = settle(connected_components(found, "copies-cc").select("node", F.col("component").alias("loose")), "copies-loose")
     text = docs[text_col].cast("string")
     texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("node"), text.cast("binary").alias("text"))
-    # nodes grow with the rows, so they are merged at every size and never broadcast; exact copies are one text
-    texts = settle(texts.join(loose.hint("merge"), "node").groupBy("node").agg(F.first("loose").alias("loose"), F.first("text").alias("text")), "copies-texts")
+    # exact copies become one text before anything is shuffled; nodes grow with the rows, so they are never broadcast
+    texts = settle(texts.groupBy("node").agg(F.first("text").alias("text")).join(loose.hint("merge"), "node").select("node", "loose", "text"), "copies-texts")
     sized = texts.select("loose", "node", "text", F.octet_length("text").alias("bytes"))
     order = ["loose", "one", "two"]
     sized = deal(sized, ["loose"], "node", chunk, "copies-big", F.sum("bytes") / CHUNK_BYTES)(sized).select(*order, "chunk", "node", "text")

@@ -30,7 +30,7 @@ def turns(clauses: DataFrame) -> DataFrame:
     """One row a turn that has clauses: means, dominant mood, process tally."""
     key = ["conv_id", "turn"]
     base = clauses.groupBy(*key).agg(
-        F.first("role").alias("speaker"),
+        F.min_by("role", "idx").alias("speaker"),
         F.count("*").alias("n_clauses"),
         F.sum("tenor_milli").alias("tenor_sum"),
         F.sum("modality_milli").alias("modality_sum"),

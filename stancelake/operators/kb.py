@@ -54,6 +54,29 @@ def artifacts(clauses: DataFrame, by: str) -> DataFrame:
     )
 
 
+def profiled(clauses: DataFrame, by: str) -> DataFrame:
+    """artifacts(clauses, by) with the dominant mood and process of each (ties: the first seen).
+
+    One pass over the clauses: what comes after works on their counts by mood and process.
+    """
+    src = F.col("annotation_source")
+    sums = {"n": F.count("*"), "source_sum": F.sum(source_weight(src)), "modality_sum": F.sum("modality_milli"), "llm": F.count_if(src == "llm"), "human": F.count_if(src == "human"), "fallback": F.count_if(~src.isin("llm", "human"))}
+    cells = clauses.groupBy(by, "mood", "process_type").agg(*[c.alias(k) for k, c in sums.items()], F.min("idx").alias("at"))
+    cells = cells.groupBy(by).agg(*[F.sum(k).alias(k) for k in sums], F.collect_list(F.struct("mood", "process_type", "n", "at")).alias("cells"))  # at most moods times processes of them
+
+    def top(field: str) -> Column:
+        names = F.array_distinct(F.transform("cells", lambda c: c[field]))
+
+        def total(m: Column) -> Column:
+            own = F.filter("cells", lambda c: c[field] == m)
+            n = F.aggregate(own, F.lit(0).cast("long"), lambda a, c: a + c["n"])
+            return F.struct(n.alias("n"), (-F.array_min(F.transform(own, lambda c: c["at"]))).alias("at"), m.alias("m"))
+
+        return F.array_max(F.transform(names, total))["m"]
+
+    return cells.select(by, *sums, top("mood").alias("dominant_mood"), top("process_type").alias("dominant_process_type"))
+
+
 def content_type(text: Column, n: Column, modality_mean: Column, mood: Column, process: Column, tags: Column | None = None, kind: Column | None = None) -> Column:
     """One ordered cascade: image, disclaimer, tags, code, stub, stance, else a research note."""
     from stancelake.functions.text import code_heavy

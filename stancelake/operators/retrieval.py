@@ -6,10 +6,14 @@ result. All orders are total (ties by id).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RRF_K, CANDIDATES, MOST_SEEDS = 60, 3, 1000
+RRF_K, CANDIDATES = 60, 3
+#: Rows and seeds of a group that meet in one task.
+BLOCK, SEED_BLOCK = 16_384, 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,8 +50,11 @@ def keyword_top(df: DataFrame, words: list[str], limit: int, id_col: str = "doc_
     ranks alone).
     """
     q = [w.lower() for w in words]
-    tokens = F.split(F.lower(text), "[^a-z]+")
-    has = df.withColumn("__t", tokens)
+    low = F.lower(text)
+    has = df
+    for w in q:  # cheap, and most rows end here
+        has = has.where(low.contains(w))
+    has = has.withColumn("__t", F.split(low, "[^a-z]+"))
     for w in q:
         has = has.where(F.array_contains("__t", w))
     score = sum((F.size(F.filter("__t", _same(w))) for w in q), F.lit(0))
@@ -67,19 +74,48 @@ def fuse(semantic: DataFrame, keyword: DataFrame, limit: int, id_col: str = "id"
     return both.orderBy(F.desc("rrf_score"), id_col).limit(limit)
 
 
-def neighbours(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", by: str | None = None) -> DataFrame:
-    """(source, target, rank): the k most similar rows of each seed, at `least` or more.
+def neighbours(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", by: str | None = None, block: int = BLOCK, seed_block: int = SEED_BLOCK) -> DataFrame:
+    """(source, target, rank, similarity): the k most similar rows of each seed, at `least` or more.
 
-    seeds is a stated query set; with `by`, only rows of one group meet, as an
-    equi-join. Without it at most `MOST_SEEDS` seeds are sent to every task;
-    more raise an error.
+    seeds is a stated query set; with `by`, only rows of one group meet. Rows
+    and seeds of a group are dealt to blocks, a pair of blocks is a task that
+    gives k rows a seed, and these are merged: no pairs are shuffled. Vectors
+    without length, or of another dimension than the seed's, are left out.
     """
-    s = seeds.select(F.col(id_col).alias("source"), _doubles(vector).alias("__a"), *([F.col(by).alias("__g")] if by else []))
-    v = vectors.select(F.col(id_col).alias("target"), _doubles(vector).alias("__b"), *([F.col(by).alias("__h")] if by else []))
-    if not by and seeds.count() > MOST_SEEDS:
-        raise ValueError(f"more than {MOST_SEEDS} seeds need a grouping column")
-    met = v.join(s, F.col("__g") == F.col("__h")) if by else v.join(F.broadcast(s), F.col("source") != F.col("target"))
-    met = met.where(F.col("source") != F.col("target")).withColumn("similarity", cosine(F.col("__a"), F.col("__b"))).where(F.col("similarity") >= least)
+    group = F.col(by).cast("string") if by else F.lit("")
+    good = lambda df: df.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), _doubles(vector).alias("v")).where(F.col("g").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    rows, asked = good(vectors).withColumn("dim", F.size("v")), good(seeds).withColumn("dim", F.size("v"))
+    key = ["g", "dim"]
+    n = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    n = n.join(asked.groupBy(*key).agg(F.ceil(F.count("*") / seed_block).cast("int").alias("s_blocks")), key)
+    pick = lambda c: F.pmod(F.xxhash64("id", "v"), F.col(c)).cast("int")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    rows = rows.join(n, key).withColumn("b", pick("blocks")).select(*key, "b", spread("s_blocks").alias("s"), "id", "v")
+    asked = asked.join(n, key).withColumn("s", pick("s_blocks")).select(*key, spread("blocks").alias("b"), "s", "id", "v")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            q, x = (np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(t.num_rows, -1) for t in (left, right))
+            q_ids, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
+            lengths = np.sqrt((x * x).sum(axis=1))
+            for at in range(0, len(q), 256):
+                near = (q[at : at + 256] @ x.T) / (np.sqrt((q[at : at + 256] ** 2).sum(axis=1))[:, None] * lengths[None, :])
+                near[q_ids[at : at + 256][:, None] == ids[None, :]] = -2
+                m = min(k, len(x))
+                kth = np.maximum(np.partition(near, len(x) - m, axis=1)[:, len(x) - m], least) - 1e-12
+                for i in range(len(near)):
+                    c = np.flatnonzero(near[i] >= kth[i])
+                    own = q[at + i]  # row by row, so that equal rows have equal values
+                    exact = (x[c] * own).sum(axis=1) / (np.sqrt((own * own).sum()) * lengths[c])
+                    first = np.lexsort((ids[c], -exact))
+                    first = first[exact[first] >= least][:k]
+                    for column, values in zip(out, ([int(q_ids[at + i])] * len(first), ids[c][first].tolist(), exact[first].tolist()), strict=True):
+                        column.extend(values)
+        return pa.table({"source": pa.array(out[0], pa.int64()), "target": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
+
+    at = [*key, "s", "b"]
+    met = asked.groupBy(*at).cogroup(rows.groupBy(*at)).applyInArrow(meet, "source long, target long, similarity double")
     w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("source", "target", "rank", "similarity")
 

@@ -14,11 +14,11 @@ from stancelake.streaming import runs
 from stancelake.tables import scratch_path
 
 SAID = "This sentence is long enough to be kept as a section."
-STAMP = F.lit("2024-01-01 00:00:00").cast("timestamp")
+STAMP = "2024-01-01 00:00:00"
 
 
 def files(rows: DataFrame, path, content) -> DataFrame:
-    return rows.select(path.alias("path"), content.alias("content"), STAMP.alias("modified"))
+    return rows.select(path.alias("path"), content.alias("content"), F.lit(STAMP).cast("timestamp").alias("modified"))
 
 
 def _id(path: str) -> str:

@@ -349,12 +349,11 @@ def doc_clauses(spark: SparkSession, d: str) -> DataFrame:
 def assessed(spark: SparkSession, d: str) -> DataFrame:
     """Documents as artifacts; tags and ages are made from ids, so that every branch occurs."""
     c = doc_clauses(spark, d)
-    g = kb.artifacts(c, "doc_id")
-    mood, process = cv.first_seen_top(c, ["doc_id"], "mood", F.col("idx")), cv.first_seen_top(c, ["doc_id"], "process_type", F.col("idx"))
+    g = kb.profiled(c, "doc_id")
     as_of = F.lit(AS_OF).cast("timestamp")
     updated = F.when(F.col("doc_id") % 11 != 0, F.timestamp_micros(F.unix_micros(as_of) - (F.col("doc_id") * 79191919) % 63072000 * 1_000_000))
     tags = F.when(F.col("doc_id") % 23 == 0, F.array(F.lit("WIP"))).when(F.col("doc_id") % 29 == 0, F.array(F.lit("a-guide"))).otherwise(F.array().cast("array<string>"))
-    a = read(spark, d, "documents").select("doc_id", "text", "source").join(g, "doc_id", "left").join(mood, "doc_id", "left").join(process, "doc_id", "left")
+    a = read(spark, d, "documents").select("doc_id", "text", "source").join(g, "doc_id", "left")
     a = a.withColumns({"n": F.coalesce("n", F.lit(0)), "last_updated": updated})
     a = a.withColumn("quality_milli", kb.quality_milli(F.col("source_sum"), F.col("modality_sum"), F.col("n"), kb.freshness(F.col("last_updated"), as_of)))
     a = a.withColumn("content_type", kb.content_type(F.col("text"), F.col("n"), F.try_divide("modality_sum", "n") / 1000, F.col("dominant_mood"), F.col("dominant_process_type"), tags))

@@ -103,10 +103,26 @@ def ignored(relative: Column, rules: dict[str, list[str]]) -> Column:
     return out
 
 
+def ignore_rules(spark: SparkSession, root: str, name: str = ".ignore") -> dict[str, list[str]]:
+    """The lines of every ignore file below root, by its folder: one listing a level, as deep as there are folders."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(fs_path(root)).toUri().getPath().rstrip("/")
+    out: dict[str, list[str]] = {}
+    stars = ""
+    while any(x.isDirectory() for x in fs.globStatus(fs_path(root.rstrip("/") + stars)) or ()):
+        for f in fs.globStatus(fs_path(f"{root.rstrip('/')}{stars}/{name}")) or ():
+            folder = f.getPath().getParent().toUri().getPath()[len(base) :].strip("/")
+            out[folder] = spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(f.getPath()), "UTF-8").splitlines()
+        stars += "/*"
+    return out
+
+
 def walk(spark: SparkSession, root: str, images: bool = False, extensions: tuple[str, ...] = TEXT_EXTENSIONS, ignore_file: str = ".ignore") -> tuple[DataFrame, DataFrame]:
     """(files, (reason, n) of what was skipped) below root, with the rules of the ignore files found there.
 
-    Files that vanish or can't be read on the way are skipped by Spark. A root
+    Files that vanish or can't be read on the way are skipped by Spark, which
+    doesn't list hidden ones (with a dot or an underscore first) nor empty ones. A root
     that is one file gives that file, an image too.
     """
     single = root.rstrip("/").rsplit("/", 1)[-1].lower().endswith(tuple(extensions) + IMAGE_EXTENSIONS)
@@ -115,12 +131,9 @@ def walk(spark: SparkSession, root: str, images: bool = False, extensions: tuple
     bare = re.sub(r"^\w+:/*", "/", root).rstrip("/")
     local = F.regexp_replace("path", r"^\w+:/*", "/")
     files = files.withColumn("relative", F.lit(bare.rsplit("/", 1)[-1]) if single else F.regexp_replace(local, "^" + re.escape(bare) + "/?", ""))
-    rules: dict[str, list[str]] = {}
-    if not single:  # as many rows as there are ignore files
-        for r in files.where(basename(F.col("path")) == ignore_file).select("relative", F.decode("content", "UTF-8").alias("t")).orderBy("relative").collect():
-            rules[r.relative.rpartition("/")[0]] = r.t.splitlines()
+    rules = {} if single else ignore_rules(spark, root, ignore_file)
     kind = extension(F.col("path"))
-    why = F.when(F.col("relative").rlike(r"(^|/)\."), "hidden").when(ignored(F.col("relative"), rules), "ignored")
+    why = F.when(ignored(F.col("relative"), rules), "ignored")
     if not images and not single:
         why = why.when(kind.isin(*IMAGE_EXTENSIONS), "image")
     why = why.when(~kind.isin(*extensions, *IMAGE_EXTENSIONS), "foreign")

@@ -15,6 +15,11 @@ Rows are in ascending order of key (null first). Rows that repeat a key share
 its slot. A lookup hashes the key, reads one displacement, one slot and one
 row range: constant time whatever the shard holds.
 
+Above the shards stands a directory: keys are dealt by their hash to blocks of
+about `DIRECTORY_KEYS`, and each block is a minimal perfect hash of its own
+that maps a key to the shards that hold it, again with fingerprints. So a key
+is found by one directory row and its shard's row, however many there are.
+
 Shards are written by Spark's own writer, a row each with its blob in one
 column, so task retries and lost executors are handled by the job's commit and
 any store that Spark knows will do.
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +47,11 @@ SHARD_IDS = 2_000_000
 SHARD_ROWS = 20_000
 BROADCAST_SHARDS = 100_000
 _NULL = np.uint64(0x9E3779B97F4A7C15)
-SHARD_SCHEMA = "part int, seq int, first_key long, last_key long, n_rows long, n_ids long, blob binary"
+#: Keys of a directory block, about.
+DIRECTORY_KEYS = 50_000
+DIRECTORY = struct.Struct("<6sQQQQ")
+DIRECTORY_MAGIC = b"SLTD1\0"
+SHARD_SCHEMA = "part int, seq int, n_rows long, n_ids long, keys array<long>, blob binary"
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -118,6 +128,49 @@ def build_hash(keys: np.ndarray, nulls: np.ndarray) -> tuple[int, np.ndarray, np
     raise RuntimeError("no seed places every key")
 
 
+def find_slots(disp: np.ndarray, prints: np.ndarray, seed: int, keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
+    """The slot of each key; -1 for a key whose stored fingerprint differs."""
+    n = len(prints)
+    if not n:
+        return np.full(len(keys), -1)
+    h, f, g = _hashes(keys, nulls, seed)
+    d = disp[(h % np.uint64(len(disp))).astype(np.int64)].astype(np.int64)
+    slot = np.where(d < 0, -d - 1, _moved(f, np.maximum(d, 0), n))
+    return np.where(prints[slot] == (g >> np.uint64(32)).astype("<u4"), slot, -1)
+
+
+def directory_block(keys: np.ndarray, nulls: np.ndarray, blocks: int) -> np.ndarray:
+    """The directory block of each key."""
+    return (_hashes(keys, nulls, 77)[0] % np.uint64(blocks)).astype(np.int64)
+
+
+def build_directory(keys: np.ndarray, nulls: np.ndarray, part: np.ndarray, seq: np.ndarray) -> bytes:
+    """A block from the places of its keys, in ascending order of (null last, key, part, seq)."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (nulls[1:] != nulls[:-1])
+    first = np.flatnonzero(new)
+    seed, disp, slot = build_hash(keys[first], nulls[first])
+    prints, row, count = (np.zeros(len(first), dtype="<u4") for _ in range(3))
+    prints[slot] = (_hashes(keys[first], nulls[first], seed)[2] >> np.uint64(32)).astype("<u4")
+    row[slot], count[slot] = first, np.diff(np.append(first, len(keys)))
+    head = DIRECTORY.pack(DIRECTORY_MAGIC, seed, len(first), len(keys), len(disp))
+    return b"".join([head, disp.astype("<i4").tobytes(), prints.tobytes(), row.tobytes(), count.tobytes(), part.astype("<i4").tobytes(), seq.astype("<i4").tobytes()])
+
+
+def places(blob: bytes, key: int | None) -> list[tuple[int, int]]:
+    """(part, seq) of the shards that hold a key, in order, from its directory block."""
+    magic, seed, n, rows, buckets = DIRECTORY.unpack_from(blob)
+    if magic != DIRECTORY_MAGIC:
+        raise ValueError("not a directory block")
+    at, out = DIRECTORY.size, []
+    for kind, count in (("<i4", buckets), ("<u4", n), ("<u4", n), ("<u4", n), ("<i4", rows), ("<i4", rows)):
+        out.append(np.frombuffer(blob, dtype=kind, count=count, offset=at))
+        at += out[-1].nbytes
+    disp, prints, row, count, part, seq = out
+    s = int(find_slots(disp, prints, seed, np.array([key or 0], dtype=np.int64), np.array([key is None]))[0])
+    return [] if s < 0 else [(int(part[i]), int(seq[i])) for i in range(int(row[s]), int(row[s]) + int(count[s]))]
+
+
 def build_shard(keys: list, ids: list[bytes], width: int) -> bytes:
     """A blob from rows in ascending order of key (None first); ids as little-endian unsigned 32-bit integers."""
     nulls = np.array([k is None for k in keys], dtype=bool)
@@ -158,13 +211,7 @@ class Shard:
 
     def find(self, keys: np.ndarray, nulls: np.ndarray) -> np.ndarray:
         """The slot of each key; -1 for a key whose stored fingerprint differs."""
-        n = len(self.prints)
-        if not n:
-            return np.full(len(keys), -1)
-        h, f, g = _hashes(keys, nulls, self.seed)
-        d = self.disp[(h % np.uint64(len(self.disp))).astype(np.int64)].astype(np.int64)
-        slot = np.where(d < 0, -d - 1, _moved(f, np.maximum(d, 0), n))
-        return np.where(self.prints[slot] == (g >> np.uint64(32)).astype("<u4"), slot, -1)
+        return find_slots(self.disp, self.prints, self.seed, keys, nulls)
 
     def rows(self, key) -> list[np.ndarray]:
         """The ids of each row of a key (None for null); none if the key isn't here."""
@@ -192,8 +239,8 @@ def write_index(docs: DataFrame, path: str, vocabulary: str, kind: str = "word",
         ids: list[bytes] = []
 
         def out() -> pa.RecordBatch:
-            row = (part, seq, keys[0], keys[-1], len(keys), held, build_shard(keys, ids, width))
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            row = (part, seq, len(keys), held, list(dict.fromkeys(keys)), build_shard(keys, ids, width))
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.record_batch([pa.array([x], type=t) for x, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SHARD_SCHEMA.split(", ")])
 
         for batch in batches:
@@ -210,7 +257,29 @@ def write_index(docs: DataFrame, path: str, vocabulary: str, kind: str = "word",
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     spread = rows.repartitionByRange(slots(docs.sparkSession), "doc_id", F.xxhash64("text"))
-    spread.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    spread.sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    write_directory(open_index(docs.sparkSession, path).shards, path)
+
+
+def write_directory(shards: DataFrame, path: str) -> None:
+    """Write the directory of written shards: their keys alone are read, and dealt by hash, so no block grows with one key."""
+    blocks = max(1, -(-int(shards.agg(F.sum(F.size("keys"))).first()[0] or 0) // DIRECTORY_KEYS))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                nulls = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                block = directory_block(batch.column(0).fill_null(0).to_numpy(), nulls, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(block), *batch.columns], names=["block", "key", "part", "seq"])
+
+    def built(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("part", "ascending"), ("seq", "ascending")]).combine_chunks()
+        nulls = t.column("key").is_null().to_numpy()
+        blob = build_directory(t.column("key").fill_null(0).to_numpy(), nulls, t.column("part").to_numpy(), t.column("seq").to_numpy())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    own = shards.select(F.explode("keys").alias("key"), "part", "seq").mapInArrow(dealt, "block long, key long, part int, seq int")
+    own.groupBy("block").applyInArrow(built, "block long, blob binary").withColumn("blocks", F.lit(blocks)).write.option("compression", "uncompressed").parquet(f"{path}/directory")
 
 
 def read_index(shards: DataFrame) -> DataFrame:
@@ -254,24 +323,37 @@ def index_documents(docs: DataFrame, vocabulary: str, **how) -> DataFrame:
     spark = docs.sparkSession
     path = scratch_path(spark, "token-index")
     write_index(docs, path, vocabulary, **how)
-    return read_index(spark.read.schema(SHARD_SCHEMA).parquet(path))
+    return read_index(open_index(spark, path).shards)
+
+
+class Index(NamedTuple):
+    """The shards and the directory of an index, blobs unread until asked for."""
+
+    shards: DataFrame
+    directory: DataFrame | None
 
 
-def open_index(spark: SparkSession, path: str) -> DataFrame:
-    """The shards of an index, blobs unread until asked for."""
-    return spark.read.schema(SHARD_SCHEMA).parquet(path)
+def open_index(spark: SparkSession, path: str) -> Index:
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/directory")
+    known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return Index(shards, spark.read.schema("block long, blob binary, blocks int").parquet(f"{path}/directory") if known else None)
 
 
-def fetch(shards: DataFrame, key: int | None) -> list[list[int]]:
+def fetch(index: Index, key: int | None) -> list[list[int]]:
     """The ids of each row of one key; none if it isn't there.
 
-    Shards are chosen by their key range, which the file's statistics filter
-    before any blob is read; within a shard the access takes constant time. A
-    key whose rows were split lies in neighbouring shards, in order.
+    One row of the directory says which shards hold the key, and only their
+    rows are read: both are asked for by numbers that the files' statistics
+    filter. A key whose rows were split lies in several shards, in order.
     """
-    if key is None:
-        near = shards.where("first_key is null")
-    else:
-        near = shards.where((F.col("last_key") >= key) & (F.col("first_key").isNull() | (F.col("first_key") <= key)))
-    found = near.orderBy("part", "seq").select("blob").toLocalIterator()  # one shard, or those of one key
-    return [ids.tolist() for r in found for ids in Shard(bytes(r["blob"])).rows(key)]
+    blocks = index.directory.select("blocks").first()
+    if blocks is None:
+        return []
+    block = int(directory_block(np.array([key or 0], dtype=np.int64), np.array([key is None]), blocks[0])[0])
+    row = index.directory.where(F.col("block") == block).select("blob").first()
+    out = []
+    for part, seq in places(bytes(row["blob"]), key) if row else []:
+        blob = index.shards.where((F.col("part") == part) & (F.col("seq") == seq)).select("blob").first()["blob"]
+        out += [ids.tolist() for ids in Shard(bytes(blob)).rows(key)]
+    return out

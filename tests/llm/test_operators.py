@@ -645,6 +645,16 @@ def test_fetch(spark, odd):
     name = "word_bpe_49k.json"
     assert token_index.fetch(shards, 4) == [ids_of(odd.where("doc_id = 4").first().text, name)]
     assert token_index.fetch(shards, 5) == [ids_of("same text here please", name)] * 2
+    old, token_index.DIRECTORY_KEYS = token_index.DIRECTORY_KEYS, 2
+    try:  # several blocks, and shards of one row each, so that a repeated key lies in two of them
+        rows, token_index.SHARD_ROWS = token_index.SHARD_ROWS, 1
+        small = common.scratch_path(spark, "test-index")
+        token_index.write_index(odd.repartition(1), small, vocabulary(name))
+        many = token_index.open_index(spark, small)
+        assert many.directory.count() > 1
+        assert all(token_index.fetch(many, k) == token_index.fetch(shards, k) for k in (None, 1, 2, 5, 8, 999, -4))
+    finally:
+        token_index.DIRECTORY_KEYS, token_index.SHARD_ROWS = old, rows
     assert token_index.fetch(shards, None) == [ids_of("no id at all", name)] and token_index.fetch(shards, 999) == []
 
 

@@ -67,6 +67,7 @@ def terminal(text: Column) -> Column:
     return F.coalesce(F.right(F.rtrim(text), F.lit(1)).isin(".", "!", "?", '"'), F.lit(False))
 
 
+# Words that go on with a sentence.
 CONTINUATIONS = ("and", "but", "or", "because", "although", "though", "since", "unless", "while", "which", "that", "where", "when")
 
 

@@ -11,6 +11,7 @@ from stancelake.functions.labels import jaro_winkler
 from stancelake.functions.text import normalise
 from stancelake.operators.grounding import claim_weight
 
+# Patterns of turns, numbers, quotes, connectives, shifts and negation, and the limits of a match.
 TURN = r"(?i)\bturns?\s+(\d+)(?:\s*(?:–|-|to|through|and)\s*(\d+))?"
 NUMBER = r"(?<![\w.-])\d+(?:\.\d+)?%?(?!\w)"
 QUOTE = "\"([^\"]+)\"|“([^”]+)”"

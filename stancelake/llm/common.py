@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,41 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stancelake.tables import remove, scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark alone, so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one of our own in local mode, and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = spark.conf.get("spark.stancelake.ownDir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="stancelake-")
-            spark.conf.set("spark.stancelake.ownDir", base)
-    return base.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM may be gone at exit; the folder is the cluster's to clear
-        return
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/stancelake/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
 def settle(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Cut lineage: write df as a table in the shared folder and read it back.
 
@@ -64,7 +34,7 @@ def settle(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Remove tables that nothing reads any more."""
     for path in paths:
-        _remove(spark, path)
+        remove(spark, path)
     paths.clear()
 
 

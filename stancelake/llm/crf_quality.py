@@ -383,7 +383,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns as they were."""
+    """The rows of docs whose score reaches the threshold, with all their columns as they were, whatever their names.
+
+    A null text counts as empty and is scored like any other; very long texts
+    are scored whole, piece by piece; a score equal to the threshold stays; rows
+    that repeat a text share its fate; null ids are kept; an empty table gives
+    no rows.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")
     plain = docs.toDF(*names)

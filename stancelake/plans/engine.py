@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancelake import tables
+from stancelake.commits import Log, Transaction
 from stancelake.operators import annotation, catalog, clauses as cl, conversation as cv, filters, graph, kb, retrieval, sinks
 from stancelake.sources.loaders import BY_EXTENSION, RECORDS, catalogue, section_shape, text_files
 from stancelake.sources.routing import corpus, extension
@@ -49,32 +49,33 @@ class Engine:
         rows = self.annotate(cl.split_clauses(units))
         return rows.withColumn("stable_id", cl.stable_id(F.col("section_id"), F.col("idx"), F.col("ctext")))
 
-    def read(self, name: str) -> DataFrame | None:
-        """The current version of a stored table."""
-        return tables.current(self.spark, self.path(name))
-
-    def store(self, clauses: DataFrame, name: str = "clauses") -> None:
-        """Replace whole sections: new rows and the old ones of other sections make a new version, then the pointer moves."""
-        old = self.read(name)
-        tables.publish(clauses if old is None else catalog.replace_section(old, clauses.select(*old.columns)), self.path(name))
-
-    def decide(self, clause_id: str, decision: str, at: str, annotate: Annotator | None = None, clauses: str = "clauses", reviews: str = "reviews") -> None:
-        """Record a review decision; re_annotated runs the annotator over the clause and replaces its payload.
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, self.base)
 
-        Both tables get their new versions before either pointer moves on: the
-        payload first, so that a decision never stands without its payload.
-        """
-        rows = self.read(clauses)
-        one = rows.where(F.col("clause_id") == clause_id)
-        if one.isEmpty():
-            raise KeyError(f"no clause {clause_id}")
-        if decision == "re_annotated":
-            fresh = (annotate or self.annotate)(one.drop(*annotation.PAYLOAD))
-            kept = [c for c in annotation.PAYLOAD if c in rows.columns]
-            tables.publish(annotation.update_payload(rows, fresh.select("clause_id", *[c for c in kept if c in fresh.columns]), "clause_id", [c for c in kept if c in fresh.columns]), self.path(clauses))
-        log = catalog.decisions(one.select("clause_id"), decision, at)
-        old = self.read(reviews)
-        tables.publish(log if old is None else old.unionByName(log), self.path(reviews))
+    def read(self, name: str) -> DataFrame | None:
+        """A stored table as of the last commit."""
+        return self.log.read(name)
+
+    def store(self, clauses: DataFrame, name: str = "clauses") -> int:
+        """Replace whole sections in one commit; others may store other sections at the same time."""
+        return self.log.commit(lambda t: t.replace(name, clauses, "section_id"), "store")
+
+    def decide(self, clause_id: str, decision: str, at: str, annotate: Annotator | None = None, clauses: str = "clauses", reviews: str = "reviews") -> int:
+        """Record a review decision; re_annotated runs the annotator over the clause and replaces its payload, in the same commit."""
+
+        def change(t: Transaction) -> None:
+            rows = t.peek(clauses)
+            one = rows.where(F.col("clause_id") == clause_id) if rows is not None else None
+            if one is None or one.isEmpty():
+                raise KeyError(f"no clause {clause_id}")
+            if decision == "re_annotated":
+                fresh = (annotate or self.annotate)(one.drop(*annotation.PAYLOAD))
+                kept = [c for c in annotation.PAYLOAD if c in rows.columns and c in fresh.columns]
+                t.merge(clauses, fresh.select("section_id", "clause_id", *kept), "clause_id", kept)
+            t.append(reviews, catalog.decisions(one.select("clause_id"), decision, at), "clause_id")
+
+        return self.log.commit(change, decision)
 
     def sections(self, units: DataFrame) -> DataFrame:
         return section_shape(units)

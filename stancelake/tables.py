@@ -1,4 +1,4 @@
-"""Written tables: what cuts lineage in a way that outlives executors, and versions that are switched by a pointer."""
+"""Written tables: what cuts lineage in a way that outlives executors."""
 
 from __future__ import annotations
 
@@ -42,44 +42,3 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The version of a table that its pointer names; None if there is none yet."""
-    fs, at = _pointer(spark, path)
-    if not fs.exists(at):
-        return None
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def publish(df: DataFrame, path: str) -> None:
-    """Write df as a new version of the table at path, then switch the pointer.
-
-    A failure before the switch leaves the old version in place. The version
-    that was current until now stays for readers that have begun; older ones
-    are removed.
-    """
-    spark = df.sparkSession
-    fs, at = _pointer(spark, path)
-    old = spark.read.text(f"{path}/CURRENT").first()[0] if fs.exists(at) else None
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fresh = hadoop.Path(f"{path}/NEXT-{version}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    # one rename onto the old pointer is the switch
-    rename = getattr(hadoop, "Options$Rename")
-    how = spark.sparkContext._gateway.new_array(rename, 1)
-    how[0] = rename.OVERWRITE
-    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(fresh), fs.makeQualified(at), how)
-    for f in fs.listStatus(hadoop.Path(path)):
-        if f.isDirectory() and f.getPath().getName() not in (version, old):
-            fs.delete(f.getPath(), True)
-
-
-def _pointer(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stancelake import tables
 from stancelake.operators import annotation, catalog, filters, graph, reports, topics
 from stancelake.plans import queries as q
 from stancelake.plans.engine import Engine
@@ -11,19 +10,6 @@ from stancelake.sources import loaders as ld, routing
 from stancelake.streaming import runs
 
 
-def test_versions(spark, tmp_path):
-    """A failed write leaves the old version; the one before the current stays for readers that have begun."""
-    path = str(tmp_path / "t")
-    assert tables.current(spark, path) is None
-    tables.publish(spark.range(3), path)
-    old = tables.current(spark, path)
-    tables.publish(old.union(spark.range(10, 12)), path)
-    assert tables.current(spark, path).count() == 5 and old.count() == 3
-    with pytest.raises(Exception, match="broken"):
-        tables.publish(spark.range(2).select(F.raise_error(F.lit("broken")).alias("id")), path)
-    assert tables.current(spark, path).count() == 5
-
-
 def test_decisions(spark, tmp_path):
     e = Engine(spark, str(tmp_path))
     e.store(e.compile(spark.createDataFrame([("s#1", "It might rain. He must go!")], "section_id string, text string")))

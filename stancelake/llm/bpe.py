@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from stancelake.llm.encode import LONG_TEXT, MEMO_ENTRIES, PIECES_AT_ONCE, SPLITS
 
-#: Words that wait for their ids, and bytes of ids or text in a batch of rows.
-WAITING, BATCH = 40_000, 8 << 20
+#: Words that wait for their ids, bytes of ids or text in a batch of rows, fragments that are remembered.
+WAITING, BATCH, FRAGMENTS = 40_000, 4 << 20, 100_000
 #: Where a text may be cut beforehand: no rule of either vocabulary looks past a blank before one of these.
 _SAFE = re.compile(r" (?=[A-Za-z0-9])")
 
@@ -60,6 +60,7 @@ class Cutter:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that aren't matched as they stand are not supported")
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        del whole
         self.lower, self.split = kind == "word", SPLITS[kind]
         own = {t["content"]: t["id"] for t in spec["added_tokens"]} if specials else {}
         self.special = {t: np.asarray([i], dtype="<u4").tobytes() for t, i in own.items()}
@@ -108,7 +109,7 @@ class Cutter:
         for final, memo in enumerate(self.fragments):
             fresh = list({f: None for f, last in named if last == bool(final) and f not in memo})
             if fresh:
-                if len(memo) > MEMO_ENTRIES:
+                if len(memo) > FRAGMENTS:
                     memo.clear()
                     fresh = list({f: None for f, last in named if last == bool(final)})
                 memo.update(zip(fresh, self._encode(fresh, bool(final)), strict=True))
@@ -251,7 +252,7 @@ def encode(docs: DataFrame, path: str, kind: str = "word", specials: bool = True
         own = cutter(path, kind, specials)
         for batch in batches:
             schema = pa.schema([pa.field("key", batch.schema.field(0).type), pa.field("ids", pa.binary())])
-            yield from _sliced(zip(batch.column(0).to_pylist(), own.many(batch.column(1).to_pylist()), strict=True), schema)
+            yield from _sliced(zip(batch.column(0).to_pylist(), own.many(x.as_py() for x in batch.column(1)), strict=True), schema)
 
     return rows.mapInArrow(run, f"key {field.dataType.simpleString()}, ids binary").withColumnRenamed("key", key)
 
@@ -270,7 +271,20 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") ->
     return rows.mapInArrow(run, f"key {field.dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("key", key)
 
 
+def round_trip(docs: DataFrame, path: str, kind: str = "word", specials: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, decoded): encode and decode in one pass, by one worker a task; rows as in both."""
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, speller = cutter(path, kind, specials), Speller(path)
+        for batch in batches:
+            schema = pa.schema([pa.field("key", batch.schema.field(0).type), pa.field("ids", pa.binary()), pa.field("decoded", pa.string())])
+            ids = own.many(x.as_py() for x in batch.column(1))
+            yield from _sliced(((k.as_py(), i, speller.text(i)) for k, i in zip(batch.column(0), ids, strict=True)), schema)
+
+    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, ids binary, decoded string").withColumnRenamed("key", key)
+
+
 def digests(docs: DataFrame, path: str, kind: str = "word") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of texts encoded and decoded again."""
-    both = decode(encode(docs, path, kind), path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trip(docs, path, kind).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

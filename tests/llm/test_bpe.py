@@ -66,6 +66,8 @@ def test_rows(spark):
 
     assert sorted(map(str, map(tuple, out))) == sorted(str(want(*r)) for r in rows)
     assert bpe.digests(df.where("doc_id > 9"), path).count() == 0
+    one, two = (sorted(map(str, map(tuple, x.collect()))) for x in (bpe.round_trip(df, path), bpe.decode(bpe.encode(df, path), path)))
+    assert one == two
     assert bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids binary"), path).first().decoded == ""
 
 

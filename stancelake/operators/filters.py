@@ -83,7 +83,7 @@ def parameters(raw: dict[str, str | None]) -> dict:
 
 
 def run_state(status: Column, heartbeat: Column, as_of: Column, after_s: int = 30, alive: Column | None = None) -> Column:
-    """running, stalled (no heartbeat for longer than after_s), dead (that, and its process is known to be gone), or the stored status."""
+    """running, dead (its process is known to be gone), stalled (no heartbeat for longer than after_s), or the stored status."""
     late = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(heartbeat.cast("timestamp")) > after_s * 1_000_000
     gone = F.lit(False) if alive is None else ~F.coalesce(alive, F.lit(True))
-    return F.when(status != "running", status).when(late & gone, "dead").when(late, "stalled").otherwise("running")
+    return F.when(status != "running", status).when(gone, "dead").when(late, "stalled").otherwise("running")

@@ -1,14 +1,23 @@
-"""Trees and graphs: closures by doubled steps, leaves, cycles, selections.
+"""Trees and graphs: interval labels, paths, owners and selections of forests; closures, cycles and the guard of writes.
 
-A closure of any depth takes as many joins as the depth has bits. Every step is
-a written table, so neither the plan nor the lineage grows with the depth.
+Ways of any length are doubled, so they take as many joins as the length has
+bits. Every step is a written table, so neither the plan nor the lineage grows
+with the depth. What a forest is asked needs no table of rows times depth:
+labels make ancestry a range test, and sums run along the tour.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from stancelake.commits import Transaction
 from stancelake.tables import settle
 
 
@@ -44,19 +53,172 @@ def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return ancestors(turned, seeds).withColumnRenamed("ancestor", "descendant")
 
 
+def one_parent(edges: DataFrame) -> DataFrame:
+    """Distinct (node, parent) of a forest; parents that have no row of their own are roots; a node with two parents is an error."""
+    e = edges.where("node is not null").select("node", "parent").distinct()
+    roots = e.where("parent is not null").select(F.col("parent").alias("node")).distinct().join(e.select("node"), "node", "left_anti")
+    e = settle(e.unionByName(roots.withColumn("parent", F.lit(None).cast(e.schema["parent"].dataType))), "graph-forest")
+    n = F.count("parent")
+    if not e.groupBy("node").agg(n.alias("n")).where("n > 1").isEmpty():
+        raise ValueError("a node has more than one parent")
+    return e.groupBy("node").agg(F.max("parent").alias("parent"))
+
+
+def _lifted(start: DataFrame, columns: dict[str, Column], name: str, most: int = 64) -> DataFrame:
+    """start(node, up, ...) with every row's way up doubled until it has ended (up is null), n rows a step.
+
+    columns: how a column of a row (named a_*) and of the row that it has
+    reached (b_*) give the doubled one. A way that doesn't end after
+    2**most steps stands on a cycle, and is an error.
+    """
+    rows = settle(start, name)
+    for _ in range(most):
+        going = rows.where("up is not null")
+        if going.isEmpty():
+            return rows
+        a = going.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
+        b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
+        further = a.join(b, F.col("a_up") == F.col("b_node")).select(F.col("a_node").alias("node"), F.col("b_up").alias("up"), *[c.alias(k) for k, c in columns.items()])
+        rows = settle(rows.where("up is null").select(*further.columns).unionByName(further), name)
+    raise ValueError("the edges close a cycle")
+
+
 def owners(edges: DataFrame, seeds: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
-    """(node, owner): the nearest node of this kind at or above each of seeds(node), from kinds(node, kind)."""
-    up = ancestors(edges, seeds).unionByName(seeds.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("level")))
-    of = kinds.where(F.col("kind") == kind).select(F.col("node").alias("ancestor"))
-    return up.join(of, "ancestor").groupBy("node").agg(F.min_by("ancestor", F.struct("level", "ancestor")).alias("owner"))
+    """(node, owner): the nearest node of this kind at or above each of seeds(node), from kinds(node, kind).
+
+    Ways end at a node of the kind, so no step has more rows than there are nodes.
+    """
+    of = kinds.where(F.col("kind") == kind).select("node").distinct().withColumn("__is", F.lit(True))
+    start = one_parent(edges).join(of, "node", "left").select("node", F.when(F.col("__is"), None).otherwise(F.col("parent")).alias("up"), F.when(F.col("__is"), F.col("node")).alias("owner"))
+    found = _lifted(start, {"owner": F.col("b_owner")}, "graph-owners", _rounds(start))
+    return seeds.select("node").distinct().join(found.where("owner is not null").select("node", "owner"), "node")
+
+
+def _rounds(rows: DataFrame) -> int:
+    """Doublings that take any way without a cycle to its end."""
+    return rows.count().bit_length() + 1
+
+
+# --- interval labels -----------------------------------------------------------------------------
+
+
+def running(rows: DataFrame, order: list[str], columns: list[str], name: str = "running") -> DataFrame:
+    """rows with run_<column>: the sum of a column of longs up to and with the row, in the order given, which must be total.
+
+    Rows are sorted by range, each task sums its own, and the totals of the
+    tasks before, one row a task, are added.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(f"run_{c}", T.LongType()) for c in columns], T.StructField("__task", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = dict.fromkeys(columns, 0)
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            more = []
+            for c in columns:
+                total = np.cumsum(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)) + so_far[c]
+                so_far[c] = int(total[-1]) if len(total) else so_far[c]
+                more.append(pa.array(total, pa.int64()))
+            names = [*batch.schema.names, *[f"run_{c}" for c in columns], "__task"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more, pa.array(np.full(batch.num_rows, task, dtype=np.int32))], names=names)
+
+    own = settle(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, schema), name)
+    totals = own.groupBy("__task").agg(*[F.sum(c).alias(c) for c in columns]).collect()  # a row a task
+    before = []
+    at = dict.fromkeys(columns, 0)
+    for t in sorted(totals, key=lambda r: r["__task"]):
+        before.append((t["__task"], *at.values()))
+        at = {c: at[c] + (t[c] or 0) for c in columns}
+    if not before:
+        return own.drop("__task")
+    ahead = F.broadcast(rows.sparkSession.createDataFrame(before, "__task int, " + ", ".join(f"__b_{c} long" for c in columns)))
+    return own.join(ahead, "__task").select(*rows.columns, *[(F.col(f"run_{c}") + F.col(f"__b_{c}")).alias(f"run_{c}") for c in columns])
+
+
+def intervals(edges: DataFrame) -> DataFrame:
+    """(node, parent, root, depth, pre, post) of a forest: a node's interval holds those of all that stand below it, and of nothing else in its tree.
+
+    An Euler tour goes down into a node and up out of it; every step knows the
+    next one, and doubling (list ranking) tells how many steps are left. So
+    storage is two rows a node at any depth. Siblings are in the order of
+    their names; pre and post count backwards from the tour's end and are
+    negative. Children of one parent are numbered by range, not in one group.
+    """
+    e = one_parent(edges)
+    # siblings stand together in the order (parent, node); place is the number of a node there
+    placed = settle(running(e.select("parent", "node", F.lit(1).cast("long").alias("one")), ["parent", "node"], ["one"], "graph-order").select("node", "parent", F.col("run_one").alias("place")), "graph-place")
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("parent").alias("same"), F.col("place").alias("next"))
+    mine = placed.select("node", F.col("place").alias("up_place"))
+    child = placed.where("parent is not null").groupBy("parent").agg(F.min("place").alias("first")).withColumnRenamed("parent", "node")
+    t = placed.join(after, "place", "left").withColumn("next", F.when(F.col("same") == F.col("parent"), F.col("next"))).join(child, "node", "left")
+    t = t.join(mine.withColumnRenamed("node", "parent"), "parent", "left")
+    # steps are numbered 2 * place for down, 2 * place + 1 for up
+    down, up = 2 * F.col("place"), 2 * F.col("place") + 1
+    steps = t.select(F.array(
+        F.struct(down.alias("node"), F.coalesce(2 * F.col("first"), up).alias("up"), F.lit(1).cast("long").alias("left"), F.lit(1).cast("long").alias("high"), down.alias("last")),
+        F.struct(up.alias("node"), F.coalesce(2 * F.col("next"), 2 * F.col("up_place") + 1).alias("up"), F.lit(1).cast("long").alias("left"), F.lit(-1).cast("long").alias("high"), up.alias("last")),
+    ).alias("s")).select(F.inline("s"))
+    ranked = _lifted(steps, {"left": F.col("a_left") + F.col("b_left"), "high": F.col("a_high") + F.col("b_high"), "last": F.col("b_last")}, "graph-tour", _rounds(steps))
+    n = ranked.groupBy(F.shiftright("node", 1).alias("place")).agg(F.min(-F.col("left")).alias("pre"), F.max(-F.col("left")).alias("post"), F.max("high").alias("h"), F.max("last").alias("last"))
+    roots = placed.where("parent is null").select(F.col("node").alias("root"), (2 * F.col("place") + 1).alias("last"))
+    return placed.join(n, "place").join(roots, "last").select("node", "parent", "root", (-F.col("h")).alias("depth"), "pre", "post")
+
+
+def within(labels: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:
+    """(node, parent, above_<c>, below_<c>): sums of columns of marks(node, ...) over a node and all above it, and over it and all below it.
+
+    Sums run along the tour: what a node adds on the way down it takes back on
+    the way up, or what was added between the two is what stands below.
+    """
+    j = labels.join(marks.groupBy("node").agg(*[F.sum(c).cast("long").alias(c) for c in columns]), "node", "left")
+    value = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    at = lambda place, sign: F.struct("root", F.col(place).alias("at"), "node", F.lit(sign).alias("side"), *[(value(c) * sign).alias(f"o_{c}") for c in columns], *[(value(c) if sign > 0 else F.lit(0).cast("long")).alias(f"t_{c}") for c in columns])
+    tour = j.select(F.inline(F.array(at("pre", 1), at("post", -1))))
+    r = running(tour, ["root", "at"], [x for c in columns for x in (f"o_{c}", f"t_{c}")], "graph-sums")
+    down, up = F.col("side") == 1, F.col("side") == -1
+    sums = [x for c in columns for x in (F.max(F.when(down, F.col(f"run_o_{c}"))).alias(f"above_{c}"), (F.max(F.when(up, F.col(f"run_t_{c}"))) - F.max(F.when(down, F.col(f"run_t_{c}") - F.col(f"t_{c}")))).alias(f"below_{c}"))]
+    return labels.select("node", "parent").join(r.groupBy("node").agg(*sums), "node")
+
+
+# --- the guard of writes -------------------------------------------------------------------------
 
 
 def admitted(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new edges that may be written, those that would close a cycle with old or with one another), checked before a write."""
-    on = settle(cycles(old.select("node", "parent").union(new.select("node", "parent"))), "graph-cycles")
-    ends = on.select(F.col("node").alias("parent"))
-    bad = new.join(on, "node", "left_semi").join(ends, "parent", "left_semi").select(*new.columns)
-    return new.join(bad.select("node", "parent").distinct(), ["node", "parent"], "left_anti").select(*new.columns), bad
+    """(edges of new that may be written, those that would stand on a cycle) when every node of new(node, parent) gets that parent in place of its old one.
+
+    On the way up from a new parent, old edges hold as far as the next node
+    that moves; so the nodes that move, each with the next one that its new
+    parent stands below, decide alone. Old edges are walked once, by doubling
+    that ends at such nodes, and no closure is made. A node that moves twice
+    in one batch is an error.
+    """
+    kept = [F.col(c) for c in new.columns]
+    moves = settle(new.where("node is not null and parent is not null"), "graph-moves")
+    if not moves.groupBy("node").count().where("count > 1").isEmpty():
+        raise ValueError("a node moves more than once")
+    marks = moves.select("node", F.lit("moves").alias("kind"))
+    known = old.select("node", "parent").unionByName(moves.select("node", F.lit(None).cast(old.schema["parent"].dataType).alias("parent"))).unionByName(moves.select(F.col("parent").alias("node"), F.lit(None).cast(old.schema["parent"].dataType).alias("parent")))
+    known = known.groupBy("node").agg(F.max("parent").alias("parent"))
+    up = owners(known, moves.select(F.col("parent").alias("node")), marks, "moves").withColumnRenamed("node", "parent")
+    jumps = moves.join(up, "parent", "left").select("node", F.col("owner").alias("parent"))
+    on = settle(cycles(jumps.where("parent is not null")), "graph-cycles")
+    return moves.join(on, "node", "left_anti").select(*kept), moves.join(on, "node", "left_semi").select(*kept)
+
+
+def move(t: Transaction, name: str, new: DataFrame) -> None:
+    """Give nodes of the stored table name(node, parent) new parents, within a commit: all of them, or a ValueError if some would close a cycle.
+
+    The check reads the table as of the commit, so of two moves that close a
+    cycle together the later one is checked again, and refused.
+    """
+    old = t.read(name)
+    if old is None:
+        old = new.limit(0).select("node", "parent")
+    good, bad = admitted(old, new)
+    if not bad.isEmpty():
+        raise ValueError(f"cycle at {bad.first()['node']}")
+    t.replace(name, good.select("node", "parent").unionByName(new.where("parent is null").select("node", "parent")), "node")
 
 
 def selection_counts(states: DataFrame) -> DataFrame:
@@ -93,37 +255,31 @@ def cycles(edges: DataFrame) -> DataFrame:
 
 
 def paths(edges: DataFrame, label: str = "label", joiner: str = " > ") -> DataFrame:
-    """(node, depth, path): labels from the root to the node."""
-    up = ancestors(edges)
-    names = edges.select(F.col("node").alias("ancestor"), F.col(label).alias("l"))
-    chain = up.join(names, "ancestor").groupBy("node").agg(F.count("*").alias("depth"), F.sort_array(F.collect_list(F.struct(F.col("level"), F.col("l"))), asc=False).alias("c"))
-    j = edges.select("node", F.col(label).alias("own")).join(chain, "node", "left")
-    above = F.coalesce(F.transform("c", lambda s: s["l"]), F.array().cast("array<string>"))
-    return j.select("node", F.coalesce("depth", F.lit(0)).alias("depth"), F.array_join(F.concat(above, F.array("own")), joiner).alias("path"))
+    """(node, depth, path): labels from the root to the node, folded down by doubling: a row a node in every step; null labels are left out."""
+    named = edges.where("node is not null").groupBy("node").agg(F.first(label, ignorenulls=True).cast("string").alias("own"))
+    start = one_parent(edges).join(named, "node", "left").select("node", F.col("parent").alias("up"), F.lit(0).alias("depth"), F.when(F.col("own").isNull(), F.array().cast("array<string>")).otherwise(F.array("own")).alias("way"))
+    found = _lifted(start, {"depth": F.col("a_depth") + F.col("b_depth") + 1, "way": F.concat("b_way", "a_way")}, "graph-paths", _rounds(start))
+    return found.select("node", "depth", F.array_join("way", joiner).alias("path"))
 
 
 def widened(nodes: DataFrame, edges: DataFrame, text: str = "text") -> DataFrame:
     """(node, evidence): a node's text with its ancestors' before it, from the root on."""
-    up = ancestors(edges)
-    texts = nodes.select(F.col("node").alias("ancestor"), F.col(text).alias("t"))
-    chain = up.join(texts, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("level", "t")), asc=False).alias("c"))
-    above = F.coalesce(F.transform("c", lambda s: s["t"]), F.array().cast("array<string>"))
-    return nodes.join(chain, "node", "left").select("node", F.array_join(F.concat(above, F.array(text)), " ").alias("evidence"))
+    texts = nodes.select("node", F.col(text).alias("label"))
+    told = edges.select("node", "parent").join(texts, "node", "left")
+    return nodes.select("node").join(paths(told, "label", " ").select("node", F.col("path").alias("evidence")), "node")
 
 
 def matching(edges: DataFrame, hits: DataFrame) -> DataFrame:
-    """hits(node) and all nodes above them."""
-    up = ancestors(edges, hits).select(F.col("ancestor").alias("node"))
-    return hits.select("node").unionByName(up).distinct()
+    """hits(node) and all nodes above them: those with a hit below."""
+    n = within(intervals(edges), hits.select("node", F.lit(1).alias("hit")), ["hit"])
+    return hits.select("node").unionByName(n.where("below_hit > 0").select("node")).distinct()
 
 
 def selection(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """(node, state): full, partial or none, from the leaves that are chosen(node) themselves or below a chosen node."""
-    leaf = leaves(edges)
-    up = ancestors(edges).select("node", "ancestor").distinct()
-    marks = chosen.select("node").distinct().withColumn("__on", F.lit(True))
-    direct = leaf.join(marks, "node", "left").select("node", F.coalesce("__on", F.lit(False)).alias("on"))
-    through = up.join(marks.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct().withColumn("__up", F.lit(True))
-    state = direct.join(through, "node", "left").select("node", (F.col("on") | F.coalesce("__up", F.lit(False))).alias("on"))
-    spread = state.join(up, "node").select(F.col("ancestor").alias("node"), "on").unionByName(state)
-    return spread.groupBy("node").agg(F.when(F.bool_and("on"), "full").when(F.bool_or("on"), "partial").otherwise("none").alias("state"))
+    labels = settle(intervals(edges), "graph-labels")
+    up = within(labels, chosen.select("node").distinct().withColumn("chosen", F.lit(1)), ["chosen"])
+    leaf = up.join(leaves(edges), "node", "left_semi")
+    marks = leaf.select("node", F.lit(1).alias("leaf"), (F.col("above_chosen") > 0).cast("int").alias("taken"))
+    n = within(labels, marks, ["leaf", "taken"])
+    return n.select("node", F.when(F.col("below_taken") == F.col("below_leaf"), "full").when(F.col("below_taken") > 0, "partial").otherwise("none").alias("state"))

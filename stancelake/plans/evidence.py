@@ -387,8 +387,7 @@ def deep_chains(spark, d):
     """Chains of a thousand levels: every node's depth and root."""
     k = F.col("p_partkey")
     e = read(spark, d, "part").select(k.alias("node"), F.when(k % 1000 != 0, k - 1).alias("parent"))
-    up = graph.ancestors(e).groupBy("node").agg(F.count("*").alias("depth"), F.max_by("ancestor", "level").alias("root"))
-    return e.select("node").join(up, "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"), "root")
+    return graph.intervals(e).select("node", "depth", F.when(F.col("depth") > 0, F.col("root")).alias("root"))
 
 
 @query("SELECT p_partkey AS node FROM part WHERE p_partkey % 50 < 40")

@@ -840,3 +840,4 @@ def stall_stream(spark, d):
 
 
 from stancelake.plans import evidence  # noqa: E402, F401  (registers more queries by the functions above)
+from stancelake.plans import ledger  # noqa: E402, F401

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from stancelake.tables import scratch_path
 
@@ -46,6 +47,70 @@ def track(events: DataFrame, delay: str = "2 hours") -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_track, "user_id long, beats long, stalls long, last_us long", "last_us long, beats long, stalls long", "update", "EventTimeTimeout")
 
 
+#: A run's last event and what it is taken for: running, stalled or dead (silent for long, and longer), or how it ended.
+_RUN = "us long, tie long, status string, beats long"
+LIVENESS = "run string, status string, at_us long, last_us long, beats long"
+
+
+class Watch(StatefulProcessor):
+    """One state a run, and a timer in event time that fires while no event comes."""
+
+    def __init__(self, stalled_ms: int, dead_ms: int):
+        self.stalled_ms, self.dead_ms = stalled_ms, dead_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", _RUN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.run.get() if self.run.exists() else None
+        us, tie, status, beats = held if held else (None, None, None, 0)
+        for pdf in rows:
+            last = pdf.sort_values(["us", "tie"]).iloc[-1]
+            if us is None or (int(last["us"]), int(last["tie"])) > (us, tie):
+                us, tie, status = int(last["us"]), int(last["tie"]), str(last["status"])
+            beats += len(pdf)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.run.update((us, tie, status, beats))
+        if status == "running":
+            self.handle.registerTimer(us // 1000 + self.stalled_ms + 1)
+        yield self._row(key[0], status, us, us, beats)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.run.exists():
+            return
+        us, tie, status, beats = self.run.get()
+        now = timerValues.getCurrentWatermarkInMs()
+        if status == "running":
+            yield self._row(key[0], "stalled", us + self.stalled_ms * 1000, us, beats)
+        if now > us // 1000 + self.dead_ms:  # it may be both at once, after a long gap
+            yield self._row(key[0], "dead", us + self.dead_ms * 1000, us, beats)
+            self.run.clear()
+            return
+        self.run.update((us, tie, "stalled", beats))
+        self.handle.registerTimer(us // 1000 + self.dead_ms + 1)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _row(run, status: str, at_us: int, last_us: int, beats: int) -> pd.DataFrame:
+        return pd.DataFrame({"run": [str(run)], "status": [status], "at_us": [at_us], "last_us": [last_us], "beats": [beats]})
+
+
+def liveness(events: DataFrame, stalled_s: int = 30, dead_s: int = 300, delay: str = "10 seconds") -> DataFrame:
+    """A stream of (run, status, at_us, last_us, beats) from a stream of events (run, ts, tie, status), status being running or how the run ended.
+
+    A row for every batch of events of a run, and one when it has been silent
+    for stalled_s, and for dead_s, of event time by the watermark, though no
+    event of it comes. What comes after an end or a stall makes it anew what
+    it says; a dead run's state is dropped.
+    """
+    rows = events.select(F.col("run").cast("string").alias("run"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("tie").cast("long").alias("tie"), "status").where("us is not null")
+    return rows.withWatermark("ts", delay).groupBy("run").transformWithStateInPandas(Watch(stalled_s * 1000, dead_s * 1000), LIVENESS, "Update", "EventTime")
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
     path = f"{sf_dir}/events.parquet"
@@ -69,7 +134,12 @@ def run_through(stream: DataFrame, mode: str, state: str | None = None) -> DataF
         # a batch that is run again after a failure writes the same folder again
         batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # on disk, and what timers need
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    spark.conf.set(key, was)
+    query.awaitTermination()
     rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/rows")
     if mode == "complete":
         rows = rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi")

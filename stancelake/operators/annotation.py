@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.contracts import trusted, unit_interval
 from stancelake.functions.labels import normalise
+from stancelake.tables import settle
 
 BATCH = 40
 #: What an annotator adds to a clause.
@@ -99,10 +101,68 @@ def annotate(clauses: DataFrame, call: Batch, batch: int = BATCH) -> DataFrame:
     return clauses.select("clause_id", "ctext").mapInPandas(run, RAW)
 
 
+def answered(clauses: DataFrame, calls: list[Batch], base: str, batch: int = BATCH, at_once: int = 1000, stop: Callable[[], bool] | None = None) -> tuple[DataFrame, bool]:
+    """((raw answers and the attempt that gave them), whether all were asked), kept under base, a folder of the shared store.
+
+    The clauses are written in files of one batch each, and a stream takes
+    `at_once` files at a time, asks, and writes the answers before the next
+    ones: what is answered is never asked again, after a lost driver, a stop
+    or another call for the same base, and a lost executor costs the batch
+    that it was at. The second of calls gets the clauses that the first left
+    unanswered, and so on. stop is asked before every round. clauses must hold
+    an id once, and be the same whenever base is.
+    """
+    spark = clauses.sparkSession
+    names = ["clause_id", "ctext"]
+    found, whole = [], True
+    for attempt, call in enumerate(calls):
+        at = f"{base}/attempt={attempt}"
+        left = clauses.select(*names)
+        for earlier in found:
+            left = left.join(earlier.select("clause_id"), "clause_id", "left_anti")
+        if not _exists(spark, f"{at}/asked/_SUCCESS"):
+            left.write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(f"{at}/asked")
+        schema = left.select(*names).schema
+        halted = _rounds(annotate(spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(f"{at}/asked"), call, batch), at, stop)
+        if _exists(spark, f"{at}/answers"):
+            found.append(spark.read.schema(RAW).parquet(f"{at}/answers/*").withColumn("attempt", F.lit(attempt)))
+        if halted:
+            whole = False
+            break
+    empty = spark.createDataFrame([], RAW + ", attempt int")
+    return reduce(lambda a, b: a.unionByName(b), found, empty), whole
+
+
+class _Halt(Exception):
+    pass
+
+
+def _rounds(answers: DataFrame, at: str, stop: Callable[[], bool] | None) -> bool:
+    """Whether the stream was halted between two of its rounds, each of which is a folder."""
+    halted = []
+
+    def put(rows: DataFrame, number: int) -> None:
+        if stop is not None and stop():
+            halted.append(number)
+            raise _Halt
+        rows.write.mode("overwrite").parquet(f"{at}/answers/round-{number}")
+
+    query = answers.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception:
+        if not halted:
+            raise
+    return bool(halted)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def annotate_one(text: str, call: Batch) -> dict:
     """The payload of a single clause, by the same contract and defaults as a batch's."""
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.getActiveSession()
     row = spark.createDataFrame([("one", text)], "clause_id string, ctext string")
     answer = (list(call([text])) or [None])[0]
@@ -111,7 +171,12 @@ def annotate_one(text: str, call: Batch) -> dict:
 
 
 def payloads(clauses: DataFrame, raw: DataFrame) -> DataFrame:
-    """Raw answers joined by id, each held to its contract; misses and broken answers get the defaults."""
+    """Raw answers joined by id, each held to its contract; misses and broken answers get the defaults.
+
+    The answers are written before anything reads them, so an annotator behind
+    raw is asked once, and a clause's label and numbers come from one answer.
+    """
+    raw = settle(raw, "answers")
     j = clauses.join(normalise(normalise(raw, "mood_raw"), "theme_raw", "theme_type"), "clause_id", "left")
     ok = F.col("mood_raw_label").isNotNull() & unit_interval(F.col("modality_raw")) & unit_interval(F.col("tenor_raw"))
     d = fallback()

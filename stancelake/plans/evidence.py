@@ -320,19 +320,27 @@ def span_timings(spark, d):
 
 @query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
 def resumed_batches(spark, d):
-    """Work by region that is asked to stop after two parts and then taken up again."""
+    """Nations asked about in batches, by a run that is stopped after its first round and then taken up again."""
     path = scratch_path(spark, "resume")
-    n = read(spark, d, "nation")
-    parts = [n.where(F.col("n_regionkey") == k) for k in range(5)]
-    flag = runs.StopFlag(spark, f"{path}-stop")
-    runs.in_batches(parts[:2], lambda p: p, path, flag)
-    flag.ask()
-    done, whole = runs.in_batches(parts, lambda p: p, path, flag)
-    if (done, whole) != (2, False):
-        raise RuntimeError(f"stopped after {done}")
-    flag.clear()
-    runs.in_batches(parts, lambda p: p, path, flag)
-    return spark.read.parquet(f"{path}/part=*").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("clause_id"), F.col("n_regionkey").cast("string").alias("ctext"))
+    call = lambda texts: [("declarative", 0.5, 0.5, t) for t in texts]
+    rounds = iter((False, True))
+    some, whole = annotation.answered(n, [call], path, batch=4, at_once=3, stop=lambda: next(rounds))
+    if whole or not 0 < some.count() < n.count():
+        raise RuntimeError("it did not stop between two rounds")
+    rest, _ = annotation.answered(n, [call], path, batch=4, at_once=3)
+    return rest.groupBy(F.col("theme_raw").cast("int").alias("n_regionkey")).agg(F.count("*").alias("n"))
+
+
+@query(C + """, a AS (SELECT clause_id, length(ctext) % 4 AS k FROM c) SELECT clause_id, CASE k WHEN 1 THEN 'interrogative' WHEN 2 THEN 'imperative' ELSE 'declarative' END AS mood, CASE k WHEN 1 THEN 0.25 WHEN 2 THEN 0.75 ELSE 0.5 END::DOUBLE AS modality, CASE WHEN k IN (1, 2) THEN 'llm' ELSE 'fallback' END AS annotation_source, CASE k WHEN 1 THEN 0 WHEN 2 THEN 1 END AS attempt FROM a""")
+def answers_kept(spark, d):
+    """Clauses that a first annotator leaves unanswered go to a second; what neither answers gets the defaults."""
+    c = clause_rows(spark, d).select("clause_id", "ctext")
+    first = lambda texts: [("Interrogative", 0.25, 0.5, "unmarked") if len(t) % 4 == 1 else None for t in texts]
+    second = lambda texts: [(i, ("imperative", 0.75, 0.5, "unmarked")) for i, t in enumerate(texts) if len(t) % 4 == 2][::-1]
+    raw, _ = annotation.answered(c, [first, second], scratch_path(spark, "answers"))
+    p = annotation.payloads(c, raw).select("clause_id", "mood", "modality", "annotation_source")
+    return p.join(raw.select("clause_id", "attempt"), "clause_id", "left")
 
 
 # --- places, trees ------------------------------------------------------------------------------

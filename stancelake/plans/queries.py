@@ -799,7 +799,7 @@ def topic_coherence(spark, d):
 @query()
 def topic_model(spark, d):
     texts = read(spark, d, "documents")
-    k = topics.clamp_k(4, 1000)
+    k = topics.clamp_k(4, texts.count())
     shares, _ = topics.fit_lda(texts.select("doc_id", "text"), k)
     return shares.select("doc_id", topics.dominant(F.col("shares"), k).alias("dominant_topic"))
 
@@ -841,3 +841,4 @@ def stall_stream(spark, d):
 
 from stancelake.plans import evidence  # noqa: E402, F401  (registers more queries by the functions above)
 from stancelake.plans import ledger  # noqa: E402, F401
+from stancelake.plans import lookup  # noqa: E402, F401

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelake.commits import Log, Transaction
 from stancelake.operators import annotation, catalog, clauses as cl, conversation as cv, filters, graph, kb, retrieval, sinks
-from stancelake.sources.loaders import BY_EXTENSION, RECORDS, catalogue, section_shape, text_files
-from stancelake.sources.routing import corpus, extension
+from stancelake.sources import corpus
+from stancelake.sources.loaders import RECORDS, catalogue, section_shape, text_files
 
 Annotator = Callable[[DataFrame], DataFrame]
 
@@ -31,18 +30,10 @@ class Engine:
         make = self.loaders.resolve(loader)
         return make(self.spark, path, **options) if loader in RECORDS else make(text_files(self.spark, path), **options)
 
-    def load_folder(self, root: str, ignore: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-        """(units, warnings(path, problem)): every file of a folder by the loader of its extension.
-
-        A file that gives no unit is a warning, not an error.
-        """
-        files = corpus(self.spark, root, ignore, extensions=tuple(BY_EXTENSION))
-        kind = extension(F.col("path"))
-        text = files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "").alias("content"), "modified")
-        parts = [self.loaders.resolve(loader)(text.where(kind == e)) for e, loader in BY_EXTENSION.items()]
-        units = reduce(lambda a, b: a.unionByName(b), parts)
-        silent = files.select("path").join(units.select(F.col("source_path").alias("path")).distinct(), "path", "left_anti")
-        return units, silent.select("path", F.lit("no units").alias("problem"))
+    def load_folder(self, root: str, ignore: list[str] | None = None, **how) -> tuple[DataFrame, DataFrame]:
+        """(units, warnings(path, problem)): every file of a folder by the loader of its type; see corpus.load."""
+        units, warnings, _ = corpus.load(self.spark, root, ignore, **how)
+        return units, warnings
 
     def compile(self, units: DataFrame) -> DataFrame:
         """Units to annotated clauses with stable ids."""

@@ -99,3 +99,54 @@ def guarded_moves(spark, d):
     new = p.where(k % 100 == 0).select(k.alias("node"), F.when(at == 2, k - 150).when(at == 3, k - 250).otherwise(k + 50).alias("parent"))
     good, bad = graph.admitted(old, new)
     return good.select("node", F.lit("admitted").alias("outcome")).unionByName(bad.select("node", F.lit("refused").alias("outcome")))
+
+
+# --- a folder of files --------------------------------------------------------------------------
+
+
+def _folder(spark, d) -> str:
+    """A file for every document, written by executors: by language and source, some hidden, some ignored by a rule of their folder, some of other types."""
+    root = scratch_path(spark, "folder").removeprefix("file:")
+    root = "/" + root.lstrip("/")
+    k = F.col("doc_id")
+    where = F.concat(F.when(k % 11 == 0, ".old/").otherwise(""), F.concat_ws("/", "lang", "source"), F.lit("/"), F.when(k % 5 == 0, "draft-").otherwise("doc-"), k.cast("string"), F.when(k % 3 == 0, ".txt").when(k % 7 == 0, ".bin").otherwise(".md"))
+
+    def write(frames):
+        import os
+
+        for pdf in frames:
+            for relative, i in zip(pdf["relative"], pdf["doc_id"], strict=True):
+                path = f"{root}/{relative}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(f"# Heading {i}\n\nThe text of document {i} is long enough to be kept as a section of its own.\n\n## Below\n\nAnd this is the second one of {i}, which is as long as that and is kept too.\n")
+                with open(os.path.join(os.path.dirname(path), ".ignore"), "w", encoding="utf-8") as f:
+                    f.write("draft-*\n")
+            yield pdf[["doc_id"]]
+
+    read(spark, d, "documents").select("doc_id", where.alias("relative")).mapInPandas(write, "doc_id long").count()
+    return root
+
+
+_FILES = "f AS (SELECT *, lang||'/'||source||'/'||CASE WHEN doc_id % 5 = 0 THEN 'draft-' ELSE 'doc-' END||doc_id||CASE WHEN doc_id % 3 = 0 THEN '.txt' WHEN doc_id % 7 = 0 THEN '.bin' ELSE '.md' END AS relative FROM documents)"
+
+
+@query(f"WITH {_FILES} SELECT relative, CASE WHEN doc_id % 3 = 0 THEN 4 WHEN doc_id % 7 = 0 THEN 0 ELSE 2 END::BIGINT AS units, CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 0 THEN 'no loader' END AS problem FROM f WHERE doc_id % 11 <> 0 AND doc_id % 5 <> 0")
+def folder_units(spark, d):
+    """Units and problems of every file that a walk of the folder keeps."""
+    from stancelake.sources import corpus
+
+    root = _folder(spark, d)
+    units, warnings, _ = corpus.load(spark, root)
+    cut = lambda c: F.substring(F.col(c), len(root) + 2, 1 << 20)
+    n = units.groupBy(cut("source_path").alias("relative")).agg(F.count("*").alias("units"))
+    told = warnings.select(cut("path").alias("relative"), "problem")
+    return n.join(told, "relative", "full_outer").select("relative", F.coalesce("units", F.lit(0)).cast("long").alias("units"), "problem")
+
+
+@query("SELECT reason, n FROM (SELECT 'hidden' AS reason, count(*) FILTER (doc_id % 11 = 0) > 0 AS found, 1::BIGINT AS n FROM documents UNION ALL SELECT 'ignored', count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 5 = 0) > 0, count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 5 = 0) FROM documents) WHERE found")
+def folder_skips(spark, d):
+    """What the walk leaves out, counted by reason: a hidden folder counts once, files that a rule names one by one."""
+    from stancelake.sources import corpus
+
+    return corpus.listed(spark, _folder(spark, d))[1]

@@ -68,8 +68,8 @@ def test_walk_and_folder(spark, tmp_path):
     assert {r.reason: r.n for r in skipped.collect()} == {"ignored": 2, "image": 1, "foreign": 3}
     assert [r.relative for r in routing.walk(spark, str(tmp_path / "e.png"))[0].collect()] == ["e.png"]
     units, warnings = Engine(spark, "/none").load_folder(str(tmp_path))
-    assert units.where("text like 'This sentence%'").count() == 5 and units.where("text = 'hello'").count() == 1
-    assert [r.path.rsplit("/", 1)[1] for r in warnings.collect()] == ["empty.txt"]
+    assert units.where("text like 'This sentence%'").count() == 4 and units.where("text = 'hello'").count() == 1
+    assert {r.path.rsplit("/", 1)[1]: r.problem for r in warnings.collect()} == {"empty.txt": "no units", "f.bin": "no loader"}
     files = ld.text_files(spark, str(tmp_path / "empty.txt"))
     with pytest.raises(ValueError, match="empty.txt"):
         ld.required(ld.transcription(files), files)

@@ -121,9 +121,17 @@ def neighbours(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int
 
 
 def citable_split(hits: DataFrame, include_fallback: bool = False) -> DataFrame:
-    """hits with `is_citable`, and the places of those that are (1-based, by rank)."""
+    """hits with `is_citable`, and the places of those that are (1-based, by score, ties by id), counted by range."""
     from stancelake.operators.filters import citable
+    from stancelake.operators.graph import running
 
     marked = hits.withColumn("is_citable", citable(F.col("annotation_source"), F.col("untrusted"), include_fallback))
-    w = Window.partitionBy("is_citable").orderBy(F.desc("rrf_score"), "id")
-    return marked.withColumn("citation", F.when(F.col("is_citable"), F.row_number().over(w)))
+    rows = marked.select("*", (-F.col("rrf_score")).alias("__down"), F.col("is_citable").cast("long").alias("__one"))
+    placed = running(rows, ["__down", "id"], ["__one"], "citations")
+    return placed.withColumn("citation", F.when(F.col("is_citable"), F.col("run___one").cast("int"))).select(*hits.columns, "is_citable", "citation")
+
+
+def cited(numbers: DataFrame, split: DataFrame, number: str = "number") -> DataFrame:
+    """numbers with the id of the hit that each cites; numbers that are none of the citable places are dropped."""
+    places = split.where("is_citable").select(F.col("citation").cast("long").alias("__at"), F.col("id").alias("cited_id"))
+    return numbers.join(places, F.col(number).cast("long") == F.col("__at")).drop("__at")

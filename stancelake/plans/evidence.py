@@ -517,6 +517,14 @@ def citable_marks(spark, d):
     return retrieval.citable_split(hits).select(F.col("id").alias("clause_id"), "is_citable", "citation")
 
 
+@query(C + ", r AS (SELECT clause_id, row_number() OVER (ORDER BY tenor_milli DESC, clause_id) AS spot FROM c WHERE annotation_source IN ('llm','human')) SELECT event_id, clause_id FROM (SELECT event_id, event_id - 5 AS number FROM events) JOIN r ON spot = number")
+def cited_clauses(spark, d):
+    """Numbers that an answer cites, some of them below one or beyond the last, mapped back to clauses."""
+    hits = clause_rows(spark, d).select(F.col("clause_id").alias("id"), F.col("tenor_milli").alias("rrf_score"), "annotation_source", F.lit(False).alias("untrusted"))
+    numbers = read(spark, d, "events").select("event_id", (F.col("event_id") - 5).alias("number"))
+    return retrieval.cited(numbers, retrieval.citable_split(hits)).select("event_id", F.col("cited_id").alias("clause_id"))
+
+
 @query(_DIST + ", y AS (SELECT conv_id, turn, dominant_topic, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_id FROM x) SELECT conv_id, turn, turn_id::INTEGER AS turn_id, dominant_topic FROM y WHERE dominant_topic IS NOT NULL")
 def topic_evolution(spark, d):
     return topics.evolution(q._distributions(spark, d), "conv_id", "turn").select("conv_id", "turn", "turn_id", "dominant_topic")

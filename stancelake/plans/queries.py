@@ -432,6 +432,15 @@ def newest_runs(spark, d):
     return catalog.newest(read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("started_at")), 10, key="user_id")
 
 
+@query("""WITH r AS (SELECT user_id, max(ts) AS heartbeat, min(ts) AS started_at, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY user_id)
+ SELECT user_id, started_at FROM r WHERE last_event NOT IN ('purchase','signup') AND epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(heartbeat) > 86400000000 ORDER BY started_at DESC, user_id LIMIT 10""")
+def newest_stalled_runs(spark, d):
+    runs = read(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("heartbeat"), F.min("ts").alias("started_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"))
+    status = F.when(F.col("last_event").isin("purchase", "signup"), "done").otherwise("running")
+    state = filters.run_state(status, F.col("heartbeat"), F.lit(AS_OF).cast("timestamp"), 86400)
+    return catalog.newest(runs.where(state.isin("stalled", "dead")), 10, key="user_id").select("user_id", "started_at")
+
+
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations and customers as one tree: node, parent, label, position."""
     r = read(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("label"))
@@ -791,11 +800,21 @@ def topic_shifts(spark, d):
     return topics.topic_shifts(_distributions(spark, d), "conv_id", "turn").select("conv_id", "turn", "from_topic", "to_topic")
 
 
-@query()
+_BASE = _DIST + """, u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT DISTINCT conv_id, turn FROM n)), k AS (SELECT conv_id, count(*) AS k FROM u GROUP BY conv_id),
+ m AS (SELECT conv_id, process_type, floor(sum(p)/k*10000 + 0.5 + 1e-7)/10000 AS b FROM p JOIN k USING (conv_id) GROUP BY conv_id, process_type, k)"""
+
+
+@query(_BASE + """, bb AS (SELECT conv_id, sum(b*b) AS bb FROM m GROUP BY conv_id), ab AS (SELECT conv_id, turn, sum(p*p) AS aa, sum(p*b) AS ab FROM p JOIN m USING (conv_id, process_type) GROUP BY conv_id, turn)
+ SELECT u.conv_id, u.turn, CASE WHEN place >= 3 THEN floor(greatest(0, least(1, 1 - floor((1 - ab/(sqrt(aa)*sqrt(bb)))*10000 + 0.5)/10000))*10000 + 0.5)/10000 END AS coherence FROM u JOIN ab USING (conv_id, turn) JOIN bb ON bb.conv_id = u.conv_id""")
 def topic_coherence(spark, d):
     return topics.baseline_coherence(_distributions(spark, d), "conv_id", "turn")
 
 
+@query(_BASE + " SELECT conv_id, process_type AS topic, b AS mean FROM m")
+def topic_baseline(spark, d):
+    return topics.baseline(_distributions(spark, d), "conv_id")
+
+
 @query()
 def topic_model(spark, d):
     texts = read(spark, d, "documents")

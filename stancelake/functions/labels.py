@@ -44,7 +44,7 @@ def jaro_winkler(a: str, b: str, prefix: float = 0.1) -> float:
     if not mine:
         return 0.0
     theirs = [y for y, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2  # whole pairs
     m = len(mine)
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     same = 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,13 +86,45 @@ def connective_claims(rows: DataFrame, moments: DataFrame, reach: int = 1) -> Da
     return cause.unionByName(order)
 
 
-def _alike(quote: str, preview: str) -> bool:
-    words, width = preview.split(), len(quote.split())
-    return any(jaro_winkler(quote, " ".join(words[i : i + width])) >= LIKE for i in range(max(len(words) - width, 0) + 1))
+def alike(quote: str, text: str, like: float = LIKE) -> bool:
+    """Whether some run of as many words as the quote has is like it, by Jaro-Winkler similarity.
+
+    A run shares no more letters with the quote than both hold, wherever they
+    stand; only runs that could reach `like` with all of those in order, and
+    with the first letters that they share, are compared letter by letter.
+    """
+    words, width = text.split(), len(quote.split())
+    if not words or not quote:
+        return False
+    told = " ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    n = max(len(words) - width, 0) + 1
+    a, b = starts[:n], ends[np.minimum(np.arange(n) + width - 1, len(words) - 1)]
+    letters, own = (np.frombuffer(x.encode("utf-32-le"), dtype="<u4") for x in (told, quote))
+    shared = np.zeros(n, dtype=np.int64)
+    for c, times in zip(*np.unique(own, return_counts=True), strict=True):
+        at = np.concatenate([[0], np.cumsum(letters == c)])
+        shared += np.minimum(at[b] - at[a], times)
+    first, same = np.ones(n, dtype=bool), np.zeros(n)
+    for k in range(min(4, len(own))):
+        first &= (a + k < b) & (letters[np.minimum(a + k, len(letters) - 1)] == own[k])
+        same += first
+    jaro = np.where(shared > 0, (shared / len(own) + shared / np.maximum(b - a, 1) + 1) / 3, 0)
+    best = jaro + 0.1 * same * (1 - jaro)
+    may = np.flatnonzero(best >= like - 1e-9)
+    return any(jaro_winkler(quote, told[a[i] : b[i]]) >= like for i in may[np.argsort(-best[may], kind="stable")])
 
 
 def _similar(quotes: pd.Series, previews: pd.Series) -> pd.Series:
-    return pd.Series([q is not None and p is not None and _alike(q, p) for q, p in zip(quotes, previews, strict=True)], dtype=bool)
+    return pd.Series([q is not None and p is not None and alike(q, p) for q, p in zip(quotes, previews, strict=True)], dtype=bool)
+
+
+def found_in(quotes: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
+    """quotes(by, quote) joined to the normalised texts(by, text) of their group, with `found`: contained, or alike somewhere in it."""
+    j = quotes.join(texts, by)
+    inside = F.col("text").contains(F.col("quote"))
+    return j.withColumn("found", F.when(inside, True).otherwise(F.pandas_udf(_similar, "boolean")("quote", "text")))
 
 
 def quote_claims(rows: DataFrame, previews: DataFrame) -> DataFrame:

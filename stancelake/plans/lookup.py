@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stancelake.operators import postings, topics
+from stancelake.functions.text import normalise
+from stancelake.operators import digest, postings, topics
 from stancelake.plans.queries import query, read
 
 _FOUND = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
@@ -46,3 +47,20 @@ def planted_topics(spark, d):
 def topic_words(spark, d):
     """The words of the topics that the model finds in the documents."""
     return topics.fit_topics(read(spark, d, "documents").select("doc_id", "text"), 0, "doc_id", features=8192, rounds=10)[1]
+
+
+#: Eight words from the middle of a turn as they are, without every third letter, or turned about.
+_QUOTES = """t AS (SELECT conv_id, turn, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' +', ' ', 'g')), ' ') AS w FROM conversations),
+ q AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN s WHEN 1 THEN regexp_replace(s, '([^ ]{4})[^ ]', '\\1', 'g') ELSE reverse(s) END AS quote FROM (SELECT conv_id, turn, array_to_string(w[5:12], ' ') AS s FROM t WHERE len(w) >= 20)),
+ y AS (SELECT conv_id, array_to_string(w[i : i + 7], ' ') AS run FROM (SELECT conv_id, w, unnest(range(1, greatest(len(w) - 8, 0) + 2)) AS i FROM t))"""
+
+
+@query(f"WITH {_QUOTES} SELECT q.conv_id, q.turn, coalesce(bool_or(jaro_winkler_similarity(quote, run) >= 0.85), false) AS found FROM q JOIN y USING (conv_id) GROUP BY q.conv_id, q.turn")
+def quotes_found(spark, d):
+    """Quotes looked for in whole turns of their conversation, however deep they stand."""
+    t = read(spark, d, "conversations").select("conv_id", "turn", normalise(F.col("text")).alias("text"))
+    words = F.split("text", " ")
+    plain = F.array_join(F.slice(words, 5, 8), " ")
+    quote = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, F.regexp_replace(plain, "([^ ]{4})[^ ]", "$1")).otherwise(F.reverse(plain))
+    q = t.where(F.size(words) >= 20).select("conv_id", "turn", quote.alias("quote"))
+    return digest.found_in(q, t.select("conv_id", "text"), ["conv_id"]).groupBy("conv_id", "turn").agg(F.bool_or("found").alias("found"))

@@ -1,27 +1,31 @@
 """Collocations: phrases of two to four words that occur often, by language, scored by how rarely their parts occur apart.
 
-Texts are dealt to shards of words and gaps between pieces. In a block of a
-shard every word has a bitmap of its positions, an integer that starts at the
-word's first place; a phrase's bitmap, shifted by one and ANDed with the next
-word's, is that of the longer phrase, and its population count is the count
-there. A gap is a position without a word, so no phrase gets past it. Phrases
-are extended depth-first, and Spark sums the counts of all shards.
+Texts are dealt to shards of words and gaps between pieces. In a shard every
+word has a bitmap of its places, of which only cells that aren't empty are
+held; a phrase's bitmap, shifted by one and ANDed with the words' in the same
+cells, gives those of the longer phrases, and population counts are their
+counts there. A gap is a place without a word, so no phrase gets past it. A
+slice of phrases is extended to its full depth before the next one, and Spark
+sums the counts of all shards.
 
 A phrase is no more frequent than its parts, so pairs are looked for among
 frequent words alone, and longer phrases where every two neighbours are a
-frequent pair. Shards learn both from a bit filter whose size has a fixed
-bound: it lets too much through at worst, and only sums over all shards decide.
+frequent pair. Which pairs are is told by sums over their hashes, so that the
+many rare ones are shuffled as numbers. Shards learn both from a bit filter
+whose size has a fixed bound: it lets too much through at worst, and only sums
+over all shards decide.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stancelake.llm.common import settle
@@ -29,8 +33,10 @@ from stancelake.llm.common import settle
 PIECE, GAP = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Least count, words of the longest phrase, share in percent at which a longer phrase absorbs a shorter one, phrases of a language.
 LEAST, LONGEST, ABSORBS, TOP = 30, 4, 80, 2000
-#: Bytes of text of a shard, positions of a bitmap, most bits of a filter.
-SHARD, BLOCK, FILTER = 3 << 20, 8192, 1 << 28
+#: Bytes of text of a shard, shards that a Python worker is handed at once, most bits of a filter.
+SHARD, BATCH, FILTER = 1 << 20, 4, 1 << 28
+#: Bits of a pair's hash. Pairs that share them count together, so too many may be looked at, but no frequent one is missed.
+PAIR_BITS = 40
 SHARDS = "lang string, words array<string>, counts array<int>, ids binary, spare int"
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0: in a word
@@ -147,103 +153,153 @@ def _word_hash(lang: Column | str, word: Column) -> Column:
     return F.xxhash64(lang, word)
 
 
-def _pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(one, two) of two columns of longs."""
+def _hash(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of columns of longs."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    h: np.ndarray = np.full(len(one), 42, dtype=np.uint64)
-    for x in (one.view(np.uint64), two.view(np.uint64)):
+    h: np.ndarray = np.full(len(columns[0]), 42, dtype=np.uint64)
+    for c in columns:
         h = h + p5 + np.uint64(8)
-        h = turn(h ^ (turn(x * p2, 31) * p1), 27) * p1 + p4
+        h = turn(h ^ (turn(c.view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
         h = (h ^ (h >> np.uint64(33))) * p2
         h = (h ^ (h >> np.uint64(29))) * p3
         h = h ^ (h >> np.uint64(32))
     return h.view(np.int64)
 
 
+def _pair(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A short number for a pair of hashed words, as it is shuffled: PAIR_BITS of its hash."""
+    return _hash(one, two) & ((1 << PAIR_BITS) - 1)
+
+
 # --- bitmaps ---------------------------------------------------------------------------------------
 
+#: Places of a cell, and cells that are extended at once.
+CELL, CELLS = 8, 1 << 15
+_ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.int64)
+
+#: Compressed bitmaps of many words or phrases: (whose, which cell, its bits) of every cell that isn't empty.
+Bitmaps = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def bitmaps(ids: np.ndarray) -> Bitmaps:
+    """Where each word stands, by word and cell; -1 is a gap."""
+    at = np.flatnonzero(ids >= 0)
+    cells = len(ids) // CELL + 1
+    key = ids[at].astype(np.int64) * cells + at // CELL
+    order = np.argsort(key, kind="stable")
+    key, bits = key[order], (1 << (at[order] % CELL)).astype(np.uint8)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first] // cells, key[first] % cells, np.bitwise_or.reduceat(bits, first) if len(first) else bits
 
-def count(ids: np.ndarray, shortest: int, longest: int, joins: np.ndarray | None = None, spare: int = 0, block: int = BLOCK) -> dict[tuple[int, ...], int]:
-    """How often each phrase of `shortest` to `longest` words occurs in a row of word numbers; -1 is a gap.
 
-    joins: whether a word and the next one may stand in a phrase together.
-    Words in the last `spare` positions begin none.
+def shifted(maps: Bitmaps) -> Bitmaps:
+    """Every bitmap moved on by one place; a cell may come twice, with other bits."""
+    whose, cell, bits = maps
+    up, carry = bits << np.uint8(1), bits >> np.uint8(CELL - 1)
+    stays, moves = up > 0, carry > 0
+    return np.concatenate([whose[stays], whose[moves]]), np.concatenate([cell[stays], cell[moves] + 1]), np.concatenate([up[stays], carry[moves]])
+
+
+def count(ids: np.ndarray, shortest: int, longest: int, joined: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, spare: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrases, their counts): those of `shortest` to `longest` words in a row of word numbers, a column of numbers each.
+
+    joined says of pairs of words whether they may be neighbours in a phrase.
+    Words in the last `spare` places begin none. A phrase may come in several
+    parts, whose counts add up.
     """
-    counts: dict[tuple[int, ...], int] = {}
-    ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
-    if joins is not None:
-        ok &= joins
-    begins = len(ids) - spare
-    for lo in range(0, begins, block):
-        part = ids[lo : lo + block + longest - 1].tolist()
-        links = np.flatnonzero(ok[lo : lo + len(part) - 1]).tolist()
-        own = min(block, begins - lo)
-        follow: dict[int, set[int]] = {}
-        next_at = [-1] * len(part)
-        maps: dict[int, tuple[int, int]] = {}  # of a word: its first place, and its places from there on
-        seen = -1
-        for p in links:
-            a, b = part[p], part[p + 1]
-            follow.setdefault(a, set()).add(b)
-            next_at[p] = b
-            for q, w in ((p, a), (p + 1, b)):
-                if q > seen:
-                    at, bits = maps.get(w, (q, 0))
-                    maps[w] = at, bits | 1 << (q - at)
-                    seen = q
-
-        def extend(phrase: tuple[int, ...], at: int, bits: int) -> None:
-            """bits: the places, from `at` on, where the phrase ends."""
-            if bits & (bits - 1):
-                after = follow.get(phrase[-1], ())
-            else:  # it ends at one place, and one word may follow
-                w = next_at[at + bits.bit_length() - 1]
-                after = (w,) if w >= 0 else ()
-            for w in after:
-                w_at, own_bits = maps[w]
-                by = w_at - at - 1
-                hit = (bits >> by) & own_bits if by >= 0 else bits & (own_bits >> -by)
-                if hit:
-                    longer = (*phrase, w)
-                    if len(longer) >= shortest:
-                        counts[longer] = counts.get(longer, 0) + hit.bit_count()
-                    if len(longer) < longest:
-                        extend(longer, max(w_at, at + 1), hit)
-
-        for a in follow:
-            at, bits = maps[a]
-            bits &= (1 << max(0, own - at)) - 1
-            if bits:
-                extend((a,), at, bits)
-    return counts
-
-
-def _counted(held: DataFrame, shortest: int, longest: int, words: np.ndarray, pairs: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase, n): the sums over shards of what `count` finds among words and pairs that pass the filters."""
+    words = bitmaps(ids)
+    order = np.argsort(words[1], kind="stable")
+    word, cell_of, bits_of = (x[order] for x in words)
+    begins = np.searchsorted(cell_of, np.arange(len(ids) // CELL + 3))
+    several = int(ids.max(initial=0)) + 1
+
+    def extend(phrases: np.ndarray, maps: Bitmaps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """phrases, whose ends maps hold, by every word that follows."""
+        for lo in range(0, len(maps[0]), CELLS):
+            whose, cell, bits = shifted(tuple(x[lo : lo + CELLS] for x in maps))
+            here = begins[cell + 1] - begins[cell]  # words in the cell
+            one = np.repeat(np.arange(len(whose)), here)
+            other = np.arange(len(one)) + np.repeat(begins[cell] - (np.cumsum(here) - here), here)
+            both = bits[one] & bits_of[other]
+            hit = np.flatnonzero(both)
+            one, both = one[hit], both[hit]
+            found, which = np.unique(whose[one] * several + word[other[hit]], return_inverse=True)
+            longer = np.vstack([phrases[:, found // several], found % several])
+            if joined is not None:
+                may = joined(longer[-2], longer[-1])
+                kept = may[which]
+                one, both, which = one[kept], both[kept], (np.cumsum(may) - 1)[which[kept]]
+                longer = longer[:, may]
+            if not longer.shape[1]:
+                continue
+            if len(longer) >= shortest:
+                yield longer, np.bincount(which, weights=_ONES[both], minlength=longer.shape[1]).astype(np.int64)
+            if len(longer) < longest:
+                order = np.argsort(which, kind="stable")
+                yield from extend(longer, (which[order], cell[one[order]], both[order]))
+
+    yield from extend(np.arange(several)[None, :], bitmaps(ids[: len(ids) - spare]))
+
+
+@contextmanager
+def _few_rows(spark: SparkSession, n: int = BATCH) -> Iterator[None]:
+    """Shards are large rows, so a batch of them for Python holds few."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def _shards_of(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[tuple[pa.Scalar, pa.Array, np.ndarray, np.ndarray, int]]:
+    """(language, spelling, hashes, numbers, spare) of each shard, words that the filter lets go as gaps."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            hashes, ids = batch.column("hashes")[i].values.to_numpy(), np.frombuffer(batch.column("ids")[i].as_py(), dtype=np.int32)
+            known = np.append(_in(words, hashes), False)  # the last one is the gap's
+            pa.default_memory_pool().release_unused()  # of the shard before
+            yield batch.column("lang")[i], batch.column("words")[i].values, hashes, np.where(known[ids], ids, -1), batch.column("spare")[i].as_py()
+
+
+def _hashed(held: DataFrame) -> DataFrame:
+    return held.select("lang", "words", F.transform("words", lambda w: _word_hash("lang", w)).alias("hashes"), "ids", "spare")
+
+
+def _pair_hashes(held: DataFrame, words: np.ndarray) -> DataFrame:
+    """(h, n): how often the pairs of words with this hash occur in all shards; of equal hashes the counts add up, so no frequent pair is missed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                spelt, hashes = batch.column("words")[i].values, batch.column("hashes")[i].values.to_numpy()
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), dtype=np.int32)
-                known = np.append(_in(words, hashes), False)  # the last one is the gap's
-                ids = np.where(known[ids], ids, -1)
-                joins = None
-                if pairs is not None:
-                    joins = np.zeros(len(ids) - 1, dtype=bool)
-                    both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                    joins[both] = _in(pairs, _pair_hash(hashes[ids[both]], hashes[ids[both + 1]]))
-                found = count(ids, shortest, longest, joins, batch.column("spare")[i].as_py())
-                for length in range(shortest, longest + 1):
-                    some = [(p, n) for p, n in found.items() if len(p) == length]
-                    if some:
-                        columns = np.array([p for p, _ in some], dtype=np.int64).T
-                        phrase = pc.binary_join_element_wise(*[spelt.take(pa.array(c)) for c in columns], " ")
-                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("lang")[i], len(some)), phrase, pa.array([n for _, n in some], pa.int64())], names=["lang", "phrase", "n"])
-
-    rows = held.select("lang", "words", F.transform("words", lambda w: _word_hash("lang", w)).alias("hashes"), "ids", "spare")
-    return rows.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        for _, _, hashes, ids, spare in _shards_of(batches, words):
+            for pairs, n in count(ids, 2, 2, None, spare):
+                yield pa.RecordBatch.from_arrays([pa.array(_pair(hashes[pairs[0]], hashes[pairs[1]])), pa.array(n)], names=["h", "n"])
+
+    return _hashed(held).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def _counted(held: DataFrame, longest: int, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
+    """(lang, phrase, n): the sums over shards of what `count` finds among words and pairs that pass the filters, from two words on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, spelt, hashes, ids, spare in _shards_of(batches, words):
+            joined = lambda a, b, h=hashes: _in(pairs, _hash(_pair(h[a], h[b])))
+            both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            both = both[joined(ids[both], ids[both + 1])]
+            linked = np.zeros(len(ids), dtype=bool)
+            linked[both] = linked[both + 1] = True
+            for phrases, n in count(np.where(linked, ids, -1), 2, longest, joined, spare):
+                phrase = pc.binary_join_element_wise(*[spelt.take(pa.array(c)) for c in phrases], " ")
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(phrase, lang, "\t"), pa.array(n)], names=["key", "n"])
+
+    return _summed(_hashed(held).mapInArrow(run, "key string, n long"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """(lang, phrase, n) of (key, n), where a key is phrase, tab, language: one string is shuffled in place of two, and no word holds a tab."""
+    key = F.split("key", "\t", 2)
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).select(key[1].alias("lang"), key[0].alias("phrase"), "n")
 
 
 # --- phrases ---------------------------------------------------------------------------------------
@@ -253,15 +309,12 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size:
     """((lang, phrase, words, n): every phrase of one to `longest` words with n >= least, (lang, n): all words of a language)."""
     held = settle(shards(docs, size=size, longest=longest), "phrase-shards")
     totals = held.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    single = held.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("phrase")).agg(F.sum("w.counts").alias("n"))
+    single = _summed(held.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.concat("w.words", F.lit("\t"), "lang").alias("key"), F.col("w.counts").alias("n")))
     ones = settle(single.where(F.col("n") >= least), "phrase-words")
     words = _filter(ones.select(_word_hash("lang", F.col("phrase")).alias("h")))
-    twos = settle(_counted(held, 2, 2, words).where(F.col("n") >= least), "phrase-pairs")
-    found = ones.union(twos)
-    if longest > 2:
-        two = F.split("phrase", " ")
-        pairs = _filter(twos.select(F.xxhash64(_word_hash("lang", two[0]), _word_hash("lang", two[1])).alias("h")))
-        found = found.union(settle(_counted(held, 3, longest, words, pairs).where(F.col("n") >= least), "phrase-longer"))
+    with _few_rows(docs.sparkSession):
+        hashes = settle(_pair_hashes(held, words).where(F.col("n") >= least).select(F.xxhash64("h").alias("h")), "phrase-hashes")
+        found = ones.union(settle(_counted(held, longest, words, _filter(hashes)).where(F.col("n") >= least), "phrase-longer"))
     return found.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n"), totals
 
 

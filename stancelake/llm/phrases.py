@@ -37,6 +37,8 @@ LEAST, LONGEST, ABSORBS, TOP = 30, 4, 80, 2000
 SHARD, BATCH, FILTER = 1 << 20, 4, 1 << 28
 #: Bits of a pair's hash. Pairs that share them count together, so too many may be looked at, but no frequent one is missed.
 PAIR_BITS = 40
+#: Shares of a language's phrases that are ranked by themselves first, so that its last ranking has no more than DEALT times the places.
+DEALT = 64
 SHARDS = "lang string, words array<string>, counts array<int>, ids binary, spare int"
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 0: in a word
@@ -351,7 +353,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ab
     inner = inner.select("lang", _spelt(F.col("w"), F.col("i"), F.col("m")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = best.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * wide("longer") < absorbs * wide("a")))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    # first places among a share of a language's phrases, then among those that have one
+    dealt = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(DEALT))).orderBy(*order)
+    kept = kept.withColumn("rank", F.row_number().over(dealt)).where(F.col("rank") <= top)
+    by = Window.partitionBy("lang").orderBy(*order)
     kept = kept.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     return kept.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 

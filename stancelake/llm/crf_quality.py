@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: At most so many labelled documents are used for fitting, those with the smallest hashes of their ids.
-FIT_DOCUMENTS = 3000
+FIT_DOCUMENTS = 6000
+#: Of a longer document so many lines are fitted on, in runs of CHAIN spread evenly over it.
+FIT_LINES = 512
 CHAIN, LONG = 64, 2000
 CHARS_AT_ONCE = 400_000
 THRESHOLD = 0.7
@@ -286,26 +288,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 250, rate: float = 0.05, ridge: float = 1e-3) -> Model:
-    """A model from labelled texts. Without texts of both labels: scores are the labels' mean (0.5 without any)."""
+    """A model from labelled texts (see fit_lines)."""
+    return fit_lines([fitted_lines(t) for t in texts], labels, steps, rate, ridge)
+
+
+def fitted_lines(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(features, lengths) of the lines of a text, those of long texts thinned to FIT_LINES (see there)."""
+    x, _, length = line_features([text])
+    x, length = x.astype(np.float32), length.astype(np.float32)
+    if len(x) > FIT_LINES:
+        runs = FIT_LINES // CHAIN
+        first = np.linspace(0, len(x) - CHAIN, runs).astype(np.int64)
+        rows = np.unique(first[:, None] + np.arange(CHAIN)[None, :])
+        x, length = x[rows], length[rows]
+    return x, length
+
+
+def fit_lines(found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], steps: int = 250, rate: float = 0.05, ridge: float = 1e-3) -> Model:
+    """A model from the lines' features and lengths of labelled documents.
+
+    Without documents of both labels: scores are the labels' mean (0.5 without any).
+    """
     y = np.array(labels, dtype=float)
     prior = float(y.mean()) if len(y) else 0.5
-    blank = np.array([not t.strip() for t in texts], dtype=bool)
+    blank = np.array([len(x) == 0 for x, _ in found], dtype=bool)
     empty = float(y[blank].sum() / (blank.sum() + 1))
     width = 3 * N_OWN + 3
-    if len(set(labels)) < 2:
+    if len(set(labels)) < 2 or blank.all():
         x = min(max(prior, 1e-3), 1 - 1e-3)
         return Model(np.zeros(N_OWN), np.ones(N_OWN), np.zeros(width), np.zeros((2, 2)), (0.0, math.log(x / (1 - x))), empty)
-    parts = []
-    at, base = 0, 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size < CHARS_AT_ONCE):
-            size += len(texts[end])
-            end += 1
-        x, doc, length = line_features(texts[at:end])
-        parts.append((x, doc + base, length))
-        base, at = base + end - at, end
-    x, doc, length = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    x, length = (np.concatenate([f[i] for f in found]).astype(np.float64) for i in range(2))
+    doc = np.repeat(np.arange(len(found)), [len(f[1]) for f in found])
     mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = with_neighbours((x - mean) / sd, doc)
     row = np.arange(len(doc))
@@ -314,9 +327,9 @@ def fit(texts: list[str], labels: list[int], steps: int = 250, rate: float = 0.0
     starts = np.flatnonzero(first | (since % CHAIN == 0))
     sizes = np.diff(np.append(starts, len(doc)))
     chain_y = y[doc[starts]]
-    lines = np.bincount(doc, minlength=len(texts))
+    lines = np.bincount(doc, minlength=len(found))
     # a document counts once, spread over its lines by length
-    total = np.bincount(doc, weights=np.sqrt(length), minlength=len(texts))
+    total = np.bincount(doc, weights=np.sqrt(length), minlength=len(found))
     weight = np.sqrt(length) / total[doc] * SHARPNESS
     line_y = y[doc]
     w, trans = np.zeros(z.shape[1]), np.zeros((2, 2))
@@ -335,7 +348,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 250, rate: float = 0.0
             v[j] = 0.99 * v[j] + 0.01 * grad**2
             value -= rate * (m[j] / (1 - 0.9**k)) / (np.sqrt(v[j] / (1 - 0.99**k)) + 1e-8)
     model = Model(mean, sd, w, trans, (1.0, 0.0), empty)
-    q = np.bincount(doc, weights=length * marginals(z @ w, *_whole(doc), trans)[0], minlength=len(texts)) / np.maximum(np.bincount(doc, weights=length, minlength=len(texts)), 1)
+    q = np.bincount(doc, weights=length * marginals(z @ w, *_whole(doc), trans)[0], minlength=len(found)) / np.maximum(np.bincount(doc, weights=length, minlength=len(found)), 1)
     model.curve = logistic(logit(q[lines > 0]), y[lines > 0])
     return model
 
@@ -354,15 +367,27 @@ def fit_on(docs: DataFrame, labels: DataFrame, bound: int = FIT_DOCUMENTS) -> Mo
     """Fit on at most `bound` labelled documents that aren't held out.
 
     Labels of one id are averaged (0.5 and more: good); null ids and null
-    labels don't count; nor does a document without a label.
+    labels don't count; nor does a document without a label. Features are
+    made where the texts are: the driver gets FIT_LINES lines' numbers of a
+    document at most, never a text.
     """
     label = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
     label = label.where(~held_out(F.col("_id")))
     chosen = label.orderBy(F.xxhash64("_id"), "_id").limit(bound)  # two numbers a row, at most `bound` rows
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("_text"))
+    wide = rows.join(F.broadcast(chosen), "_id").select("_id", "_y", F.xxhash64("_id").alias("_h"), F.xxhash64("_text").alias("_t"), "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [fitted_lines(t or "") for t in batch.column(4).to_pylist()]
+            own = [pa.array([m[i].tobytes() for m in made], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *own], names=["_id", "_y", "_h", "_t", "_x", "_n"])
+
+    lines = wide.mapInArrow(run, "_id long, _y int, _h long, _t long, _x binary, _n binary")
     # a fixed order: sums of the fit don't depend on how rows arrive
-    sample = rows.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(bound).toPandas()
-    return fit([t or "" for t in sample["_text"]], [int(x) for x in sample["_y"]])
+    sample = lines.orderBy("_h", "_id", "_t").limit(bound).select("_y", "_x", "_n").toPandas()
+    found = [(np.frombuffer(x, np.float32).reshape(-1, N_OWN), np.frombuffer(n, np.float32)) for x, n in zip(sample["_x"], sample["_n"], strict=True)]
+    return fit_lines(found, [int(x) for x in sample["_y"]])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -22,7 +22,9 @@ headers and footers of the page, sidebars, adverts, notices, forms, comments,
 scripts) are taken out first, so their text has no density. One that is named
 so by class or id alone stays if an article lies within (a wrapper called
 has-sidebar), or if it holds most of a page that has no such element, readers'
-comments excepted: a name only weighs, where the text says otherwise.
+comments excepted: a name only weighs, where the text says otherwise. The same
+goes for a form or an object around the page. Inline elements within running
+text keep their words whatever they are called, links excepted.
 """
 
 from __future__ import annotations
@@ -45,15 +47,19 @@ _WHITE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption table caption thead tbody tfoot tr td th address details summary center header hgroup fieldset".split()
+    "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption table caption thead tbody tfoot tr td th address details summary center header hgroup fieldset form object".split()
 )
-DROP = frozenset("head nav footer aside form button select option input textarea script style noscript template iframe object embed svg canvas audio video menu dialog label".split())
+DROP = frozenset("head nav footer aside button select option input textarea script style noscript template iframe embed svg canvas audio video menu dialog label".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 DROP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget toolbar pagination pager form".split()
 )
 #: Longer names that begin so are furniture too (sidebarLeft, advertbox).
 DROP_STARTS = ("sidebar", "advert", "cookie", "footer", "breadcrumb", "sponsor", "newsletter", "navbar", "navigation", "disqus", "popup", "comments", "commentlist", "commentsection", "commentbox")
+#: Wrappers that are furniture unless the page's text lies within.
+WRAPPERS = frozenset(["form", "object"])
+#: Blocks of running text: a name on an inline element within says nothing of its words.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote figcaption caption pre".split())
 #: What names a reader's comment, also on an article element.
 COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
 #: What names a page's own top, outside an article.
@@ -87,9 +93,9 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> int:
     """HARD: taken out by its tag, role or hidden state. SOFT: by its class or id, unless the main text lies within. COMMENT: so, as a reader's. 0: stays."""
     if tag in DROP or (tag == "header" and not in_article):
         return HARD
+    out = SOFT if tag in WRAPPERS else 0
     if not attrs or tag in ("html", "body", "main"):
-        return 0
-    out = 0
+        return out
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
@@ -99,7 +105,7 @@ def _dropped(tag: str, attrs: str, in_article: bool) -> int:
             else:
                 named = not DROP_WORDS.isdisjoint(words) or any(w.startswith(DROP_STARTS) for w in words) or (not in_article and not TOP_WORDS.isdisjoint(words))
             out = COMMENT if not COMMENT_WORDS.isdisjoint(words) or any(w.startswith("comment") for w in words) else max(out, SOFT) if named else out
-        elif tag != "article" and ((name == "role" and value in DROP_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value))):
+        elif (name == "role" and value in DROP_ROLES and tag not in ("article", "form")) or (tag != "article" and name == "aria-hidden" and value == "true") or (name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value))):
             return HARD
     return out
 
@@ -208,6 +214,8 @@ def parse(page: str) -> Node:
         if tag == "svg" and m[4].endswith("/"):  # elsewhere a slash at the end means nothing, or belongs to a value without quotes
             continue
         drop = HARD if gone else _dropped(tag, m[4], articles > 0)
+        if drop == SOFT and tag not in BLOCK and tag != "a" and node.tag in RUNNING:
+            drop = 0
         if drop == HARD or (drop and tag not in BLOCK):
             push("!" + tag, None)
             gone += 1

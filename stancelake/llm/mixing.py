@@ -34,8 +34,8 @@ FIT_DOCUMENTS = 8000
 WORDS, LEAST_SUPPORT, LEAST_TELL = 48, 6, 6.0
 #: The pull towards rate one, weaker from stage to stage as long as that brings the goals nearer; the residual left in a
 #: gradient, as a share of a domain's goal (or of FLOOR of all goals, where it is smaller); the lengths of a step that are
-#: tried. ITERATIONS only guards the loop of a stage.
-PULLS, TOLERANCE, FLOOR, LENGTHS, ITERATIONS = (1e-4, 1e-6, 1e-8), 5e-4, 0.01, (1.0, 0.3, 0.1, 0.03, 0.01, 0.001), 60
+#: tried. ITERATIONS only guards the loop of a stage; a result further off than UNSOLVED is an error.
+PULLS, TOLERANCE, FLOOR, LENGTHS, ITERATIONS, UNSOLVED = (1e-4, 1e-6, 1e-8), 5e-4, 0.01, (1.0, 0.3, 0.1, 0.03, 0.01, 0.001), 60, 5e-3
 
 # Surface features of a text: shares of characters and words, and whether they pass a bound.
 _FEATURES = {
@@ -159,8 +159,12 @@ def rates(own: DataFrame, targets: dict[str, float], most: float | None = None)
     small is the sum of the squared residuals in tokens, and a pull (`PULLS`) times the
     squared distances of the rates from one. So where goals can't all be met,
     tokens of a large domain aren't given up by the thousand for a share of a
-    small one. Steps are taken on the dual, which is smooth and convex, until
-    the gradient is `TOLERANCE` of the goals.
+    small one. What is solved is the dual of that problem, which is smooth and
+    convex and has a number a domain: steps are its gradient times the inverse
+    Gram matrix of the documents off their bounds, with the best of a few
+    lengths, and the rates are the projection. They end where the gradient is
+    `TOLERANCE` of the goals, or where rounding leaves no descent; if it is then
+    still over `UNSOLVED` of them, that is an error and no rates come out.
     """
     k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -215,6 +219,10 @@ def rates(own: DataFrame, targets: dict[str, float], most: float | None = None)
             if dual(then, state, pull) >= dual(at, now, pull):
                 break
             at, now = then, state
+        left = [g - t - pull * a for g, t, a in zip(goal, now[0], at, strict=True)]
+        off = max(abs(x) / s for x, s in zip(left, size, strict=True))
+        if off > UNSOLVED:
+            raise RuntimeError(f"rates are {off:.3g} of the goals off their optimum after {ITERATIONS} steps at most")
     return own.withColumn("rate", _projected(_moved(at), most)), dict(zip(DOMAINS, goal, strict=True))
 
 
@@ -253,14 +261,16 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     empty texts are drawn like any others; very long texts count whole; an
     empty table gives no rows.
     """
-    own = mix(docs, labels, targets, most).dropDuplicates(["row_key", "doc_id"])
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # no name of docs can meet one of ours
+    plain = docs.toDF(*names)
+    own_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = mix(plain.select(own_id.alias("doc_id"), text.alias("text")), labels, targets, most).dropDuplicates(["row_key", "doc_id"])
     chance = F.pmod(F.xxhash64(F.col("row_key"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(F.col("rate") + 1e-9) + (chance < F.col("rate") + 1e-9 - F.floor(F.col("rate") + 1e-9)).cast("int")).cast("int")
-    keep = own.select(F.col("row_key").alias("__mix_key"), F.col("doc_id").alias("__mix_id"), copies.alias("__mix_n")).where("__mix_n > 0")
-    keyed = docs.withColumn("__mix_key2", F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    keep = own.select(F.col("row_key").alias("kept_key"), F.col("doc_id").alias("kept_id"), copies.alias("copies")).where("copies > 0")
+    keyed = plain.withColumn("own_key", F.xxhash64(own_id.cast("long"), F.coalesce(text.cast("string"), F.lit(""))))
     # decisions grow with the rows, so they are merged at every size and never broadcast
-    joined = keyed.join(keep.hint("merge"), (F.col("__mix_key2") == F.col("__mix_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")))
-    columns = [F.col(c) for c in docs.columns]
-    if most is not None and most <= 1:
-        return joined.select(*columns)
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))).alias("__mix_i")).select(*columns)
+    joined = keyed.join(keep.hint("merge"), (F.col("own_key") == F.col("kept_key")) & own_id.cast("long").eqNullSafe(F.col("kept_id")))
+    if most is None or most > 1:
+        joined = joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return joined.select(*names).toDF(*docs.columns)

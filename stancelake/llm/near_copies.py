@@ -232,15 +232,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     aren't read, whatever their names.
     """
     rank = F.struct(F.col("first_id").isNull(), "first_id", "node")
-    stay = settle(classes(docs, id_col, text_col, least).groupBy("component").agg(F.min(rank).alias("k")).select(F.col("k.first_id").alias("_id"), F.col("k.node").alias("_node")), "copies-stay")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # no name of docs can meet one of ours
+    plain = docs.toDF(*names)
+    id_at, text_at = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    own = plain.select(id_at.alias("doc_id"), text_at.alias("text"))
+    stay = settle(classes(own, least=least).groupBy("component").agg(F.min(rank).alias("k")).select(F.col("k.first_id").alias("_id"), F.col("k.node").alias("_node")), "copies-stay")
+    text = F.coalesce(text_at.cast("string"), F.lit(""))
     blank = F.trim(F.translate(text, "\t\n\x0b\x0c\r", " " * 5)) == ""
-    keyed = docs.withColumns({"_copies_id": docs[id_col].cast("long"), "_copies_node": F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64(text))})
+    keyed = plain.withColumns({"_copies_id": id_at.cast("long"), "_copies_node": F.when(blank, F.lit(0).cast("long")).otherwise(F.xxhash64(text))})
     # ids grow with the rows, so they are merged at every size and never broadcast
     same = F.col("_copies_id").eqNullSafe(F.col("_id")) & (F.col("_copies_node") == F.col("_node"))
     out = settle(keyed.join(stay.hint("merge"), same, "left_semi"), "copies-out")
     again = settle(out.groupBy("_copies_id", "_copies_node").count().where("count > 1").select(F.col("_copies_id").alias("_id"), F.col("_copies_node").alias("_node")), "copies-again")
     if again.isEmpty():
-        return out.select(*docs.columns)
+        return out.select(*names).toDF(*docs.columns)
     once = out.join(again.hint("merge"), same, "left_anti")
-    return once.unionByName(out.join(again.hint("merge"), same, "left_semi").dropDuplicates(["_copies_id", "_copies_node"])).select(*docs.columns)
+    return once.unionByName(out.join(again.hint("merge"), same, "left_semi").dropDuplicates(["_copies_id", "_copies_node"])).select(*names).toDF(*docs.columns)

@@ -160,7 +160,12 @@ def places(texts: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def patterns(graph: DataFrame, total: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(sure patterns, instances with their score) of written edges and written totals (p, total) of places."""
+    """(sure patterns, instances with their score) of written edges and written totals (p, total) of places, after so many rounds."""
+    return _spread(graph, total, rounds)[:2]
+
+
+def _spread(graph: DataFrame, total: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame, bool]:
+    """As patterns, and whether the last round found nothing new."""
     sure = None
     scores = settle(graph.groupBy("v").agg(F.max("seed").alias("score")), "pii-scores")
     seeds = settle(scores.where("score > 0"), "pii-seeds")
@@ -174,9 +179,9 @@ def patterns(graph: DataFrame, total: DataFrame, rounds: int = ROUNDS) -> tuple[
         scores = settle(found.join(seeds.select("v"), "v", "left_anti").union(seeds), f"pii-scores-{i}")
         now = (sure.count(), scores.agg(F.count_if(F.col("score") >= LEAST_SCORE), F.sum(F.round("score", 6).cast("decimal(20,6)"))).first())
         if now == was:
-            break
+            return sure, scores, True
         was = now
-    return sure, scores
+    return sure, scores, False
 
 
 def discovered(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> DataFrame | None:
@@ -188,7 +193,9 @@ def discovered(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -> Data
     if graph.where("seed = 0").isEmpty():
         return None
     total = known.join(places(texts, known), "p", "left").select("p", F.greatest("own", F.coalesce("n", F.lit(0))).alias("total"))
-    sure, scores = patterns(graph, settle(total, "pii-total"), rounds)
+    sure, scores, done = _spread(graph, settle(total, "pii-total"), rounds)
+    if not done:
+        raise RuntimeError(f"patterns still lead to new instances after {rounds} rounds")
     x = found.where(F.size("candidate") > 0).select("doc_id", "row_key", F.explode("candidate").alias("x")).distinct()
     x = x.select("doc_id", "row_key", "x", F.explode(_patterns("x")).alias("p"), F.lower("x.t").alias("v"))
     kept = x.join(sure, "p", "left_semi").join(scores.where(F.col("score") >= LEAST_SCORE), "v", "left_semi").select("doc_id", "row_key", "x").distinct()
@@ -231,15 +238,33 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     are, null and empty texts among them. Rows keep their number, repeated
     ones and those without an id too; an empty table gives none.
     """
-    own = annotate(docs, id_col, text_col)
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])  # no name of docs can meet one of ours
+    at = docs.columns.index(text_col)
+    own = annotate(plain.select(F.col(f"_c{docs.columns.index(id_col)}").alias("doc_id"), F.col(f"_c{at}").alias("text")))
     tagged = F.concat(*[F.transform(k, _mark(k)) for k in (*KINDS, "context")])
-    marks = own.select(F.col("row_key").alias("__pii_key"), F.col("doc_id").alias("__pii_id"), F.array_sort(tagged).alias("__pii_marks")).where(F.size("__pii_marks") > 0)
-    marks = marks.dropDuplicates(["__pii_key", "__pii_id"])
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumn("__pii_key2", F.xxhash64(docs[id_col].cast("long"), text))
-    step = "if(x.e <= a.pos, a, named_struct('pos', x.e, 'out', concat(a.out, substring(__pii_text, a.pos + 1, greatest(x.s - a.pos, 0)), x.k)))"
-    made = F.expr(f"aggregate(__pii_marks, named_struct('pos', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(__pii_text, a.pos + 1, length(__pii_text))))")
+    marks = own.select(F.col("row_key").alias("mark_key"), F.col("doc_id").alias("mark_id"), F.array_sort(tagged).alias("marks")).where(F.size("marks") > 0)
+    marks = marks.dropDuplicates(["mark_key", "mark_id"])
+    keyed = plain.withColumns({"whole": F.coalesce(F.col(f"_c{at}").cast("string"), F.lit("")), "own_id": F.col(f"_c{docs.columns.index(id_col)}").cast("long")}).withColumn("own_key", F.xxhash64("own_id", "whole"))
     # marks grow with the rows, so they are merged at every size and never broadcast
-    joined = keyed.join(marks.hint("merge"), (F.col("__pii_key2") == F.col("__pii_key")) & F.col(id_col).cast("long").eqNullSafe(F.col("__pii_id")), "left")
-    joined = joined.withColumn("__pii_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return joined.select(*[F.when(F.col("__pii_marks").isNotNull(), made).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = keyed.join(marks.hint("merge"), (F.col("own_key") == F.col("mark_key")) & F.col("own_id").eqNullSafe(F.col("mark_id")), "left")
+    out = F.when(F.col("marks").isNotNull(), F.expr(_replaced("marks", "whole"))).otherwise(F.col(f"_c{at}"))
+    return joined.select(*[out.alias(c) if i == at else F.col(c) for i, c in enumerate(plain.columns)]).toDF(*docs.columns)
+
+
+def _replaced(marks: str, whole: str, block: int = 128) -> str:
+    """SQL for a text with its sorted marks in place of what they cover.
+
+    A mark that ends within an earlier one counts for nothing. Marks are taken
+    in blocks, and each block cuts its own stretch of the text, as a cut
+    counts characters from the start of what it cuts.
+    """
+    own = f"slice({marks}, b * {block} + 1, {block})"
+    blocks = f"sequence(0, (size({marks}) - 1) div {block})"
+    reach = f"slice(aggregate({blocks}, array(0), (a, b) -> concat(a, array(greatest(element_at(a, -1), array_max(transform({own}, x -> x.e)))))), 1, (size({marks}) - 1) div {block} + 1)"
+    none = "cast(array() as array<struct<f:int,s:int,e:int,k:string>>)"
+    step = "if(x.e <= a.pos, a, named_struct('pos', x.e, 'out', concat(a.out, array(named_struct('f', a.pos, 's', greatest(x.s, a.pos), 'e', x.e, 'k', x.k)))))"
+    kept = f"filter(zip_with({blocks}, {reach}, (b, r) -> aggregate({own}, named_struct('pos', r, 'out', {none}), (a, x) -> {step}, a -> a.out)), g -> size(g) > 0)"
+    cut = f"substring({whole}, g[0].f + 1, element_at(g, -1).e - g[0].f)"
+    made = f"transform(array({cut}), c -> array_join(transform(g, x -> concat(substring(c, x.f - g[0].f + 1, x.s - x.f), x.k)), ''))[0]"
+    last = f"array_max(transform({marks}, x -> x.e))"
+    return f"concat(array_join(transform({kept}, g -> {made}), ''), substring({whole}, {last} + 1, length({whole})))"

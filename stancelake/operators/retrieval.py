@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stancelake.tables import settle
+
 RRF_K, CANDIDATES = 60, 3
 #: Rows and seeds of a group that meet in one task.
 BLOCK, SEED_BLOCK = 16_384, 4096
@@ -82,10 +84,25 @@ def neighbours(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int
     gives k rows a seed, and these are merged: no pairs are shuffled. Vectors
     without length, or of another dimension than the seed's, are left out.
     """
-    group = F.col(by).cast("string") if by else F.lit("")
-    good = lambda df: df.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), _doubles(vector).alias("v")).where(F.col("g").isNotNull() & F.exists("v", lambda x: x != 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
-    rows, asked = good(vectors).withColumn("dim", F.size("v")), good(seeds).withColumn("dim", F.size("v"))
     key = ["g", "dim"]
+    return _ranked(_met(_usable(vectors, id_col, vector, by), _usable(seeds, id_col, vector, by), key, least, k, block, seed_block), k)
+
+
+def _usable(df: DataFrame, id_col: str, vector: str, by: str | None) -> DataFrame:
+    """(g, id, v, dim) of the rows with a group and a vector that has a length."""
+    group = F.col(by).cast("string") if by else F.lit("")
+    rows = df.select(group.alias("g"), F.col(id_col).cast("long").alias("id"), _doubles(vector).alias("v"))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col("g").isNotNull() & F.exists("v", lambda x: x != 0) & fine).withColumn("dim", F.size("v"))
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("source", "target", "rank", "similarity")
+
+
+def _met(rows: DataFrame, asked: DataFrame, key: list[str], least: float, k: int, block: int, seed_block: int) -> DataFrame:
+    """(source, target, similarity): k rows a seed from every pair of blocks of rows and seeds that share a key."""
     n = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     n = n.join(asked.groupBy(*key).agg(F.ceil(F.count("*") / seed_block).cast("int").alias("s_blocks")), key)
     pick = lambda c: F.pmod(F.xxhash64("id", "v"), F.col(c)).cast("int")
@@ -115,9 +132,74 @@ def neighbours(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int
         return pa.table({"source": pa.array(out[0], pa.int64()), "target": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
 
     at = [*key, "s", "b"]
-    met = asked.groupBy(*at).cogroup(rows.groupBy(*at)).applyInArrow(meet, "source long, target long, similarity double")
-    w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("source", "target", "rank", "similarity")
+    return asked.groupBy(*at).cogroup(rows.groupBy(*at)).applyInArrow(meet, "source long, target long, similarity double")
+
+#: Pivots at most, and the bounded sample that they are chosen from.
+PIVOTS, PIVOT_SAMPLE = 64, 4096
+
+
+def pivots_of(rows: DataFrame, most: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict[int, np.ndarray]:
+    """For each length of vectors, up to `most` unit vectors far apart, of the `sample` rows with the smallest hashes."""
+    drawn = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(sample).collect()  # `sample` vectors at most
+    out = {}
+    for dim in {len(r["v"]) for r in drawn}:
+        x = np.array([r["v"] for r in drawn if len(r["v"]) == dim], dtype=np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        chosen, near = [0], x @ x[0]
+        while len(chosen) < min(most, len(x)) and near.min() < 1 - 1e-9:
+            chosen.append(int(near.argmin()))
+            near = np.maximum(near, x @ x[chosen[-1]])
+        out[dim] = x[chosen]
+    return out
+
+
+def _angles(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """rows with `angles` to every pivot of their dimension; empty where there is none."""
+
+    def run(batches):
+        for batch in batches:
+            made: list = []
+            for v in batch.column(batch.schema.get_field_index("v")).to_pylist():
+                p = pivots.get(len(v))
+                if p is None:
+                    made.append([])
+                    continue
+                x = np.array(v)
+                x /= np.abs(x).max()
+                made.append(np.arccos(np.clip(p @ x / np.sqrt(x @ x), -1, 1)).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*batch.schema.names, "angles"])
+
+    return rows.mapInArrow(run, "g string, id long, v array<double>, dim int, angles array<double>")
+
+
+def similar(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", by: str | None = None, block: int = BLOCK, seed_block: int = SEED_BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """As neighbours, for seeds that may be all rows; and (compared, pairs), how many pairs were looked at of all.
+
+    Every row lies in the part of its nearest pivot. Angles obey the triangle
+    inequality, so a seed meets a part only if, for every pivot, its angle to
+    that pivot is within arccos(least) of the range of the part's angles to it;
+    all other parts hold nothing at `least`, and no link is lost. Equal inputs
+    give equal parts; rows of a dimension without a pivot are one part that is
+    always met. Where vectors point everywhere, angles hardly differ and little
+    is left out: the counts tell. Both results come from written tables.
+    """
+    reach = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+    rows = _usable(vectors, id_col, vector, by)
+    at = pivots_of(rows, pivots)
+    part = F.when(F.size("angles") > 0, F.array_position("angles", F.array_min("angles")).cast("int") - 1).otherwise(-1)
+    rows = settle(_angles(rows, at).withColumn("part", part), "similar-rows")
+    # a part's range of angles to every pivot: at most `pivots` numbers twice, for at most `pivots` parts a group
+    spans = rows.select("g", "dim", "part", F.posexplode_outer("angles").alias("p", "a")).groupBy("g", "dim", "part", "p").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("n"))
+    spans = spans.groupBy("g", "dim", "part").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "low", "high"))), lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"))).alias("to"))
+    parts = settle(spans.groupBy("g", "dim").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "n", "to")).alias("parts")), "similar-parts")
+    asked = settle(_angles(_usable(seeds, id_col, vector, by), at), "similar-seeds")
+    met = f"filter(parts, x -> forall(zip_with(angles, x.to, (a, t) -> a >= t.low - {reach!r}D and a <= t.high + {reach!r}D), y -> coalesce(y, true)))"
+    asked = settle(asked.join(parts, ["g", "dim"]).withColumn("met", F.expr(met)).select("g", "dim", "id", "v", "n", "met"), "similar-met")
+    effort = asked.agg(F.coalesce(F.sum(F.aggregate("met", F.lit(0).cast("long"), lambda s, x: s + x["n"])), F.lit(0)).alias("compared"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    each = asked.select("g", "dim", "id", "v", F.explode("met.part").alias("part"))
+    key = ["g", "dim", "part"]
+    return _ranked(_met(rows.select(*key, "id", "v"), each, key, least, k, block, seed_block), k), effort
 
 
 def citable_split(hits: DataFrame, include_fallback: bool = False) -> DataFrame:

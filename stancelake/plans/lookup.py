@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stancelake.functions.text import normalise
-from stancelake.operators import digest, postings, topics
+from stancelake.operators import digest, postings, retrieval, topics
 from stancelake.plans.queries import query, read
 
 _FOUND = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS c FROM t GROUP BY ALL),
@@ -64,3 +64,26 @@ def quotes_found(spark, d):
     quote = F.when(F.col("turn") % 3 == 0, plain).when(F.col("turn") % 3 == 1, F.regexp_replace(plain, "([^ ]{4})[^ ]", "$1")).otherwise(F.reverse(plain))
     q = t.where(F.size(words) >= 20).select("conv_id", "turn", quote.alias("quote"))
     return digest.found_in(q, t.select("conv_id", "text"), ["conv_id"]).groupBy("conv_id", "turn").agg(F.bool_or("found").alias("found"))
+
+
+_SPENT = ", ".join(f"sum(CASE WHEN o_orderpriority LIKE '{i}%' THEN o_totalprice ELSE 0 END)" for i in range(1, 6))
+_PROFILES = f"v AS (SELECT o_custkey AS id, c_mktsegment AS seg, [{_SPENT}]::DOUBLE[] AS e FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
+
+
+def _alike(spark, d):
+    spent = [F.sum(F.when(F.col("o_orderpriority").startswith(str(i)), F.col("o_totalprice")).otherwise(0)).cast("double") for i in range(1, 6)]
+    seg = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    v = read(spark, d, "orders").groupBy("o_custkey").agg(F.array(*spent).alias("e")).join(seg, "o_custkey")
+    return retrieval.similar(v, v, 0.98, 5, "o_custkey", "e", "c_mktsegment")
+
+
+@query(f"WITH {_PROFILES} SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id)::INTEGER AS rank FROM v a JOIN v b ON a.seg = b.seg AND a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.98 QUALIFY rank <= 5")
+def alike_customers(spark, d):
+    """For every customer, the five of its segment that spend most alike over the order priorities, at a cosine of 0.98 or more."""
+    return _alike(spark, d)[0].select("source", "target", "rank")
+
+
+@query(f"WITH {_PROFILES}, n AS (SELECT seg, count(*) AS k FROM v GROUP BY seg) SELECT sum(k * k)::BIGINT AS pairs, true AS fewer FROM n")
+def alike_effort(spark, d):
+    """All pairs within the segments, and that pivots leave some of them out."""
+    return _alike(spark, d)[1].select(F.col("pairs").cast("long"), (F.col("compared") < F.col("pairs")).alias("fewer"))

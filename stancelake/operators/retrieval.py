@@ -16,6 +16,8 @@ from stancelake.tables import settle
 RRF_K, CANDIDATES = 60, 3
 #: Rows and seeds of a group that meet in one task.
 BLOCK, SEED_BLOCK = 16_384, 4096
+#: Pairs whose similarity is worked out at once.
+PAIRS = 1 << 17
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,6 +29,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a + b as rounded, and what rounding left out."""
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def _halves(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t = a * 134217729.0
+    high = t - (t - a)
+    return high, a - high
+
+
+def fused(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """a * b + c with one rounding, by error-free sums and rounding to odd (Boldo and Melquiond)."""
+    product = a * b
+    (ah, al), (bh, bl) = _halves(a), _halves(b)
+    low = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    high, rest = _two_sum(c, low)
+    top, left = _two_sum(product, high)
+    odd, lost = _two_sum(rest, left)
+    odd = np.where((lost != 0) & (odd.view(np.int64) & 1 == 0), np.nextafter(odd, np.copysign(np.inf, lost)), odd)
+    return top + odd
+
+
+def fused_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The scalar product of each row of a with that of b, place after place and each step fused, as DuckDB has it; plain where that overflows."""
+    total = np.zeros(len(a))
+    with np.errstate(all="ignore"):
+        for j in range(a.shape[1]):
+            total = fused(a[:, j], b[:, j], total)
+        return np.where(np.isfinite(total), total, (a * b).sum(axis=1))
+
+
+def fused_cosine(a: np.ndarray, b: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    """Cosines of rows with the squares aa and bb of their lengths, in the steps of list_cosine_similarity; -1 to 1."""
+    with np.errstate(all="ignore"):
+        square = aa * bb
+        length = np.where((square > 1e-290) & np.isfinite(square), np.sqrt(square), np.sqrt(aa) * np.sqrt(bb))
+        return np.clip(fused_dot(a, b) / length, -1, 1)
+
+
 def _doubles(v: str) -> Column:
     return F.col(v).cast("array<double>")
 
@@ -115,21 +159,25 @@ def _met(rows: DataFrame, asked: DataFrame, key: list[str], least: float, k: int
         if left.num_rows and right.num_rows:
             q, x = (np.array(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(t.num_rows, -1) for t in (left, right))
             q_ids, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
-            lengths = np.sqrt((x * x).sum(axis=1))
+            lengths, squares = np.sqrt((x * x).sum(axis=1)), fused_dot(x, x)
             for at in range(0, len(q), 256):
-                near = (q[at : at + 256] @ x.T) / (np.sqrt((q[at : at + 256] ** 2).sum(axis=1))[:, None] * lengths[None, :])
+                some = q[at : at + 256]
+                near = (some @ x.T) / (np.sqrt((some**2).sum(axis=1))[:, None] * lengths[None, :])
                 near[q_ids[at : at + 256][:, None] == ids[None, :]] = -2
                 m = min(k, len(x))
                 kth = np.maximum(np.partition(near, len(x) - m, axis=1)[:, len(x) - m], least) - 1e-12
-                for i in range(len(near)):
-                    c = np.flatnonzero(near[i] >= kth[i])
-                    own = q[at + i]  # row by row, so that equal rows have equal values
-                    exact = (x[c] * own).sum(axis=1) / (np.sqrt((own * own).sum()) * lengths[c])
-                    first = np.lexsort((ids[c], -exact))
-                    first = first[exact[first] >= least][:k]
-                    for column, values in zip(out, ([int(q_ids[at + i])] * len(first), ids[c][first].tolist(), exact[first].tolist()), strict=True):
-                        column.extend(values)
-        return pa.table({"source": pa.array(out[0], pa.int64()), "target": pa.array(out[1], pa.int64()), "similarity": pa.array(out[2], pa.float64())})
+                i, c = np.nonzero(near >= kth[:, None])
+                own = fused_dot(some, some)
+                parts = [fused_cosine(some[i[s : s + PAIRS]], x[c[s : s + PAIRS]], own[i[s : s + PAIRS]], squares[c[s : s + PAIRS]]) for s in range(0, len(i), PAIRS)]
+                exact = np.concatenate(parts) if parts else np.zeros(0)
+                order = np.lexsort((ids[c], -exact, i))
+                order = order[exact[order] >= least]
+                i, c, exact = i[order], c[order], exact[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                for column, values in zip(out, (q_ids[at + i[first]], ids[c[first]], exact[first]), strict=True):
+                    column.append(values)
+        source, target, similarity = (np.concatenate(o) if o else np.zeros(0) for o in out)
+        return pa.table({"source": pa.array(source.astype(np.int64)), "target": pa.array(target.astype(np.int64)), "similarity": pa.array(similarity.astype(np.float64))})
 
     at = [*key, "s", "b"]
     return asked.groupBy(*at).cogroup(rows.groupBy(*at)).applyInArrow(meet, "source long, target long, similarity double")

@@ -42,3 +42,18 @@ def test_all_links_of_equal_vectors(spark):
     assert {(r.source, r.target) for r in out.collect()} == {(i, j) for i in range(20) for j in [x for x in range(4) if x != i][:3]}
     none, effort = retrieval.similar(df.limit(0), df.limit(0), 0.9)
     assert none.count() == 0 and effort.first().pairs == 0
+
+
+def test_ranks_are_those_of_duckdb_where_cosines_nearly_tie(spark):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    base = rng.uniform(0, 5e5, (60, 5)).round(2)
+    base[20:40] *= np.eye(5)[rng.integers(0, 5, 20)]
+    rows = [(i, (base[i % 60] * (1 + i // 60)).round(2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, _ = retrieval.similar(df, df, 0.98, 5, block=70, seed_block=50)
+    got = sorted((r.source, r.target, r["rank"]) for r in out.collect())
+    v = df.toArrow()  # noqa: F841
+    want = duckdb.sql("SELECT a.vec_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.98 QUALIFY r <= 5").fetchall()
+    assert got == sorted(want)

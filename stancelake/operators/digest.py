@@ -89,19 +89,20 @@ def connective_claims(rows: DataFrame, moments: DataFrame, reach: int = 1) -> Da
 def alike(quote: str, text: str, like: float = LIKE) -> bool:
     """Whether some run of as many words as the quote has is like it, by Jaro-Winkler similarity.
 
-    A run shares no more letters with the quote than both hold, wherever they
-    stand; only runs that could reach `like` with all of those in order, and
-    with the first letters that they share, are compared letter by letter.
+    A run shares no more bytes of UTF-8 with the quote than both hold, wherever
+    they stand; only runs that could reach `like` with all of those in order,
+    and with the first bytes that they share, are compared byte by byte.
     """
-    words, width = text.split(), len(quote.split())
-    if not words or not quote:
+    words, sought = text.encode().split(), quote.encode()
+    width = len(sought.split())
+    if not words or not sought:
         return False
-    told = " ".join(words)
+    told = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(words) - width, 0) + 1
     a, b = starts[:n], ends[np.minimum(np.arange(n) + width - 1, len(words) - 1)]
-    letters, own = (np.frombuffer(x.encode("utf-32-le"), dtype="<u4") for x in (told, quote))
+    letters, own = (np.frombuffer(x, dtype=np.uint8) for x in (told, sought))
     shared = np.zeros(n, dtype=np.int64)
     for c, times in zip(*np.unique(own, return_counts=True), strict=True):
         at = np.concatenate([[0], np.cumsum(letters == c)])
@@ -113,7 +114,7 @@ def alike(quote: str, text: str, like: float = LIKE) -> bool:
     jaro = np.where(shared > 0, (shared / len(own) + shared / np.maximum(b - a, 1) + 1) / 3, 0)
     best = jaro + 0.1 * same * (1 - jaro)
     may = np.flatnonzero(best >= like - 1e-9)
-    return any(jaro_winkler(quote, told[a[i] : b[i]]) >= like for i in may[np.argsort(-best[may], kind="stable")])
+    return any(jaro_winkler(sought, told[a[i] : b[i]]) >= like for i in may[np.argsort(-best[may], kind="stable")])
 
 
 def _similar(quotes: pd.Series, previews: pd.Series) -> pd.Series:

@@ -38,3 +38,15 @@ def test_deep_quotes_are_found(spark):
 
 def test_halves_of_swaps_are_whole():
     assert round(jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(jaro_winkler("dwayne", "duane"), 4) == 0.84 and round(jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
+
+
+def test_letters_beyond_ascii_are_as_many_places_as_bytes():
+    import duckdb
+
+    r = random.Random(2)
+    told = lambda: "".join(r.choice("abcdéüß ") for _ in range(r.randint(1, 40)))
+    pairs = [(a, a[: r.randint(0, len(a))] + told()[:6]) for a in (told() for _ in range(500))]
+    for a, b in [*pairs, ("é", "è")]:
+        want = duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]
+        assert (jaro_winkler(a, b) >= digest.LIKE) == (want >= digest.LIKE)
+    assert jaro_winkler("é", "è") > 0.6

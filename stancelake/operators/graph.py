@@ -78,7 +78,7 @@ def _lifted(start: DataFrame, columns: dict[str, Column], name: str, most: int =
             return rows
         a = going.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
         b = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns])
-        further = a.join(b, F.col("a_up") == F.col("b_node")).select(F.col("a_node").alias("node"), F.col("b_up").alias("up"), *[c.alias(k) for k, c in columns.items()])
+        further = a.join(b.hint("merge"), F.col("a_up") == F.col("b_node")).select(F.col("a_node").alias("node"), F.col("b_up").alias("up"), *[c.alias(k) for k, c in columns.items()])
         rows = settle(rows.where("up is null").select(*further.columns).unionByName(further), name)
     raise ValueError("the edges close a cycle")
 
@@ -234,18 +234,22 @@ def leaves(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """Nodes that are their own ancestor, at any distance; (node, parent), a node may have several parents.
 
-    With one parent each, the parents are doubled: after as many steps as
-    there are edges, what hasn't reached a root stands on a cycle, and all of
-    every cycle is stood on. Otherwise the closure is doubled until it is whole.
+    With one parent each, the parents are doubled. What is reached after some
+    steps holds what is reached after more; where twice the steps reach as
+    many nodes, every one of them has one before it there, and they are the
+    cycles. So it takes as many joins as the longest tail or path has bits.
+    Otherwise the closure is doubled until it is whole.
     """
     e = settle(edges.where("node is not null and parent is not null").select("node", "parent").distinct(), "graph-edges")
 
     def hop(up: DataFrame) -> DataFrame:
-        return up.alias("a").join(up.alias("b"), F.col("a.parent") == F.col("b.node")).select("a.node", "b.parent")
+        return up.alias("a").join(up.alias("b").hint("merge"), F.col("a.parent") == F.col("b.node")).select("a.node", "b.parent")
 
     if e.groupBy("node").count().where("count > 1").isEmpty():
-        for _ in range(e.count().bit_length()):
+        was, now = None, e.select("parent").distinct().count()
+        while now != was:
             e = settle(hop(e), "graph-hop")
+            was, now = now, e.select("parent").distinct().count()
         return e.select(F.col("parent").alias("node")).distinct()
     was, now = 0, e.count()
     while now != was:

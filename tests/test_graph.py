@@ -123,3 +123,23 @@ def test_moves_are_checked_in_their_commit(spark, tmp_path):
     log.commit(lambda t: graph.move(t, "tree", one(2, None)))
     log.commit(lambda t: graph.move(t, "tree", one(1, 4)))
     assert {(r.node, r.parent) for r in log.read("tree").collect()} == {(1, 4), (2, None), (3, 1), (4, 2)}
+
+
+def test_cycles_take_as_many_joins_as_tails_have_bits_and_no_broadcast(spark, monkeypatch):
+    made = []
+    settle = graph.settle
+
+    def told(df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, name)
+
+    monkeypatch.setattr(graph, "settle", told)
+    r = random.Random(3)
+    parents = {i: (i // 10 * 10 + (i + 1) % 5 if i % 10 < 5 else i - 1) for i in range(4000)}  # rings of five, tails of five
+    parents |= {4000 + i: (3999 + i if i else None) for i in range(40)}  # a path to a root
+    parents |= {5000: 5000, 5001: r.choice([5000, 4039])}
+    got = {x.node for x in graph.cycles(frame(spark, parents)).collect()}
+    assert got == {i for i in range(4000) if i % 10 < 5} | {5000}
+    hops = [p for n, p in made if n == "graph-hop"]
+    assert len(hops) <= 8 and not any("Broadcast" in p for p in hops)
+    assert graph.cycles(frame(spark, {1: 2, 2: 3})).count() == 0 and graph.cycles(spark.createDataFrame([], "node long, parent long")).count() == 0

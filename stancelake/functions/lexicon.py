@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,17 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(bare, F.lit("[a-z]+(?:['’][a-z]+)*"), F.lit(0)), lambda w: F.translate(w, "’", "'"))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once a row however often then names it, in functions of its own too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def band(text: Column) -> Column:
     """low, median or high by the first marker, flipped by a negator within two words before; null without one."""
-    tokens = words(text)
+    return once(words(text), _band)
+
+
+def _band(tokens: Column) -> Column:
     one = {w: b for b, m in BANDS.items() for w in m if " " not in w}
     two = {w: b for b, m in BANDS.items() for w in m if " " in w}
     singles = F.create_map(*[F.lit(x) for kv in one.items() for x in kv])
@@ -59,8 +69,7 @@ def band(text: Column) -> Column:
 
 def contradicts(modality: Column, text: Column) -> Column:
     """A hedge with weight 0.8 or more, or an assertion with 0.3 or less."""
-    b = band(text)
-    return F.coalesce(F.when(b == "low", modality >= 0.8).when(b == "high", modality <= 0.3), F.lit(False))
+    return F.coalesce(once(band(text), lambda b: F.when(b == "low", modality >= 0.8).when(b == "high", modality <= 0.3)), F.lit(False))
 
 
 def process(lemma: Column, text: Column, tag: Column) -> Column:
@@ -75,9 +84,9 @@ def process_of_text(text: Column) -> Column:
     """A lexical stand-in for a parser: the first word that is a listed verb, by plain suffixes."""
     known = {v: p for p in ("behavioral", "verbal", "relational", "mental") for v in VERBS[p]}
     forms = {**{v + s: p for v, p in known.items() for s in ("", "s", "ed", "ing")}, "is": "relational", "are": "relational", "was": "relational", "were": "relational", "said": "verbal", "told": "verbal", "knew": "mental", "thought": "mental"}
+    first = F.get(F.filter(words(text), lambda w: w.isin(*forms)), F.lit(0))
     lookup = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv])
-    hits = F.filter(F.transform(words(text), lambda w: lookup[w]), lambda p: p.isNotNull())
-    return F.coalesce(F.get(hits, F.lit(0)), F.lit("material"))
+    return F.coalesce(once(first, lambda w: lookup[w]), F.lit("material"))
 
 
 def participants(tokens: Column) -> Column:

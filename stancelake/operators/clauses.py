@@ -58,9 +58,9 @@ def annotate_lexicon(clauses: DataFrame) -> DataFrame:
     A clause with a marker is `lexicon`, one without `fallback` with neutral numbers.
     """
     text = F.col("ctext")
-    band = lexicon.band(text)
+    band = F.col("__band")
     first = F.regexp_extract(F.lower(text), r"^\s*([a-z']+)", 1)
-    return clauses.withColumns(
+    return clauses.withColumn("__band", lexicon.band(text)).withColumns(
         {
             "modality": F.when(band == "low", 0.2).when(band == "median", 0.5).when(band == "high", 0.9).otherwise(0.5),
             "tenor": F.lit(0.5),
@@ -68,7 +68,7 @@ def annotate_lexicon(clauses: DataFrame) -> DataFrame:
             "process_type": lexicon.process_of_text(text),
             "annotation_source": F.when(band.isNotNull(), "lexicon").otherwise("fallback"),
         }
-    )
+    ).drop("__band")
 
 
 def separate(clauses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

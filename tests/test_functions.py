@@ -162,3 +162,11 @@ def test_stems(spark):
     assert [stem(w) for w in pairs[::2]] == pairs[1::2]
     df = spark.createDataFrame([(["cats", "running"],), (None,)], "w array<string>")
     assert [r.s for r in df.select(stems(F.col("w")).alias("s")).collect()] == [["cat", "run"], None]
+
+
+def test_words_are_cut_once_a_clause(spark):
+    df = spark.createDataFrame([("it is not perhaps so",), ("said he",), (None,)], "t string")
+    for column, want in ((lexicon.band(F.col("t")), ["high", None, None]), (lexicon.process_of_text(F.col("t")), ["relational", "verbal", "material"])):
+        out = df.select("t", column.alias("x"))
+        assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+        assert [r.x for r in out.collect()] == want

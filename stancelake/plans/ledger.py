@@ -114,17 +114,22 @@ def _folder(spark, d) -> str:
     def write(frames):
         import os
 
+        made = set()
         for pdf in frames:
             for relative, i in zip(pdf["relative"], pdf["doc_id"], strict=True):
                 path = f"{root}/{relative}"
-                os.makedirs(os.path.dirname(path), exist_ok=True)
+                folder = os.path.dirname(path)
+                if folder not in made:
+                    made.add(folder)
+                    os.makedirs(folder, exist_ok=True)
+                    with open(os.path.join(folder, ".ignore"), "w", encoding="utf-8") as f:
+                        f.write("draft-*\n")
                 with open(path, "w", encoding="utf-8") as f:
                     f.write(f"# Heading {i}\n\nThe text of document {i} is long enough to be kept as a section of its own.\n\n## Below\n\nAnd this is the second one of {i}, which is as long as that and is kept too.\n")
-                with open(os.path.join(os.path.dirname(path), ".ignore"), "w", encoding="utf-8") as f:
-                    f.write("draft-*\n")
             yield pdf[["doc_id"]]
 
-    read(spark, d, "documents").select("doc_id", where.alias("relative")).mapInPandas(write, "doc_id long").count()
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    read(spark, d, "documents").select("doc_id", where.alias("relative")).repartition(wide, "doc_id").mapInPandas(write, "doc_id long").count()
     return root
 
 

@@ -24,6 +24,8 @@ from stancelake.tables import settle
 
 LISTED = "kind string, path string, relative string, rules string, reason string, extension string, size long, modified timestamp"
 READ = "path string, extension string, modified timestamp, content binary, problem string"
+#: Bytes of files after which a task hands them on.
+HELD = 1 << 24
 Rules = list[tuple[str, str]]
 
 
@@ -128,17 +130,22 @@ def contents(files: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for i in range(len(pdf)):
-                one = pdf.iloc[i : i + 1][["path", "extension", "modified"]].copy()
+            start, held, rows = 0, 0, []
+            for i, path in enumerate(pdf["path"]):
                 content, problem = None, None
                 try:
-                    with open(one["path"].iloc[0], "rb") as f:
+                    with open(path, "rb") as f:
                         content = f.read()
                 except FileNotFoundError:
                     problem = "vanished"
                 except OSError as e:
                     problem = f"unreadable: {type(e).__name__}"
-                yield one.assign(content=[content], problem=[problem])
+                rows.append((content, problem))
+                held += len(content or b"")
+                if held >= HELD or i == len(pdf) - 1:
+                    one = pdf.iloc[start : i + 1][["path", "extension", "modified"]]
+                    yield one.assign(content=[c for c, _ in rows], problem=[x for _, x in rows])
+                    start, held, rows = i + 1, 0, []
 
     wide = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return files.select("path", "extension", "modified").repartition(wide, "path").mapInPandas(read, READ)
@@ -171,7 +178,7 @@ def load(spark: SparkSession, root: str, ignore: list[str] | None = None, images
     files, skipped = listed(spark, root, images, ignore)
     raw = settle(contents(files), "corpus-content")
     reg, e = ld.catalogue(), F.col("extension")
-    text = raw.where("content is not null").select("path", "extension", "modified", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content"))
+    text = raw.where("content is not null").select("path", "extension", "modified", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^﻿", "").alias("content"))
     rows = lambda condition: text.where(condition).select("path", "content", "modified")
     parts = [reg.resolve(name)(rows(e == ending)) for ending, name in ld.BY_EXTENSION.items()]
     exported = rows(e == ".json")

@@ -68,3 +68,23 @@ def test_every_format_is_dispatched(spark, tmp_path):
     assert (told["f.json"], told["l.xyz"], told["m.md"]) == ("no units", "no loader", "no units") and told["j.pdf"].startswith("not extracted") and "YAML" in told["h.yaml"]
     _, warnings = Engine(spark, "/none").load_folder(str(tmp_path))
     assert {r.path.rsplit("/", 1)[1] for r in warnings.where("problem = 'no extractor for PDF'").collect()} == {"i.pdf", "j.pdf"}
+
+
+def test_bytes_that_are_no_text_stop_nothing(spark, tmp_path):
+    said = b"# Heading\n\nThe text of this document is long enough to be kept as a section of its own.\n"
+    for i in range(5):
+        (tmp_path / f"d{i}.md").write_bytes(said + b"\xff\xfe" * (i % 2))
+    units, warnings, _ = corpus.load(spark, str(tmp_path))
+    assert units.select("source_path").distinct().count() == 5 and warnings.count() == 0
+
+
+def test_files_are_written_by_many_tasks(spark, data):
+    from stancelake.plans import ledger
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("folder", "folder")
+    root = ledger._folder(spark, data)
+    stages = [s for j in tracker.getJobIdsForGroup("folder") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("tests", "tests")
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) > 1
+    assert all(".ignore" in names for _, _, names in os.walk(root) if names)

@@ -86,3 +86,14 @@ def test_nothing(spark):
     found, effort = po.search(po.postings(named), named, spark.createDataFrame([(1, "x")], "query_id int, text string"), 3)
     assert found.count() == effort.count() == 0
     assert re.fullmatch(r"\d+", str(po.SHARD))
+
+
+def test_texts_are_not_sorted_to_number_documents(spark):
+    docs = spark.createDataFrame([(3, "c"), (1, "b"), (1, "a"), (None, "x"), (2, None)], "doc_id long, text string")
+    out = po.numbered(docs, "doc_id")
+    assert sorted((r.number, r.id, r.text) for r in out.collect()) == [(1, 1, "a"), (2, 2, ""), (3, 3, "c")]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = next(i for i, x in enumerate(lines) if "Window [" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-|"))
+    below = [x for n, x in enumerate(lines[at + 1 :]) if all(depth(y) > depth(lines[at]) for y in lines[at + 1 : at + 2 + n])]
+    assert not any("min(" in x for x in below)

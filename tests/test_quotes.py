@@ -50,3 +50,13 @@ def test_letters_beyond_ascii_are_as_many_places_as_bytes():
         want = duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]
         assert (jaro_winkler(a, b) >= digest.LIKE) == (want >= digest.LIKE)
     assert jaro_winkler("é", "è") > 0.6
+
+
+def test_four_checks_read_written_turns_and_sentences(spark, data, monkeypatch):
+    from stancelake.plans import queries
+
+    made = []
+    settle = queries.settle
+    monkeypatch.setattr(queries, "settle", lambda df, name: (made.append(name), settle(df, name))[1])
+    queries.narrative_checks(spark, data)
+    assert sorted(made) == ["narrative-sentences", "narrative-turns"]

@@ -18,6 +18,8 @@ BATCH = 40
 PAYLOAD = ("process_type", "mood", "modality", "modality_milli", "tenor", "tenor_milli", "theme_type", "topical_theme", "annotation_source", "untrusted")
 #: Tries in all, and with an annotator that asks to slow down; seconds between them double, up to LONGEST.
 TRIES, TRIES_WHEN_BUSY, LONGEST = 3, 5, 30.0
+#: Files that a round of a stream reads at most, and rounds that a long job is cut into.
+FILES, ROUNDS = 64, 64
 RAW = "clause_id string, mood_raw string, modality_raw double, tenor_raw double, theme_raw string"
 #: A batch annotator: clauses' texts to (mood, modality, tenor, theme) or None for a miss, in order.
 Batch = Callable[[list[str]], list[tuple[str, float, float, str] | None]]
@@ -104,28 +106,33 @@ def annotate(clauses: DataFrame, call: Batch, batch: int = BATCH) -> DataFrame:
 def answered(clauses: DataFrame, calls: list[Batch], base: str, batch: int = BATCH, at_once: int = 1000, stop: Callable[[], bool] | None = None) -> tuple[DataFrame, bool]:
     """((raw answers and the attempt that gave them), whether all were asked), kept under base, a folder of the shared store.
 
-    The clauses are written in files of one batch each, and a stream takes
-    `at_once` files at a time, asks, and writes the answers before the next
-    ones: what is answered is never asked again, after a lost driver, a stop
-    or another call for the same base, and a lost executor costs the batch
-    that it was at. The second of calls gets the clauses that the first left
-    unanswered, and so on. stop is asked before every round. clauses must hold
-    an id once, and be the same whenever base is.
+    The clauses are written in files of whole batches, and a stream takes as
+    many files as hold `at_once` batches at a time, asks, and writes the
+    answers before the next ones: what is answered is never asked again, after
+    a lost driver, a stop or another call for the same base, and a lost
+    executor costs the files that its tasks were at. Rounds of many clauses
+    hold more, so that there are ROUNDS of them or little more. The second of
+    calls gets the clauses that the first left unanswered, and so on. stop is
+    asked before every round. clauses must hold an id once, and be the same
+    whenever base is.
     """
     spark = clauses.sparkSession
     names = ["clause_id", "ctext"]
     found, whole = [], True
+    left, files = clauses.select(*names), min(at_once, FILES)
+    schema = left.schema
     for attempt, call in enumerate(calls):
         at = f"{base}/attempt={attempt}"
-        left = clauses.select(*names)
-        for earlier in found:
-            left = left.join(earlier.select("clause_id"), "clause_id", "left_anti")
         if not _exists(spark, f"{at}/asked/_SUCCESS"):
-            left.write.mode("overwrite").option("maxRecordsPerFile", batch).parquet(f"{at}/asked")
-        schema = left.select(*names).schema
-        halted = _rounds(annotate(spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(f"{at}/asked"), call, batch), at, stop)
+            rows = settle(left, "to-ask")
+            each = batch * max(-(-at_once // files), -(-rows.count() // (batch * files * ROUNDS)))
+            rows.write.mode("overwrite").option("maxRecordsPerFile", each).parquet(f"{at}/asked")
+        halted = _rounds(annotate(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{at}/asked"), call, batch), at, stop)
+        left = spark.read.schema(schema).parquet(f"{at}/asked")
         if _exists(spark, f"{at}/answers"):
-            found.append(spark.read.schema(RAW).parquet(f"{at}/answers/*").withColumn("attempt", F.lit(attempt)))
+            answers = spark.read.schema(RAW).parquet(f"{at}/answers/*")
+            found.append(answers.withColumn("attempt", F.lit(attempt)))
+            left = left.join(answers.select("clause_id").hint("merge"), "clause_id", "left_anti").select(*names)
         if halted:
             whole = False
             break

@@ -90,3 +90,17 @@ def test_stops_and_attempts(spark, tmp_path):
     assert {r.clause_id: r.attempt for r in raw.collect()} == {f"c{i}": 0 if i % 2 else 1 for i in range(60) if i % 4}
     none, whole = an.answered(c.limit(0), [odd], str(tmp_path / "none"))
     assert whole and none.count() == 0
+
+
+def test_files_hold_many_batches_and_calls_still_get_one(spark, tmp_path):
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+
+    def call(texts):
+        (sizes / f"{random.random()}").write_text(str(len(texts)))
+        return [None if t.endswith("7.") else ("declarative", 0.5, 0.5, t) for t in texts]
+
+    raw, whole = an.answered(clauses(spark, 2000), [call, lambda texts: [("imperative", 0.5, 0.5, t) for t in texts]], str(tmp_path / "base"), batch=2)
+    assert whole and {r.clause_id: r.attempt for r in raw.collect()} == {f"c{i}": int(i % 10 == 7) for i in range(2000)}
+    assert len(list((tmp_path / "base/attempt=0/asked").glob("*.parquet"))) <= an.FILES + 4  # not one for each of 1,000 batches
+    assert max(int(f.read_text()) for f in sizes.iterdir()) == 2

@@ -203,22 +203,102 @@ def pivots_of(rows: DataFrame, most: int = PIVOTS, sample: int = PIVOT_SAMPLE) -
 
 
 def _angles(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """rows with `angles` to every pivot of their dimension; empty where there is none."""
+    """rows with `angles` to every pivot of their dimension, and `part`, the nearest one; empty and -1 where there is none."""
 
     def run(batches):
         for batch in batches:
-            made: list = []
-            for v in batch.column(batch.schema.get_field_index("v")).to_pylist():
-                p = pivots.get(len(v))
+            v = batch.column("v")
+            dims = batch.column("dim").to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(dims)[:-1]]).astype(np.int64)
+            flat = np.asarray(v.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+            sizes, part, values = np.zeros(len(dims), dtype=np.int32), np.full(len(dims), -1, dtype=np.int32), []
+            own = {}
+            for dim in np.unique(dims):
+                p = pivots.get(int(dim))
                 if p is None:
-                    made.append([])
                     continue
-                x = np.array(v)
-                x /= np.abs(x).max()
-                made.append(np.arccos(np.clip(p @ x / np.sqrt(x @ x), -1, 1)).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], names=[*batch.schema.names, "angles"])
+                i = np.flatnonzero(dims == dim)
+                x = flat[starts[i][:, None] + np.arange(dim)]
+                x /= np.abs(x).max(axis=1, keepdims=True)
+                a = np.arccos(np.clip((x @ p.T) / np.sqrt((x * x).sum(axis=1, keepdims=True)), -1, 1))
+                sizes[i], part[i], own[int(dim)] = len(p), a.argmin(axis=1), (i, a)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = np.zeros(bounds[-1])
+            for i, a in own.values():
+                values[bounds[i][:, None] + np.arange(a.shape[1])] = a
+            angles = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, angles, pa.array(part)], names=[*batch.schema.names, "angles", "part"])
+
+    return rows.mapInArrow(run, "g string, id long, v array<double>, dim int, angles array<double>, part int")
+
+
+def _widest(tables, low: str, high: str, n: str | None) -> pa.Table:
+    """For each (g, dim, part): the least of `low` and the greatest of `high`, place by place, and how many rows (or the sum of n)."""
+    held: dict[tuple, list] = {}
+    for t in tables:
+        key = list(zip(t.column("g").to_pylist(), t.column("dim").to_pylist(), t.column("part").to_pylist(), strict=True))
+        where: dict[tuple, list] = {}
+        for i, k in enumerate(key):
+            where.setdefault(k, []).append(i)
+        bottom, top = t.column(low), t.column(high)
+        counts = t.column(n).to_pylist() if n else None
+        for k, i in where.items():
+            rows = pa.array(i)
+            a, b = (np.asarray(c.take(rows).flatten() if isinstance(c, pa.Array) else c.combine_chunks().take(rows).flatten(), dtype=np.float64).reshape(len(i), -1) for c in (bottom, top))
+            new = [a.min(axis=0), b.max(axis=0), sum(counts[j] for j in i) if counts else len(i)]
+            if k in held:
+                was = held[k]
+                new = [np.minimum(was[0], new[0]), np.maximum(was[1], new[1]), was[2] + new[2]]
+            held[k] = new
+    lists = lambda j: pa.array([x[j].tolist() for x in held.values()], pa.list_(pa.float64()))
+    columns = [pa.array([k[j] for k in held], t) for j, t in ((0, pa.string()), (1, pa.int32()), (2, pa.int32()))]
+    return pa.table([*columns, lists(0), lists(1), pa.array([x[2] for x in held.values()], pa.int64())], names=["g", "dim", "part", "low", "high", "n"])
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """(g, dim, part, low, high, n): a part's ranges of angles to every pivot; a task hands on a row a part."""
+    schema = "g string, dim int, part int, low array<double>, high array<double>, n long"
+
+    def own(batches):
+        yield from _widest(batches, "angles", "angles", None).to_batches()
+
+    def add(key: tuple, some: pa.Table) -> pa.Table:
+        return _widest([some], "low", "high", "n")
+
+    return rows.select("g", "dim", "part", "angles").mapInArrow(own, schema).groupBy("g", "dim", "part").applyInArrow(add, schema)
+
+
+def _parts_met(asked: DataFrame, parts: DataFrame, reach: float) -> DataFrame:
+    """(g, dim, id, v, n, compared, met): of the parts of a seed's group, which hold n rows, those that may hold a link, and how many rows they have.
+
+    Seeds meet their group's parts in blocks: no seed carries the ranges with it.
+    """
 
-    return rows.mapInArrow(run, "g string, id long, v array<double>, dim int, angles array<double>")
+    def run(seeds: pa.Table, parts: pa.Table) -> pa.Table:
+        met = [np.zeros(0, dtype=np.int32)]
+        sizes, compared = np.zeros(seeds.num_rows, dtype=np.int64), np.zeros(seeds.num_rows, dtype=np.int64)
+        if seeds.num_rows and parts.num_rows:
+            part, n = parts.column("part").to_numpy(), parts.column("n").to_numpy()
+            low, high = (np.asarray(parts.column(c).combine_chunks().flatten(), dtype=np.float64).reshape(len(part), -1) for c in ("low", "high"))
+            angles = np.asarray(seeds.column("angles").combine_chunks().flatten(), dtype=np.float64).reshape(seeds.num_rows, -1)
+            for at in range(0, len(angles), 4096):
+                a = angles[at : at + 4096]
+                near = np.ones((len(a), len(part)), dtype=bool)
+                for j in range(low.shape[1]):
+                    near &= (a[:, j, None] >= low[None, :, j] - reach) & (a[:, j, None] <= high[None, :, j] + reach)
+                sizes[at : at + 4096], compared[at : at + 4096] = near.sum(axis=1), near @ n
+                met.append(np.broadcast_to(part, near.shape)[near].astype(np.int32))
+        total = int(parts.column("n").to_numpy().sum()) if parts.num_rows else 0
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(met)))
+        columns = [*(seeds.column(c) for c in ("g", "dim", "id", "v")), pa.array(np.full(seeds.num_rows, total)), pa.array(compared), lists]
+        return pa.table(columns, names=["g", "dim", "id", "v", "n", "compared", "met"]).slice(0, seeds.num_rows if parts.num_rows else 0)
+
+    key = ["g", "dim", "block"]
+    blocks = asked.groupBy("g", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    each = asked.join(blocks, ["g", "dim"]).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+    spread = parts.join(blocks, ["g", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    schema = "g string, dim int, id long, v array<double>, n long, compared long, met array<int>"
+    return each.select(*key, "id", "v", "angles").groupBy(*key).cogroup(spread.select(*key, "part", "low", "high", "n").groupBy(*key)).applyInArrow(run, schema)
 
 
 def similar(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", by: str | None = None, block: int = BLOCK, seed_block: int = SEED_BLOCK, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
@@ -233,19 +313,14 @@ def similar(vectors: DataFrame, seeds: DataFrame, least: float = 0.75, k: int =
     is left out: the counts tell. Both results come from written tables.
     """
     reach = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
-    rows = _usable(vectors, id_col, vector, by)
-    at = pivots_of(rows, pivots)
-    part = F.when(F.size("angles") > 0, F.array_position("angles", F.array_min("angles")).cast("int") - 1).otherwise(-1)
-    rows = settle(_angles(rows, at).withColumn("part", part), "similar-rows")
-    # a part's range of angles to every pivot: at most `pivots` numbers twice, for at most `pivots` parts a group
-    spans = rows.select("g", "dim", "part", F.posexplode_outer("angles").alias("p", "a")).groupBy("g", "dim", "part", "p").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.count("*").alias("n"))
-    spans = spans.groupBy("g", "dim", "part").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "low", "high"))), lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"))).alias("to"))
-    parts = settle(spans.groupBy("g", "dim").agg(F.sum("n").alias("n"), F.collect_list(F.struct("part", "n", "to")).alias("parts")), "similar-parts")
-    asked = settle(_angles(_usable(seeds, id_col, vector, by), at), "similar-seeds")
-    met = f"filter(parts, x -> forall(zip_with(angles, x.to, (a, t) -> a >= t.low - {reach!r}D and a <= t.high + {reach!r}D), y -> coalesce(y, true)))"
-    asked = settle(asked.join(parts, ["g", "dim"]).withColumn("met", F.expr(met)).select("g", "dim", "id", "v", "n", "met"), "similar-met")
-    effort = asked.agg(F.coalesce(F.sum(F.aggregate("met", F.lit(0).cast("long"), lambda s, x: s + x["n"])), F.lit(0)).alias("compared"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
-    each = asked.select("g", "dim", "id", "v", F.explode("met.part").alias("part"))
+    usable = settle(_usable(vectors, id_col, vector, by), "similar-vectors")
+    at = pivots_of(usable, pivots)
+    rows = settle(_angles(usable, at), "similar-rows")
+    parts = settle(_spans(rows), "similar-parts")  # a row a part, `pivots` of them a group at most
+    asked = rows if seeds is vectors else settle(_angles(_usable(seeds, id_col, vector, by), at), "similar-seeds")
+    asked = settle(_parts_met(asked, parts, reach), "similar-met")
+    effort = asked.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    each = asked.select("g", "dim", "id", "v", F.explode("met").alias("part"))
     key = ["g", "dim", "part"]
     return _ranked(_met(rows.select(*key, "id", "v"), each, key, least, k, block, seed_block), k), effort
 

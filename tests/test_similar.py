@@ -57,3 +57,17 @@ def test_ranks_are_those_of_duckdb_where_cosines_nearly_tie(spark):
     v = df.toArrow()  # noqa: F841
     want = duckdb.sql("SELECT a.vec_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.98 QUALIFY r <= 5").fetchall()
     assert got == sorted(want)
+
+
+def test_seeds_carry_no_ranges_and_vectors_are_read_once(spark, monkeypatch):
+    made_of, settle = {}, retrieval.settle
+
+    def told(df, name):
+        made_of.setdefault(name, []).append(df.columns)
+        return settle(df, name)
+
+    monkeypatch.setattr(retrieval, "settle", told)
+    df = spark.createDataFrame(made(np.random.default_rng(4), 200, 0.2), "vec_id long, label string, embedding array<double>")
+    _, effort = retrieval.similar(df, df, 0.9, 5, by="label", pivots=8)
+    assert "parts" not in {c for tables in made_of.values() for t in tables for c in t} and "part" in made_of["similar-parts"][0]
+    assert "similar-seeds" not in made_of and effort.first().pairs == 2 * 100 * 100

@@ -139,30 +139,44 @@ def running(rows: DataFrame, order: list[str], columns: list[str], name: str = "
 def intervals(edges: DataFrame) -> DataFrame:
     """(node, parent, root, depth, pre, post) of a forest: a node's interval holds those of all that stand below it, and of nothing else in its tree.
 
-    An Euler tour goes down into a node and up out of it; every step knows the
-    next one, and doubling (list ranking) tells how many steps are left. So
-    storage is two rows a node at any depth. Siblings are in the order of
-    their names; pre and post count backwards from the tour's end and are
+    An Euler tour goes down into a node and up out of it. A node's place in it
+    is its parent's, one more, and two for every node below its earlier
+    siblings, so sizes, depths and places are doubled along the ways up: as
+    many joins as the depth has bits, a row a node. Siblings are in the order
+    of their names; pre and post count backwards from the tour's end and are
     negative. Children of one parent are numbered by range, not in one group.
     """
-    e = one_parent(edges)
-    # siblings stand together in the order (parent, node); place is the number of a node there
-    placed = settle(running(e.select("parent", "node", F.lit(1).cast("long").alias("one")), ["parent", "node"], ["one"], "graph-order").select("node", "parent", F.col("run_one").alias("place")), "graph-place")
-    after = placed.select((F.col("place") - 1).alias("place"), F.col("parent").alias("same"), F.col("place").alias("next"))
-    mine = placed.select("node", F.col("place").alias("up_place"))
-    child = placed.where("parent is not null").groupBy("parent").agg(F.min("place").alias("first")).withColumnRenamed("parent", "node")
-    t = placed.join(after, "place", "left").withColumn("next", F.when(F.col("same") == F.col("parent"), F.col("next"))).join(child, "node", "left")
-    t = t.join(mine.withColumnRenamed("node", "parent"), "parent", "left")
-    # steps are numbered 2 * place for down, 2 * place + 1 for up
-    down, up = 2 * F.col("place"), 2 * F.col("place") + 1
-    steps = t.select(F.array(
-        F.struct(down.alias("node"), F.coalesce(2 * F.col("first"), up).alias("up"), F.lit(1).cast("long").alias("left"), F.lit(1).cast("long").alias("high"), down.alias("last")),
-        F.struct(up.alias("node"), F.coalesce(2 * F.col("next"), 2 * F.col("up_place") + 1).alias("up"), F.lit(1).cast("long").alias("left"), F.lit(-1).cast("long").alias("high"), up.alias("last")),
-    ).alias("s")).select(F.inline("s"))
-    ranked = _lifted(steps, {"left": F.col("a_left") + F.col("b_left"), "high": F.col("a_high") + F.col("b_high"), "last": F.col("b_last")}, "graph-tour", _rounds(steps))
-    n = ranked.groupBy(F.shiftright("node", 1).alias("place")).agg(F.min(-F.col("left")).alias("pre"), F.max(-F.col("left")).alias("post"), F.max("high").alias("h"), F.max("last").alias("last"))
-    roots = placed.where("parent is null").select(F.col("node").alias("root"), (2 * F.col("place") + 1).alias("last"))
-    return placed.join(n, "place").join(roots, "last").select("node", "parent", "root", (-F.col("h")).alias("depth"), "pre", "post")
+    sized = _sized(one_parent(edges))
+    # siblings stand together in the order (parent, node); first is what was counted before them
+    placed = settle(running(sized.select("parent", "node", "size"), ["parent", "node"], ["size"], "graph-order"), "graph-place")
+    first = placed.where("parent is not null").groupBy("parent").agg(F.min(F.col("run_size") - F.col("size")).alias("first"))
+    start = placed.join(first, "parent", "left").select(
+        "node", "parent", "size", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("node")).alias("root"),
+        F.col("parent").isNotNull().cast("long").alias("depth"), F.when(F.col("parent").isNotNull(), 1 + 2 * (F.col("run_size") - F.col("size") - F.col("first"))).otherwise(0).alias("at"),
+    )
+    deep = {"parent": F.col("a_parent"), "size": F.col("a_size"), "root": F.col("b_root"), "depth": F.col("a_depth") + F.col("b_depth"), "at": F.col("a_at") + F.col("b_at")}
+    found = _lifted(start, deep, "graph-tour", _rounds(start))
+    total = found.where("parent is null").select("root", F.col("size").alias("total"))
+    return found.join(total, "root").select("node", "parent", "root", "depth", (F.col("at") - 2 * F.col("total")).alias("pre"), (F.col("at") + 2 * F.col("size") - 1 - 2 * F.col("total")).alias("post"))
+
+
+def _sized(forest: DataFrame) -> DataFrame:
+    """(node, parent, size) of one_parent's rows: how many nodes stand below a node, itself included.
+
+    A step adds to a node the sums of those that stand its length below it,
+    which know as much below themselves.
+    """
+    rows = settle(forest.select("node", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "graph-sizes")
+    for _ in range(_rounds(rows)):
+        got = rows.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("more"))
+        if got.isEmpty():
+            return rows.select("node", "parent", "size")
+        going = rows.where("up is not null")
+        above = going.select(F.col("node").alias("up"), F.col("up").alias("further")).join(got.select(F.col("node").alias("up")).hint("merge"), "up", "left_semi")
+        hopped = going.join(above.hint("merge"), "up", "left").select("node", "parent", F.col("further").alias("up"), "size")
+        all_rows = hopped.unionByName(rows.where("up is null"))  # what has ended has no key to meet by
+        rows = settle(all_rows.join(got.hint("merge"), "node", "left").select("node", "parent", "up", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "graph-sizes")
+    raise ValueError("the edges close a cycle")
 
 
 def within(labels: DataFrame, marks: DataFrame, columns: list[str]) -> DataFrame:

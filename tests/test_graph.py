@@ -143,3 +143,17 @@ def test_cycles_take_as_many_joins_as_tails_have_bits_and_no_broadcast(spark, mo
     hops = [p for n, p in made if n == "graph-hop"]
     assert len(hops) <= 8 and not any("Broadcast" in p for p in hops)
     assert graph.cycles(frame(spark, {1: 2, 2: 3})).count() == 0 and graph.cycles(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
+def test_intervals_take_as_many_joins_as_the_depth_has_bits(spark, monkeypatch):
+    steps, settle = [], graph.settle
+
+    def told(df, name):
+        steps.append(name)
+        return settle(df, name)
+
+    monkeypatch.setattr(graph, "settle", told)
+    got = graph.intervals(frame(spark, {0: None, 1: 0, 2: 0} | {i: 1 + i % 2 for i in range(3, 300)})).collect()
+    assert {r.node: r.depth for r in got} == {0: 0, 1: 1, 2: 1} | dict.fromkeys(range(3, 300), 2)
+    assert sorted(x for r in got for x in (r.pre, r.post)) == list(range(-600, 0))
+    assert steps.count("graph-tour") <= 3 and steps.count("graph-sizes") <= 3

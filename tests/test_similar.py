@@ -71,3 +71,20 @@ def test_seeds_carry_no_ranges_and_vectors_are_read_once(spark, monkeypatch):
     _, effort = retrieval.similar(df, df, 0.9, 5, by="label", pivots=8)
     assert "parts" not in {c for tables in made_of.values() for t in tables for c in t} and "part" in made_of["similar-parts"][0]
     assert "similar-seeds" not in made_of and effort.first().pairs == 2 * 100 * 100
+
+
+def test_profiles_are_summed_in_the_order_of_keys_however_the_table_is_split(spark, monkeypatch, tmp_path):
+    from stancelake.plans import lookup
+
+    r = np.random.default_rng(8)
+    rows = [(k, k % 7, float(r.choice([1e16, -1e16, 0.37, 5.11, 1.0])), f"{1 + k % 2}-X") for k in range(400)]
+    spark.createDataFrame([(c, "A") for c in range(7)], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    mixed = [rows[i] for i in r.permutation(len(rows))]
+    spark.createDataFrame(mixed, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").repartition(9).write.parquet(f"{tmp_path}/orders.parquet")
+    want = {c: [0.0] * 5 for c in range(7)}
+    for _, c, price, priority in rows:
+        want[c][int(priority[0]) - 1] += price
+    seen = []
+    monkeypatch.setattr(lookup.retrieval, "similar", lambda v, *_: seen.append(v))
+    lookup._alike(spark, str(tmp_path))
+    assert {r.o_custkey: r.e for r in seen[0].collect()} == want

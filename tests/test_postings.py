@@ -97,3 +97,27 @@ def test_texts_are_not_sorted_to_number_documents(spark):
     depth = lambda x: len(x) - len(x.lstrip(" :+-|"))
     below = [x for n, x in enumerate(lines[at + 1 :]) if all(depth(y) > depth(lines[at]) for y in lines[at + 1 : at + 2 + n])]
     assert not any("min(" in x for x in below)
+
+
+def test_effort_asks_for_all_words_of_a_question(spark, tmp_path):
+    from stancelake.plans import lookup
+
+    spark.createDataFrame([(i, f"alpha beta {'gamma ' * (i % 3)} delta{i % 5} Émile") for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(1, "alpha beta gamma delta1 émile"), (2, "Alpha alpha absent"), (3, "absent only"), (4, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/b")
+    for name, short in (("documents", "d"), ("benchmark", "b")):
+        next(tmp_path.joinpath(short).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    got = {r.query_id: r.held for r in lookup.search_effort(spark, str(tmp_path)).collect()}
+    assert got == {1: 40 + 40 + 26 + 8 + 40, 2: 40}
+
+
+def test_a_block_is_sent_once_for_many_questions(spark, monkeypatch):
+    """Of a shard, each part of the questions gets the blocks of its words once."""
+    docs = po.numbered(spark.createDataFrame([(i, "often also") for i in range(300)], "id long, text string"), "id").cache()
+    monkeypatch.setattr(po, "SLICES", 1)
+    seen = []
+    settle = po.settle
+    monkeypatch.setattr(po, "settle", lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df, name))
+    found, effort = po.search(po.postings(docs), docs, spark.createDataFrame([(i, "often also") for i in range(20)], "query_id int, text string"), 3)
+    assert [r.held for r in effort.collect()] == [600] * 20 and found.count() == 60
+    grouped = next(x for x in seen[0].split("\n") if "FlatMapGroupsInArrow" in x)
+    assert "query_id" not in grouped.split("meet(")[0]
